@@ -5,3 +5,4 @@ from __future__ import annotations
 from .registry import ENTRIES  # noqa: F401
 from . import grid_queries  # noqa: F401
 from . import scalar_queries  # noqa: F401
+from . import tileset_queries  # noqa: F401
