@@ -152,13 +152,13 @@ def index_hash(tiles: DataFrame) -> DataFrame:
 FINEST = 20  # finest lattice level boxes are filed under
 
 
-def _own_level(w: str, s: str, e: str, n: str) -> Column:
+def own_level(w: str, s: str, e: str, n: str) -> Column:
     """Level whose cells are just wider than the box (level 0: one cell of 360 degrees)."""
     size = F.greatest(F.col(e) - F.col(w), F.col(n) - F.col(s), F.lit(360.0 / 2**FINEST))
     return F.greatest(F.lit(0), F.least(F.lit(FINEST), F.floor(F.log2(F.lit(360.0) / size)).cast("int")))
 
 
-def _filed(df: DataFrame, p: str, levels: Column) -> DataFrame:
+def filed(df: DataFrame, p: str, levels: Column) -> DataFrame:
     """One row per level and lattice cell the box touches; at most four cells on a level."""
     edge = [F.col(p + k) for k in "wsen"]
     df = df.withColumn("_lv", F.explode(levels))
@@ -172,23 +172,33 @@ def _filed(df: DataFrame, p: str, levels: Column) -> DataFrame:
     )
 
 
-def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...] = (), apart: str | None = None) -> DataFrame:
     """Pairs of boxes that meet (touching counts), as an equi-join on lattice cells.
 
     Each box is filed at the level its own size asks for. Of two boxes that meet, the larger one
     is found at its own level and the smaller one at the same level among its ancestors, so cells
     are never much larger than the larger box and every candidate pair is close to a hit. A pair
     is kept only in the cell holding the south-west corner of the common part, which makes it
-    unique without a ``distinct``. Columns: ``a_`` / ``b_`` before the box columns w, s, e, n.
+    unique without a ``distinct``. Columns: ``a_`` / ``b_`` before the columns of each side.
+
+    ``on`` names columns that must be equal. With ``apart`` only pairs that differ in that column
+    are wanted: cells where it has a single value never enter the join.
     """
     a = left.select(*[F.col(c).alias("a_" + c) for c in left.columns])
     b = right.select(*[F.col(c).alias("b_" + c) for c in right.columns])
-    la, lb = _own_level("a_w", "a_s", "a_e", "a_n"), _own_level("b_w", "b_s", "b_e", "b_n")
+    la, lb = own_level("a_w", "a_s", "a_e", "a_n"), own_level("b_w", "b_s", "b_e", "b_n")
     zero = F.lit(0)
-    own_a, up_to_b = _filed(a, "a_", F.array(la)), _filed(b, "b_", F.sequence(zero, lb))
-    above_a = _filed(a.withColumn("_l", la).filter("_l > 0"), "a_", F.sequence(zero, F.col("_l") - 1)).drop("_l")
-    own_b = _filed(b, "b_", F.array(lb))
-    key = ["_lv", "_cx", "_cy"]
+    own_a, up_to_b = filed(a, "a_", F.array(la)), filed(b, "b_", F.sequence(zero, lb))
+    above_a = filed(a.withColumn("_l", la).filter("_l > 0"), "a_", F.sequence(zero, F.col("_l") - 1)).drop("_l")
+    own_b = filed(b, "b_", F.array(lb))
+    lattice = ["_lv", "_cx", "_cy"]
+
+    def named(df: DataFrame, p: str) -> DataFrame:
+        return df.withColumns({"_k_" + c: F.col(p + c) for c in on})
+
+    own_a, above_a = named(own_a, "a_"), named(above_a, "a_")
+    up_to_b, own_b = named(up_to_b, "b_"), named(own_b, "b_")
+    key = [*lattice, *["_k_" + c for c in on]]
     cells = F.pow(F.lit(2.0), F.col("_lv"))
     home = (
         F.floor((F.greatest("a_w", "b_w") + 180.0) / 360.0 * cells) == F.col("_cx")
@@ -196,10 +206,21 @@ def box_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     meet = predicates.bbox_intersects_closed(
         {k: "a_" + k for k in "wsen"}, {k: "b_" + k for k in "wsen"}
     )
-    both = own_a.join(up_to_b, key).unionByName(above_a.join(own_b, key))
+    joins = [(own_a, up_to_b), (above_a, own_b)]
+    if apart:
+        meet = meet & (F.col("a_" + apart) != F.col("b_" + apart))
+        joins = [(_mixed_cells(x, y, key, apart), y) for x, y in joins]
+    both = joins[0][0].join(joins[0][1], key).unionByName(joins[1][0].join(joins[1][1], key))
     return both.filter(meet & home).drop(*key)
 
 
+def _mixed_cells(a: DataFrame, b: DataFrame, key: list[str], apart: str) -> DataFrame:
+    """Rows of ``a`` in cells where the two sides hold more than one value of ``apart``."""
+    seen = a.select(*key, F.col("a_" + apart).alias("_v")).unionByName(b.select(*key, F.col("b_" + apart).alias("_v")))
+    mixed = seen.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).filter("_lo <> _hi")
+    return a.join(mixed.select(*key), key, "left_semi")
+
+
 def footprints_for_boxes(footprints: DataFrame, boxes: DataFrame) -> DataFrame:
     """Rasters touching each box; boxes over the antimeridian are cut in two first.
 

@@ -6,3 +6,6 @@ from .registry import ENTRIES  # noqa: F401
 from . import grid_queries  # noqa: F401
 from . import scalar_queries  # noqa: F401
 from . import tileset_queries  # noqa: F401
+from . import footprint_queries  # noqa: F401
+from . import task_queries  # noqa: F401
+from . import raster_queries  # noqa: F401
