@@ -60,13 +60,18 @@ def _inside(v: Column, size: str) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), F.least(F.floor(v), F.col(size) - 1))
 
 
+def _addressed(cells: DataFrame) -> DataFrame:
+    """Cells under names that leave ``col`` and ``row`` of sampled positions alone."""
+    return cells.select("file_id", F.col("col").alias("_col"), F.col("row").alias("_row"), "value")
+
+
 def sample_nearest(points: DataFrame, rasters: DataFrame, cells: DataFrame) -> DataFrame:
     """Value of the cell under each position, per covering raster (null: nodata)."""
     pairs = covering(points, rasters)
     cx, cy = _unit(pairs)
-    at = pairs.withColumns({"col": _inside(cx, "cols"), "row": _inside(cy, "rows")})
-    got = at.join(cells, ["file_id", "col", "row"], "left")
-    return got.select(*points.columns, "file_id", "px", "col", "row", "value")
+    at = pairs.withColumns({"_col": _inside(cx, "cols"), "_row": _inside(cy, "rows")})
+    got = at.join(_addressed(cells), ["file_id", "_col", "_row"], "left")
+    return got.select(*points.columns, "file_id", "px", F.col("_col").alias("cell_col"), F.col("_row").alias("cell_row"), "value")
 
 
 def sample_bilinear(points: DataFrame, rasters: DataFrame, cells: DataFrame) -> DataFrame:
@@ -83,10 +88,10 @@ def sample_bilinear(points: DataFrame, rasters: DataFrame, cells: DataFrame) ->
         F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)
     ]))
     four = at.withColumn("_k", corner).withColumns({
-        "col": F.least(F.col("_c0") + F.col("_k.i"), F.col("cols") - 1),
-        "row": F.least(F.col("_r0") + F.col("_k.j"), F.col("rows") - 1),
+        "_col": F.least(F.col("_c0") + F.col("_k.i"), F.col("cols") - 1),
+        "_row": F.least(F.col("_r0") + F.col("_k.j"), F.col("rows") - 1),
     })
-    got = four.join(cells, ["file_id", "col", "row"], "left")
+    got = four.join(_addressed(cells), ["file_id", "_col", "_row"], "left")
     keys = [*points.columns, "file_id", "px", "_fx", "_fy"]
 
     def pick(i, j):

@@ -23,7 +23,7 @@ def src04(i):
 
 @query("src04_footprint_text", """
 select p_partkey as file_id, p_partkey % 512 + 256 as cols, p_partkey % 256 + 128 as rows, (p_partkey % 9 + 1) / 100 as px,
-       case when p_partkey % 4 = 1 then p_partkey % 170 + 0.5 else -(p_partkey % 170 + 0.5 + 15 / 3600) end as west from part""")
+       round(case when p_partkey % 4 = 1 then p_partkey % 170 + 0.5 else -(p_partkey % 170 + 0.5 + 15 / 3600) end, 9) as west from part""")
 def src04_text(i):
     f = metadata.footprints_from_text(i.meta_text)
     return f.select("file_id", "cols", "rows", "px", r(F.col("west"), 9).alias("west"))
@@ -39,7 +39,7 @@ def src05(i):
 
 COVER = """cov as (select p.*, r.file_id, r.w, r.n, r.px, r.cols, r.rows, (lon - w) / px as ux, (n - lat) / px as uy
   from {points} p join rasters r on lon >= w and lon <= w + cols * px and lat <= n and lat >= n - rows * px)"""
-AT = """at as (select *, greatest(0, least(cast(floor(ux) as bigint), cols - 1)) as c0, greatest(0, least(cast(floor(uy) as bigint), rows - 1)) as r0 from cov)"""
+AT = """aa as (select *, greatest(0, least(cast(floor(ux) as bigint), cols - 1)) as c0, greatest(0, least(cast(floor(uy) as bigint), rows - 1)) as r0 from cov)"""
 
 
 def bilinear_sql(points: str = "probes", cells: str = "cells") -> str:
@@ -48,13 +48,14 @@ def bilinear_sql(points: str = "probes", cells: str = "cells") -> str:
         for a in (0, 1) for b in (0, 1))
     return f"""{COVER.format(points=points)}, {AT},
 bl as (select a.*, coalesce((v00.value * (1 - (ux - c0)) + v10.value * (ux - c0)) * (1 - (uy - r0)) + (v01.value * (1 - (ux - c0)) + v11.value * (ux - c0)) * (uy - r0), v00.value) as value
-  from at a {joins})"""
+  from aa a {joins})"""
 
 
 @query("j03_sample_nearest", f"""with {COVER.format(points='probes')}, {AT}
-select pid, a.file_id, c0 as col, r0 as row, value from at a left join cells c on c.file_id = a.file_id and c.col = c0 and c.row = r0""")
+select pid, a.file_id, c0 as col, r0 as row, value from aa a left join cells c on c.file_id = a.file_id and c.col = c0 and c.row = r0""")
 def j03(i):
-    return rasters.sample_nearest(i.probes, i.rasters, i.cells).select("pid", "file_id", "col", "row", "value")
+    return rasters.sample_nearest(i.probes, i.rasters, i.cells).select(
+        "pid", "file_id", F.col("cell_col").alias("col"), F.col("cell_row").alias("row"), "value")
 
 
 @query("j04_sample_bilinear", f"with {bilinear_sql()} select pid, file_id, round(value, 6) as value from bl")
@@ -166,7 +167,7 @@ CLEAN = "cl as (select file_id, col, row, nullif(value, 0) as value from cells)"
 
 
 @query("r06_warp_near", f"""with {tiles_sql(6)}, {CLEAN}, {lattice_sql(6, 16, (0.5, 0.5), '16')}, {SAMPLED}, {COVER.format(points='pt')}, {AT},
-s as (select a.*, value from at a join cl c on c.file_id = a.file_id and c.col = c0 and c.row = r0 where value is not null)
+s as (select a.*, value from aa a join cl c on c.file_id = a.file_id and c.col = c0 and c.row = r0 where value is not null)
 select z, x, y, tc as col, tr as row, value from (select *, row_number() over (partition by z, x, y, tc, tr order by file_id desc) as k from s) q where k = 1""")
 def r06(i):
     return rasters.warp_tile(area_tiles(i, 6), i.rasters, i.cells, 16)
