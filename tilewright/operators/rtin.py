@@ -1,17 +1,18 @@
 """Right-triangulated irregular networks over square tile lattices of 2^k + 1 cells.
 
-Each tile's lattice is one array column of fixed length, so every step is a ``transform`` inside
-one stage; tiles only meet for their shared borders.
+Each tile's lattice is one array column of fixed length. Steps that compare a vertex with others
+far away in the same tile run on whole Arrow batches of tiles (:mod:`tilewright.functions.lattice`);
+tiles only meet for their shared borders, of which four strips per tile are shuffled.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions import grid
+from tilewright.functions import grid, lattice
 
 TILE = ["z", "x", "y"]
 SMOOTH_ZOOM = 6  # fixed value: up to this level a lattice of 16 steps is always kept
@@ -21,48 +22,32 @@ SMOOTH_STEPS = 16
 def tile_arrays(tile_cells: DataFrame, n: int, value: str = "value") -> DataFrame:
     """One row per tile with its n * n values (row by row from the south) in ``heights``.
 
-    Lists have exactly the size of a tile; a tile with cells missing gets nulls in their place.
+    A list has the size of one tile. Cells a tile lacks are null in their place.
     """
-    pairs = tile_cells.groupBy(*TILE).agg(F.map_from_entries(F.collect_list(F.struct(F.col("row") * n + F.col("col"), F.col(value)))).alias("_m"))
-    full = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n * n - 1).cast("bigint")), lambda k: F.try_element_at("_m", k))
-    return pairs.select(*TILE, full.alias("heights"))
-
+    pair = F.struct((F.col("row") * n + F.col("col")).alias("k"), F.col(value).alias("v"))
+    lists = tile_cells.groupBy(*TILE).agg(F.sort_array(F.collect_list(pair)).alias("_l"))
+    whole = F.transform("_l", lambda p: p["v"])
+    by_key = F.map_from_entries("_l")
+    patched = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n * n - 1).cast("bigint")), lambda k: F.try_element_at(by_key, k))
+    return lists.select(*TILE, F.when(F.size("_l") == n * n, whole).otherwise(patched).alias("heights"))
 
-def _lattice(fn, n: int) -> Column:
-    """Array over all lattice vertices of ``fn(i, j, s)``: column, row and largest power of two in both."""
-
-    def at(k):
-        i, j = k % n, F.floor(k / n)
-        both = i.bitwiseOR(j)
-        s = both.bitwiseAND(-both)
-        return fn(i, j, s)
 
-    return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n * n - 1).cast("bigint")), at)
+def _stack(series: pd.Series, n: int, dtype) -> np.ndarray:
+    return np.stack([np.asarray(a, dtype=dtype) for a in series]).reshape(len(series), n, n) if len(series) else np.empty((0, n, n), dtype)
 
 
-def _at(array: str, i: Column, j: Column, n: int) -> Column:
-    inside = (i >= 0) & (i < n) & (j >= 0) & (j < n)
-    return F.when(inside, F.get(F.col(array), (j * n + i).cast("int")))
+def _flat(cube: np.ndarray) -> pd.Series:
+    return pd.Series(list(cube.reshape(len(cube), -1)), dtype=object)
 
 
 def rtin_error(arrays: DataFrame, n: int) -> DataFrame:
-    """``errors``: distance of each vertex from the middle of the edge it would split.
+    """``errors``: distance of each vertex from the middle of the edge it would split."""
 
-    A vertex whose coordinates share the power s lies on an axis edge when only one of them is an
-    odd multiple of s, else on the diagonal through the centre of the square above it. Corners get 0.
-    """
-
-    def error(i, j, s):
-        oi, oj = F.floor(i / s) % 2, F.floor(j / s) % 2
-        diagonal = (oi == 1) & (oj == 1)
-        same = (F.floor(i / s) % 4) == (F.floor(j / s) % 4)
-        di = F.when(diagonal | (oi == 1), s).otherwise(0)
-        dj = F.when(diagonal, F.when(same, s).otherwise(-s)).when(oj == 1, s).otherwise(0)
-        ends = _at("heights", i - di, j - dj, n) + _at("heights", i + di, j + dj, n)
-        corner = (i % (n - 1) == 0) & (j % (n - 1) == 0)
-        return F.when(corner, 0.0).otherwise(F.abs(_at("heights", i, j, n) - ends * 0.5))
+    @F.pandas_udf("array<double>")
+    def errors(heights: pd.Series) -> pd.Series:
+        return _flat(lattice.split_errors(_stack(heights, n, float)))
 
-    return arrays.withColumn("errors", _lattice(error, n))
+    return arrays.withColumn("errors", errors("heights"))
 
 
 def rtin_activation(errors: DataFrame, n: int, quality: float = 1.0) -> DataFrame:
@@ -70,47 +55,28 @@ def rtin_activation(errors: DataFrame, n: int, quality: float = 1.0) -> DataFram
 
     Corners are always active; up to level 6 so is a lattice of 16 steps.
     """
-    limit = grid.level_error("z", quality=0.25 * quality, tile_size=n)
-    e = errors.withColumn("_limit", limit)
+    e = errors.withColumn("_limit", grid.level_error("z", quality=0.25 * quality, tile_size=n))
     step = max((n - 1) // SMOOTH_STEPS, 1)
 
-    def level(i, j, s):
-        err = _at("errors", i, j, n)
-        own = F.when(err >= F.col("_limit"), F.floor(F.log2(err / F.col("_limit")) + 0.5)).otherwise(-1)
+    def level(err, k):
+        i, j = k % n, F.floor(k / n)
+        over = err >= F.col("_limit")
+        own = F.when(over & ~F.isnan(err), F.floor(F.log2(err / F.col("_limit")) + 0.5)).otherwise(-1)
         corner = (i % (n - 1) == 0) & (j % (n - 1) == 0)
         smooth = (F.col("z") <= SMOOTH_ZOOM) & (i % step == 0) & (j % step == 0)
         return F.greatest(own, F.when(corner | smooth, 0).otherwise(-1)).cast("int")
 
-    return e.withColumn("levels", _lattice(level, n)).drop("_limit")
+    return e.withColumn("levels", F.transform("errors", level)).drop("_limit")
 
 
 def rtin_propagate(activation: DataFrame, n: int) -> DataFrame:
-    """Raise ``levels`` so that every vertex is at least as active as those depending on it.
+    """Raise ``levels`` so that every vertex is at least as active as those depending on it."""
 
-    From the finest squares up: edge midpoints take the level of the centres of the smaller
-    squares beside them, then centres take the level of their four edge midpoints.
-    """
-    df = activation
-    for k in range(int(math.log2(n - 1))):
-        half = 2**k
-        quarter = half // 2
-
-        def edges(i, j, s, half=half, quarter=quarter):
-            own = _at("levels", i, j, n)
-            on_edge = (s == half) & ((F.floor(i / half) + F.floor(j / half)) % 2 == 1)
-            around = [F.coalesce(_at("levels", i + a * quarter, j + b * quarter, n), F.lit(-1)) for a in (-1, 1) for b in (-1, 1)]
-            return F.when(on_edge, F.greatest(own, *around)).otherwise(own)
+    @F.pandas_udf("array<int>")
+    def propagated(levels: pd.Series) -> pd.Series:
+        return _flat(lattice.propagate_levels(_stack(levels, n, np.int32)))
 
-        def centres(i, j, s, half=half):
-            own = _at("levels", i, j, n)
-            centre = (s == half) & (F.floor(i / half) % 2 == 1) & (F.floor(j / half) % 2 == 1)
-            around = [F.coalesce(_at("levels", i + a * half, j + b * half, n), F.lit(-1)) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1))]
-            return F.when(centre, F.greatest(own, *around)).otherwise(own)
-
-        if quarter:
-            df = df.withColumn("levels", _lattice(edges, n))
-        df = df.withColumn("levels", _lattice(centres, n))
-    return df
+    return activation.withColumn("levels", propagated("levels"))
 
 
 def border_activation(activation: DataFrame, n: int, zmin: int = SMOOTH_ZOOM + 1) -> DataFrame:
@@ -120,33 +86,31 @@ def border_activation(activation: DataFrame, n: int, zmin: int = SMOOTH_ZOOM + 1
     """
     last = n - 1
 
-    def strip(index) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.get(F.col("levels"), index(k)))
+    def strip(start, step):
+        return F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.get(F.col("levels"), k * step + start))
 
     # my east strip is the west strip of the tile to my east, and so on
     strips = [
-        (1, 0, "west", strip(lambda k: k * n + last)), (-1, 0, "east", strip(lambda k: k * n)),
-        (0, 1, "south", strip(lambda k: k + last * n)), (0, -1, "north", strip(lambda k: k)),
+        (1, 0, "west", strip(last, n)), (-1, 0, "east", strip(0, n)),
+        (0, 1, "south", strip(last * n, 1)), (0, -1, "north", strip(0, 1)),
     ]
     sent = F.explode(F.array(*[
         F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), F.lit(side).alias("side"), levels.alias("levels"))
         for dx, dy, side, levels in strips
     ]))
-    got = activation.select("z", sent.alias("s")).select("z", "s.*").groupBy(*TILE).agg(*[
-        F.max(F.when(F.col("side") == side, F.col("levels"))).alias("_" + side) for side in ("west", "east", "south", "north")
+    sides = ("west", "east", "south", "north")
+    got = activation.filter(F.col("z") >= zmin).select("z", sent.alias("s")).select("z", "s.*").groupBy(*TILE).agg(*[
+        F.max(F.when(F.col("side") == side, F.col("levels"))).alias("_" + side) for side in sides
     ])
-    j = activation.join(got, TILE, "left")
 
-    def raised(i, j_, s):
-        own = _at("levels", i, j_, n)
+    @F.pandas_udf("array<int>")
+    def raised(levels: pd.Series, west: pd.Series, east: pd.Series, south: pd.Series, north: pd.Series) -> pd.Series:
+        none = np.full(n, -1, dtype=np.int32)
+        strips = [np.stack([none if s is None else np.asarray(s, dtype=np.int32) for s in side]) for side in (west, east, south, north)]
+        return _flat(lattice.raise_borders(_stack(levels, n, np.int32), *strips))
 
-        def take(cond, side, k):
-            return F.when(cond, F.coalesce(F.get(F.col("_" + side), k.cast("int")), F.lit(-1))).otherwise(F.lit(-1))
-
-        best = F.greatest(own, take(i == 0, "west", j_), take(i == last, "east", j_), take(j_ == 0, "south", i), take(j_ == last, "north", i))
-        return F.when(F.col("z") >= zmin, best).otherwise(own)
-
-    return j.withColumn("levels", _lattice(raised, n)).drop("_west", "_east", "_south", "_north")
+    j = activation.join(got, TILE, "left")
+    return j.withColumn("levels", raised("levels", *["_" + s for s in sides])).drop(*["_" + s for s in sides])
 
 
 def active_vertices(activation: DataFrame, n: int, level: int = 0) -> DataFrame:

@@ -9,3 +9,4 @@ from . import tileset_queries  # noqa: F401
 from . import footprint_queries  # noqa: F401
 from . import task_queries  # noqa: F401
 from . import raster_queries  # noqa: F401
+from . import mesh_queries  # noqa: F401
