@@ -114,15 +114,21 @@ def horizon_occlusion(vertices: DataFrame, spheres: DataFrame) -> DataFrame:
     return g.select(*TILE, "magnitude", *[(F.col("_c" + c) * F.col("magnitude")).alias("occlusion_" + c[1]) for c in radii])
 
 
-def face_normals(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Unit normal and area of each triangle in earth-centred space."""
-    t = corners(triangles, with_ecef(vertices), ["ex", "ey", "ez"])
+def with_face_normal(t: DataFrame) -> DataFrame:
+    """Unit normal (nx, ny, nz) and ``space_area`` from corners ``ex0, ey0, ez0`` .. ``ez2``."""
+    keep = t.columns
     t = t.withColumns({f"_{n}{c}": F.col(f"{c}{n}") - F.col(f"{c}0") for n in (1, 2) for c in ("ex", "ey", "ez")})
     ax, ay, az, bx, by, bz = (F.col(f"_{n}{c}") for n in (1, 2) for c in ("ex", "ey", "ez"))
     t = t.withColumns({"_nx": ay * bz - az * by, "_ny": az * bx - ax * bz, "_nz": ax * by - ay * bx})
     size = F.sqrt(F.col("_nx") * F.col("_nx") + F.col("_ny") * F.col("_ny") + F.col("_nz") * F.col("_nz"))
     t = t.withColumn("_len", F.nullif(size, F.lit(0.0)))
-    return t.select(*TILE, "tid", "v0", "v1", "v2", *[(F.col(f"_n{k}") / F.col("_len")).alias(f"n{k}") for k in "xyz"], (F.col("_len") / 2).alias("area"))
+    return t.select(*keep, *[(F.col(f"_n{k}") / F.col("_len")).alias(f"n{k}") for k in "xyz"], (F.col("_len") / 2).alias("space_area"))
+
+
+def face_normals(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Unit normal and area of each triangle in earth-centred space."""
+    t = with_face_normal(corners(triangles, with_ecef(vertices), ["ex", "ey", "ez"]))
+    return t.select(*TILE, "tid", "v0", "v1", "v2", "nx", "ny", "nz", F.col("space_area").alias("area"))
 
 
 def vertex_normals(triangles: DataFrame, vertices: DataFrame, weight: str = "unit") -> DataFrame:
@@ -147,9 +153,8 @@ def bucket_faces(points: DataFrame, depth: int, low: tuple, high: tuple) -> Data
     return points.select(*cells).groupBy("ox", "oy", "oz").agg(F.count("*").alias("points"))
 
 
-def triangle_sizes(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Triangles with corner positions, plane area, longest edge (degrees) and size in metres."""
-    t = corners(triangles, vertices, ["lon", "lat", "h"])
+def measured(t: DataFrame) -> DataFrame:
+    """Plane area, longest edge (degrees) and size in metres from corners ``lon0, lat0`` .. ``lat2``."""
 
     def edge(a, b):
         dx, dy = F.col(f"lon{a}") - F.col(f"lon{b}"), F.col(f"lat{a}") - F.col(f"lat{b}")
@@ -160,6 +165,11 @@ def triangle_sizes(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     return t.withColumns({"area": F.abs(cross) / 2, "longest": longest}).withColumn("metres", geodesy.to_metres("longest"))
 
 
+def triangle_sizes(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Triangles with corner positions, plane area, longest edge (degrees) and size in metres."""
+    return measured(corners(triangles, vertices, ["lon", "lat", "h"]))
+
+
 def triangle_stats(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
     s = triangle_sizes(triangles, vertices)
     return s.groupBy(*TILE).agg(
@@ -228,15 +238,18 @@ def triangle_deviation(triangles: DataFrame, vertices: DataFrame, tile_cells: Da
     triangle: 0.8 * (size / tile size) + 0.2 of the level's deviation.
     """
     sized = triangle_sizes(triangles, vertices)
-    normals = face_normals(triangles, vertices).select(*TILE, "tid", F.abs(normal_cosine()).alias("_cos"))
-    sized = sized.join(normals, [*TILE, "tid"])
-    cells = cells_in_triangles(sized, n)
-    got = cells.join(tile_cells.select(*TILE, "col", "row", "value"), [*TILE, "col", "row"])
-    cosine = F.when(F.col("z") > 10, F.col("_cos")).otherwise(1.0)
+    normals = face_normals(triangles, vertices).select(*TILE, "tid", F.abs(normal_cosine()).alias("cosine"))
+    return deviations(sized.join(normals, [*TILE, "tid"]), tile_cells, n, [*TILE, "tid"], intensity)
+
+
+def deviations(sized: DataFrame, tile_cells: DataFrame, n: int, keys: list[str], intensity: float = 4.0) -> DataFrame:
+    """:func:`triangle_deviation` for triangles that carry their corners, ``metres`` and ``cosine``."""
+    got = cells_in_triangles(sized, n).join(tile_cells.select(*TILE, "col", "row", "value"), [*TILE, "col", "row"])
+    cosine = F.when(F.col("z") > 10, F.col("cosine")).otherwise(1.0)
     gap = F.abs(F.col("value") - plane_height("clon", "clat")) * cosine
-    worst = got.groupBy(*TILE, "tid").agg(F.max(gap).alias("deviation"), F.max("metres").alias("metres"))
+    worst = got.groupBy(*dict.fromkeys([*TILE, *keys])).agg(F.max(gap).alias("deviation"), F.max("metres").alias("metres"))
     limit = grid.refine_limits("z", intensity)["max_deviation"] * (F.col("metres") / grid.tile_size_metres("z") * 0.8 + 0.2)
-    return worst.select(*TILE, "tid", "deviation", limit.alias("limit"), (F.col("deviation") > limit).alias("exceeds"))
+    return worst.select(*dict.fromkeys([*TILE, *keys]), "deviation", limit.alias("limit"), (F.col("deviation") > limit).alias("exceeds"))
 
 
 def must_refine(sized: DataFrame, data_extent: DataFrame, intensity: float = 4.0) -> DataFrame:

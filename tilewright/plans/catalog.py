@@ -10,3 +10,6 @@ from . import footprint_queries  # noqa: F401
 from . import task_queries  # noqa: F401
 from . import raster_queries  # noqa: F401
 from . import mesh_queries  # noqa: F401
+from . import codec_queries  # noqa: F401
+from . import refine_queries  # noqa: F401
+from . import stream_queries  # noqa: F401
