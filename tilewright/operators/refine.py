@@ -64,14 +64,14 @@ def with_corners(triangles: DataFrame, tile_cells: DataFrame, n: int) -> DataFra
 
 def flag(triangles: DataFrame, tile_cells: DataFrame, n: int, data_extent: DataFrame, intensity: float = 4.0) -> DataFrame:
     """Triangles (SHAPE) that must be split: too large, or too far from the raster."""
-    t = mesh.measured(with_corners(triangles.filter(~F.col("checked")), tile_cells, n))
-    t = mesh.must_refine(t, data_extent, intensity)
+    t = cut_lineage(with_corners(triangles.filter(~F.col("checked")), tile_cells, n))
+    t = cut_lineage(mesh.must_refine(mesh.measured(t), data_extent, intensity))
     certain = t.filter("refine").select(*SHAPE)
     open_ = t.filter(F.col("refine").isNull())
     for i in range(3):
         ex, ey, ez = geodesy.ecef(f"lon{i}", f"lat{i}", f"h{i}")
         open_ = open_.withColumns({f"ex{i}": ex, f"ey{i}": ey, f"ez{i}": ez})
-    open_ = mesh.with_face_normal(open_).withColumn("cosine", F.abs(mesh.normal_cosine()))
+    open_ = cut_lineage(mesh.with_face_normal(open_).withColumn("cosine", F.abs(mesh.normal_cosine())))
     # corners run either way round here; cells_in_triangles accepts both
     far = mesh.deviations(open_, tile_cells, n, SHAPE, intensity).filter("exceeds").select(*SHAPE)
     return certain.unionByName(far)

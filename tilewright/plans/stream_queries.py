@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tilewright.streaming import progress
 
 from .registry import query
+from .tileset_queries import INDEX_SQL
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
 
@@ -68,7 +69,8 @@ def st04(i):
     return s.select("task_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "events", "tiles")
 
 
-@query("st05_stream_footprints")
+@query("st05_stream_footprints", f"""with {INDEX_SQL}
+select z, x, y, source_count, not exists (select 1 from tile_store t where t.z = ti.z and t.x = ti.x and t.y = ti.y) as missing from ti where z >= 3""")
 def st05(i):
     o = progress.read_events(i.spark, i.sf_dir, "orders.parquet", "o_orderkey bigint")
     k = F.col("o_orderkey")
