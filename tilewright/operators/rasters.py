@@ -3,8 +3,8 @@
 ``rasters``: file_id, w, n, px, cols, rows (cells are counted from the north-west corner).
 ``cells``: file_id, col, row, value; null is nodata. ``tile_cells``: z, x, y, col, row, value.
 
-A position finds its rasters through lattice buckets and its cells through an equi-join on
-``(file_id, col, row)``: cells are unique on that key, so the join never multiplies rows.
+A position finds its rasters through lattice cells, and its values through an equi-join on the
+cell or on a small block of cells: both are unique on their key, so no join multiplies rows.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from tilewright.functions import grid
 from tilewright.functions._cols import pow2
 from tilewright.functions.encoding import decode_height, encode_height
 
+from .index import filed, own_level
+
 NODATA = -9999.0  # fixed value: default sentinel read and written for nodata
-BUCKET = 1.0  # degrees; side of the lattice cells positions and rasters meet in
 
 
 def read_cells(df: DataFrame, nodata: float = NODATA) -> DataFrame:
@@ -35,20 +36,59 @@ def extent(rasters: DataFrame) -> DataFrame:
 def covering(points: DataFrame, rasters: DataFrame) -> DataFrame:
     """Every pair of a position (lon, lat) and a raster that covers it.
 
-    Rasters are filed under the lattice cells they touch; a position has exactly one cell, so
-    pairs are unique. Position rows are narrow and rasters are few against them.
+    A raster is filed under the (at most four) lattice cells of the level its own size asks for; a
+    position looks at one cell of each level in use, of which there are at most 21. Cells are thus
+    never much larger than the rasters in them, and a pair meets exactly once.
     """
     r = extent(rasters)
+    level = own_level("w", "s", "e", "n")
+    in_use = r.agg(F.array_sort(F.collect_set(level))).scalar()
+    filed_rasters = filed(r, "", F.array(level))
+    p = points.withColumn("_lv", F.explode(in_use))
+    cells = F.pow(F.lit(2.0), F.col("_lv"))
+    p = p.withColumns({k: F.floor((F.col(c) + 180.0) / 360.0 * cells) for k, c in (("_cx", "lon"), ("_cy", "lat"))})
+    hit = F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))
+    return p.join(filed_rasters, ["_lv", "_cx", "_cy"]).filter(hit).drop("_lv", "_cx", "_cy")
 
-    def at(v):
-        return F.floor((v + 180.0) / BUCKET)
 
-    filed = r.withColumn("_bx", F.explode(F.sequence(at(F.col("w")), at(F.col("e"))))).withColumn(
-        "_by", F.explode(F.sequence(at(F.col("s")), at(F.col("n"))))
-    )
-    p = points.withColumns({"_bx": at(F.col("lon")), "_by": at(F.col("lat"))})
-    hit = F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))
-    return p.join(filed, ["_bx", "_by"]).filter(hit).drop("_bx", "_by")
+BLOCK = 8  # cells per side of the blocks samples are taken from
+
+
+def sample_blocks(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells as blocks of 8 x 8 with one more row and column from the blocks after them.
+
+    ``block`` maps ``row * 9 + col`` inside the block to the value; a block never has more than 81
+    cells, so whatever lies between four cells is found in a single block.
+    """
+    col, row = F.col("col"), F.col("row")
+    bx, by = F.floor(col / BLOCK), F.floor(row / BLOCK)
+    first_col, first_row = (col % BLOCK == 0) & (col > 0), (row % BLOCK == 0) & (row > 0)
+
+    def copy(back_x: int, back_y: int):
+        place = (row - (by - back_y) * BLOCK) * (BLOCK + 1) + (col - (bx - back_x) * BLOCK)
+        return F.struct((bx - back_x).alias("bx"), (by - back_y).alias("by"), place.alias("at"))
+
+    copies = F.array(
+        copy(0, 0), F.when(first_col, copy(1, 0)), F.when(first_row, copy(0, 1)), F.when(first_col & first_row, copy(1, 1)))
+    c = cells.select(*keys, "value", F.explode(F.filter(copies, lambda k: k.isNotNull())).alias("k"))
+    return c.groupBy(*keys, F.col("k.bx").alias("_bx"), F.col("k.by").alias("_by")).agg(
+        F.map_from_entries(F.collect_list(F.struct("k.at", "value"))).alias("block"))
+
+
+def _between(at: DataFrame, blocks: DataFrame, keys: list[str], last_col: Column, last_row: Column) -> DataFrame:
+    """``value`` between the cells around ``_c0, _r0`` at the fractions ``_fx, _fy``."""
+    at = at.withColumns({
+        "_bx": F.floor(F.col("_c0") / BLOCK), "_by": F.floor(F.col("_r0") / BLOCK),
+        "_c1": F.least(F.col("_c0") + 1, last_col), "_r1": F.least(F.col("_r0") + 1, last_row),
+    })
+    got = at.join(blocks, [*keys, "_bx", "_by"], "left")
+
+    def pick(c, r):
+        place = (F.col(r) - F.col("_by") * BLOCK) * (BLOCK + 1) + (F.col(c) - F.col("_bx") * BLOCK)
+        return F.try_element_at("block", place)
+
+    got = got.withColumns({"_v00": pick("_c0", "_r0"), "_v10": pick("_c1", "_r0"), "_v01": pick("_c0", "_r1"), "_v11": pick("_c1", "_r1")})
+    return got.withColumn("value", bilinear("_v00", "_v10", "_v01", "_v11", "_fx", "_fy"))
 
 
 def _unit(pairs: DataFrame) -> tuple[Column, Column]:
@@ -84,21 +124,8 @@ def sample_bilinear(points: DataFrame, rasters: DataFrame, cells: DataFrame) ->
     cx, cy = _unit(pairs)
     c0, r0 = _inside(cx, "cols"), _inside(cy, "rows")
     at = pairs.withColumns({"_c0": c0, "_r0": r0, "_fx": cx - c0, "_fy": cy - r0})
-    corner = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)
-    ]))
-    four = at.withColumn("_k", corner).withColumns({
-        "_col": F.least(F.col("_c0") + F.col("_k.i"), F.col("cols") - 1),
-        "_row": F.least(F.col("_r0") + F.col("_k.j"), F.col("rows") - 1),
-    })
-    got = four.join(_addressed(cells), ["file_id", "_col", "_row"], "left")
-    keys = [*points.columns, "file_id", "px", "_fx", "_fy"]
-
-    def pick(i, j):
-        return F.max(F.when((F.col("_k.i") == i) & (F.col("_k.j") == j), F.col("value")))
-
-    g = got.groupBy(*keys).agg(*[pick(i, j).alias(f"_v{i}{j}") for j in (0, 1) for i in (0, 1)])
-    return g.select(*points.columns, "file_id", "px", bilinear("_v00", "_v10", "_v01", "_v11", "_fx", "_fy").alias("value"))
+    got = _between(at, sample_blocks(cells, ["file_id"]), ["file_id"], F.col("cols") - 1, F.col("rows") - 1)
+    return got.select(*points.columns, "file_id", "px", "value")
 
 
 def bilinear(v00: str, v10: str, v01: str, v11: str, fx: str, fy: str) -> Column:
@@ -172,18 +199,8 @@ def sample_tile_bilinear(points: DataFrame, tile_cells: DataFrame, n: int) -> Da
         "_c0": F.greatest(F.lit(0).cast("bigint"), F.least(F.floor("_u"), top)),
         "_r0": F.greatest(F.lit(0).cast("bigint"), F.least(F.floor("_v"), top)),
     }).withColumns({"_fx": F.col("_u") - F.col("_c0"), "_fy": F.col("_v") - F.col("_r0")})
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)]))
-    four = p.withColumn("_k", corner).withColumns({
-        "col": F.least(F.col("_c0") + F.col("_k.i"), top), "row": F.least(F.col("_r0") + F.col("_k.j"), top),
-    })
-    got = four.join(tile_cells.select("z", "x", "y", "col", "row", "value"), ["z", "x", "y", "col", "row"], "left")
-
-    def pick(i, j):
-        return F.max(F.when((F.col("_k.i") == i) & (F.col("_k.j") == j), F.col("value")))
-
-    g = got.groupBy(*points.columns, "_in", "_fx", "_fy").agg(*[pick(i, j).alias(f"_v{i}{j}") for j in (0, 1) for i in (0, 1)])
-    value = F.when(F.col("_in"), bilinear("_v00", "_v10", "_v01", "_v11", "_fx", "_fy"))
-    return g.select(*points.columns, value.alias("value"))
+    got = _between(p, sample_blocks(tile_cells, ["z", "x", "y"]), ["z", "x", "y"], top, top)
+    return got.select(*points.columns, F.when(F.col("_in"), F.col("value")).alias("value"))
 
 
 def overview(cells: DataFrame, factors: list[int], keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
@@ -368,8 +385,10 @@ def heightmap(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int = 6
     Cells without data are 0 metres. Adds the stored 16-bit height.
     """
     lattice = tile_lattice(tiles, n, "grown")
-    got = mosaic(lattice, rasters, cells)
-    full = lattice.select("z", "x", "y", "col", "row").join(got.select("z", "x", "y", "col", "row", "value"), ["z", "x", "y", "col", "row"], "left")
+    samples = sample_bilinear(lattice, rasters, cells).select("z", "x", "y", "col", "row", "file_id", "px", "value")
+    empty = lattice.select("z", "x", "y", "col", "row", F.lit(None).cast("bigint").alias("file_id"), F.lit(None).cast("double").alias("px"), F.lit(None).cast("double").alias("value"))
+    # every cell takes part once without a value, so cells without data stay in the one aggregate
+    full = best_value(samples.unionByName(empty), ["z", "x", "y", "col", "row"])
     v = F.coalesce(F.col("value"), F.lit(0.0))
     return full.select("z", "x", "y", "col", "row", v.alias("height"), encode_height(v).alias("stored"))
 

@@ -155,7 +155,7 @@ with c as (select z, x, y, unnest([0, 1, 2, 3]) as k from mesh_tiles),
 v as (select z, x, y, cast(k as bigint) as vid, (x + case when k in (1, 2) then 1 else 0 end) * 180 / pow(2, z) - 180 as lon, (y + case when k in (2, 3) then 1 else 0 end) * 180 / pow(2, z) - 90 as lat,
              case when k in (1, 2) then 16 else 0 end as col, case when k in (2, 3) then 16 else 0 end as row from c)
 select v.z, v.x, v.y, vid, lon, lat, t.value as h, f.tid from v join tile_cells t on t.z = v.z and t.x = v.x and t.y = v.y and t.col = v.col and t.row = v.row
-join (select unnest([0, 0, 0, 1, 1, 1]) as tid, unnest([0, 1, 2, 0, 2, 3]) as fv) f on f.fv = vid""")
+join (select cast(unnest([0, 0, 0, 1, 1, 1]) as bigint) as tid, unnest([0, 1, 2, 0, 2, 3]) as fv) f on f.fv = vid""")
 def m01(i):
     v, t = mesh.initial_mesh(i.mesh_tiles, i.tile_cells, 17)
     c = t.select("z", "x", "y", "tid", F.explode(F.array("v0", "v1", "v2")).alias("vid"))

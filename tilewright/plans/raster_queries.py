@@ -85,7 +85,7 @@ def area_tiles(i, z: int):
 
 
 def tiles_sql(z: int) -> str:
-    return f"tl as (select distinct {z} as z, cast(floor((lon + 180) * {2 ** z} / 180) as bigint) as x, cast(floor((lat + 90) * {2 ** z} / 180) as bigint) as y from probes)"
+    return f"tl as (select distinct cast({z} as bigint) as z, cast(floor((lon + 180) * {2 ** z} / 180) as bigint) as x, cast(floor((lat + 90) * {2 ** z} / 180) as bigint) as y from probes)"
 
 
 def lattice_sql(z: int, n: int, shift, step: str, name: str = "lat") -> str:
@@ -181,7 +181,7 @@ def r06_bilinear(i):
 
 @query("r06_warp_average", f"""with {tiles_sql(5)}, {CLEAN},
 p as (select c.file_id, value, w + (col + 0.5e0) * px as lon, n - (row + 0.5e0) * px as lat from cl c join rasters using (file_id)),
-t as (select file_id, value, 5 as z, cast(floor((lon + 180) / 5.625) as bigint) as x, cast(floor((lat + 90) / 5.625) as bigint) as y, lon, lat from p),
+t as (select file_id, value, cast(5 as bigint) as z, cast(floor((lon + 180) / 5.625) as bigint) as x, cast(floor((lat + 90) / 5.625) as bigint) as y, lon, lat from p),
 g as (select z, x, y, cast(floor(((lon + 180) / 5.625 - x) * 16) as bigint) as col, cast(floor(((lat + 90) / 5.625 - y) * 16) as bigint) as row, file_id, avg(value) as value from t group by 1, 2, 3, 4, 5, 6)
 select z, x, y, col, row, round(value, 6) as value from (select *, row_number() over (partition by z, x, y, col, row order by file_id desc) as k from g join tl using (z, x, y) where value is not null) q where k = 1""")
 def r06_average(i):
@@ -202,7 +202,7 @@ def r08(i):
 
 def pyramid_sql(z: int) -> str:
     k = 2 ** (6 - z)
-    return f"select {z} as z, col // {16 * k} as x, row // {16 * k} as y, col % {16 * k} // {k} as col, row % {16 * k} // {k} as row, sum(value) as total, count(*) as n from sparse_cells group by 1, 2, 3, 4, 5"
+    return f"select cast({z} as bigint) as z, col // {16 * k} as x, row // {16 * k} as y, col % {16 * k} // {k} as col, row % {16 * k} // {k} as row, sum(value) as total, count(*) as n from sparse_cells group by 1, 2, 3, 4, 5"
 
 
 @query("r09_pyramid", " union all ".join(pyramid_sql(z) for z in range(7)))
@@ -214,7 +214,7 @@ def r09(i):
 
 
 @query("r09_point_pyramid", " union all ".join(
-    f"select {z} as z, col // {2 ** (10 - z)} as x, row // {2 ** (10 - z)} as y, cast(sum(n) as bigint) as n, sum(value) as total from sparse_cells group by 1, 2, 3" for z in range(11)))
+    f"select cast({z} as bigint) as z, col // {2 ** (10 - z)} as x, row // {2 ** (10 - z)} as y, cast(sum(n) as bigint) as n, sum(value) as total from sparse_cells group by 1, 2, 3" for z in range(11)))
 def r09_points(i):
     return rasters.point_pyramid(i.sparse_cells.select(F.col("col").alias("x"), F.col("row").alias("y"), "n", F.col("value").alias("total")), 10, 0)
 
@@ -249,7 +249,7 @@ def r11(i):
 
 @query("r12_root_tile_fill", """
 with t as (select distinct z - 3 as z, x // 8 as x, y // 8 as y from tile_store where set_id = 0 and z = 3)
-select 0 as z, range as x, 0 as y, 0.0e0 as height from range(2) where range not in (select x from t where z = 0 and y = 0)""")
+select cast(0 as bigint) as z, range as x, cast(0 as bigint) as y, 0.0e0 as height from range(2) where range not in (select x from t where z = 0 and y = 0)""")
 def r12(i):
     t = i.tile_store.filter("set_id = 0 and z = 3").select((F.col("z") - 3).alias("z"), F.shiftright("x", 3).alias("x"), F.shiftright("y", 3).alias("y"))
     return rasters.root_tile_fill(t)

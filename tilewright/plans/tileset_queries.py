@@ -231,7 +231,7 @@ def alpha_store(i):
 
 
 @query("u04_delete_nodata", f"""with {FLAGS_SQL},
-st as (select 14 as z, p_partkey % 16384 as x, p_partkey // 16384 as y, p_size from part)
+st as (select cast(14 as bigint) as z, p_partkey % 16384 as x, p_partkey // 16384 as y, p_size from part)
 select st.* from st where not exists (select 1 from fl where nodata and fl.z = st.z and fl.x = st.x and fl.y = st.y)""")
 def u04(i):
     return tilesets.delete_nodata(alpha_store(i), flags(i))
@@ -276,7 +276,7 @@ def a08(i):
 
 @query("a08_global_ranges", """
 with m as (select max(z) as mz from tile_store)
-select z, 0 as min_x, (1 << cast(z + 1 as int)) - 1 as max_x, 0 as min_y, (1 << cast(z as int)) - 1 as max_y
+select z, cast(0 as bigint) as min_x, cast((1 << cast(z + 1 as int)) - 1 as bigint) as max_x, cast(0 as bigint) as min_y, cast((1 << cast(z as int)) - 1 as bigint) as max_y
 from (select unnest(range(mz + 1)) as z from m) q""")
 def a08_global(i):
     return tilesets.global_ranges(i.tile_store.agg(F.max("z").alias("max_zoom")))
@@ -438,7 +438,7 @@ def snk07(i):
 @query("a21_incremental_check", f"""with {WANTED_SQL},
 a as (select distinct file_name from footprints where px = 0.02),
 m as (select count(*) as tiles, count(case when h is null then 1 end) as missing from ix left join (select distinct z, x, y, 1 as h from tile_store where set_id in (2, 3)) s using (z, x, y))
-select 0 as only_old, 0 as only_new, true as same, tiles, missing, missing / tiles <= 0.3 as reuse from m""")
+select cast(0 as bigint) as only_old, cast(0 as bigint) as only_new, true as same, tiles, missing, missing / tiles <= 0.3 as reuse from m""")
 def a21(i):
     files = i.footprints.filter("px = 0.02")
     return tilesets.incremental_check(files, files, wanted(i), i.tile_store.filter("set_id in (2, 3)"), True, 98.5)

@@ -59,23 +59,25 @@ def enabled(lookups: DataFrame, layers: DataFrame, life: int = STATUS_LIFE_SECON
     """Status each lookup sees when a layer's status is read once and trusted for ``life`` seconds.
 
     The stream is joined with the layer table as it is now; the state per layer is the status last
-    read and when. Lookups of one batch are taken in the order of their time.
+    read and when. Lookups are served as they arrive, one Arrow batch at a time, so that a layer
+    asked for by everyone needs no more memory than any other.
     """
     joined = lookups.join(layers, "layer_id").select("layer_id", "lookup_id", "ts", "status")
 
     def serve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         read_at, known = state.get if state.exists else (None, None)
-        batch = pd.concat(list(frames)).sort_values(["ts", "lookup_id"])
-        micros = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        seen, fresh = [], []
-        for at, now in zip(micros, batch["status"]):
-            expired = read_at is None or at - read_at >= life * 1_000_000
-            if expired:
-                read_at, known = int(at), int(now)
-            seen.append(known)
-            fresh.append(expired)
+        for frame in frames:
+            batch = frame.sort_values(["ts", "lookup_id"])
+            micros = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            seen, fresh = [], []
+            for at, now in zip(micros, batch["status"]):
+                expired = read_at is None or at - read_at >= life * 1_000_000
+                if expired:
+                    read_at, known = int(at), int(now)
+                seen.append(known)
+                fresh.append(expired)
+            yield pd.DataFrame({"layer_id": key[0], "lookup_id": batch["lookup_id"].to_numpy(), "status": seen, "refreshed": fresh})
         state.update((read_at, known))
-        yield pd.DataFrame({"layer_id": key[0], "lookup_id": batch["lookup_id"].to_numpy(), "status": seen, "refreshed": fresh})
 
     return joined.groupBy("layer_id").applyInPandasWithState(
         serve, "layer_id string, lookup_id bigint, status int, refreshed boolean", "read_at bigint, known int", "append", GroupStateTimeout.NoTimeout)
