@@ -1,8 +1,10 @@
 """Geodata derived from the given tables, as SQL shared by Spark and the checking engine.
 
-Every definition grows with the table it reads. Three tokens differ between the engines:
+Every definition grows with the table it reads. Four tokens differ between the engines:
 
 * ``{t:name}``   a given table,
+* ``{s:name:c,d}`` columns of a given table whose rows are about to be multiplied: on Spark they
+  are spread over all cores when the table has fewer splits than that,
 * ``{f:name}``   another derived input,
 * ``{each:c:n}`` one row per value ``c`` = 0..n-1 for each row before it.
 """
@@ -26,7 +28,7 @@ DEFINITIONS: dict[str, str] = {
         select o_orderkey as pid,
                cast((o_orderkey * 7919) % 5200 as double) / 100.0 - 26.0 as lon,
                cast((o_orderkey * 104729) % 5200 as double) / 100.0 - 26.0 as lat
-        from {t:orders}""",
+        from {s:orders:o_orderkey} o""",
     "footprints": """
         select file_id, concat('f', cast(file_id as string), '.tif') as file_name,
                w, s, w + dx as e, s + dy as n, px, srs, size_bytes
@@ -38,7 +40,7 @@ DEFINITIONS: dict[str, str] = {
                      cast(case when o_orderkey % 3 = 0 then 0.01 else 0.02 end as double) as px,
                      case when o_orderkey % 5 = 0 then 'EPSG:3857' else 'EPSG:4326' end as srs,
                      (o_orderkey * 7919) % 60000 * 1000000 as size_bytes
-              from {t:orders}) q""",
+              from {s:orders:o_orderkey} o) q""",
     # search boxes, some of them reaching over the antimeridian
     "boxes": """
         select c_custkey as box_id,
@@ -56,7 +58,7 @@ DEFINITIONS: dict[str, str] = {
                cast(case when k % 2 = 0 then 0.05 else 0.1 end as double) as px,
                cast(case when k % 2 = 0 then 64 else 32 end as bigint) as cols,
                cast(case when k % 2 = 0 then 64 else 32 end as bigint) as rows
-        from (select s_suppkey as k from {t:supplier}) q""",
+        from (select s_suppkey as k from {s:supplier:s_suppkey} t) q""",
     "cells": """
         select f.file_id, c as col, r as row,
                case when (c * 7 + r * 3 + f.file_id) % 29 = 0 then cast(null as double)
@@ -83,14 +85,14 @@ DEFINITIONS: dict[str, str] = {
         select cast(14 as bigint) as z, p % 16384 as x, cast(floor(p / 16384) as bigint) as y,
                c as col, r as row,
                cast(case when p % 5 = 0 and (c + r) % 7 = 0 then 0 else 255 end as bigint) as alpha
-        from (select p_partkey as p from {t:part}) q {each:c:16} {each:r:16}
+        from (select p_partkey as p from {s:part:p_partkey} t) q {each:c:16} {each:r:16}
         where not (p % 11 = 0 and c = 15 and r = 15)""",
     # level-12 geodetic tiles in blocks of 8 x 8
     "mesh_tiles": """
         select cast(12 as bigint) as z,
                k % 8 + 8 * (cast(floor(k / 64) as bigint) % 512) as x,
                cast(floor(k / 8) as bigint) % 8 + 8 * cast(floor(k / 32768) as bigint) as y
-        from (select s_suppkey as k from {t:supplier}) q""",
+        from (select s_suppkey as k from {s:supplier:s_suppkey} t) q""",
     # a 9 x 9 lattice per tile; heights follow the global lattice, so borders agree
     "vertices": """
         select z, x, y, j * 9 + i as vid, i, j,
@@ -185,28 +187,37 @@ DEFINITIONS: dict[str, str] = {
 }
 
 _TABLE = re.compile(r"\{t:(\w+)\}")
+_SPREAD = re.compile(r"\{s:(\w+):([\w,]+)\}")
 _INPUT = re.compile(r"\{f:(\w+)\}")
 _EACH = re.compile(r"\{each:(\w+):(\d+)\}")
 
 
-def spark_sql(name: str, sf_dir: str) -> str:
-    text = _INPUT.sub(lambda m: f"({spark_sql(m[1], sf_dir)})", DEFINITIONS[name])
+def spark_sql(spark: SparkSession, name: str, sf_dir: str) -> str:
+    text = _INPUT.sub(lambda m: f"({spark_sql(spark, m[1], sf_dir)})", DEFINITIONS[name])
+    text = _SPREAD.sub(lambda m: f"(select {_hint(spark, sf_dir, m[1])} {m[2]} from {{t:{m[1]}}})", text)
     text = _TABLE.sub(lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text)
     return _EACH.sub(
         lambda m: f"lateral view explode(sequence(0L, {int(m[2]) - 1}L)) e_{m[1]} as {m[1]}", text
     )
 
 
+def _hint(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """Spread a table that comes in fewer splits than there are cores; leave others where they are."""
+    cores = spark.sparkContext.defaultParallelism
+    splits = spark.read.parquet(f"{sf_dir}/{table}.parquet").rdd.getNumPartitions()
+    return f"/*+ repartition({cores}) */" if splits < cores else ""
+
+
 def check_sql(name: str) -> str:
     text = _INPUT.sub(lambda m: m[1], DEFINITIONS[name])
-    text = _TABLE.sub(lambda m: m[1], text)
+    text = _TABLE.sub(lambda m: m[1], _SPREAD.sub(lambda m: m[1], text))
     return _EACH.sub(
         lambda m: f"cross join (select range as {m[1]} from range({m[2]})) e_{m[1]}", text
     )
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(spark_sql(name, sf_dir))
+    return spark.sql(spark_sql(spark, name, sf_dir))
 
 
 def _needs(sql: str) -> list[str]:

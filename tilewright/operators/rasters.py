@@ -3,8 +3,8 @@
 ``rasters``: file_id, w, n, px, cols, rows (cells are counted from the north-west corner).
 ``cells``: file_id, col, row, value; null is nodata. ``tile_cells``: z, x, y, col, row, value.
 
-A position finds its rasters through lattice cells, and its values through an equi-join on the
-cell or on a small block of cells: both are unique on their key, so no join multiplies rows.
+A position finds its rasters through lattice cells, and its values through an equi-join on
+``(file_id, col, row)``: cells are unique on that key, so the join never multiplies rows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import grid
 from tilewright.functions._cols import pow2
 from tilewright.functions.encoding import decode_height, encode_height
+from tilewright.session import cut_lineage
 
 from .index import filed, own_level
 
@@ -51,46 +52,6 @@ def covering(points: DataFrame, rasters: DataFrame) -> DataFrame:
     return p.join(filed_rasters, ["_lv", "_cx", "_cy"]).filter(hit).drop("_lv", "_cx", "_cy")
 
 
-BLOCK = 8  # cells per side of the blocks samples are taken from
-
-
-def sample_blocks(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells as blocks of 8 x 8 with one more row and column from the blocks after them.
-
-    ``block`` maps ``row * 9 + col`` inside the block to the value; a block never has more than 81
-    cells, so whatever lies between four cells is found in a single block.
-    """
-    col, row = F.col("col"), F.col("row")
-    bx, by = F.floor(col / BLOCK), F.floor(row / BLOCK)
-    first_col, first_row = (col % BLOCK == 0) & (col > 0), (row % BLOCK == 0) & (row > 0)
-
-    def copy(back_x: int, back_y: int):
-        place = (row - (by - back_y) * BLOCK) * (BLOCK + 1) + (col - (bx - back_x) * BLOCK)
-        return F.struct((bx - back_x).alias("bx"), (by - back_y).alias("by"), place.alias("at"))
-
-    copies = F.array(
-        copy(0, 0), F.when(first_col, copy(1, 0)), F.when(first_row, copy(0, 1)), F.when(first_col & first_row, copy(1, 1)))
-    c = cells.select(*keys, "value", F.explode(F.filter(copies, lambda k: k.isNotNull())).alias("k"))
-    return c.groupBy(*keys, F.col("k.bx").alias("_bx"), F.col("k.by").alias("_by")).agg(
-        F.map_from_entries(F.collect_list(F.struct("k.at", "value"))).alias("block"))
-
-
-def _between(at: DataFrame, blocks: DataFrame, keys: list[str], last_col: Column, last_row: Column) -> DataFrame:
-    """``value`` between the cells around ``_c0, _r0`` at the fractions ``_fx, _fy``."""
-    at = at.withColumns({
-        "_bx": F.floor(F.col("_c0") / BLOCK), "_by": F.floor(F.col("_r0") / BLOCK),
-        "_c1": F.least(F.col("_c0") + 1, last_col), "_r1": F.least(F.col("_r0") + 1, last_row),
-    })
-    got = at.join(blocks, [*keys, "_bx", "_by"], "left")
-
-    def pick(c, r):
-        place = (F.col(r) - F.col("_by") * BLOCK) * (BLOCK + 1) + (F.col(c) - F.col("_bx") * BLOCK)
-        return F.try_element_at("block", place)
-
-    got = got.withColumns({"_v00": pick("_c0", "_r0"), "_v10": pick("_c1", "_r0"), "_v01": pick("_c0", "_r1"), "_v11": pick("_c1", "_r1")})
-    return got.withColumn("value", bilinear("_v00", "_v10", "_v01", "_v11", "_fx", "_fy"))
-
-
 def _unit(pairs: DataFrame) -> tuple[Column, Column]:
     """Position inside the raster in cells, from the north-west corner."""
     return (F.col("lon") - F.col("w")) / F.col("px"), (F.col("n") - F.col("lat")) / F.col("px")
@@ -124,8 +85,21 @@ def sample_bilinear(points: DataFrame, rasters: DataFrame, cells: DataFrame) ->
     cx, cy = _unit(pairs)
     c0, r0 = _inside(cx, "cols"), _inside(cy, "rows")
     at = pairs.withColumns({"_c0": c0, "_r0": r0, "_fx": cx - c0, "_fy": cy - r0})
-    got = _between(at, sample_blocks(cells, ["file_id"]), ["file_id"], F.col("cols") - 1, F.col("rows") - 1)
-    return got.select(*points.columns, "file_id", "px", "value")
+    corner = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)
+    ]))
+    four = at.withColumn("_k", corner).withColumns({
+        "_col": F.least(F.col("_c0") + F.col("_k.i"), F.col("cols") - 1),
+        "_row": F.least(F.col("_r0") + F.col("_k.j"), F.col("rows") - 1),
+    })
+    got = four.join(_addressed(cells), ["file_id", "_col", "_row"], "left")
+    keys = [*points.columns, "file_id", "px", "_fx", "_fy"]
+
+    def pick(i, j):
+        return F.max(F.when((F.col("_k.i") == i) & (F.col("_k.j") == j), F.col("value")))
+
+    g = got.groupBy(*keys).agg(*[pick(i, j).alias(f"_v{i}{j}") for j in (0, 1) for i in (0, 1)])
+    return g.select(*points.columns, "file_id", "px", bilinear("_v00", "_v10", "_v01", "_v11", "_fx", "_fy").alias("value"))
 
 
 def bilinear(v00: str, v10: str, v01: str, v11: str, fx: str, fy: str) -> Column:
@@ -199,23 +173,34 @@ def sample_tile_bilinear(points: DataFrame, tile_cells: DataFrame, n: int) -> Da
         "_c0": F.greatest(F.lit(0).cast("bigint"), F.least(F.floor("_u"), top)),
         "_r0": F.greatest(F.lit(0).cast("bigint"), F.least(F.floor("_v"), top)),
     }).withColumns({"_fx": F.col("_u") - F.col("_c0"), "_fy": F.col("_v") - F.col("_r0")})
-    got = _between(p, sample_blocks(tile_cells, ["z", "x", "y"]), ["z", "x", "y"], top, top)
-    return got.select(*points.columns, F.when(F.col("_in"), F.col("value")).alias("value"))
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)]))
+    four = p.withColumn("_k", corner).withColumns({
+        "col": F.least(F.col("_c0") + F.col("_k.i"), top), "row": F.least(F.col("_r0") + F.col("_k.j"), top),
+    })
+    got = four.join(tile_cells.select("z", "x", "y", "col", "row", "value"), ["z", "x", "y", "col", "row"], "left")
+
+    def pick(i, j):
+        return F.max(F.when((F.col("_k.i") == i) & (F.col("_k.j") == j), F.col("value")))
+
+    g = got.groupBy(*points.columns, "_in", "_fx", "_fy").agg(*[pick(i, j).alias(f"_v{i}{j}") for j in (0, 1) for i in (0, 1)])
+    value = F.when(F.col("_in"), bilinear("_v00", "_v10", "_v01", "_v11", "_fx", "_fy"))
+    return g.select(*points.columns, value.alias("value"))
 
 
 def overview(cells: DataFrame, factors: list[int], keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """Mean-resampled overviews; nodata is left out of the means.
 
-    Each level comes from the sums and counts of the level before, never from the cells again.
+    Each level comes from the sums and counts of the level before, never from the cells again;
+    levels are written once, since a union would otherwise recompute the chain for each of them.
     """
-    level = cells.groupBy(*keys, F.floor(F.col("col") / factors[0]).alias("col"), F.floor(F.col("row") / factors[0]).alias("row")).agg(
-        F.sum("value").alias("total"), F.count("value").alias("n"))
+    level = cut_lineage(cells.groupBy(*keys, F.floor(F.col("col") / factors[0]).alias("col"), F.floor(F.col("row") / factors[0]).alias("row")).agg(
+        F.sum("value").alias("total"), F.count("value").alias("n")))
     out, before = None, factors[0]
     for f in factors:
         if f != before:
             step = f // before
-            level = level.groupBy(*keys, F.floor(F.col("col") / step).alias("col"), F.floor(F.col("row") / step).alias("row")).agg(
-                F.sum("total").alias("total"), F.sum("n").alias("n"))
+            level = cut_lineage(level.groupBy(*keys, F.floor(F.col("col") / step).alias("col"), F.floor(F.col("row") / step).alias("row")).agg(
+                F.sum("total").alias("total"), F.sum("n").alias("n")))
             before = f
         rows = level.select(*keys, F.lit(f).alias("factor"), "col", "row", (F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("value"), "n")
         out = rows if out is None else out.unionByName(rows)
@@ -342,14 +327,14 @@ def pyramid(base: DataFrame, zmax: int, zmin: int, n: int) -> DataFrame:
     """
     half = n // 2
     keys = ["x", "y", "col", "row"]
-    level = base.filter(F.col("z") == zmax).groupBy(*keys).agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    level = cut_lineage(base.filter(F.col("z") == zmax).groupBy(*keys).agg(F.sum("value").alias("total"), F.count("value").alias("n")))
     out = None
     for z in range(zmax, zmin - 1, -1):
         if z < zmax:
-            level = level.groupBy(
+            level = cut_lineage(level.groupBy(
                 F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y"),
                 ((F.col("x") % 2) * half + F.floor(F.col("col") / 2)).alias("col"), ((F.col("y") % 2) * half + F.floor(F.col("row") / 2)).alias("row"),
-            ).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+            ).agg(F.sum("total").alias("total"), F.sum("n").alias("n")))
         rows = level.select(F.lit(z).cast("bigint").alias("z"), *keys, "total", "n")
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -357,11 +342,11 @@ def pyramid(base: DataFrame, zmax: int, zmin: int, n: int) -> DataFrame:
 
 def point_pyramid(points: DataFrame, zmax: int, zmin: int) -> DataFrame:
     """Count and sum per tile for every level; the base level is reduced once, the rest builds on it."""
-    level = points.groupBy("x", "y").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    level = cut_lineage(points.groupBy("x", "y").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
     out = None
     for z in range(zmax, zmin - 1, -1):
         if z < zmax:
-            level = level.groupBy(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+            level = cut_lineage(level.groupBy(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
         rows = level.select(F.lit(z).cast("bigint").alias("z"), "x", "y", "n", "total")
         out = rows if out is None else out.unionByName(rows)
     return out
