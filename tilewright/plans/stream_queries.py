@@ -89,7 +89,8 @@ def st06(i):
 
 
 @query("st07_stream_enabled", """
-select event_id as lookup_id, 'w' || (user_id % 100) as layer_id, cast(user_id % 100 % 2 as int) as status from events""")
+select event_id as lookup_id, 'w' || (user_id % 100) as layer_id, cast(user_id % 100 % 2 as int) as status from events
+where 'w' || (user_id % 100) in (select id from workspace where type = 2)""")
 def st07(i):
     lookups = progress.read_events(i.spark, i.sf_dir, "events.parquet", EVENTS).select(
         F.concat(F.lit("w"), (F.col("user_id") % 100).cast("string")).alias("layer_id"), F.col("event_id").alias("lookup_id"), F.col("ts").cast("timestamp").alias("ts"))
