@@ -170,3 +170,9 @@ def test_listing_and_sinks(spark, inputs, tmp_path):
     f = index.extent_features(inputs.footprints.select("w", "s", "e", "n"), 0, 2)
     sinks.write_features(f, str(tmp_path / "features"))
     assert spark.read.text(str(tmp_path / "features")).count() == f.count()
+
+
+def test_root_level_of_one_set(spark):
+    t = spark.sql("select * from values (3L, 5L, 6L), (3L, 7L, 2L), (0L, 1L, 0L) t(z, x, y)")
+    got = sorted(map(tuple, tilesets.available_ranges(t, root_level=True).collect()))
+    assert got == [(0, 0, 1, 0, 0), (3, 5, 7, 2, 6)]

@@ -16,3 +16,8 @@ def col(v) -> Column:
 def pow2(z) -> Column:
     """2^z as a bigint."""
     return F.pow(F.lit(2.0), col(z)).cast("bigint")
+
+
+def as_utc(ts) -> Column:
+    """Instant of a timestamp without zone that was written in UTC, whatever the session's zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), col(ts)).cast("timestamp")

@@ -71,7 +71,7 @@ def available_ranges(tiles: DataFrame, by: tuple[str, ...] = (), root_level: boo
     )
     if not root_level:
         return g
-    roots = (g.select(*by).distinct() if by else g.limit(1).select()).select(
+    roots = g.select(*by, F.lit(1).alias("_one")).distinct().select(
         *by, *[F.lit(v).cast("bigint").alias(k) for k, v in (("z", 0), ("min_x", 0), ("max_x", 1), ("min_y", 0), ("max_y", 0))]
     )
     return g.filter("z > 0").unionByName(roots)

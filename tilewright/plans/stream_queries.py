@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tilewright.functions._cols import as_utc
 from tilewright.streaming import progress
 
 from .registry import query
@@ -21,7 +22,7 @@ def events(i):
     )
     return e.select(
         "event_id", F.concat(F.lit("terrain"), (F.col("user_id") + 1700000000).cast("string")).alias("task_id"),
-        F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.round("value").cast("bigint").alias("tiles"),
+        as_utc("ts").alias("ts"), kind.alias("kind"), F.round("value").cast("bigint").alias("tiles"),
     )
 
 
@@ -93,7 +94,7 @@ select event_id as lookup_id, 'w' || (user_id % 100) as layer_id, cast(user_id %
 where 'w' || (user_id % 100) in (select id from workspace where type = 2)""")
 def st07(i):
     lookups = progress.read_events(i.spark, i.sf_dir, "events.parquet", EVENTS).select(
-        F.concat(F.lit("w"), (F.col("user_id") % 100).cast("string")).alias("layer_id"), F.col("event_id").alias("lookup_id"), F.col("ts").cast("timestamp").alias("ts"))
+        F.concat(F.lit("w"), (F.col("user_id") % 100).cast("string")).alias("layer_id"), F.col("event_id").alias("lookup_id"), as_utc("ts").alias("ts"))
     layers = i.workspace.filter("type = 2").select(F.col("id").alias("layer_id"), "status")
     path = progress.run_to_end(progress.enabled(lookups, layers), "append")
     return i.spark.read.schema("layer_id string, lookup_id bigint, status int").parquet(path)

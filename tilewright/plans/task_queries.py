@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tilewright.functions._cols import as_utc
 from tilewright.operators import tasks
 from tilewright.operators.ordering import global_position
 
@@ -13,7 +14,7 @@ from .registry import query
 
 def events(i):
     return i.task_events.select(
-        "event_id", "task_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("kind") != "failed").alias("ok"),
+        "event_id", "task_id", as_utc("ts").alias("ts"), (F.col("kind") != "failed").alias("ok"),
         F.round("tiles").cast("bigint").alias("tiles"),
     )
 
