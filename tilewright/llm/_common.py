@@ -66,14 +66,22 @@ def attach(rows: DataFrame, keys: Sequence[str], total: int, **aggregates: Colum
     ``total`` must not be below the number of rows. Nulls are keys like any other.
     """
     found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[v.alias(k) for k, v in aggregates.items()])
-    return _routed(rows, found, keys, total)
+    return routed(rows, found, keys, total)
 
 
-def _routed(rows: DataFrame, found: DataFrame, keys: Sequence[str], total: int) -> DataFrame:
+def routed(rows: DataFrame, found: DataFrame, keys: Sequence[str], total: int, nulls: bool = True) -> DataFrame:
+    """``rows`` joined to ``found`` (one row per key, ``_n`` rows of it), as in :func:`attach`.
+
+    Without ``nulls`` in the keys the join is on the keys as they are, and a ``found`` that is already dealt by them
+    isn't dealt again.
+    """
     hot = found.where(F.col("_n") * HOT > total)
     cold = found.where(F.col("_n") * HOT <= total).drop("_n")
-    few = F.broadcast(hot.select(*keys))
-    return join(rows, F.broadcast(hot.drop("_n")), keys).unionByName(join(join(rows, few, keys, "left_anti"), cold, keys))
+    few, hot = F.broadcast(hot.select(*keys)), F.broadcast(hot.drop("_n"))
+    if nulls:
+        return join(rows, hot, keys).unionByName(join(join(rows, few, keys, "left_anti"), cold, keys))
+    keys = list(keys)
+    return rows.join(hot, keys).unionByName(rows.join(few, keys, "left_anti").join(cold, keys))
 
 
 def named(rows: DataFrame, keys: Sequence[str], total: int, name: str) -> DataFrame:
@@ -81,13 +89,13 @@ def named(rows: DataFrame, keys: Sequence[str], total: int, name: str) -> DataFr
 
     The distinct keys are sorted inside the shuffle partition that owns them and numbered there. Names of
     hot keys are taken from a second reading of the same numbers, which adaptive execution may have cut into
-    other partitions; they are negative, so they can't meet the others.
+    other partitions; they are negative, so they can't meet the others. Keys must not be null.
     """
     found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).sortWithinPartitions(*keys)
     found = found.withColumn(name, F.monotonically_increasing_id())
     hot = F.col("_n") * HOT > total
     found = found.withColumn(name, F.when(hot, -1 - F.col(name)).otherwise(F.col(name)))
-    return _routed(rows, found, keys, total)
+    return routed(rows, found, keys, total, nulls=False)
 
 
 def lookup(rows: DataFrame, small: DataFrame, keys: Sequence[str], salt_on: Sequence[str], size: Column | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 BLOCK_CHARS = 4096
+NOTHING = -(2**63)  # stands beside a last name without a neighbour; no name is as low
 _RUNS = r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*"  # runs of white space other than one space
 
 
@@ -60,7 +61,7 @@ def _halved(rows: DataFrame, row: list[str]) -> DataFrame:
     """Names of adjacent pairs of names; a last name without a neighbour is paired with nothing."""
     even = F.col("pos") % 2 == 0
     pairs = rows.groupBy(*row, "copies", F.floor(F.col("pos") / 2).cast("int").alias("pos")).agg(
-        F.max(F.when(even, F.col("name"))).alias("a"), F.max(F.when(~even, F.col("name"))).alias("b"),
+        F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(NOTHING)).alias("b"),
     )
     pairs = c.save(pairs, "pairs")
     return c.save(c.named(pairs, ["a", "b"], pairs.count(), "name").drop("a", "b"), "names")
