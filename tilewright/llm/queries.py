@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality, secret_scan, sharding
 from ._common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,53 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the slot of its block in the mixed sequence."""
     return mixing.mix(table(spark, sf_dir, "documents"), seed=17).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without its host's boilerplate lines."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op4_packing")
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 4096 tokens."""
+    import public_tokenizers
+
+    parts = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(parts).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, by a ledger that starts empty."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.findings(docs, secret_scan.update(docs))
+    listed = "transform({}, s -> concat_ws(':', s.kind, s.start, s.end))"
+    base = f"filter(found, s -> s.kind IN {secret_scan.BASE})"
+    return found.select(
+        F.col("path").alias("doc_id"), *[F.expr(f"bigint(size(filter(found, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(F.array_join(F.expr(listed.format(base)), ","), 256).alias("base_sha256"), F.array_join(F.expr(listed.format("found")), ",").alias("spans"), "blob",
+    )
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a quarter of them is kept out of the fit."""
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.where(~out))
+    return language_id.identify(docs, model, keep={"doc_id": docs["doc_id"], "held_out": out})
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return quality.quality(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_pii")
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced."""
+    out = pii.pseudonymize(table(spark, sf_dir, "documents"), key="tilewright")
+    return out.select(F.col("id").alias("doc_id"), "text", "n_entities", F.to_json("kinds").alias("kinds"))
