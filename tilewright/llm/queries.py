@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, packing, pii, quality, secret_scan, sharding
+from . import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quality, secret_scan, sharding
 from ._common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with personal data replaced."""
     out = pii.pseudonymize(table(spark, sf_dir, "documents"), key="tilewright")
     return out.select(F.col("id").alias("doc_id"), "text", "n_entities", F.to_json("kinds").alias("kinds"))
+
+
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component that near-duplicate links lead to."""
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).members.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
