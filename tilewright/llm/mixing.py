@@ -120,3 +120,18 @@ def mix(
     out = out.withColumn("_before", F.expr("aggregate(all, 0L, (a, x) -> a + least(x.n, _k * x.q))")).drop("all", "firsts")
     out = c.lookup(out, pattern, ["class", "source", "i"], ["id", "size"])
     return out.select("id", "source", "size", "block", (F.col("_before") + F.col("slot")).alias("slot"), F.col("_at").alias("place"), "parts", "period")
+
+
+def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, all of them with all their columns, in the order of :func:`mix` (across and inside
+    the partitions, and so across and inside the files they are written to). Rows that agree in id, source and
+    length stand together."""
+    place = mix(docs, weights, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    key = ["id", "source", "size"]
+    place = place.groupBy(*key).agg(F.min(F.struct("slot", "place")).alias("at"))
+    rows = docs.select(
+        F.struct(*[docs[k] for k in docs.columns]).alias("_row"), docs[id_col].alias("id"), docs[source_col].alias("source"),
+        F.length(F.coalesce(docs[text_col], F.lit(""))).cast("long").alias("size"),
+    )
+    rows = c.join(rows, place, key).select("_row", "at.slot", "at.place", "id")
+    return rows.repartitionByRange("slot", "place", "id").sortWithinPartitions("slot", "place", "id").select("_row.*")
