@@ -72,25 +72,23 @@ def scan(docs: DataFrame, todo: DataFrame, rules: Sequence[Rule] = RULES, id_col
     rows = docs.select(F.col(id_col).alias("path"), F.sha2(c.text_of(text_col), 256).alias("blob"), c.text_of(text_col).alias("text"))
     rows = c.join(rows, todo, ["path", "blob"])
     rules = tuple(rules)
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for blob, text, todo_ in zip(b.column("blob").to_pylist(), b.column("text").to_pylist(), b.column("rules").to_pylist(), strict=True):
-                    for i in todo_:
-                        r = rules[i]
-                        for column, v in zip(out, (blob, r.kind, r.version, [{"start": s, "end": e} for s, e in r.spans(text)]), strict=True):
-                            column.append(v)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], spans)],
-                    names=["blob", "rule", "version", "spans"],
-                )
-
-    found = rows.select("blob", "text", "rules").mapInArrow(run, LEDGER)
-    return found.dropDuplicates(["blob", "rule", "version"])  # rows that repeat both path and text were all read
+                found = [
+                    [{"k": i, "spans": [{"start": s, "end": e} for s, e in rules[i].spans(text)]} for i in todo_]
+                    for text, todo_ in zip(b.column("text").to_pylist(), b.column("rules").to_pylist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([b.column("blob"), pa.array(found, kind)], names=["blob", "found"])
+
+    found = rows.select("blob", "text", "rules").mapInArrow(run, "blob string, found array<struct<k: int, spans: array<struct<start: int, end: int>>>>")
+    found = found.dropDuplicates(["blob"])  # rows that repeat both path and text were all read
+    named = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
+    found = found.select("blob", F.explode("found").alias("f")).withColumn("r", F.get(named, F.col("f.k")))
+    return found.select("blob", "r.rule", "r.version", "f.spans")
 
 
 def update(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
