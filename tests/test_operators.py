@@ -124,11 +124,94 @@ def test_pyramid_keeps_its_sums(spark, inputs):
     assert len({(r.t, r.n) for r in rasters.pyramid(base, 6, 0, 16).groupBy("z").agg(F.sum("total").alias("t"), F.sum("n").alias("n")).collect()}) == 1
 
 
+def test_equal_positions_keep_their_rows(spark):
+    cells = spark.range(130 * 70).selectExpr("1L AS file_id", "id % 130 AS col", "id div 130 AS row", "CAST(id % 130 * 2 + id div 130 AS double) AS value").filter("col <> 100")
+    one = spark.sql("select 1L file_id, 10.0D w, 20.0D n, 0.1D px, 130L cols, 70L rows")
+    at = [(12.34, 18.77), (12.34, 18.77), (16.4, 13.6), (16.39, 16.38), (19.97, 15.0), (22.99, 13.01)]
+    points = spark.createDataFrame(at, "lon double, lat double")
+    near = rasters.sample_nearest(points, one, cells).collect()
+    between = rasters.sample_bilinear(points, one, cells).collect()
+    assert sorted((r.lon, r.lat) for r in near) == sorted((r.lon, r.lat) for r in between) == sorted(at)
+    for r in between:
+        x, y = (r.lon - 10.0) / 0.1, (20.0 - r.lat) / 0.1
+        c, q = int(x), int(y)
+        if 100 in (c, min(c + 1, 129)):
+            assert r.value == (None if c == 100 else c * 2 + q)
+        else:
+            fx, fy = (x - c if c < 129 else 0), (y - q if q < 69 else 0)
+            assert abs(r.value - (2 * (c + fx) + q + fy)) < 1e-6
+    assert rasters.mosaic(points, one, cells).count() == len(set(at))
+    tiles = spark.createDataFrame([(0, 0, 0, -90.0, 5.0)] * 2, "z long, x long, y long, lon double, lat double")
+    assert rasters.sample_tile_bilinear(tiles, spark.range(9).selectExpr("0L z", "0L x", "0L y", "id % 3 AS col", "id div 3 AS row", "id * 1.0D AS value"), 3).count() == 2
+
+
+def test_unknown_resampling(spark, inputs):
+    with pytest.raises(ValueError):
+        rasters.warp_tile(inputs.mesh_tiles, inputs.rasters, inputs.cells, 4, "sinc")
+
+
+def test_gaps_on_deep_levels(spark):
+    s = spark.createDataFrame([(0, 9, 5, 3, 1, "p"), (0, 9, 5, 6, 1, "p"), (0, 20, 1, 1, 1, "p"), (0, 20, 4, 1, 1, "p"), (0, 21, 0, 1, 1, "p")], "set_id long, z long, x long, y long, size long, path string")
+    assert sorted(map(tuple, tilesets.column_gaps(s).collect())) == [(9, 5, 4), (9, 5, 5)]
+    assert sorted(map(tuple, tilesets.row_gaps(s).collect())) == [(20, 2, 1), (20, 3, 1)]
+
+
+def test_streams_read_folder_tables_and_count_late_repeats_once(spark, tmp_path):
+    from tilewright.streaming import progress
+
+    rows = [(k % 7, k % 3, f"2024-01-01 {k:02d}:00:00") for k in range(24)]
+    for k, r in enumerate(rows):  # one file and so one batch per hour, each far beyond the watermark of the one before
+        spark.createDataFrame([r], "task_id int, tiles int, ts string").selectExpr("task_id", "tiles", "CAST(ts AS timestamp) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "e.parquet"))
+    events = progress.read_events(spark, str(tmp_path), "e.parquet", "task_id int, tiles int, ts timestamp", per_trigger=6)
+    done = spark.read.parquet(progress.run_to_end(progress.dedup(events, ["task_id", "tiles"])))
+    assert done.count() == done.select("task_id", "tiles").distinct().count() == len({r[:2] for r in rows})
+    speed = progress.run_to_end(progress.speed(progress.read_events(spark, str(tmp_path), "e.parquet", "task_id int, tiles int, ts timestamp", per_trigger=6), "1 hour"), "update")
+    assert progress.latest(spark, speed, ["start", "end"]).agg(F.sum("events")).first()[0] <= len(rows)
+
+
+def test_refinement_tells_whether_it_settled(spark, inputs):
+    tiles = inputs.mesh_tiles.limit(4)
+    ext = spark.sql("select -180.0D w, -90.0D s, 180.0D e, 90.0D n")
+    assert not refine.refine(refine.start(tiles), inputs.tile_cells, 17, ext, rounds=1)[1]
+    t, settled = refine.refine(refine.start(tiles), inputs.tile_cells, 17, ext)
+    assert settled and refine.flag(t, inputs.tile_cells, 17, ext, 4.0).isEmpty()
+
+
+def test_no_crack_between_tiles(spark):
+    from tilewright.operators import rtin
+
+    rnd = random.Random(2)
+    rows = [(9, x, y, [rnd.choice([-1, -1, 0, 1, 2, 3]) for _ in range(17 * 17)]) for x in (4, 5) for y in (7, 8)]
+    got = {(r.x, r.y): r.levels for r in rtin.border_activation(spark.createDataFrame(rows, "z long, x long, y long, levels array<int>"), 17).collect()}
+    for y in (7, 8):
+        assert [got[4, y][k * 17 + 16] for k in range(17)] == [got[5, y][k * 17] for k in range(17)]
+    for x in (4, 5):
+        assert got[x, 7][16 * 17 :] == got[x, 8][:17]
+
+
+def test_incomplete_heightmaps_are_listed(spark):
+    heights = spark.range(9 + 8).selectExpr("0L z", "id div 9 AS x", "0L y", "id % 3 AS col", "id % 9 div 3 AS row", "CAST(id AS int) AS stored")
+    assert codecs.write_heightmap_tiles(heights, n=3).count() == 1
+    assert [tuple(r) for r in codecs.incomplete_tiles(heights, 3).collect()] == [(0, 1, 0, 8)]
+
+
+def test_progress_of_a_hot_task(spark):
+    from tilewright.operators import tasks
+
+    e = spark.range(500).selectExpr("id AS event_id", "IF(id % 10 = 0, 'b', 'a') AS task_id", "timestamp_seconds(id * 10) AS ts", "id % 7 <> 0 AS ok", "2L AS tiles")
+    got = {r.event_id: r for r in tasks.task_progress(e).collect()}
+    done = {"a": 0, "b": 0}
+    for k in range(500):
+        t = "b" if k % 10 == 0 else "a"
+        done[t] += 2 * (k % 7 != 0)
+        assert got[k].processed == done[t] and got[k].total == (100 if t == "b" else 900)
+
+
 @pytest.mark.parametrize("rounds", [2])
 def test_refined_mesh_is_whole(spark, inputs, rounds):
     tiles = inputs.mesh_tiles
     ext = spark.sql("select -180.0D w, -90.0D s, 180.0D e, 90.0D n")
-    t = refine.refine(refine.start(tiles), inputs.tile_cells, 17, ext, rounds=rounds)
+    t, _ = refine.refine(refine.start(tiles), inputs.tile_cells, 17, ext, rounds=rounds)
     assert t.count() > 2 * tiles.count()
     edges = t.select(F.explode(F.array(refine._edge("a", "b"), refine._edge("a", "c"), refine._edge("b", "c"))).alias("e")).groupBy("e").count()
     assert edges.agg(F.max("count")).first()[0] == 2
@@ -163,7 +246,7 @@ def test_listing_and_sinks(spark, inputs, tmp_path):
     assert listing.discover(files, ["a"], ["*.tif", "*.TIF"], recursive=True).count() == 2
     out = str(tmp_path / "tiles")
     bad = spark.sql("select 0L set_id, 2L z, 9L x, 0L y, 1L size, 'p' path")
-    sinks.write_tiles(inputs.tile_store.unionByName(bad), out)
+    assert sinks.write_tiles(inputs.tile_store.unionByName(bad), out).count() == bad.count()
     assert sinks.read_tiles(spark, out).filter("z = 2").count() == 0
     sinks.write_layer(tilesets.layer_json(inputs.tile_store.filter("set_id = 0")), str(tmp_path / "layer"))
     assert '"scheme":"tms"' in spark.read.text(str(tmp_path / "layer")).first()[0]

@@ -41,24 +41,30 @@ def global_lead(df: DataFrame, order: list[str], columns: list[str], prefix: str
     return joined.select(*df.columns, *[nxt[k].alias(prefix + k) for k in columns])
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], maxima: dict[str, Column] | None = None) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], maxima: dict[str, Column] | None = None,
+            totals_of: dict[str, Column] | None = None, least_of: dict[str, Column] | None = None) -> DataFrame:
     """Running sums and maxima per key in ``order``, however many rows one key has.
 
+    ``totals_of`` and ``least_of`` add sums and minima over all rows of the key, carried by the same summaries.
+
     Each range partition keeps its own running values; what came before it is one row per key and
     partition, added by an equi-join on the keys the window is already partitioned by. Rows that
     already carry their chunk (the output of this function does) are not sorted again.
     """
-    maxima = maxima or {}
+    maxima, totals_of, least_of = maxima or {}, totals_of or {}, least_of or {}
     c = df.withColumns({**sums, **maxima})
     c = c if CHUNK in df.columns else ordered_chunks(c, [*keys, *order])
     part = [*keys, CHUNK]
     local = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys)
     totals = c.groupBy(*part).agg(
-        *[F.sum(k).alias(k) for k in sums], *[F.max(k).alias(k) for k in maxima]
+        *[F.sum(k).alias(k) for k in sums], *[F.max(k).alias(k) for k in maxima],
+        *[F.sum(v).alias(k) for k, v in totals_of.items()], *[F.min(v).alias(k) for k, v in least_of.items()],
     )
     carried = totals.select(
-        *part, *[F.sum(k).over(before).alias(f"_b_{k}") for k in sums], *[F.max(k).over(before).alias(f"_b_{k}") for k in maxima]
+        *part, *[F.sum(k).over(before).alias(f"_b_{k}") for k in sums], *[F.max(k).over(before).alias(f"_b_{k}") for k in maxima],
+        *[F.sum(k).over(every).alias(k) for k in totals_of], *[F.min(k).over(every).alias(k) for k in least_of],
     )
     out = c.withColumns({
         **{f"_l_{k}": F.sum(k).over(local) for k in sums}, **{f"_l_{k}": F.max(k).over(local) for k in maxima},
@@ -66,7 +72,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     return out.select(
         *[k for k in c.columns if k not in sums and k not in maxima],
         *[(F.col(f"_l_{k}") + F.coalesce(F.col(f"_b_{k}"), F.lit(0))).alias(k) for k in sums],
-        *[F.greatest(f"_l_{k}", f"_b_{k}").alias(k) for k in maxima],
+        *[F.greatest(f"_l_{k}", f"_b_{k}").alias(k) for k in maxima], *totals_of, *least_of,
     )
 
 

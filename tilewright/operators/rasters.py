@@ -3,12 +3,14 @@
 ``rasters``: file_id, w, n, px, cols, rows (cells are counted from the north-west corner).
 ``cells``: file_id, col, row, value; null is nodata. ``tile_cells``: z, x, y, col, row, value.
 
-A position finds its rasters through lattice cells, and its values through an equi-join on
-``(file_id, col, row)``: cells are unique on that key, so the join never multiplies rows.
+A position finds its rasters through lattice cells, and its values through an equi-join with blocks of
+cells: a block is unique on its key, so the join never multiplies rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,9 +63,41 @@ def _inside(v: Column, size: str) -> Column:
     return F.greatest(F.lit(0).cast("bigint"), F.least(F.floor(v), F.col(size) - 1))
 
 
-def _addressed(cells: DataFrame) -> DataFrame:
-    """Cells under names that leave ``col`` and ``row`` of sampled positions alone."""
-    return cells.select("file_id", F.col("col").alias("_col"), F.col("row").alias("_row"), "value")
+BLOCK = 64
+
+
+def cell_blocks(cells: DataFrame, keys: tuple[str, ...] = ("file_id",), block: int = BLOCK) -> DataFrame:
+    """Cells as arrays: ``keys``, _bx, _by, _values with null where there is no cell.
+
+    An array holds ``block`` x ``block`` cells row by row and one more column and row of the next blocks, so
+    that the four cells around any position lie in one array.
+    """
+    side = block + 1
+
+    def blocks(v: str) -> Column:
+        k = F.floor(F.col(v) / block)
+        return F.explode(F.when((F.col(v) % block == 0) & (F.col(v) > 0), F.array(k, k - 1)).otherwise(F.array(k)))
+
+    c = cells.select(*keys, "col", "row", F.col("value").cast("double").alias("value"))
+    c = c.withColumn("_bx", blocks("col")).withColumn("_by", blocks("row"))
+    at = ((F.col("row") - F.col("_by") * block) * side + F.col("col") - F.col("_bx") * block).cast("int")
+    full = F.col("value").isNotNull()
+    g = c.filter(full).groupBy(*keys, "_bx", "_by").agg(F.collect_list(at).alias("_at"), F.collect_list("value").alias("_v"))
+
+    @F.pandas_udf("array<double>")
+    def dense(places: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.full((len(places), side * side), np.nan)
+        for k, (i, v) in enumerate(zip(places, values)):
+            out[k, i] = v
+        return pd.Series(list(out))
+
+    return g.select(*keys, "_bx", "_by", dense("_at", "_v").alias("_values"))
+
+
+def _in_block(col: Column, row: Column, block: int = BLOCK) -> Column:
+    """The value at a cell of the block beside it; NaN stands for no cell."""
+    v = F.get("_values", ((row - F.col("_by") * block) * (block + 1) + col - F.col("_bx") * block).cast("int"))
+    return F.when(~F.isnan(v), v)
 
 
 def sample_nearest(points: DataFrame, rasters: DataFrame, cells: DataFrame) -> DataFrame:
@@ -71,39 +105,37 @@ def sample_nearest(points: DataFrame, rasters: DataFrame, cells: DataFrame) -> D
     pairs = covering(points, rasters)
     cx, cy = _unit(pairs)
     at = pairs.withColumns({"_col": _inside(cx, "cols"), "_row": _inside(cy, "rows")})
-    got = at.join(_addressed(cells), ["file_id", "_col", "_row"], "left")
-    return got.select(*points.columns, "file_id", "px", F.col("_col").alias("cell_col"), F.col("_row").alias("cell_row"), "value")
+    at = at.withColumns({"_bx": F.floor(F.col("_col") / BLOCK), "_by": F.floor(F.col("_row") / BLOCK)})
+    got = at.join(cell_blocks(cells), ["file_id", "_bx", "_by"], "left")
+    value = _in_block(F.col("_col"), F.col("_row"))
+    return got.select(*points.columns, "file_id", "px", F.col("_col").alias("cell_col"), F.col("_row").alias("cell_row"), value.alias("value"))
 
 
 def sample_bilinear(points: DataFrame, rasters: DataFrame, cells: DataFrame) -> DataFrame:
     """Value between the four cells around each position, per covering raster.
 
     Cells are addressed by their north-west corner; indexes beyond an edge use the edge cell. With
-    nodata in any corner the first corner's value is taken as it is.
+    nodata in any corner the first corner's value is taken as it is. Positions meet whole blocks of
+    cells in one join, so equal positions stay rows of their own.
     """
     pairs = covering(points, rasters)
     cx, cy = _unit(pairs)
     c0, r0 = _inside(cx, "cols"), _inside(cy, "rows")
     at = pairs.withColumns({"_c0": c0, "_r0": r0, "_fx": cx - c0, "_fy": cy - r0})
-    corner = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)
-    ]))
-    four = at.withColumn("_k", corner).withColumns({
-        "_col": F.least(F.col("_c0") + F.col("_k.i"), F.col("cols") - 1),
-        "_row": F.least(F.col("_r0") + F.col("_k.j"), F.col("rows") - 1),
-    })
-    got = four.join(_addressed(cells), ["file_id", "_col", "_row"], "left")
-    keys = [*points.columns, "file_id", "px", "_fx", "_fy"]
+    at = at.withColumns({"_bx": F.floor(F.col("_c0") / BLOCK), "_by": F.floor(F.col("_r0") / BLOCK)})
+    got = at.join(cell_blocks(cells), ["file_id", "_bx", "_by"], "left")
+    value = _between(F.col("cols") - 1, F.col("rows") - 1)
+    return got.select(*points.columns, "file_id", "px", value.alias("value"))
 
-    def pick(i, j):
-        return F.max(F.when((F.col("_k.i") == i) & (F.col("_k.j") == j), F.col("value")))
 
-    g = got.groupBy(*keys).agg(*[pick(i, j).alias(f"_v{i}{j}") for j in (0, 1) for i in (0, 1)])
-    return g.select(*points.columns, "file_id", "px", bilinear("_v00", "_v10", "_v01", "_v11", "_fx", "_fy").alias("value"))
+def _between(last_col: Column, last_row: Column) -> Column:
+    """Bilinear value at (_c0 + _fx, _r0 + _fy) of the block beside it."""
+    c0, r0 = F.col("_c0"), F.col("_r0")
+    c1, r1 = F.least(c0 + 1, last_col), F.least(r0 + 1, last_row)
+    return bilinear(_in_block(c0, r0), _in_block(c1, r0), _in_block(c0, r1), _in_block(c1, r1), F.col("_fx"), F.col("_fy"))
 
 
-def bilinear(v00: str, v10: str, v01: str, v11: str, fx: str, fy: str) -> Column:
-    a, b, c, d, u, v = (F.col(k) for k in (v00, v10, v01, v11, fx, fy))
+def bilinear(a: Column, b: Column, c: Column, d: Column, u: Column, v: Column) -> Column:
     one = F.lit(1.0)
     blend = (a * (one - u) + b * u) * (one - v) + (c * (one - u) + d * u) * v
     return F.coalesce(blend, a)
@@ -173,18 +205,10 @@ def sample_tile_bilinear(points: DataFrame, tile_cells: DataFrame, n: int) -> Da
         "_c0": F.greatest(F.lit(0).cast("bigint"), F.least(F.floor("_u"), top)),
         "_r0": F.greatest(F.lit(0).cast("bigint"), F.least(F.floor("_v"), top)),
     }).withColumns({"_fx": F.col("_u") - F.col("_c0"), "_fy": F.col("_v") - F.col("_r0")})
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (0, 1) for i in (0, 1)]))
-    four = p.withColumn("_k", corner).withColumns({
-        "col": F.least(F.col("_c0") + F.col("_k.i"), top), "row": F.least(F.col("_r0") + F.col("_k.j"), top),
-    })
-    got = four.join(tile_cells.select("z", "x", "y", "col", "row", "value"), ["z", "x", "y", "col", "row"], "left")
-
-    def pick(i, j):
-        return F.max(F.when((F.col("_k.i") == i) & (F.col("_k.j") == j), F.col("value")))
-
-    g = got.groupBy(*points.columns, "_in", "_fx", "_fy").agg(*[pick(i, j).alias(f"_v{i}{j}") for j in (0, 1) for i in (0, 1)])
-    value = F.when(F.col("_in"), bilinear("_v00", "_v10", "_v01", "_v11", "_fx", "_fy"))
-    return g.select(*points.columns, value.alias("value"))
+    p = p.withColumns({"_bx": F.floor(F.col("_c0") / BLOCK), "_by": F.floor(F.col("_r0") / BLOCK)})
+    tile = ("z", "x", "y")
+    got = p.join(cell_blocks(tile_cells, tile), [*tile, "_bx", "_by"], "left")
+    return got.select(*points.columns, F.when(F.col("_in"), _between(top, top)).alias("value"))
 
 
 def overview(cells: DataFrame, factors: list[int], keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
@@ -276,15 +300,23 @@ def resize_to_depth(rasters: DataFrame, cells: DataFrame, z) -> DataFrame:
     return at.join(cells, ["file_id", "col", "row"], "left").select("file_id", F.col("tcol").alias("col"), F.col("trow").alias("row"), "value")
 
 
+AGGREGATES = {
+    "average": F.avg, "max": F.max, "min": F.min, "med": F.median, "q1": lambda v: F.percentile(v, 0.25), "q3": lambda v: F.percentile(v, 0.75),
+    "mode": lambda v: F.mode(v, deterministic=True),  # the least of equally frequent values
+}
+
+
 def warp_tile(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int, resampling: str = "near", nodata: float | None = 0.0) -> DataFrame:
     """Tile cells from all sources of a tile: the source with the highest id lies on top.
 
-    ``near`` and ``bilinear`` sample each source at the cell centres; ``average`` takes the mean of
+    ``near`` and ``bilinear`` sample each source at the cell centres; the names in AGGREGATES reduce
     the source cells whose centres fall into a target cell. ``nodata`` values are transparent.
     """
+    if resampling not in ("near", "bilinear", *AGGREGATES):
+        raise ValueError(f"unknown resampling {resampling!r}")
     clean = cells if nodata is None else cells.withColumn("value", F.nullif(F.col("value"), F.lit(nodata)))
     keys = ["z", "x", "y", "col", "row"]
-    if resampling == "average":
+    if resampling in AGGREGATES:
         r = extent(rasters).select("file_id", "w", "n", "px")
         c = clean.join(r, "file_id").select(
             "file_id", "value", (F.col("w") + (F.col("col") + 0.5) * F.col("px")).alias("lon"), (F.col("n") - (F.col("row") + 0.5) * F.col("px")).alias("lat"))
@@ -295,8 +327,8 @@ def warp_tile(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int, re
         c = c.withColumns({
             "col": F.floor(((F.col("lon") + 180.0) / a - F.col("x")) * n), "row": F.floor(((F.col("lat") + 90.0) / a - F.col("y")) * n),
         })
-        means = c.groupBy(*keys, "file_id").agg(F.avg("value").alias("value")).join(z, ["z", "x", "y"], "left_semi")
-        return _on_top(means, keys)
+        reduced = c.groupBy(*keys, "file_id").agg(AGGREGATES[resampling](F.col("value")).alias("value")).join(z, ["z", "x", "y"], "left_semi")
+        return _on_top(reduced, keys)
     b = grid.geodetic_bounds("z", "x", "y")
     zero, last = F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")
     lattice = tiles.select("z", "x", "y").withColumn("col", F.explode(F.sequence(zero, last))).withColumn("row", F.explode(F.sequence(zero, last)))

@@ -134,15 +134,15 @@ def refine_once(triangles: DataFrame, tile_cells: DataFrame, n: int, data_extent
     return cut_lineage(_bisect(_bisect(seen, marks), marks)), asked
 
 
-def refine(triangles: DataFrame, tile_cells: DataFrame, n: int, data_extent: DataFrame, rounds: int = MAX_ROUNDS, intensity: float = 4.0) -> DataFrame:
-    """Refine until no triangle fails the test, or for ``rounds`` rounds."""
+def refine(triangles: DataFrame, tile_cells: DataFrame, n: int, data_extent: DataFrame, rounds: int = MAX_ROUNDS, intensity: float = 4.0) -> tuple[DataFrame, bool]:
+    """Refine until no triangle fails the test, or for ``rounds`` rounds. Returns the mesh and whether it has settled."""
     cells = cut_lineage(tile_cells)
     mesh_now = cut_lineage(triangles)
     for _ in range(rounds):
         mesh_now, asked = refine_once(mesh_now, cells, n, data_extent, intensity)
         if asked == 0:
-            break
-    return mesh_now
+            return mesh_now, True
+    return mesh_now, flag(mesh_now, cells, n, data_extent, intensity).isEmpty()
 
 
 def to_tables(triangles: DataFrame, tile_cells: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:

@@ -80,11 +80,14 @@ def rtin_propagate(activation: DataFrame, n: int) -> DataFrame:
 
 
 def border_activation(activation: DataFrame, n: int, zmin: int = SMOOTH_ZOOM + 1) -> DataFrame:
-    """Border vertices take the neighbour's level where it is higher (levels ``zmin`` and deeper).
+    """Levels after the borders of neighbouring tiles have been made to agree (levels ``zmin`` and deeper).
 
-    Only the four border strips travel, keyed by the neighbour they belong to.
+    Levels are propagated inside each tile, border vertices take the neighbour's level where it is
+    higher, and what was raised is propagated again, so that no crack is left. Only the four
+    border strips travel, keyed by the neighbour they belong to.
     """
     last = n - 1
+    activation = rtin_propagate(activation, n)
 
     def strip(start, step):
         return F.transform(F.sequence(F.lit(0), F.lit(last)), lambda k: F.get(F.col("levels"), k * step + start))
@@ -110,7 +113,7 @@ def border_activation(activation: DataFrame, n: int, zmin: int = SMOOTH_ZOOM + 1
         return _flat(lattice.raise_borders(_stack(levels, n, np.int32), *strips))
 
     j = activation.join(got, TILE, "left")
-    return j.withColumn("levels", raised("levels", *["_" + s for s in sides])).drop(*["_" + s for s in sides])
+    return rtin_propagate(j.withColumn("levels", raised("levels", *["_" + s for s in sides])).drop(*["_" + s for s in sides]), n)
 
 
 def active_vertices(activation: DataFrame, n: int, level: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import text
+from tilewright.session import cut_lineage
 
 from .ordering import CHUNK, running
 
@@ -60,13 +61,13 @@ def task_progress(events: DataFrame) -> DataFrame:
     events: running values are taken over range partitions.
     """
     micros = F.unix_micros("ts")
-    starts = events.groupBy("task_id").agg(F.min(micros).alias("_start"), F.sum("tiles").alias("total"))
     ok = F.col("ok")
     sums = {
         "processed": F.when(ok, F.col("tiles")).otherwise(0).cast("bigint"),
         "failed": F.when(~ok, F.col("tiles")).otherwise(0).cast("bigint"),
     }
-    run = running(events, ["task_id"], ["ts", "event_id"], sums).join(starts, "task_id")
+    run = running(events, ["task_id"], ["ts", "event_id"], sums, totals_of={"total": F.col("tiles")}, least_of={"_start": micros})
+    run = cut_lineage(run)  # read twice below
     elapsed = (F.unix_micros("ts") - F.col("_start")) / 1e6
     speed = F.when(elapsed > 0, F.col("processed") / elapsed).otherwise(0.0)
     run = run.withColumns({"elapsed": elapsed, "speed": speed}).drop("_start")

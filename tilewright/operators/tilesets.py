@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tilewright.functions import grid, predicates, text
 from tilewright.functions._cols import pow2
 
+from .ordering import global_lead
+
 KEY = ["z", "x", "y"]
 
 
@@ -216,27 +218,33 @@ def present_tiles(index: DataFrame, store: DataFrame) -> DataFrame:
     return index.select(*KEY).join(store.select(*KEY), KEY, "left_semi")
 
 
-def column_gaps(tiles: DataFrame, zmax: int = 8) -> DataFrame:
-    """Missing rows inside each column; up to level ``zmax`` a column has at most 2^zmax rows."""
-    distinct = tiles.filter(F.col("z") <= zmax).select(*KEY).distinct()
+def column_gaps(tiles: DataFrame, zmax: int | None = None) -> DataFrame:
+    """Missing rows inside each column, on all levels (or up to ``zmax``); a column has at most 2^z rows."""
     nxt = F.lead("y").over(Window.partitionBy("z", "x").orderBy("y"))
     return (
-        distinct.withColumn("_n", nxt).filter(F.col("_n") > F.col("y") + 1)
+        _keys_up_to(tiles, zmax).withColumn("_n", nxt).filter(F.col("_n") > F.col("y") + 1)
         .select("z", "x", F.explode(F.sequence(F.col("y") + 1, F.col("_n") - 1)).alias("y"))
     )
 
 
-def row_gaps(tiles: DataFrame, zmax: int = 8) -> DataFrame:
-    """Missing whole columns between columns that exist, for the rows of their left neighbour."""
-    distinct = tiles.filter(F.col("z") <= zmax).select(*KEY).distinct()
-    columns = distinct.groupBy("z", "x").agg(F.lit(1).alias("one"))
-    nxt = F.lead("x").over(Window.partitionBy("z").orderBy("x"))
-    holes = columns.withColumn("_n", nxt).filter(F.col("_n") > F.col("x") + 1)
-    joined = distinct.join(holes.select("z", "x", "_n"), ["z", "x"])
+def _keys_up_to(tiles: DataFrame, zmax: int | None) -> DataFrame:
+    kept = tiles if zmax is None else tiles.filter(F.col("z") <= zmax)
+    return kept.select(*KEY).distinct()
+
+
+def row_gaps(tiles: DataFrame, zmax: int | None = None) -> DataFrame:
+    """Missing whole columns between columns that exist, for the rows of their left neighbour.
+
+    A deep level has too many columns for one task, so the next column is found in the overall order.
+    """
+    distinct = _keys_up_to(tiles, zmax)
+    columns = global_lead(distinct.select("z", "x").distinct(), ["z", "x"], ["z", "x"])
+    holes = columns.filter((F.col("next_z") == F.col("z")) & (F.col("next_x") > F.col("x") + 1))
+    joined = distinct.join(holes.select("z", "x", F.col("next_x").alias("_n")), ["z", "x"])
     return joined.select("z", F.explode(F.sequence(F.col("x") + 1, F.col("_n") - 1)).alias("x"), "y")
 
 
-def fill_gaps(store: DataFrame, zmax: int = 8, fill_columns: bool = False) -> DataFrame:
+def fill_gaps(store: DataFrame, zmax: int | None = None, fill_columns: bool = False) -> DataFrame:
     """Each gap with the first of its eight neighbours that exists, in the fixed order."""
     merged = merge_tile_sets(store)
     gaps = column_gaps(store, zmax)

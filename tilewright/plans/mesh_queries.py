@@ -317,19 +317,20 @@ def r13_activation(i):
     return unpacked(activation(i), "levels", "level")
 
 
-def propagate_sql() -> str:
-    steps, last = [], "lv"
+def propagate_sql(last: str = "lv", p: str = "") -> str:
+    """Four steps of propagation from the levels in ``last`` to those in ``<p>c3``."""
+    steps = []
     for k in range(4):
         half, q = 2 ** k, 2 ** k // 2
         if q:
             near = " union all ".join(f"select z, x, y, col + {a * q}, row + {b * q}, level from {last} where col % {half} = {q} and row % {half} = {q}" for a in (-1, 1) for b in (-1, 1))
-            steps.append(f"n{k} as (select z, x, y, col, row, max(level) as m from ({near}) q(z, x, y, col, row, level) group by all)")
-            steps.append(f"e{k} as (select b.z, b.x, b.y, b.col, b.row, case when b.col % {half} = 0 and b.row % {half} = 0 and (b.col // {half} + b.row // {half}) % 2 = 1 then greatest(level, coalesce(m, -1)) else level end as level from {last} b left join n{k} using (z, x, y, col, row))")
-            last = f"e{k}"
+            steps.append(f"{p}n{k} as (select z, x, y, col, row, max(level) as m from ({near}) q(z, x, y, col, row, level) group by all)")
+            steps.append(f"{p}e{k} as (select b.z, b.x, b.y, b.col, b.row, case when b.col % {half} = 0 and b.row % {half} = 0 and (b.col // {half} + b.row // {half}) % 2 = 1 then greatest(level, coalesce(m, -1)) else level end as level from {last} b left join {p}n{k} using (z, x, y, col, row))")
+            last = f"{p}e{k}"
         near = " union all ".join(f"select z, x, y, col + {a * half}, row + {b * half}, level from {last}" for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1)))
-        steps.append(f"m{k} as (select z, x, y, col, row, max(level) as m from ({near}) q(z, x, y, col, row, level) group by all)")
-        steps.append(f"c{k} as (select b.z, b.x, b.y, b.col, b.row, case when b.col % {2 * half} = {half} and b.row % {2 * half} = {half} then greatest(level, coalesce(m, -1)) else level end as level from {last} b left join m{k} using (z, x, y, col, row))")
-        last = f"c{k}"
+        steps.append(f"{p}m{k} as (select z, x, y, col, row, max(level) as m from ({near}) q(z, x, y, col, row, level) group by all)")
+        steps.append(f"{p}c{k} as (select b.z, b.x, b.y, b.col, b.row, case when b.col % {2 * half} = {half} and b.row % {2 * half} = {half} then greatest(level, coalesce(m, -1)) else level end as level from {last} b left join {p}m{k} using (z, x, y, col, row))")
+        last = f"{p}c{k}"
     return ",\n".join(steps)
 
 
@@ -338,9 +339,10 @@ def r14(i):
     return unpacked(rtin.rtin_propagate(activation(i), N), "levels", "level")
 
 
-@query("r15_border_activation", f"""with recursive {LEVELS_SQL},
-g as (select z, x * 16 + col as gx, y * 16 + row as gy, x, y, col, row, level from lv),
-nb as (select a.z, a.x, a.y, a.col, a.row, max(b.level) as m from g a join g b on a.z = b.z and a.gx = b.gx and a.gy = b.gy and abs(a.x - b.x) + abs(a.y - b.y) = 1 group by all)
-select z, x, y, col, row, greatest(level, coalesce(m, -1)) as level from lv left join nb using (z, x, y, col, row)""")
+@query("r15_border_activation", f"""with recursive {LEVELS_SQL}, {propagate_sql()},
+g as (select z, x * 16 + col as gx, y * 16 + row as gy, x, y, col, row, level from c3),
+nb as (select a.z, a.x, a.y, a.col, a.row, max(b.level) as m from g a join g b on a.z = b.z and a.gx = b.gx and a.gy = b.gy and abs(a.x - b.x) + abs(a.y - b.y) = 1 group by all),
+raised as (select z, x, y, col, row, case when z > 6 then greatest(level, coalesce(m, -1)) else level end as level from c3 left join nb using (z, x, y, col, row)),
+{propagate_sql("raised", "q")} select z, x, y, col, row, level from qc3""")
 def r15(i):
     return unpacked(rtin.border_activation(activation(i), N), "levels", "level")

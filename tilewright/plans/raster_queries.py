@@ -110,13 +110,12 @@ def j06(i):
 @query("j07_sample_tile_bilinear", """
 with p as (select z, x, y, vid, lon, lat, (lon - (x * 180 / pow(2, z) - 180)) / (180 / pow(2, z)) * 16 as u, (lat - (y * 180 / pow(2, z) - 90)) / (180 / pow(2, z)) * 16 as v
            from (select z, x, y, vid, lon + 0.0013e0 as lon, lat + 0.0007e0 as lat from vertices) q),
-a as (select *, least(cast(floor(u) as bigint), 16) as c0, least(cast(floor(v) as bigint), 16) as r0 from p)
-select a.z, a.x, a.y, vid, round(case when u <= 16 and v <= 16 then (k00.value * (1 - (u - c0)) + k10.value * (u - c0)) * (1 - (v - r0)) + (k01.value * (1 - (u - c0)) + k11.value * (u - c0)) * (v - r0) end, 6) as value
-from a
-join tile_cells k00 on k00.z = a.z and k00.x = a.x and k00.y = a.y and k00.col = c0 and k00.row = r0
-join tile_cells k10 on k10.z = a.z and k10.x = a.x and k10.y = a.y and k10.col = least(16, c0 + 1) and k10.row = r0
-join tile_cells k01 on k01.z = a.z and k01.x = a.x and k01.y = a.y and k01.col = c0 and k01.row = least(16, r0 + 1)
-join tile_cells k11 on k11.z = a.z and k11.x = a.x and k11.y = a.y and k11.col = least(16, c0 + 1) and k11.row = least(16, r0 + 1)""")
+a as (select *, least(cast(floor(u) as bigint), 16) as c0, least(cast(floor(v) as bigint), 16) as r0 from p),
+f as (select a.*, i, j, least(c0 + i, 16) as cc, least(r0 + j, 16) as rr from a cross join (select a.range as i, b.range as j from range(2) a cross join range(2) b) k),
+g as (select f.z, f.x, f.y, vid, u, v, c0, r0, sum(case when i = 0 and j = 0 then value end) as v00, sum(case when i = 1 and j = 0 then value end) as v10,
+        sum(case when i = 0 and j = 1 then value end) as v01, sum(case when i = 1 and j = 1 then value end) as v11
+      from f join tile_cells t on t.z = f.z and t.x = f.x and t.y = f.y and t.col = cc and t.row = rr group by f.z, f.x, f.y, vid, u, v, c0, r0)
+select z, x, y, vid, round(case when u <= 16 and v <= 16 then (v00 * (1 - (u - c0)) + v10 * (u - c0)) * (1 - (v - r0)) + (v01 * (1 - (u - c0)) + v11 * (u - c0)) * (v - r0) end, 6) as value from g""")
 def j07(i):
     p = i.vertices.select("z", "x", "y", "vid", (F.col("lon") + 0.0013).alias("lon"), (F.col("lat") + 0.0007).alias("lat"))
     return rasters.sample_tile_bilinear(p, i.tile_cells, 17).select("z", "x", "y", "vid", r(F.col("value")).alias("value"))
@@ -179,13 +178,33 @@ def r06_bilinear(i):
     return rasters.warp_tile(area_tiles(i, 6), i.rasters, i.cells, 16, "bilinear").withColumn("value", r(F.col("value")))
 
 
-@query("r06_warp_average", f"""with {tiles_sql(5)}, {CLEAN},
+def warp_sql(value: str) -> str:
+    """Source cells reduced per target cell and source; the highest source on top."""
+    return f"""with {tiles_sql(5)}, {CLEAN},
 p as (select c.file_id, value, w + (col + 0.5e0) * px as lon, n - (row + 0.5e0) * px as lat from cl c join rasters using (file_id)),
 t as (select file_id, value, cast(5 as bigint) as z, cast(floor((lon + 180) / 5.625) as bigint) as x, cast(floor((lat + 90) / 5.625) as bigint) as y, lon, lat from p),
-g as (select z, x, y, cast(floor(((lon + 180) / 5.625 - x) * 16) as bigint) as col, cast(floor(((lat + 90) / 5.625 - y) * 16) as bigint) as row, file_id, avg(value) as value from t group by 1, 2, 3, 4, 5, 6)
-select z, x, y, col, row, round(value, 6) as value from (select *, row_number() over (partition by z, x, y, col, row order by file_id desc) as k from g join tl using (z, x, y) where value is not null) q where k = 1""")
-def r06_average(i):
-    return rasters.warp_tile(area_tiles(i, 5), i.rasters, i.cells, 16, "average").withColumn("value", r(F.col("value")))
+u as (select z, x, y, cast(floor(((lon + 180) / 5.625 - x) * 16) as bigint) as col, cast(floor(((lat + 90) / 5.625 - y) * 16) as bigint) as row, file_id, value from t),
+g as (select z, x, y, col, row, file_id, {value} as value from u group by 1, 2, 3, 4, 5, 6)
+select z, x, y, col, row, round(value, 6) as value from (select *, row_number() over (partition by z, x, y, col, row order by file_id desc) as k from g join tl using (z, x, y) where value is not null) q where k = 1"""
+
+
+def warped(name: str):
+    def build(i):
+        return rasters.warp_tile(area_tiles(i, 5), i.rasters, i.cells, 16, name).withColumn("value", r(F.col("value")))
+
+    return build
+
+
+for _name, _value in (
+    ("average", "avg(value)"), ("max", "max(value)"), ("min", "min(value)"), ("med", "median(value)"), ("q1", "quantile_cont(value, 0.25)"), ("q3", "quantile_cont(value, 0.75)"),
+):
+    query(f"r06_warp_{_name}", warp_sql(_value))(warped(_name))
+
+query("r06_warp_mode", warp_sql("value").replace(
+    "g as (select z, x, y, col, row, file_id, value as value from u group by 1, 2, 3, 4, 5, 6)",
+    """n as (select z, x, y, col, row, file_id, value, count(value) as c from u group by all),
+g as (select z, x, y, col, row, file_id, value from (select *, row_number() over (partition by z, x, y, col, row, file_id order by c desc, value) as k from n where value is not null) q where k = 1)""",
+))(warped("mode"))
 
 
 @query("r08_merge_tile_parts", """

@@ -9,7 +9,6 @@ from tilewright.operators import refine
 from .registry import query
 
 N = 17
-FIRST_ROUNDS = 3  # fixed value: rounds the first level of a run is refined for, from level 10 on
 
 
 def extent(i):
@@ -29,12 +28,20 @@ def m02(i):
     return per_tile(t)
 
 
+def refined(i):
+    """The mesh after as many rounds as it takes."""
+    t, settled = refine.refine(refine.start(i.mesh_tiles), i.tile_cells, N, extent(i))
+    if not settled:
+        raise RuntimeError(f"the mesh has not settled after {refine.MAX_ROUNDS} rounds")
+    return t
+
+
 @query("m03_refine")
 def m03(i):
-    return per_tile(refine.refine(refine.start(i.mesh_tiles), i.tile_cells, N, extent(i), rounds=FIRST_ROUNDS))
+    return per_tile(refined(i))
 
 
 @query("m03_refine_cover", "select z, x, y, 1.0e0 as covered from mesh_tiles")
 def m03_cover(i):
     # whatever is split, each tile stays covered exactly once
-    return per_tile(refine.refine(refine.start(i.mesh_tiles), i.tile_cells, N, extent(i), rounds=FIRST_ROUNDS)).select("z", "x", "y", "covered")
+    return per_tile(refined(i)).select("z", "x", "y", "covered")

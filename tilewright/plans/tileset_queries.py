@@ -359,7 +359,7 @@ def j11(i):
     return tilesets.present_tiles(wanted(i), i.tile_store.filter("set_id = 3"))
 
 
-GAPS_SQL = """cd as (select distinct z, x, y from tile_store where z <= 8),
+GAPS_SQL = """cd as (select distinct z, x, y from tile_store),
 cs as (select z, x, min(y) as lo, max(y) as hi from cd group by z, x),
 gp as (select z, x, y from (select z, x, unnest(range(lo, hi + 1)) as y from cs) q except select z, x, y from cd)"""
 

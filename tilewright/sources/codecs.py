@@ -48,14 +48,19 @@ def deflate(store: DataFrame, column: str = "content") -> DataFrame:
     return store.withColumn(column, zipped(column))
 
 
+def incomplete_tiles(heights: DataFrame, n: int = 65) -> DataFrame:
+    """Tiles that :func:`write_heightmap_tiles` can't write, with the number of heights they have."""
+    return heights.groupBy(*TILE).agg(F.count("stored").alias("heights"), F.count(F.lit(1)).alias("_rows")).filter(
+        (F.col("heights") != n * n) | (F.col("_rows") != n * n)).drop("_rows")
+
+
 # heightmap tiles ------------------------------------------------------------------------------
 
 def write_heightmap_tiles(heights: DataFrame, flags: DataFrame | None = None, n: int = 65) -> DataFrame:
     """Tile bytes from stored heights (z, x, y, col, row, stored) and child flags.
 
     Heights run row by row from the north as 16-bit numbers, then the child byte and a one-byte
-    land mask. A tile must have all its ``n`` * ``n`` heights; others are left out and can be found
-    with an anti-join.
+    land mask. A tile must have all its ``n`` * ``n`` heights; :func:`incomplete_tiles` has the others.
     """
     place = (F.lit(n - 1) - F.col("row")) * n + F.col("col")
     g = heights.groupBy(*TILE).agg(F.sort_array(F.collect_list(F.struct(place.alias("k"), F.col("stored").alias("s")))).alias("_l"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import text
 
 RASTER_NAME = r"(?i)\.tiff?$"
+STORE = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?"
 
 
 def list_files(spark: SparkSession, root: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
@@ -17,7 +18,8 @@ def list_files(spark: SparkSession, root: str, recursive: bool = False, pattern:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    base = F.lit("^file:" + re.escape(root.rstrip("/")) + "/")
+    # Paths come back with the scheme (and host) of their store, whether or not ``root`` names it.
+    base = F.lit(STORE + re.escape(re.sub(STORE, "", root).rstrip("/")) + "/")
     f = reader.load(root).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
     rel = F.regexp_replace("path", base, F.lit(""))
     name = F.substring_index(rel, "/", -1)

@@ -14,16 +14,17 @@ def checked_tiles(tiles: DataFrame, grid: str = "xyz") -> tuple[DataFrame, DataF
     return tiles.filter(ok), tiles.filter(~ok)
 
 
-def write_tiles(tiles: DataFrame, path: str, grid: str = "xyz", partitions: int | None = None) -> None:
-    """Write the valid tiles as Parquet, one folder per zoom.
+def write_tiles(tiles: DataFrame, path: str, grid: str = "xyz", partitions: int | None = None) -> DataFrame:
+    """Write the valid tiles as Parquet, one folder per zoom; returns the others.
 
     Rows are range-partitioned on (z, x, y): a zoom level with most of the tiles is spread over
     many tasks and files, small levels share one, and each file covers a narrow range of x.
     """
-    valid, _ = checked_tiles(tiles, grid)
+    valid, rejected = checked_tiles(tiles, grid)
     n = partitions or int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = valid.repartitionByRange(n, "z", "x", "y").sortWithinPartitions("z", "x", "y")
     ordered.write.mode("overwrite").partitionBy("z").parquet(path)
+    return rejected
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:

@@ -23,8 +23,15 @@ STATUS_LIFE_SECONDS = 30 * 60  # fixed value: how long a layer's status is trust
 
 
 def read_events(spark: SparkSession, folder: str, name: str, schema: str, per_trigger: int = 1000) -> DataFrame:
-    """Stream of the Parquet files ``name`` in a folder, with a declared schema."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+    """Stream of the Parquet table ``name`` in a folder, with a declared schema.
+
+    A table is a folder of part files, which is read as it is; a single file is picked out of its folder.
+    """
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def status(events: DataFrame) -> DataFrame:
@@ -48,11 +55,12 @@ def runs(events: DataFrame, gap: str = "30 minutes", lateness: str = LATENESS) -
     return g.select("task_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "tiles")
 
 
-def dedup(events: DataFrame, keys: list[str], lateness: str = LATENESS) -> DataFrame:
-    """Repeated completions of one tile counted once."""
-    if not events.isStreaming:
-        return events.dropDuplicates(keys)
-    return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
+def dedup(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Repeated completions of one tile counted once, however late the repeat.
+
+    The state holds one key per completed tile and doesn't expire: it is bounded by the tile set.
+    """
+    return events.dropDuplicates(keys)
 
 
 def enabled(lookups: DataFrame, layers: DataFrame, life: int = STATUS_LIFE_SECONDS) -> DataFrame:
