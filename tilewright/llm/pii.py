@@ -166,7 +166,11 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     table gives no rows.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    has = F.coalesce(F.col("text").rlike(_ANY), F.lit(False))
+    # Most texts have neither a digit, an @ nor a title, and need no closer look.
+    maybe = F.col("text").rlike("[0-9@]")
+    for title in "|".join(_TITLES.values()).split("|"):
+        maybe = maybe | F.contains("text", F.lit(title))
+    has = F.coalesce(maybe & F.col("text").rlike(_ANY), F.lit(False))
     hit = c.save(rows.where(has).withColumn("row", F.monotonically_increasing_id()), "texts")
     found = c.save(mentions(hit.select("row", "text")), "mentions")
     total = found.count()
