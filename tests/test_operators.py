@@ -53,6 +53,13 @@ def test_components_of_a_long_chain(spark):
     assert c.count() == n - 1 and c.select("root").distinct().collect() == [(0,)]
 
 
+def test_components_of_a_star(spark):
+    hub = spark.range(1, 4000).select(F.lit(9000).cast("long").alias("a"), "id").toDF("a", "b")
+    tail = spark.createDataFrame([(9001, 9000), (9002, 9001), (5000, 9002), (7000, 7001)], "a long, b long")
+    c = {r.node: r.root for r in groups.components(hub.unionByName(tail)).collect()}
+    assert set(c.values()) == {1, 7000} and c[7001] == 7000 and c[5000] == c[9002] == c[3999] == 1 and len(c) == 3999 - 1 + 4 + 1
+
+
 def test_box_pairs_match_brute_force(spark):
     rnd = random.Random(3)
     rows = [(k, w := rnd.uniform(-170, 150), s := rnd.uniform(-80, 60), w + rnd.choice([0, 0.001, 1, 20]), s + rnd.choice([0, 0.001, 1, 20])) for k in range(400)]
@@ -98,9 +105,13 @@ def test_gaps_stay_inside_their_column(spark):
 
 def test_source_pages_keep_everything(spark, inputs):
     src = index.tile_sources(inputs.footprints.select("file_id", "file_name", "w", "s", "e", "n"), 0, 3)
-    pages = index.source_pages(src, per_page=50)
+    pages = index.source_pages(src)
     assert pages.select(F.explode("source_files")).count() == src.count()
-    assert pages.agg(F.max(F.size("source_files"))).first()[0] < 120
+    assert pages.filter("page >= pow(4, 6 - z)").isEmpty()
+    few = index.source_pages(src.filter("file_id % 5 = 0"))
+    same = pages.select("z", "x", "y", "page", F.explode("source_files.file_name").alias("n")).join(
+        few.select("z", "x", "y", F.col("page").alias("other"), F.explode("source_files.file_name").alias("n")), ["z", "x", "y", "n"])
+    assert same.filter("page <> other").isEmpty() and not same.isEmpty()
 
 
 def test_incremental_check_needs_its_tiles(spark):

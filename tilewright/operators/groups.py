@@ -14,24 +14,37 @@ GAP_PIXELS = 2  # fixed value: largest gap between merged rasters
 SUBLEVELS = 2
 
 
+HUBS = 1000  # a hub has more than 1 / HUBS of all edges, so there are fewer than HUBS of them
+
+
+def _with_low(edges: DataFrame, total: int) -> DataFrame:
+    """``edges`` (a, b; at most ``total``) with the smallest neighbour ``m`` of a.
+
+    Hubs get theirs by broadcast, which leaves their edges where they are; the others by a join.
+    """
+    low = edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("_n"))
+    hubs = F.broadcast(low.filter(F.col("_n") * HUBS > total).select("a", "m"))
+    rest = low.filter(F.col("_n") * HUBS <= total).select("a", "m")
+    return edges.join(hubs, "a").unionByName(edges.join(hubs.select("a"), "a", "left_anti").join(rest, "a"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Smallest reachable id (``root``) of every node on an edge, by alternating star contraction.
+    """Smallest reachable id (``root``) of every node on an edge but the roots, by alternating star contraction.
 
     ``edges`` has columns a and b. Every step reduces neighbours to their minimum before it joins,
     and the number of rounds grows with the logarithm of the number of nodes.
     """
     e = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
+    last, total = None, e.count()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(
-            low.select("a", F.col("m").alias("b"))
-        ).distinct()
+        large = _with_low(both, 2 * total).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        large = cut_lineage(large)
+        low = _with_low(large, large.count())
+        small = low.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         e = cut_lineage(small)
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
+        total = state["n"]
         if state == last:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = state

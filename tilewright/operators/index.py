@@ -10,7 +10,7 @@ from tilewright.functions._cols import pow2
 from tilewright.functions.text import split_antimeridian
 
 _EDGE = 1e-9  # in tiles; edges this close to a tile border are tested against both sides
-SOURCES_PER_PAGE = 1000
+SINGLE_PAGE_LEVEL = 6
 BOX = {"w": "w", "s": "s", "e": "e", "n": "n"}
 
 
@@ -65,24 +65,18 @@ def name_bucket(name, buckets) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint") % buckets
 
 
-def source_pages(sources: DataFrame, per_page: int = SOURCES_PER_PAGE) -> DataFrame:
-    """Nested source lists, cut into pages so that no list grows with the data.
+def source_pages(sources: DataFrame, single: int = SINGLE_PAGE_LEVEL) -> DataFrame:
+    """Nested source lists in pages: one page from level ``single`` on, four times as many on each level above it.
 
-    A tile with few sources has one page. A tile with many (low zooms see every raster) spreads
-    them by a hash of the file name over as many pages as it needs; nothing is dropped.
+    Low zooms see every raster, so there a tile's sources are spread by a hash of the file name. The number of
+    pages of a level is fixed, whatever the data; pages without sources don't appear. ``source_count`` is
+    that of the whole tile.
     """
-    counts = sources.groupBy("z", "x", "y").agg(F.count("*").alias("source_count"))
-    crowded = counts.filter(F.col("source_count") > per_page).select(
-        "z", "x", "y", F.ceil(F.col("source_count") / per_page).alias("pages"),
-        F.col("source_count").alias("crowd"),
-    )
-    s = sources.join(crowded, ["z", "x", "y"], "left")
-    page = F.when(F.col("pages").isNull(), F.lit(0).cast("bigint")).otherwise(name_bucket(F.col("file_name"), F.col("pages")))
+    page = name_bucket(F.col("file_name"), F.pow(F.lit(4), F.greatest(F.lit(0), F.lit(single) - F.col("z"))).cast("bigint"))
     item = F.struct("file_name", "file_id", "w", "s", "e", "n")
-    return s.groupBy("z", "x", "y", page.alias("page")).agg(
-        F.sort_array(F.collect_list(item)).alias("source_files"),
-        F.coalesce(F.max("crowd"), F.count("*")).alias("source_count"),
-    )
+    pages = sources.groupBy("z", "x", "y", page.alias("page")).agg(F.sort_array(F.collect_list(item)).alias("source_files"))
+    counts = sources.groupBy("z", "x", "y").agg(F.count("*").alias("source_count"))
+    return pages.join(counts, ["z", "x", "y"])
 
 
 def index_features(pages: DataFrame, tile_size: int = 256) -> DataFrame:

@@ -48,8 +48,7 @@ def j01_sources(i):
     return index.tile_sources(i.footprints.select("file_id", "w", "s", "e", "n"), 0, ZMAX).select("z", "x", "y", "file_id")
 
 
-PAGE_SQL = """pg as (select ts.z, ts.x, ts.y, file_name, source_count, case when source_count > 1000
-  then ('0x' || substr(md5(file_name), 1, 8))::bigint % cast(ceil(source_count / 1000) as bigint) else 0 end as page
+PAGE_SQL = """pg as (select ts.z, ts.x, ts.y, file_name, source_count, ('0x' || substr(md5(file_name), 1, 8))::bigint % cast(pow(4, greatest(0, 6 - ts.z)) as bigint) as page
   from ts join ti using (z, x, y))"""
 
 
