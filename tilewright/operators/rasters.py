@@ -420,12 +420,13 @@ def heights_to_cells(heights: DataFrame, n: int) -> DataFrame:
     )
 
 
-def root_tile_fill(tiles: DataFrame) -> DataFrame:
-    """Root tiles (z 0, x 0 and 1) the set lacks, to be written with zero heights."""
+def root_tile_fill(tiles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Root tiles (z 0, x 0 and 1) the set (or each set of ``by``) lacks, to be written with zero heights."""
     zero = F.lit(0).cast("bigint")
-    have = tiles.filter("z = 0 and y = 0").agg(F.coalesce(F.array_sort(F.collect_set(F.col("x"))), F.array().cast("array<bigint>"))).scalar()
-    one = tiles.sparkSession.range(2)
-    return one.filter(~F.array_contains(have, F.col("id"))).select(zero.alias("z"), F.col("id").alias("x"), zero.alias("y"), F.lit(0.0).alias("height"))
+    sets = tiles.select(*by).distinct() if by else tiles.sparkSession.range(1).select()
+    roots = sets.withColumn("x", F.explode(F.array(zero, F.lit(1).cast("bigint"))))
+    have = tiles.filter("z = 0 and y = 0").select(*by, "x")
+    return roots.join(have, [*by, "x"], "left_anti").select(*by, zero.alias("z"), "x", zero.alias("y"), F.lit(0.0).alias("height"))
 
 
 def child_flags(tiles: DataFrame, bounds: DataFrame, max_zoom: int) -> DataFrame:

@@ -201,21 +201,23 @@ def cache_summary(store: DataFrame, manifests: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_join(tiles: DataFrame) -> DataFrame:
-    """Pairs of a tile and its right or lower neighbour, both present."""
-    keys = tiles.select(*KEY)
+def neighbour_join(tiles: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of a tile and its right or lower neighbour, both present (in one set, if ``by`` names its columns)."""
+    keys = tiles.select(*by, *KEY)
     near = grid.neighbours(keys, [(1, 0), (0, 1)])
-    other = keys.select("z", F.col("x").alias("n_x"), F.col("y").alias("n_y"))
+    other = keys.select(*by, "z", F.col("x").alias("n_x"), F.col("y").alias("n_y"))
     side = F.when(F.col("n_ord") == 0, "right").otherwise("bottom")
-    return near.join(other, ["z", "n_x", "n_y"], "left_semi").select(*KEY, "n_x", "n_y", side.alias("side"))
+    return near.join(other, [*by, "z", "n_x", "n_y"], "left_semi").select(*by, *KEY, "n_x", "n_y", side.alias("side"))
 
 
-def missing_tiles(index: DataFrame, store: DataFrame) -> DataFrame:
-    return index.select(*KEY).join(store.select(*KEY), KEY, "left_anti")
+def missing_tiles(index: DataFrame, store: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    key = [*by, *KEY]
+    return index.select(*key).join(store.select(*key), key, "left_anti")
 
 
-def present_tiles(index: DataFrame, store: DataFrame) -> DataFrame:
-    return index.select(*KEY).join(store.select(*KEY), KEY, "left_semi")
+def present_tiles(index: DataFrame, store: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    key = [*by, *KEY]
+    return index.select(*key).join(store.select(*key), key, "left_semi")
 
 
 def column_gaps(tiles: DataFrame, zmax: int | None = None) -> DataFrame:
@@ -268,24 +270,26 @@ def same_sources(old: DataFrame, new: DataFrame, key: str = "file_name") -> Data
     ).withColumn("same", (F.col("only_old") == 0) & (F.col("only_new") == 0))
 
 
-def stale_rasters(cached: DataFrame, wanted: DataFrame) -> DataFrame:
+def stale_rasters(cached: DataFrame, wanted: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Every key of either side as ``reuse`` (both), ``drop`` (cached only) or ``load`` (wanted only)."""
-    sides = cached.select(*KEY, F.lit(1).alias("side")).unionByName(wanted.select(*KEY, F.lit(2).alias("side")))
-    per = sides.groupBy(*KEY).agg(F.bit_or("side").alias("sides"))
+    key = [*by, *KEY]
+    sides = cached.select(*key, F.lit(1).alias("side")).unionByName(wanted.select(*key, F.lit(2).alias("side")))
+    per = sides.groupBy(*key).agg(F.bit_or("side").alias("sides"))
     action = F.when(F.col("sides") == 3, "reuse").when(F.col("sides") == 1, "drop").otherwise("load")
-    return per.select(*KEY, action.alias("action"))
+    return per.select(*key, action.alias("action"))
 
 
-def convert_layout(files: DataFrame, existing: DataFrame, source: str, target: str, overwrite: bool = False, ext: str = "png") -> DataFrame:
-    """What happens to each file when a set moves to another layout.
+def convert_layout(files: DataFrame, existing: DataFrame, source: str, target: str, overwrite: bool = False, ext: str = "png",
+                   by: tuple[str, ...] = ()) -> DataFrame:
+    """What happens to each file when a set (or each set of ``by``) moves to another layout.
 
     ``action`` is ``process``, ``skip`` (the target exists and is not overwritten) or ``error``
     (the name does not fit the source layout).
     """
     f = files.withColumns(text.parse_tile_path("path", source))
     f = f.withColumn("target_path", text.tile_path("z", "x", "y", target, ext))
-    there = existing.select(F.col("path").alias("target_path"), F.lit(True).alias("_there"))
-    joined = f.join(there, "target_path", "left")
+    there = existing.select(*by, F.col("path").alias("target_path"), F.lit(True).alias("_there"))
+    joined = f.join(there, [*by, "target_path"], "left")
     action = (
         F.when(F.col("y").isNull(), "error")
         .when(F.col("_there") & F.lit(not overwrite), "skip").otherwise("process")

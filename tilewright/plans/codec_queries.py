@@ -68,11 +68,11 @@ def src09(i):
     return codecs.inflate(packed).select("set_id", "path", "inflated", F.col("content").cast("string").alias("body"))
 
 
-@query("snk01_write_tiles", "select set_id, z, x, y, size from tile_store where z >= 5 and x < pow(2, z) and y < pow(2, z)")
+@query("snk01_write_tiles", "select set_id, z, x, y, size from tile_store where x < pow(2, z) and y < pow(2, z)")
 def snk01(i):
     path = f"{checkpoint_dir(i.spark)}/tiles-{uuid.uuid4().hex}"
     sinks.write_tiles(i.tile_store, path)
-    return sinks.read_tiles(i.spark, path).filter("z >= 5").select("set_id", "z", "x", "y", "size")
+    return sinks.read_tiles(i.spark, path).select("set_id", "z", "x", "y", "size")
 
 
 @query("r11_heightmap_to_cells", """

@@ -267,11 +267,13 @@ def r11(i):
 
 
 @query("r12_root_tile_fill", """
-with t as (select distinct z - 3 as z, x // 8 as x, y // 8 as y from tile_store where set_id = 0 and z = 3)
-select cast(0 as bigint) as z, range as x, cast(0 as bigint) as y, 0.0e0 as height from range(2) where range not in (select x from t where z = 0 and y = 0)""")
+with t as (select set_id, x // 8 as x from tile_store where z = 3 and y // 8 = 0)
+select set_id, cast(0 as bigint) as z, range as x, cast(0 as bigint) as y, 0.0e0 as height
+from (select distinct set_id from tile_store) s cross join range(2) where not exists (select 1 from t where t.set_id = s.set_id and t.x = range)""")
 def r12(i):
-    t = i.tile_store.filter("set_id = 0 and z = 3").select((F.col("z") - 3).alias("z"), F.shiftright("x", 3).alias("x"), F.shiftright("y", 3).alias("y"))
-    return rasters.root_tile_fill(t)
+    # tiles of level 3, with the root's number in place of their own
+    t = i.tile_store.select("set_id", F.when(F.col("z") == 3, 0).otherwise(F.col("z")).alias("z"), F.shiftright("x", 3).alias("x"), F.shiftright("y", 3).alias("y"))
+    return rasters.root_tile_fill(t, ("set_id",))
 
 
 FLAG_SQL = "case when {w} < ee and {e} > ew and {s} < en and {n} > es then {b} else 0 end"

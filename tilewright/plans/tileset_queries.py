@@ -334,11 +334,18 @@ def a12(i):
 
 
 @query("j08_neighbour_join", """
-with t as (select z, x, y from tile_store where set_id = 0)
-select a.z, a.x, a.y, b.x as n_x, b.y as n_y, case when b.x > a.x then 'right' else 'bottom' end as side
-from t a join t b on a.z = b.z and ((b.x = a.x + 1 and b.y = a.y) or (b.x = a.x and b.y = a.y + 1))""")
+select a.set_id, a.z, a.x, a.y, b.x as n_x, b.y as n_y, case when b.x > a.x then 'right' else 'bottom' end as side
+from tile_store a join tile_store b on a.set_id = b.set_id and a.z = b.z and ((b.x = a.x + 1 and b.y = a.y) or (b.x = a.x and b.y = a.y + 1))""")
 def j08(i):
-    return tilesets.neighbour_join(i.tile_store.filter("set_id = 0"))
+    return tilesets.neighbour_join(i.tile_store, ("set_id",))
+
+
+NEXT_SQL = "nx as (select (set_id + 3) % 4 as set_id, z, x, y from tile_store)"
+
+
+def following(i):
+    """Each of the four sets under the number of the one before it."""
+    return i.tile_store.withColumn("set_id", (F.col("set_id") + 3) % 4)
 
 
 WANTED_SQL = "ix as (select z, x, y from tile_store where set_id in (1, 2) group by z, x, y)"
@@ -348,14 +355,14 @@ def wanted(i):
     return i.tile_store.filter("set_id in (1, 2)").select("z", "x", "y").distinct()
 
 
-@query("j10_missing_tiles", f"with {WANTED_SQL} select * from ix except select z, x, y from tile_store where set_id = 3")
+@query("j10_missing_tiles", f"with {NEXT_SQL} select set_id, z, x, y from tile_store except select * from nx")
 def j10(i):
-    return tilesets.missing_tiles(wanted(i), i.tile_store.filter("set_id = 3"))
+    return tilesets.missing_tiles(i.tile_store, following(i), ("set_id",))
 
 
-@query("j11_present_tiles", f"with {WANTED_SQL} select * from ix intersect select z, x, y from tile_store where set_id = 3")
+@query("j11_present_tiles", f"with {NEXT_SQL} select set_id, z, x, y from tile_store intersect select * from nx")
 def j11(i):
-    return tilesets.present_tiles(wanted(i), i.tile_store.filter("set_id = 3"))
+    return tilesets.present_tiles(i.tile_store, following(i), ("set_id",))
 
 
 GAPS_SQL = """cd as (select distinct z, x, y from tile_store),
@@ -378,10 +385,10 @@ def w03(i):
     return tilesets.fill_gaps(i.tile_store)
 
 
-@query("u01_union_tile_sets", "select set_id, z, x, y, size from tile_store where set_id in (0, 1, 3)")
+@query("u01_union_tile_sets", "select set_id, z, x, y, size from tile_store")
 def u01(i):
     cols = ["set_id", "z", "x", "y", "size"]
-    return tilesets.union_tile_sets([i.tile_store.filter(F.col("set_id") == k).select(*cols) for k in (0, 1, 3)])
+    return tilesets.union_tile_sets([i.tile_store.filter(F.col("set_id") == k).select(*cols) for k in range(4)])
 
 
 @query("u02_same_sources", """
@@ -393,26 +400,28 @@ def u02(i):
     return tilesets.same_sources(i.footprints.filter("px = 0.01"), i.footprints.filter("srs = 'EPSG:4326'"))
 
 
-@query("u03_stale_rasters", """
-with a as (select distinct z, x, y from tile_store where set_id = 0), b as (select distinct z, x, y from tile_store where set_id = 1)
-select z, x, y, 'reuse' as action from (select * from a intersect select * from b) q
-union all select z, x, y, 'drop' from (select * from a except select * from b) q
-union all select z, x, y, 'load' from (select * from b except select * from a) q""")
+@query("u03_stale_rasters", f"""
+with {NEXT_SQL}, a as (select set_id, z, x, y from tile_store)
+select set_id, z, x, y, 'reuse' as action from (select * from a intersect select * from nx) q
+union all select set_id, z, x, y, 'drop' from (select * from a except select * from nx) q
+union all select set_id, z, x, y, 'load' from (select * from nx except select * from a) q""")
 def u03(i):
-    return tilesets.stale_rasters(i.tile_store.filter("set_id = 0"), i.tile_store.filter("set_id = 1"))
+    return tilesets.stale_rasters(i.tile_store, following(i), ("set_id",))
 
 
 def layout_actions(i):
-    s = i.tile_store.filter("set_id = 0")
-    files = s.select(F.when(F.col("size") == 700, F.lit("layer.json")).otherwise(text.tile_path("z", "x", "y")).alias("path"))
-    there = i.tile_store.filter("set_id = 1").select(text.tile_path("z", "x", "y", "flat").alias("path"))
-    return tilesets.convert_layout(files, there, "nested", "flat")
-
-
-LAYOUT_SQL = """la as (select case when size = 700 then 'layer.json' else z || '/' || x || '/' || y || '.png' end as path,
-  case when size <> 700 then z end as z, case when size <> 700 then x end as x, case when size <> 700 then y end as y from tile_store where set_id = 0),
-lc as (select path, z, x, y, z || '/' || x || '_' || y || '.png' as target_path,
-  case when y is null then 'error' when z || '/' || x || '_' || y in (select z || '/' || x || '_' || y from tile_store where set_id = 1) then 'skip' else 'process' end as action from la)"""
+    files = i.tile_store.select("set_id", F.when(F.col("size") == 700, F.lit("layer.json")).otherwise(text.tile_path("z", "x", "y")).alias("path"))
+    there = following(i).select("set_id", text.tile_path("z", "x", "y", "flat").alias("path"))
+    return tilesets.convert_layout(files, there, "nested", "flat", by=("set_id",))
+
+
+LAYOUT_SQL = f"""{NEXT_SQL},
+la as (select set_id, case when size = 700 then 'layer.json' else z || '/' || x || '/' || y || '.png' end as path,
+  case when size <> 700 then z end as z, case when size <> 700 then x end as x, case when size <> 700 then y end as y from tile_store),
+th as (select set_id, z || '/' || x || '_' || y as there from nx),
+lc as (select la.set_id, path, z, x, y, z || '/' || x || '_' || y || '.png' as target_path,
+  case when y is null then 'error' when there is not null then 'skip' else 'process' end as action
+  from la left join th on th.set_id = la.set_id and there = z || '/' || x || '_' || y)"""
 
 
 @query("u05_convert_layout", f"with {LAYOUT_SQL} select * from lc")
