@@ -74,6 +74,24 @@ def test_equals_brute_force(spark, monkeypatch, frequent):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()) == brute(rows)
 
 
+def test_a_chain_whose_ends_are_pivots(spark):
+    """Only the middle pair joins two balls: neither of its ends is within reach of the other ball's pivot."""
+    rnd = random.Random(1)
+    rows = []
+    for _ in range(25):
+        words = [f"c{rnd.randrange(10**6)}" for _ in range(60)]
+        chain = []
+        for k in range(6):
+            chain.append(" ".join(words))
+            words = words[:10 * k] + [f"d{rnd.randrange(10**6)}"] + words[10 * k + 1 :]
+        rnd.shuffle(chain)
+        rows += chain
+    rows = list(enumerate(rows))
+    want = brute(rows)
+    assert 20 < len({k[2] for k in want}) < 60
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()) == want
+
+
 def test_links_hold_and_join_the_components(spark):
     rows = corpus(200, 5)
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).cache()

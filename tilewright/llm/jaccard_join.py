@@ -7,18 +7,17 @@ Two sets are linked when their Jaccard distance is at most EPS = 1 - 3/4.
    the tie. Sets within EPS of A lack at most |A|/4 of its shingles; so that such a pair meets in the
    region of the first shingle they share, A is replicated to its first |A|/4 + 1 pivots. Shingles of a single set
    make no region, and a set of which more than a quarter are such has no partner at all; few sets are left.
-2. Inside a region pivots are sets. All members' distances to them are computed. Members within EPS of a pivot
-   are linked to it; of these, all pairs are in one component already. Members further away are
-   joined again, together with those linked ones whose distances lie in the window that the triangle
-   inequality leaves: |d(x, p) - d(y, p)| <= EPS for every pivot p and some y that is still open. Every round takes more
-   pivots, and a region ends when none of its members is open.
+2. Inside a region pivots are sets. All members are compared with each pivot, which then leaves the region.
+   Members within EPS of it are linked to it. Of the others, pairs in one component are settled, and a
+   member stays only if the triangle inequality lets it be near some member of another component:
+   |d(x, p) - d(y, p)| <= EPS for every pivot p. Rounds go on, with more pivots each, until no region holds two components.
 
 Sets that are equal are one point. Document frequencies come from all sets: shingles are dealt out by hash and
 counted there, packed by the thousand; shingles of very many sets (bounded in number) are counted by sums of local
 counts and aren't dealt out, so no bucket fills up with them.
 
-Nothing is sampled and no region is cut. Links that aren't compared are those inside one ball, whose ends
-are linked to its pivot; hence components are exact, and the links returned join all of each.
+Nothing is sampled and no region is cut. Links that aren't compared are those inside one component of the
+links found; hence components are exact, and the links returned join all of each.
 """
 
 from __future__ import annotations
@@ -38,10 +37,10 @@ from . import _common as c
 
 WORDS = 5
 NEED = 75  # linked when 100 * intersection >= NEED * union
-CHUNK = 1_500_000  # shingles that a task packs together
+CHUNK = 600_000  # shingles that a task packs together
 CHUNK_TEXTS = 60_000
 FREQUENT = 1 << 17  # a shingle is frequent when it makes up more than 1 / FREQUENT of all (twice that for certain)
-PIVOTS = (1, 4, 16, 64)  # pivots of a region in the first rounds; the last number holds for the rest
+PIVOTS = (1, 8, 64)  # pivots of a region in the first rounds; the last number holds for the rest
 TEAM = 256  # members that are compared with a pivot together
 
 _U = np.uint64
@@ -58,7 +57,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2^64, at least n of each."""
     if "powers" not in _state or len(_state["powers"][0]) < n:
-        base, size = 0x9E3779B97F4A7C15, max(1 << 21, n)
+        base, size = 0x9E3779B97F4A7C15, max(1 << 20, n)
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, dtype=_U)
@@ -125,16 +124,17 @@ def _identities(owner: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of about 2 MB of text, or of one longer text."""
-    for b in batches:
-        texts = b.column("_text").to_pylist()
-        at, size = 0, 0
-        for i, t in enumerate(texts):
-            if size + len(t) > 2_000_000 and i > at:
-                yield b.slice(at, i - at), texts[at:i]
-                at, size = i, 0
-            size += len(t)
-        if at < len(texts):
+    """Slices of up to 128 rows and about 1 MB of text, or of one longer text."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, 128):
+            b = whole.slice(k, 128)
+            texts = b.column("_text").to_pylist()
+            at, size = 0, 0
+            for i, t in enumerate(texts):
+                if size + len(t) > 1_000_000 and i > at:
+                    yield b.slice(at, i - at), texts[at:i]
+                    at, size = i, 0
+                size += len(t)
             yield b.slice(at), texts[at:]
 
 
@@ -320,9 +320,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["node", "pivot", "both", "either"])
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, need: int) -> DataFrame:
-    """node, pivot, both, either, distance, linked of distinct pairs (node, pivot)."""
-    total = pairs.count()
+def _distances(pairs: DataFrame, total: int, sets: DataFrame, need: int) -> DataFrame:
+    """node, pivot, both, either, distance, linked of distinct pairs (node, pivot), at most ``total`` of them."""
     found = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("_n"))
     found = found.withColumn("_teams", F.ceil(F.col("_n") / F.lit(TEAM)))
     pairs = c.routed(pairs, found, ["pivot"], total, nulls=False).withColumn("team", F.pmod(F.xxhash64("node"), F.col("_teams")))
@@ -336,38 +335,58 @@ def _distances(pairs: DataFrame, sets: DataFrame, need: int) -> DataFrame:
 
 
 def _round(rows: DataFrame, sets: DataFrame, pivots: int, need: int) -> tuple[DataFrame, DataFrame] | None:
-    """One level of the join inside regions: rows (region, node, open) of the next level, and the links found."""
+    """One level of the join inside regions: rows (region, node, comp) of the next level, and the links found."""
     eps = 1 - need / 100 + 1e-9
-    draw = F.struct(F.xxhash64("node").alias("h"), "node")
-    first = rows.groupBy("region", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(pivots)).alias("_j")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min(F.when(F.col("open"), draw))["node"].alias("_p"),
-    )
-    found = first.groupBy("region").agg(F.sum("_c").alias("_n"), F.array_sort(F.collect_list("_p")).alias("pivots"))
-    found = found.where((F.col("_n") > 1) & (F.size("pivots") > 0))
     total = rows.count()
     if not total:
         return None
+    draw = F.struct(F.xxhash64("node").alias("h"), "node")
+    first = rows.groupBy("region", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(pivots)).alias("_j")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(draw)["node"].alias("_p"),
+    )
+    found = first.groupBy("region").agg(F.sum("_c").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.collect_list("_p").alias("pivots"))
+    found = found.where("_lo < _hi").select("region", "_n", "pivots")
     met = c.routed(rows, found, ["region"], total, nulls=False)
-    met = c.save(met.select("region", "node", "open", F.explode("pivots").alias("pivot")), "meetings")
+    met = c.save(met.select("region", "node", "comp", F.explode("pivots").alias("pivot")), "meetings")
     pairs = c.save(met.where("node != pivot").select("node", "pivot").distinct(), "pairs")
-    far = _distances(pairs, sets, need)
-    met = met.join(far.select("node", "pivot", "distance", "linked"), ["node", "pivot"], "left")
-    at = F.coalesce("distance", F.lit(0.0))
-    seen = met.groupBy("region", "node", "open").agg(
-        F.bool_or(F.coalesce("linked", F.lit(True))).alias("_near"), F.array_sort(F.collect_list(F.struct("pivot", at.alias("d")))).alias("at"),
+    far = _distances(pairs, total * pivots, sets, need)
+    # A pivot has now been compared with all others of its region and leaves it.
+    seen = met.join(far.select("node", "pivot", "distance"), ["node", "pivot"], "left").groupBy("region", "node", "comp").agg(
+        F.bool_or(F.col("node") == F.col("pivot")).alias("_done"), F.array_sort(F.collect_list(F.struct("pivot", F.col("distance").alias("d")))).alias("at"),
+    )
+    seen = c.save(seen.where("not _done").drop("_done"), "seen")
+    # Nearest and furthest member of each component from each pivot, then the two extremes of different components.
+    span = seen.withColumn("_e", F.explode("at")).groupBy("region", "comp", F.col("_e.pivot").alias("pivot")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_e.d").alias("lo"), F.max("_e.d").alias("hi"),
     )
-    seen = c.save(seen.select("region", "node", (F.col("open") & ~F.col("_near")).alias("open"), "at"), "seen")
-    # Of each region, how far from each pivot its open members lie.
-    span = seen.withColumn("_e", F.explode("at")).groupBy("region", F.col("_e.pivot").alias("pivot")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(F.when(F.col("open"), F.col("_e.d"))).alias("lo"), F.max(F.when(F.col("open"), F.col("_e.d"))).alias("hi"),
+    # (value, component) of the extreme, and the extreme value of all other components, by one more pass.
+    ends = span.groupBy("region", "pivot").agg(
+        F.sum("_c").alias("_n"), F.min(F.struct("lo", "comp")).alias("near"), F.max(F.struct("hi", "comp")).alias("far"),
+        F.countDistinct("comp").alias("_comps"),
+    ).where("_comps > 1")
+    others = span.join(ends, ["region", "pivot"]).groupBy("region", "pivot").agg(
+        F.max("_n").alias("_n"), F.first("near").alias("near"), F.first("far").alias("far"),
+        F.min(F.when(F.col("comp") != F.col("near.comp"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("comp") != F.col("far.comp"), F.col("hi"))).alias("hi"),
     )
-    span = span.where("lo is not null").groupBy("region").agg(F.max("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("pivot", "lo", "hi"))).alias("span"))
-    rest = c.routed(seen, span.where("_n > 1"), ["region"], seen.count(), nulls=False)
-    window = F.forall(F.arrays_zip("at", "span"), lambda x: (x["at"]["d"] >= x["span"]["lo"] - eps) & (x["at"]["d"] <= x["span"]["hi"] + eps))
-    rest = c.save(rest.where(F.col("open") | window).select("region", "node", "open"), "regions")
+    span = others.groupBy("region").agg(F.max("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("pivot", "near", "far", "lo", "hi"))).alias("span"))
+    rest = c.routed(seen, span, ["region"], total, nulls=False)
+
+    def reached(x: Column) -> Column:
+        d, s = x["at"]["d"], x["span"]
+        least = F.when(s["near"]["comp"] == F.col("comp"), s["lo"]).otherwise(s["near"]["lo"])
+        most = F.when(s["far"]["comp"] == F.col("comp"), s["hi"]).otherwise(s["far"]["hi"])
+        return (d >= least - eps) & (d <= most + eps)
+
+    rest = c.save(rest.where(F.forall(F.arrays_zip("at", "span"), reached)).select("region", "node", "comp"), "regions")
     return rest, far.where("linked").select("node", "pivot", "both", "either")
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """node, root of every node on a link."""
+    found = components(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    return c.save(found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()), "roots")
+
+
 @dataclass
 class Join:
     """members: the kept columns, n_shingles, f1, f2 and component_id of every row. links: pairs of sets, as
@@ -402,7 +421,9 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, need: int = NEED, id_col:
     found = c.save(found, "sets")
     points = c.save(found.groupBy("f1", "f2").agg(F.min("node").alias("node")), "points")
     inside = found.select("node", "pivots").join(points.select("node"), "node", "left_semi")
-    state = c.save(inside.mapInArrow(_regions, "region long, node long").withColumn("open", F.lit(True)), "regions")
+    state = inside.mapInArrow(_regions, "region long, node long").withColumn("comp", F.col("node"))
+    # Regions of one set are met by nobody.
+    state = c.save(state, "regions")
     sets = found.select("node", "n", "keys")
     links, level = [], 0
     while True:
@@ -411,6 +432,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, need: int = NEED, id_col:
             break
         state, new = done
         links.append(new)
+        if level == 0:
+            # Most regions lie in one component by now; pairs inside a component need no comparison.
+            state = state.join(_roots(new), "node", "left").select("region", "node", F.coalesce("root", "node").alias("comp"))
+            state = c.save(state, "regions")
         level += 1
     linked = None
     for x in links:
@@ -420,8 +445,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, need: int = NEED, id_col:
         empty = sig.select("f1", "f2", F.col("f1").alias("other_f1"), F.col("f2").alias("other_f2"), F.col("f1").alias("both"), F.col("f1").alias("either")).limit(0)
         named, out = by_set, empty
     else:
-        roots = components(linked.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        roots = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+        roots = _roots(linked)
         placed = points.join(roots, "node").select("f1", "f2", "root")
         lowest = by_set.join(placed, ["f1", "f2"]).groupBy("root").agg(F.min("component_id").alias("_low"))
         placed = c.save(placed.join(lowest, "root").select("f1", "f2", "_low"), "roots")
