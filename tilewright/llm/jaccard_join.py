@@ -40,7 +40,7 @@ NEED = 75  # linked when 100 * intersection >= NEED * union
 CHUNK = 600_000  # shingles that a task packs together
 CHUNK_TEXTS = 60_000
 FREQUENT = 1 << 17  # a shingle is frequent when it makes up more than 1 / FREQUENT of all (twice that for certain)
-PIVOTS = (1, 8, 64)  # pivots of a region in the first rounds; the last number holds for the rest
+PIVOTS = (1, 16, 64)  # pivots of a region in the first rounds; the last number holds for the rest
 TEAM = 256  # members that are compared with a pivot together
 
 _U = np.uint64
@@ -334,8 +334,9 @@ def _distances(pairs: DataFrame, total: int, sets: DataFrame, need: int) -> Data
     return c.save(out.withColumn("distance", 1 - F.col("both") / F.col("either")).withColumn("linked", linked), "distances")
 
 
-def _round(rows: DataFrame, sets: DataFrame, pivots: int, need: int) -> tuple[DataFrame, DataFrame] | None:
-    """One level of the join inside regions: rows (region, node, comp) of the next level, and the links found."""
+def _round(rows: DataFrame, sets: DataFrame, pivots: int, need: int, narrow: bool) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """One level of the join inside regions: rows (region, node, comp) of the next level, the links found, and the
+    sets that later levels may need (with ``narrow``, those of members only)."""
     eps = 1 - need / 100 + 1e-9
     total = rows.count()
     if not total:
@@ -349,6 +350,8 @@ def _round(rows: DataFrame, sets: DataFrame, pivots: int, need: int) -> tuple[Da
     met = c.routed(rows, found, ["region"], total, nulls=False)
     met = c.save(met.select("region", "node", "comp", F.explode("pivots").alias("pivot")), "meetings")
     pairs = c.save(met.where("node != pivot").select("node", "pivot").distinct(), "pairs")
+    if narrow:
+        sets = c.save(sets.join(met.select("node").distinct(), "node", "left_semi"), "members")
     far = _distances(pairs, total * pivots, sets, need)
     # A pivot has now been compared with all others of its region and leaves it.
     seen = met.join(far.select("node", "pivot", "distance"), ["node", "pivot"], "left").groupBy("region", "node", "comp").agg(
@@ -378,7 +381,7 @@ def _round(rows: DataFrame, sets: DataFrame, pivots: int, need: int) -> tuple[Da
         return (d >= least - eps) & (d <= most + eps)
 
     rest = c.save(rest.where(F.forall(F.arrays_zip("at", "span"), reached)).select("region", "node", "comp"), "regions")
-    return rest, far.where("linked").select("node", "pivot", "both", "either")
+    return rest, far.where("linked").select("node", "pivot", "both", "either"), sets
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -422,15 +425,14 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, need: int = NEED, id_col:
     points = c.save(found.groupBy("f1", "f2").agg(F.min("node").alias("node")), "points")
     inside = found.select("node", "pivots").join(points.select("node"), "node", "left_semi")
     state = inside.mapInArrow(_regions, "region long, node long").withColumn("comp", F.col("node"))
-    # Regions of one set are met by nobody.
     state = c.save(state, "regions")
     sets = found.select("node", "n", "keys")
     links, level = [], 0
     while True:
-        done = _round(state, sets, PIVOTS[min(level, len(PIVOTS) - 1)], need)
+        done = _round(state, sets, PIVOTS[min(level, len(PIVOTS) - 1)], need, level > 0)
         if done is None:
             break
-        state, new = done
+        state, new, sets = done
         links.append(new)
         if level == 0:
             # Most regions lie in one component by now; pairs inside a component need no comparison.
