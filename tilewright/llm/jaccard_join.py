@@ -10,7 +10,7 @@ Two sets are linked when their Jaccard distance is at most EPS = 1 - 3/4.
 2. Inside a region pivots are sets. All members are compared with each pivot, which then leaves the region.
    Members within EPS of it are linked to it. Of the others, pairs in one component are settled, and a
    member stays only if the triangle inequality lets it be near some member of another component:
-   |d(x, p) - d(y, p)| <= EPS for every pivot p. Rounds go on, with more pivots each, until no region holds two components.
+   |d(x, p) - d(y, p)| <= EPS for every pivot p; sets whose sizes alone keep them apart are not compared. Rounds go on, with more pivots each, until no region holds two components.
 
 Sets that are equal are one point. Document frequencies come from all sets: shingles are dealt out by hash and
 counted there, packed by the thousand; shingles of very many sets (bounded in number) are counted by sums of local
@@ -297,8 +297,8 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         parts = [np.frombuffer(p, "<i8") for p in b.column("pivots").to_pylist()]
         if parts:
-            node = np.repeat(np.array(b.column("node").to_pylist(), dtype=np.int64), [len(p) for p in parts])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(node)], names=["region", "node"])
+            node, n = (np.repeat(np.array(b.column(k).to_pylist(), dtype=np.int64), [len(p) for p in parts]) for k in ("node", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(node), pa.array(n)], names=["region", "node", "n"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,32 +335,37 @@ def _distances(pairs: DataFrame, total: int, sets: DataFrame, need: int) -> Data
 
 
 def _round(rows: DataFrame, sets: DataFrame, pivots: int, need: int, narrow: bool) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """One level of the join inside regions: rows (region, node, comp) of the next level, the links found, and the
+    """One level of the join inside regions: rows (region, node, n, comp) of the next level, the links found, and the
     sets that later levels may need (with ``narrow``, those of members only)."""
     eps = 1 - need / 100 + 1e-9
     total = rows.count()
     if not total:
         return None
-    draw = F.struct(F.xxhash64("node").alias("h"), "node")
+    draw = F.struct(F.xxhash64("node").alias("h"), "node", F.col("n").alias("own"))
     first = rows.groupBy("region", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(pivots)).alias("_j")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(draw)["node"].alias("_p"),
+        F.count(F.lit(1)).alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(draw).alias("_p"),
     )
     found = first.groupBy("region").agg(F.sum("_c").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.collect_list("_p").alias("pivots"))
     found = found.where("_lo < _hi").select("region", "_n", "pivots")
     met = c.routed(rows, found, ["region"], total, nulls=False)
-    met = c.save(met.select("region", "node", "comp", F.explode("pivots").alias("pivot")), "meetings")
-    pairs = c.save(met.where("node != pivot").select("node", "pivot").distinct(), "pairs")
+    met = met.select("region", "node", "n", "comp", F.explode("pivots").alias("_p"))
+    met = c.save(met.select("region", "node", "n", "comp", F.col("_p.node").alias("pivot"), F.col("_p.own").alias("own")), "meetings")
+    # Sets of too different size are too far apart: 1 - smaller / larger is the least their distance can be.
+    apart = 1 - F.least("n", "own") / F.greatest("n", "own")
+    close = 100 * F.least("n", "own") >= need * F.greatest("n", "own")
+    pairs = c.save(met.where((F.col("node") != F.col("pivot")) & close).select("node", "pivot").distinct(), "pairs")
     if narrow:
         sets = c.save(sets.join(met.select("node").distinct(), "node", "left_semi"), "members")
     far = _distances(pairs, total * pivots, sets, need)
     # A pivot has now been compared with all others of its region and leaves it.
-    seen = met.join(far.select("node", "pivot", "distance"), ["node", "pivot"], "left").groupBy("region", "node", "comp").agg(
-        F.bool_or(F.col("node") == F.col("pivot")).alias("_done"), F.array_sort(F.collect_list(F.struct("pivot", F.col("distance").alias("d")))).alias("at"),
+    seen = met.join(far.select("node", "pivot", "distance"), ["node", "pivot"], "left").groupBy("region", "node", "n", "comp").agg(
+        F.bool_or(F.col("node") == F.col("pivot")).alias("_done"),
+        F.array_sort(F.collect_list(F.struct("pivot", F.coalesce("distance", apart).alias("d"), F.coalesce("distance", F.lit(1.0)).alias("e")))).alias("at"),
     )
     seen = c.save(seen.where("not _done").drop("_done"), "seen")
     # Nearest and furthest member of each component from each pivot, then the two extremes of different components.
     span = seen.withColumn("_e", F.explode("at")).groupBy("region", "comp", F.col("_e.pivot").alias("pivot")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_e.d").alias("lo"), F.max("_e.d").alias("hi"),
+        F.count(F.lit(1)).alias("_c"), F.min("_e.d").alias("lo"), F.max("_e.e").alias("hi"),
     )
     # (value, component) of the extreme, and the extreme value of all other components, by one more pass.
     ends = span.groupBy("region", "pivot").agg(
@@ -375,12 +380,12 @@ def _round(rows: DataFrame, sets: DataFrame, pivots: int, need: int, narrow: boo
     rest = c.routed(seen, span, ["region"], total, nulls=False)
 
     def reached(x: Column) -> Column:
-        d, s = x["at"]["d"], x["span"]
+        d, e, s = x["at"]["d"], x["at"]["e"], x["span"]
         least = F.when(s["near"]["comp"] == F.col("comp"), s["lo"]).otherwise(s["near"]["lo"])
         most = F.when(s["far"]["comp"] == F.col("comp"), s["hi"]).otherwise(s["far"]["hi"])
-        return (d >= least - eps) & (d <= most + eps)
+        return (e >= least - eps) & (d <= most + eps)
 
-    rest = c.save(rest.where(F.forall(F.arrays_zip("at", "span"), reached)).select("region", "node", "comp"), "regions")
+    rest = c.save(rest.where(F.forall(F.arrays_zip("at", "span"), reached)).select("region", "node", "n", "comp"), "regions")
     return rest, far.where("linked").select("node", "pivot", "both", "either"), sets
 
 
@@ -423,8 +428,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, need: int = NEED, id_col:
     found = parts.groupBy("chunk").applyInArrow(_candidates(need), "node long, n long, f1 long, f2 long, keys binary, pivots binary")
     found = c.save(found, "sets")
     points = c.save(found.groupBy("f1", "f2").agg(F.min("node").alias("node")), "points")
-    inside = found.select("node", "pivots").join(points.select("node"), "node", "left_semi")
-    state = inside.mapInArrow(_regions, "region long, node long").withColumn("comp", F.col("node"))
+    inside = found.select("node", "n", "pivots").join(points.select("node"), "node", "left_semi")
+    state = inside.mapInArrow(_regions, "region long, node long, n long").withColumn("comp", F.col("node"))
     state = c.save(state, "regions")
     sets = found.select("node", "n", "keys")
     links, level = [], 0
@@ -436,7 +441,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, need: int = NEED, id_col:
         links.append(new)
         if level == 0:
             # Most regions lie in one component by now; pairs inside a component need no comparison.
-            state = state.join(_roots(new), "node", "left").select("region", "node", F.coalesce("root", "node").alias("comp"))
+            state = state.join(_roots(new), "node", "left").select("region", "node", "n", F.coalesce("root", "node").alias("comp"))
             state = c.save(state, "regions")
         level += 1
     linked = None
