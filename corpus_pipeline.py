@@ -25,16 +25,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order in which their sources interleave by weight; the files keep that order."""
+    """All documents in the order in which their sources interleave by weight; the files keep that order, and packing reads it from them."""
     return mixing.mixed(docs, seed=17)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence of at most 4096 tokens."""
+    """Every piece of every document with its place in a sequence of at most 4096 tokens, in the order of the files of ``docs``."""
     import public_tokenizers
 
-    parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(parts).withColumnRenamed("id", "doc_id")
+    order = mixing.file_order(docs)
+    parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep=order)
+    return packing.pack(parts, order=list(order)).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -11,7 +11,7 @@ import corpus_pipeline
 from tests.conftest import SF_DIR
 from tests.llm.test_jaccard_join import brute as near
 from tests.llm.test_others import laid_out
-from tilewright.llm import _common, language_id
+from tilewright.llm import _common, language_id, mixing, packing
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -80,3 +80,27 @@ def test_mixed_files_keep_the_order(spark, stages):
     for r in stages[4].select("source").collect():
         seen[r.source] += 1
     assert sum(seen.values()) == stages[3].count()
+
+
+def test_mixed_order_reaches_the_sequences(spark, stages, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 20)
+    mix = mixing.mix(stages[3], seed=17).orderBy("slot", "place").collect()
+    at = {r.id: n for n, r in enumerate(mix)}
+    assert len(at) == len(mix) > 100
+
+    def bins(docs):
+        out = defaultdict(list)
+        for r in corpus_pipeline.pack_sequences(spark, docs, SF_DIR).collect():
+            out[r.sequence_id].append((r.offset, at[r.doc_id], r.piece))
+        return [[x[1:] for x in sorted(out[k])] for k in sorted(out)]
+
+    got = bins(stages[4])
+    # Sequences, and the pieces inside them, stand in mixed order ...
+    assert [b[0] for b in got] == sorted(b[0] for b in got) and all(b == sorted(b) for b in got)
+    # ... many are made of neighbours only, and without the mixing stage all this is lost.
+    span = lambda b: max(b)[0] - min(b)[0]
+    near = lambda all_bins: sum(span(b) < 20 for b in all_bins if len(b) > 1) / sum(len(b) > 1 for b in all_bins)
+    skipped = bins(stages[3])
+    assert near(got) > near(skipped)
+    assert [b[0] for b in skipped] != sorted(b[0] for b in skipped)
+    assert set(map(tuple, got)) != set(map(tuple, skipped))

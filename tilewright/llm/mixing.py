@@ -135,3 +135,14 @@ def mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: s
     )
     rows = c.join(rows, place, key).select("_row", "at.slot", "at.place", "id")
     return rows.repartitionByRange("slot", "place", "id").sortWithinPartitions("slot", "place", "id").select("_row.*")
+
+
+def file_order(docs: DataFrame) -> dict[str, Column]:
+    """Columns that put the rows of ``docs`` in the order of the files they are read from, such as those of :func:`mixed`:
+    the number of the task that wrote the file, the number of its file and the row inside it. ``docs`` must come
+    straight from Parquet files that Spark has written; else ``_metadata`` isn't found, or the cast fails."""
+    name = F.col("_metadata.file_name")
+    return {
+        "_task": F.regexp_extract(name, r"^part-([0-9]+)", 1).cast("long"), "_file": F.regexp_extract(name, r"-c([0-9]+)\.", 1).cast("long"),
+        "_row": F.col("_metadata.row_index"),
+    }

@@ -6,7 +6,8 @@ residual capacity must cover all three. Pieces are taken longest first, and of t
 is chosen that a weighted norm of what would be left (or a weighted dot product of demand and residual) prefers.
 
 Pieces are dealt into groups of bounded size that are packed side by side. Bins that stay less full than
-``full`` are opened again and dealt anew, in several rounds, so that the rests of all groups meet.
+``full`` are opened again and dealt anew, in several rounds, so that the rests of all groups meet. Groups are made
+by a hash, or, where an order is given, are windows of consecutive pieces of that order.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.operators import ordering
+
 from . import _common as c
 
 TOKENS = 4096
@@ -92,15 +95,20 @@ def _words(path: str, words: list[bytes]) -> dict[bytes, bytes]:
     return young
 
 
-def pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32 and, if asked for, the ids.
+def pieces(
+    docs: DataFrame, tokenizer: str, tokens: int = TOKENS, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False,
+    keep: dict[str, Column] | None = None,
+) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32, if asked for the ids, and the columns ``keep`` (name: column) of its document.
 
     The tokenizer file must treat white space as a border that leaves no trace (its ids of a text are those of
     the words one after the other); words are then encoded once per worker (case of ASCII letters must not matter to it either). A null text is empty: its only id
     is the end mark. Null ids and repeated rows are passed on.
     """
-    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    keep = keep or {}
+    rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *[v.alias(k) for k, v in keep.items()])
     kind = rows.schema["id"].dataType.simpleString()
+    carried = list(keep)
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +131,14 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = TOKENS, id_col: str =
                 if keep_ids:
                     arrays.append(pa.array(rest[4], pa.list_(pa.int32())))
                     names.append("ids")
+                for k in carried:
+                    arrays.append(b.column(k).take(pa.array(take, pa.int64())))
+                    names.append(k)
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
-    return rows.mapInArrow(run, schema + (", ids array<int>" if keep_ids else ""))
+    kept = "".join(f", `{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
+    return rows.mapInArrow(run, schema + (", ids array<int>" if keep_ids else "") + kept)
 
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> np.ndarray:
@@ -160,16 +172,28 @@ def best_fit(lengths: np.ndarray, capacity: Capacity) -> np.ndarray:
     return out
 
 
-def _grouped(rows: DataFrame, capacity: Capacity, full: int, spread: int) -> DataFrame:
-    """``rows`` with bin, offset and fill, packed in groups of about GROUP pieces (fewer where there are fewer)."""
-    groups = max(1, round(rows.count() / GROUP))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(spread), "id", "piece", "ids_crc32"), F.lit(groups)))
+def _grouped(rows: DataFrame, capacity: Capacity, spread: int) -> DataFrame:
+    """``rows`` with bin, offset and fill, packed in groups of about GROUP pieces (fewer where there are fewer).
+
+    Rows with an ``_at`` are grouped by windows of it, a bin is named by its first ``_at`` and laid out in that order.
+    """
+    n = rows.count()
+    groups = max(1, round(n / GROUP))
+    ordered = "_at" in rows.columns
+    if ordered:
+        rows = ordering.global_position(rows, ["_at"], "_group").withColumn("_group", F.expr(f"(_group - 1) * {groups} div {max(1, n)}"))
+    else:
+        rows = rows.withColumn("_group", F.pmod(F.xxhash64(F.lit(spread), "id", "piece", "ids_crc32"), F.lit(groups)))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "ids_crc32", "id", "piece"], ascending=False, kind="stable", na_position="last").reset_index(drop=True)
         which = best_fit(part["length"].to_numpy(), capacity)
         part["bin"] = which * np.int64(groups) + np.int64(key[0])
-        part = part.iloc[np.argsort(which, kind="stable")]
+        if ordered:
+            part["bin"] = part.groupby("bin")["_at"].transform("min")
+            part = part.sort_values(["bin", "_at"], kind="stable")
+        else:
+            part = part.iloc[np.argsort(which, kind="stable")]
         lengths = part.groupby("bin")["length"]
         part["offset"] = lengths.cumsum() - part["length"]
         part["fill"] = lengths.transform("sum")
@@ -179,27 +203,35 @@ def _grouped(rows: DataFrame, capacity: Capacity, full: int, spread: int) -> Dat
     return rows.groupBy("_group").applyInPandas(run, ", ".join([*fields, "bin long", "offset long", "fill long"]))
 
 
-def pack(parts: DataFrame, capacity: Capacity = Capacity(), full: float = 0.995, rounds: int = ROUNDS) -> DataFrame:
+def pack(parts: DataFrame, capacity: Capacity = Capacity(), full: float = 0.995, rounds: int = ROUNDS, order: list[str] | None = None) -> DataFrame:
     """``parts`` (id, piece, start, length, ids_crc32) with sequence_id and offset.
 
     Sequences hold at most ``capacity``; offsets are gapless from 0. A piece that alone exceeds the document or
     attention limit can't be packed: it raises. Equal pieces may swap places. An empty table gives no rows.
+
+    With ``order`` (columns that put the documents in order), pieces are packed with those near them: in windows of
+    GROUP consecutive pieces, what is left of these in windows of GROUP consecutive left ones. ``sequence_id`` then
+    is the place of a sequence's first piece among all pieces, and pieces keep their order inside a sequence.
     """
     least = int(full * capacity.tokens)
+    columns = ["id", "piece", "start", "length", "ids_crc32"]
     rows = c.save(parts, "pieces")
     worst = rows.agg(F.max("length")).first()[0] or 0
     if worst > capacity.tokens or worst * worst > capacity.attention or capacity.documents < 1:
         raise ValueError(f"a piece of {worst} tokens exceeds the capacity of a sequence")
-    columns = ["id", "piece", "start", "length", "ids_crc32"]
+    if order:
+        rows = ordering.global_position(rows.select(*columns, *order), [*order, "piece"], "_at").select(*columns, (F.col("_at") - 1).alias("_at"))
+        rows = c.save(rows, "ordered")
+        columns = [*columns, "_at"]
     # Whole sequences need no packing.
-    done = rows.where(F.col("length") == capacity.tokens).select(
-        *columns, (F.monotonically_increasing_id() * 8).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
-    )
+    whole = F.col("_at") if order else F.monotonically_increasing_id() * 8
+    done = rows.where(F.col("length") == capacity.tokens).select(*columns, whole.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     done = c.save(done, "whole")
     rest = rows.where(F.col("length") < capacity.tokens)
     for k in range(1, rounds + 1):
-        packed = c.save(_grouped(rest.select(*columns), capacity, least, k), "packed")
+        packed = c.save(_grouped(rest.select(*columns), capacity, k), "packed")
         final = packed if k == rounds else packed.where(F.col("fill") >= least)
-        done = done.unionByName(final.select(*columns, (F.col("bin") * 8 + k).alias("sequence_id"), "offset"))
+        name = F.col("bin") if order else F.col("bin") * 8 + k
+        done = done.unionByName(final.select(*columns, name.alias("sequence_id"), "offset"))
         rest = packed.where(F.col("fill") < least)
-    return done
+    return done.drop("_at")
