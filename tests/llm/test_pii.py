@@ -67,3 +67,22 @@ def test_messy(messy, empty):
     got = Counter((r.id, r.text) for r in pii.pseudonymize(messy, "k").collect())
     assert got == Counter(r[:2] for r in TEXTS)
     assert pii.pseudonymize(empty, "k").count() == 0
+
+
+def test_national_phone_numbers_go_whole(spark):
+    whole = [
+        "+49 30 12 34 56 78", "+33 6 12 34 56 78", "+33 (0)6 12 34 56 78", "+49 30/123 45 67 8", "+1 2 3 4 5 6 7 8", "+49 (0) 30 - 12 34 56", "+33\u00a06\u202f12 34 56 78",
+        "+358 9 1 23 45 67 89 01", "+12 34 56",
+    ]
+    rows = [(i, f"Tel. {x}, bis 9 Uhr") for i, x in enumerate(whole)]
+    # What follows is another number, or more than 15 digits.
+    rows += [(100, "+49 30 123456 10.20.30.40"), (101, "+1 017 555 7713 4785 3805 9239 1139"), (102, "+49 30 12 34 56 78 2024")]
+    got = run(spark, rows)
+    for i, x in enumerate(whole):
+        text = got[i].text
+        assert re.sub("[0-9]", "0", text) == re.sub("[0-9]", "0", rows[i][1]) and text.endswith(", bis 9 Uhr")
+        assert got[i].kinds == {"phone": 1}
+        was, now = (re.findall("[0-9]+", t)[:-1] for t in (rows[i][1], text))
+        assert sum(a == b for a, b in zip("".join(was), "".join(now), strict=True)) < len("".join(was)) / 2
+    assert got[100].kinds == {"phone": 1, "ip": 1} and got[101].kinds == {"phone": 1, "card": 1}
+    assert got[102].kinds == {"phone": 1} and got[102].text.endswith(" 2024")

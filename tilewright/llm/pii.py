@@ -20,14 +20,21 @@ _TITLES = {
     "name_f": r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra|Г-жа|Κυρία",
 }
 _NAME = r"\p{Lu}[\p{L}'’-]+(?:\x20\p{Lu}[\p{L}'’-]+){0,2}"
+_IP = rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
+_SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+_CARD = r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}(?![0-9])"
+#: Between the digits of a number that begins with +; a space before another kind of number ends it.
+_GAP = rf"(?:(?!\x20(?:{_IP}|{_SSN}|{_CARD}(?![\x20-][0-9])))(?:[\x20\u00A0\u202F][-–/][\x20\u00A0\u202F]|[\x20\u00A0\u202F./‐‑–-]))?"
+#: 7 to 15 digits in groups of any width.
+_GROUPS = rf"\+[0-9](?:{_GAP}\(?[0-9]\)?){{6,14}}"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}",
-    "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
+    "ip": _IP,
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,3}|\([0-9]{3}\)\x20?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}(?![0-9])",
+    "ssn": _SSN,
+    "phone": rf"(?<![0-9+])(?:{_GROUPS}(?![0-9])|" + r"\+[0-9]{1,3}[\x20.-]?(?:\([0-9]{1,4}\)[\x20.-]?)?[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,3}|\([0-9]{3}\)\x20?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
+    "card": _CARD,
     "name": rf"(?<![\p{{L}}])(?:{'|'.join(_TITLES.values())})\.?\x20{_NAME}",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
