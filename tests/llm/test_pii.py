@@ -1,5 +1,6 @@
 import re
 from collections import Counter
+from unicodedata import name
 
 from tests.llm.conftest import TEXTS
 from tilewright.llm import pii
@@ -86,3 +87,27 @@ def test_national_phone_numbers_go_whole(spark):
         assert sum(a == b for a, b in zip("".join(was), "".join(now), strict=True)) < len("".join(was)) / 2
     assert got[100].kinds == {"phone": 1, "ip": 1} and got[101].kinds == {"phone": 1, "card": 1}
     assert got[102].kinds == {"phone": 1} and got[102].text.endswith(" 2024")
+
+
+def test_addresses_in_other_scripts(spark):
+    mails = [
+        "王伟@例子.中国", "王@例.中国", "محمد@مثال.إختبار", "דוד@דוגמה.ישראל", "अजय@उदाहरण.भारत", "김철수@도메인.한국", "さくら@ドメイン.日本", "สมชาย@ตัวอย่าง.ไทย",
+        "łukasz.ğ@őß.pl", "їжак@ёлка.укр", "ώρα@ής.ελ", "२३४५६७८@उदय.भारत", "a.王伟.b@例子.com", "\U00010400\U00010401@x.org",
+    ]
+    got = run(spark, [(i, f"An: {x}, danke") for i, x in enumerate(mails)])
+    for i, x in enumerate(mails):
+        assert got[i].kinds == {"email": 1}
+        new = re.fullmatch("An: (.*), danke", got[i].text)[1]
+        old, new = (m.rpartition(".")[::2] for m in (x, new))
+        assert old[1] == new[1] and len(old[0]) == len(new[0])
+        letters = [(a, b) for a, b in zip(old[0], new[0], strict=True) if a.isalnum()]
+        assert all(b.isalnum() for _, b in letters) and sum(a == b for a, b in letters) <= len(letters) / 3
+    script = lambda t: {name(x).split()[0] for x in t if x.isalpha()}
+    for i in (0, 2, 3, 4, 5, 7, 9, 10):
+        assert script(got[i].text[4:-7]) == script(mails[i])
+
+
+def test_addresses_that_use_up_all_letters_still_get_surrogates(spark):
+    mails = [f"{a}@{b}.org" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    got = {r.text for r in run(spark, list(enumerate(mails))).values()}
+    assert len(got) == len(mails) and not got & set(mails)

@@ -29,7 +29,7 @@ _GAP = rf"(?:(?!\x20(?:{_IP}|{_SSN}|{_CARD}(?![\x20-][0-9])))(?:[\x20\u00A0\u202
 _GROUPS = rf"\+[0-9](?:{_GAP}\(?[0-9]\)?){{6,14}}"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}\p{M}._%+-])[\p{L}\p{N}][\p{L}\p{N}\p{M}._%+-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}-]*[\p{L}\p{N}\p{M}])?\.)+\p{L}[\p{L}\p{M}]+",
     "ip": _IP,
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "ssn": _SSN,
@@ -44,6 +44,22 @@ _ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâãäåçèéêëìíîïñòóôõöùúûüý", "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ",
     "абвгдежзийклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
+#: What letters and digits outside those lists are drawn from, by class; the first class that holds one counts.
+_DRAWN = {
+    r"\p{N}": "0123456789", r"\p{IsCyrillic}": _ALPHABETS[5], r"\p{IsGreek}": _ALPHABETS[7],
+    **{
+        rf"\p{{Is{script}}}": "".join(x for x in map(chr, range(first, last + 1)) if x.isalpha())
+        for script, first, last in (
+            ("Han", 0x4E00, 0x5DFF), ("Hangul", 0xAC00, 0xB3FF), ("Hiragana", 0x3041, 0x3096), ("Katakana", 0x30A1, 0x30FA), ("Bopomofo", 0x3105, 0x312F),
+            ("Arabic", 0x0621, 0x064A), ("Hebrew", 0x05D0, 0x05EA), ("Syriac", 0x0710, 0x072F), ("Thaana", 0x0780, 0x07A5), ("Armenian", 0x0561, 0x0586),
+            ("Georgian", 0x10D0, 0x10F0), ("Ethiopic", 0x1200, 0x1248), ("Devanagari", 0x0905, 0x0939), ("Bengali", 0x0985, 0x09B9), ("Gurmukhi", 0x0A05, 0x0A39),
+            ("Gujarati", 0x0A85, 0x0AB9), ("Oriya", 0x0B05, 0x0B39), ("Tamil", 0x0B85, 0x0BB9), ("Telugu", 0x0C05, 0x0C39), ("Kannada", 0x0C85, 0x0CB9),
+            ("Malayalam", 0x0D05, 0x0D39), ("Sinhala", 0x0D85, 0x0DC6), ("Thai", 0x0E01, 0x0E2E), ("Lao", 0x0E81, 0x0EAE), ("Tibetan", 0x0F40, 0x0F6C),
+            ("Myanmar", 0x1000, 0x102A), ("Khmer", 0x1780, 0x17A2), ("Mongolian", 0x1820, 0x1842),
+        )
+    },
+    r"\p{L}": "abcdefghijklmnopqrstuvwxyz",
+}
 #: Consonants, vowels and the endings of men's and women's names, by script.
 _SYLLABLES = {
     "latin": ("bdfgklmnprstv", "aeiou", ("n", "r", "s", "k"), ("na", "la", "ra", "sa")),
@@ -62,10 +78,13 @@ def _pick(letters: str | tuple[str, ...], n: Column) -> Column:
 
 
 def _shifted(value: Column, digest: Column) -> Column:
-    """Every letter and digit moved inside its own script and case; all else stays."""
+    """Every letter and digit moved inside its own script and case, or drawn anew from its script (Latin, if that isn't
+    known) where it has no place in the lists; all else stays."""
 
     def one(ch: Column, i: Column) -> Column:
-        out = ch
+        out, at = ch, _byte(digest, i) * 256 + _byte(digest, i + 11) + F.floor(i / 32).cast("int")
+        for k, a in reversed(_DRAWN.items()):
+            out = F.when(ch.rlike(k), F.substr(F.lit(a), at % len(a) + 1, F.lit(1))).otherwise(out)
         for a in _ALPHABETS:
             at = F.instr(F.lit(a), ch)
             out = F.when(at > 0, F.substr(F.lit(a), (at - 1 + _byte(digest, i) + F.floor(i / 32).cast("int")) % len(a) + 1, F.lit(1))).otherwise(out)
@@ -104,7 +123,9 @@ def _surrogate(key: str) -> Column:
     kind, canon, attempt = F.col("kind"), F.col("canon"), F.col("attempt")
     digest = F.sha2(F.concat_ws("\x01", F.lit(key), kind, canon, attempt.cast("string")), 256)
     top = F.length(F.substring_index(canon, ".", -1)) + 1
-    mail = F.concat(_shifted(F.substr(canon, F.lit(1), F.length(canon) - top), digest), F.substr(canon, F.length(canon) - top + 1, top))
+    # Later attempts are longer, so there is always another one.
+    more = F.when(attempt >= 4, F.lower(_word(canon, digest, attempt, None))).otherwise("")
+    mail = F.concat(more, _shifted(F.substr(canon, F.lit(1), F.length(canon) - top), digest), F.substr(canon, F.length(canon) - top + 1, top))
     account = F.concat(F.substr(canon, F.lit(1), F.lit(2)), _shifted(F.substr(canon, F.lit(3), F.length(canon)), digest))
     return (
         F.when(kind == "email", mail).when(kind == "ip", _octets(canon, digest)).when(kind == "iban", account)
