@@ -30,11 +30,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence of at most 4096 tokens, in the order of the files of ``docs``."""
+    """Every piece of every document with its ids and its place in a sequence of at most 4096 tokens, in the order of the
+    files of ``docs``; ``packing.write_sequences`` makes training sequences of them."""
     import public_tokenizers
 
     order = mixing.file_order(docs)
-    parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep=order)
+    parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True, keep=order)
     return packing.pack(parts, order=list(order)).withColumnRenamed("id", "doc_id")
 
 

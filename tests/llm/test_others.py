@@ -232,6 +232,32 @@ def test_held_out_ids(spark):
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
 
 
+@pytest.mark.parametrize("order", [None, ["nth"]])
+def test_whole_sequences_hold_the_tokens(spark, messy, empty, tmp_path, order):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    docs = spark.createDataFrame([(n, i, text) for n, (i, text, *_) in enumerate(TEXTS)], "nth long, doc_id long, text string")
+    packed = packing.pack(packing.pieces(docs, WORDS, keep_ids=True, keep={"nth": docs["nth"]}), order=order).cache()
+    packing.write_sequences(packed, str(tmp_path / "out"))
+    got = Counter()
+    for s in spark.read.parquet(str(tmp_path / "out")).collect():
+        ids = np.frombuffer(s.ids, dtype="<u4")
+        assert len(ids) == s.length == sum(p.length for p in s.pieces) <= 4096
+        for p in s.pieces:
+            got[p.id, p.piece, p.start, tuple(ids[p.offset : p.offset + p.length].tolist())] += 1
+    want = Counter()
+    for i, text, *_ in TEXTS:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [1]
+        for n, at in enumerate(range(0, len(ids), 4096)):
+            want[i, n, at, tuple(ids[at : at + 4096])] += 1
+    assert got == want
+    # The digest columns follow from the ids of the sequences.
+    thin = ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    read = packing.digests(spark.read.parquet(str(tmp_path / "out")))
+    assert read.columns == thin and Counter(map(tuple, read.collect())) == Counter(map(tuple, packed.select(*thin).collect()))
+
+
 # Mixing
 
 

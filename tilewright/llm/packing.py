@@ -99,7 +99,8 @@ def pieces(
     docs: DataFrame, tokenizer: str, tokens: int = TOKENS, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False,
     keep: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32, if asked for the ids, and the columns ``keep`` (name: column) of its document.
+    """One row per piece: id, piece, start, length, ids_crc32, if asked for the ids (little-endian 32-bit numbers), and
+    the columns ``keep`` (name: column) of its document.
 
     The tokenizer file must treat white space as a border that leaves no trace (its ids of a text are those of
     the words one after the other); words are then encoded once per worker (case of ASCII letters must not matter to it either). A null text is empty: its only id
@@ -124,12 +125,12 @@ def pieces(
                     for n, start in enumerate(range(0, len(ids), 4 * tokens)):
                         part = ids[start : start + 4 * tokens]
                         take.append(i)
-                        for column, v in zip(rest, (n, start // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, dtype="<u4").tolist() if keep_ids else None), strict=True):
+                        for column, v in zip(rest, (n, start // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):
                             column.append(v)
                 arrays = [b.column("id").take(pa.array(take, pa.int64())), pa.array(rest[0], pa.int32()), *[pa.array(x, pa.int64()) for x in rest[1:4]]]
                 names = ["id", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    arrays.append(pa.array(rest[4], pa.list_(pa.int32())))
+                    arrays.append(pa.array(rest[4], pa.binary()))
                     names.append("ids")
                 for k in carried:
                     arrays.append(b.column(k).take(pa.array(take, pa.int64())))
@@ -138,7 +139,7 @@ def pieces(
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
     kept = "".join(f", `{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, schema + (", ids array<int>" if keep_ids else "") + kept)
+    return rows.mapInArrow(run, schema + (", ids binary" if keep_ids else "") + kept)
 
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> np.ndarray:
@@ -204,8 +205,9 @@ def _grouped(rows: DataFrame, capacity: Capacity, spread: int) -> DataFrame:
 
 
 def pack(parts: DataFrame, capacity: Capacity = Capacity(), full: float = 0.995, rounds: int = ROUNDS, order: list[str] | None = None) -> DataFrame:
-    """``parts`` (id, piece, start, length, ids_crc32) with sequence_id and offset.
+    """``parts`` (id, piece, start, length, ids_crc32) with sequence_id and offset, and with their other columns, such as ids.
 
+    Other columns aren't moved while packing; they are joined to the placed pieces by a number given to each piece before.
     Sequences hold at most ``capacity``; offsets are gapless from 0. A piece that alone exceeds the document or
     attention limit can't be packed: it raises. Equal pieces may swap places. An empty table gives no rows.
 
@@ -215,7 +217,9 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity(), full: float = 0.995,
     """
     least = int(full * capacity.tokens)
     columns = ["id", "piece", "start", "length", "ids_crc32"]
-    rows = c.save(parts, "pieces")
+    extra = [k for k in parts.columns if k not in columns and k not in (order or [])]
+    everything = rows = c.save(parts.withColumn("_key", F.monotonically_increasing_id()), "pieces")
+    columns = [*columns, "_key"]
     worst = rows.agg(F.max("length")).first()[0] or 0
     if worst > capacity.tokens or worst * worst > capacity.attention or capacity.documents < 1:
         raise ValueError(f"a piece of {worst} tokens exceeds the capacity of a sequence")
@@ -234,4 +238,34 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity(), full: float = 0.995,
         name = F.col("bin") if order else F.col("bin") * 8 + k
         done = done.unionByName(final.select(*columns, name.alias("sequence_id"), "offset"))
         rest = packed.where(F.col("fill") < least)
-    return done.drop("_at")
+    done = done.drop("_at")
+    if extra:
+        # Placed pieces are narrow: they are hashed, so that the wide side isn't sorted.
+        done = everything.select("_key", *extra).join(done.hint("shuffle_hash"), "_key").select(*done.columns, *extra)
+    return done.drop("_key")
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """One row per sequence of ``packed`` (:func:`pack` of pieces with ids): sequence_id, length, ids, pieces.
+
+    ``ids`` are all ids of the sequence, as little-endian 32-bit numbers (``numpy.frombuffer(ids, "<u4")``); ``pieces``
+    are its pieces in order (offset, length, id, piece, start), whose borders bound attention and give positions.
+    """
+    rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "id", "piece", "start", "ids"))).alias("_p"))
+    # Hexadecimal text, as joining binaries one by one would copy the front of a sequence for every piece.
+    return rows.select(
+        "sequence_id", F.expr("aggregate(_p, 0L, (a, x) -> a + x.length)").alias("length"),
+        F.expr("unhex(array_join(transform(_p, x -> hex(x.ids)), ''))").alias("ids"),
+        F.expr("transform(_p, x -> struct(x.offset, x.length, x.id, x.piece, x.start))").alias("pieces"),
+    )
+
+
+def write_sequences(packed: DataFrame, path: str) -> None:
+    """Write :func:`sequences` of ``packed`` as Parquet, in the order of sequence_id across and inside the files."""
+    sequences(packed).repartitionByRange("sequence_id").sortWithinPartitions("sequence_id").write.parquet(path)
+
+
+def digests(whole: DataFrame) -> DataFrame:
+    """One row per piece of :func:`sequences`, as :func:`pack` gives it: the checksum is that of the ids at its place."""
+    piece = "struct(x.id, x.piece, x.start, x.length, crc32(substring(ids, int(4 * x.offset + 1), int(4 * x.length))) AS ids_crc32, sequence_id, x.offset)"
+    return whole.select(F.expr(f"inline(transform(pieces, x -> {piece}))"))
