@@ -65,5 +65,16 @@ def test_outliers_of_their_group_go(spark):
     assert np.allclose(root @ root.T, cov, rtol=0.1, atol=0.02)
 
 
+def test_copies_of_one_outlier_do_not_hide_it(spark):
+    rnd = random.Random(5)
+    prose = lambda n, k: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, k))) for _ in range(n))
+    rows = [(i, prose(rnd.randrange(60, 400), 9), "en", "s") for i in range(200)]
+    junk = prose(200, 9).replace(" ", "*** ")
+    bad = [(1000 + i, junk, "en", "s") for i in range(100)] + [(2000 + i, prose(200, 9).replace(" ", "#*** "), "en", "s") for i in range(5)]
+    docs = spark.createDataFrame(rows + bad, "doc_id long, text string, lang string, source string").repartition(4)
+    got = {r.id: r.kept for r in quality.quality(docs).collect()}
+    assert len(got) == 305 and got == {i: i < 1000 for i in got}
+
+
 def test_empty(empty):
     assert quality.quality(empty).count() == 0

@@ -1,7 +1,8 @@
 """Quality by robust multivariate outliers.
 
 Each text is a vector of transformed statistics. Per language and source, the minimum-covariance-determinant estimate
-(the mean and covariance of the three quarters of the rows that lie closest together) describes ordinary texts;
+(the mean and covariance of the three quarters of the rows that lie closest together) describes ordinary texts, of
+which equal ones count once, so that copies can't make up the estimate they are judged by;
 texts far from it by Mahalanobis distance are rejected, as are those that fail fixed rules.
 """
 
@@ -121,9 +122,9 @@ def quality(
     base_failed: under 50 words, or over half of the words in repeated windows of three. The others are kept
     unless their distance exceeds ``cutoff``. Groups of under MIN_GROUP rows are pooled by language; a null
     language or source is one of its own. A null or blank text has no words and fails. Estimates are made
-    from rows that don't fail; ``distance2`` is null where there is none. An empty table gives no rows.
+    from rows that don't fail, equal texts of a group once; every row is judged. ``distance2`` is null where there is none. An empty table gives no rows.
     """
-    rows = statistics(docs, id_col, text_col, {"lang": docs[lang_col].cast("string"), "source": docs[source_col].cast("string")})
+    rows = statistics(docs, id_col, text_col, {"lang": docs[lang_col].cast("string"), "source": docs[source_col].cast("string"), "h": F.xxhash64(docs[text_col])})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = c.save(rows.withColumn("base_failed", failed).withColumn("g", F.to_json(F.struct("lang", "source"))), "statistics")
     sizes = c.save(rows.where("not base_failed").groupBy("g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_GROUP), "groups")
@@ -132,7 +133,8 @@ def quality(
     vectors = rows
     for i, v in enumerate(vector()):
         vectors = vectors.withColumn(f"x{i}", v)
-    found = c.save(estimates(vectors.where("not base_failed")), "estimates")
+    once = vectors.where("not base_failed").dropDuplicates(["g", "h", "n_words", "word_chars"]).select("g", "id", *[f"x{i}" for i in range(_N)])
+    found = c.save(estimates(c.save(once, "once")), "estimates")
     out = _distance(c.lookup(vectors, found, ["g"], ["id", "word_chars"]))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") > cutoff, F.lit(False))
     return out.select(
