@@ -19,6 +19,7 @@ from tilewright.functions._cols import pow2
 from tilewright.functions.encoding import decode_height, encode_height
 from tilewright.session import cut_lineage
 
+from . import kernels
 from .index import filed, own_level
 
 NODATA = -9999.0  # fixed value: default sentinel read and written for nodata
@@ -142,51 +143,47 @@ def bilinear(a: Column, b: Column, c: Column, d: Column, u: Column, v: Column) -
 
 
 def best_value(samples: DataFrame, keys: list[str], priority: str = "resolution") -> DataFrame:
-    """One value per position: that of the finest raster, or the largest; nodata never wins.
+    """One value per key: that of the finest raster, or the largest; nodata never wins.
 
-    A single ``groupBy`` with a map-side part, however many rasters lie over one place.
+    A single ``groupBy`` with a map-side part, however many rasters lie over one place. Columns besides keys, file_id, px
+    and value must not differ inside a key and are kept.
     """
+    rest = [F.first(k).alias(k) for k in samples.columns if k not in (*keys, "file_id", "px", "value")]
     if priority == "max":
-        return samples.groupBy(*keys).agg(F.max("value").alias("value"))
+        return samples.groupBy(*keys).agg(*rest, F.max("value").alias("value"))
     rank = F.when(F.col("value").isNotNull(), F.struct(F.col("px") * F.col("px"), F.col("file_id")))
     return samples.groupBy(*keys).agg(
-        F.min_by("value", rank).alias("value"),
+        *rest, F.min_by("value", rank).alias("value"),
         F.min_by(F.when(F.col("value").isNotNull(), F.col("file_id")), rank).alias("file_id"),
     )
 
 
 def mosaic(points: DataFrame, rasters: DataFrame, cells: DataFrame, priority: str = "resolution", method: str = "bilinear") -> DataFrame:
-    sample = sample_bilinear if method == "bilinear" else sample_nearest
-    return best_value(sample(points, rasters, cells), points.columns, priority)
-
-
-# fixed values: offset of the first sample of a tile, in steps to the east and north
-LATTICE_SHIFT = {"half": (0.5, 0.5), "edge": (0.0, 0.0), "grown": (-0.5, 0.5)}
+    """One row per row of ``points`` with the value on top there, null where no raster has one.
 
+    Positions are numbered first, so equal ones stay rows of their own; each takes part once without a raster, so none is lost.
+    """
+    sample = sample_bilinear if method == "bilinear" else sample_nearest
+    numbered = cut_lineage(points.withColumn("_position", F.monotonically_increasing_id()))
+    bare = {k: F.lit(None).cast(t) for k, t in (("file_id", "bigint"), ("px", "double"), ("value", "double"))}
+    found = sample(numbered, rasters, cells).select(*numbered.columns, "file_id", "px", "value").unionByName(numbered.withColumns(bare))
+    return best_value(found, ["_position"], priority).drop("_position").select(*points.columns, "value", *(["file_id"] if priority != "max" else []))
 
-def tile_lattice(tiles: DataFrame, n: int, spacing: str = "half") -> DataFrame:
-    """``n`` x ``n`` positions per geodetic tile, spaced by extent / (n - 1), rows from the south.
 
-    ``half``: starting half a step inside, so that the last column and row lie just outside;
-    ``edge``: from edge to edge; ``grown``: cell centres of the bounds grown by one step to the
-    west and north.
-    """
-    zero, last = F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")
-    t = tiles.select("z", "x", "y").withColumns(grid.geodetic_bounds("z", "x", "y"))
-    t = t.withColumn("col", F.explode(F.sequence(zero, last))).withColumn("row", F.explode(F.sequence(zero, last)))
-    shift_x, shift_y = LATTICE_SHIFT[spacing]
-    sx, sy = (F.col("east") - F.col("west")) / (n - 1), (F.col("north") - F.col("south")) / (n - 1)
-    return t.select(
-        "z", "x", "y", "col", "row",
-        (F.col("west") + sx * (F.col("col") + shift_x)).alias("lon"), (F.col("south") + sy * (F.col("row") + shift_y)).alias("lat"),
-    )
+def tile_fragments(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int, spacing: str, bilinear: bool) -> DataFrame:
+    """Samples of every tile from every block of cells it touches (see :mod:`.kernels`)."""
+    pairs = kernels.tile_blocks(tiles.select("z", "x", "y").distinct(), rasters, n, spacing, BLOCK)
+    return kernels.fragments(pairs.join(cell_blocks(cells), ["file_id", "_bx", "_by"], "left"), n, spacing, BLOCK, bilinear)
 
 
 def tile_raster(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int = 256, priority: str = "resolution",
                 method: str = "bilinear", spacing: str = "half") -> DataFrame:
-    """Cells of each tile sampled from all rasters below it; cells without data are left out."""
-    got = mosaic(tile_lattice(tiles, n, spacing), rasters, cells, priority, method)
-    return got.select("z", "x", "y", "col", "row", "value")
+    """Cells of each tile sampled from all rasters below it, from the finest raster with a value (or the largest value).
+
+    Places that no raster covers are left out; null stands where the rasters hold no data. A tile asked for twice comes once.
+    """
+    found = tile_fragments(tiles, rasters, cells, n, spacing, method == "bilinear")
+    return kernels.layered(found, n, [F.col("px") * F.col("px"), F.col("file_id")], "covered", priority == "max")
 
 
 def sample_tile_bilinear(points: DataFrame, tile_cells: DataFrame, n: int) -> DataFrame:
@@ -329,13 +326,8 @@ def warp_tile(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int, re
         })
         reduced = c.groupBy(*keys, "file_id").agg(AGGREGATES[resampling](F.col("value")).alias("value")).join(z, ["z", "x", "y"], "left_semi")
         return _on_top(reduced, keys)
-    b = grid.geodetic_bounds("z", "x", "y")
-    zero, last = F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")
-    lattice = tiles.select("z", "x", "y").withColumn("col", F.explode(F.sequence(zero, last))).withColumn("row", F.explode(F.sequence(zero, last)))
-    step = (b["east"] - b["west"]) / n
-    lattice = lattice.withColumns({"lon": b["west"] + step * (F.col("col") + 0.5), "lat": b["south"] + step * (F.col("row") + 0.5)})
-    sample = sample_bilinear if resampling == "bilinear" else sample_nearest
-    return _on_top(sample(lattice, rasters, clean), keys)
+    found = tile_fragments(tiles, rasters, clean, n, "cells", resampling == "bilinear")
+    return kernels.layered(found, n, [F.desc("file_id")], "value")
 
 
 def _on_top(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -401,11 +393,8 @@ def heightmap(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int = 6
 
     Cells without data are 0 metres. Adds the stored 16-bit height.
     """
-    lattice = tile_lattice(tiles, n, "grown")
-    samples = sample_bilinear(lattice, rasters, cells).select("z", "x", "y", "col", "row", "file_id", "px", "value")
-    empty = lattice.select("z", "x", "y", "col", "row", F.lit(None).cast("bigint").alias("file_id"), F.lit(None).cast("double").alias("px"), F.lit(None).cast("double").alias("value"))
-    # every cell takes part once without a value, so cells without data stay in the one aggregate
-    full = best_value(samples.unionByName(empty), ["z", "x", "y", "col", "row"])
+    found = tile_fragments(tiles, rasters, cells, n, "grown", True).unionByName(kernels.blank_parts(tiles.select("z", "x", "y").distinct(), n))
+    full = kernels.layered(found, n, [F.col("px").isNull(), F.col("px") * F.col("px"), F.col("file_id")], "all")
     v = F.coalesce(F.col("value"), F.lit(0.0))
     return full.select("z", "x", "y", "col", "row", v.alias("height"), encode_height(v).alias("stored"))
 

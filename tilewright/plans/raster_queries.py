@@ -42,11 +42,11 @@ COVER = """cov as (select p.*, r.file_id, r.w, r.n, r.px, r.cols, r.rows, (lon -
 AT = """aa as (select *, greatest(0, least(cast(floor(ux) as bigint), cols - 1)) as c0, greatest(0, least(cast(floor(uy) as bigint), rows - 1)) as r0 from cov)"""
 
 
-def bilinear_sql(points: str = "probes", cells: str = "cells") -> str:
+def bilinear_sql(points: str = "probes", cells: str = "cells", cover: str | None = None) -> str:
     joins = "\n".join(
         f"left join {cells} v{a}{b} on v{a}{b}.file_id = a.file_id and v{a}{b}.col = least(c0 + {a}, cols - 1) and v{a}{b}.row = least(r0 + {b}, rows - 1)"
         for a in (0, 1) for b in (0, 1))
-    return f"""{COVER.format(points=points)}, {AT},
+    return f"""{cover or COVER.format(points=points)}, {AT},
 bl as (select a.*, coalesce((v00.value * (1 - (ux - c0)) + v10.value * (ux - c0)) * (1 - (uy - r0)) + (v01.value * (1 - (ux - c0)) + v11.value * (ux - c0)) * (uy - r0), v00.value) as value
   from aa a {joins})"""
 
@@ -68,12 +68,12 @@ BEST = "row_number() over (partition by {k} order by case when value is null the
 
 @query("j05_mosaic", f"""with {bilinear_sql()},
 b as (select *, {BEST.format(k='pid')} as k from bl)
-select pid, round(value, 6) as value, case when value is not null then file_id end as file_id from b where k = 1""")
+select p.pid, round(value, 6) as value, case when value is not null then file_id end as file_id from probes p left join (select * from b where k = 1) b on b.pid = p.pid""")
 def j05(i):
     return rasters.mosaic(i.probes, i.rasters, i.cells).select("pid", r(F.col("value")).alias("value"), "file_id")
 
 
-@query("j05_mosaic_max", f"with {bilinear_sql()} select pid, round(max(value), 6) as value from bl group by pid")
+@query("j05_mosaic_max", f"with {bilinear_sql()} select p.pid, round(max(value), 6) as value from probes p left join bl on bl.pid = p.pid group by p.pid")
 def j05_max(i):
     return rasters.mosaic(i.probes, i.rasters, i.cells, "max").select("pid", r(F.col("value")).alias("value"))
 
@@ -99,12 +99,36 @@ def lattice_sql(z: int, n: int, shift, step: str, name: str = "lat") -> str:
 SAMPLED = "pt as (select z, x, y, col as tc, row as tr, lon, lat from lat)"
 
 
-@query("j06_tile_raster", f"""with {tiles_sql(6)}, {lattice_sql(6, 16, (0.5, 0.5), '15')}, {SAMPLED}, {bilinear_sql('pt')},
+def tile_cover_sql(z: int, n: int, shift, step: int) -> str:
+    """Positions of whole tiles with each raster over them: pairs of tiles and rasters first, then one axis, then the other."""
+    a = 180 / 2 ** z
+    west, south, (sx, sy) = f"(x * {a}e0 - 180)", f"(y * {a}e0 - 90)", shift
+    return f"""bx as (select tl.*, r.* from tl join rasters r on w <= {west} + {a}e0 / {step} * ({n - 1} + {sx}) and w + cols * px >= {west} + {a}e0 / {step} * {sx}
+  and r.n >= {south} + {a}e0 / {step} * {sy} and r.n - rows * px <= {south} + {a}e0 / {step} * ({n - 1} + {sy})),
+lo as (select * from (select bx.*, range as tc, {west} + {a}e0 / {step} * (range + {sx}) as lon from bx cross join range({n}) k) q where lon >= w and lon <= w + cols * px),
+cov as (select *, (lon - w) / px as ux, (n - lat) / px as uy from (select lo.*, range as tr, {south} + {a}e0 / {step} * (range + {sy}) as lat from lo cross join range({n}) k) q
+  where lat <= n and lat >= n - rows * px)"""
+
+
+# the odd offset keeps values off the borders of rounding, where the last bit would decide
+MILLI = "floor(value * 1000 + 0.123457)"
+WHOLE_SQL = f"""select z, x, y, count(*) as cells, count(value) as valued, cast(sum(cast({MILLI} as bigint)) as bigint) as total,
+  cast(sum(cast({MILLI} as bigint) * (tc + 1)) as bigint) as by_col, cast(sum(cast({MILLI} as bigint) * (tr + 1)) as bigint) as by_row"""
+
+
+def whole_tiles(cells):
+    """One row per tile: number of cells and of values, and sums of values that tell where each lies."""
+    milli = F.floor(F.col("value") * 1000 + 0.123457)
+    return cells.groupBy("z", "x", "y").agg(
+        F.count("*").alias("cells"), F.count("value").alias("valued"), F.sum(milli).alias("total"),
+        F.sum(milli * (F.col("col") + 1)).alias("by_col"), F.sum(milli * (F.col("row") + 1)).alias("by_row"))
+
+
+@query("j06_tile_raster", f"""with {tiles_sql(6)}, {bilinear_sql(cover=tile_cover_sql(6, 256, (0.5, 0.5), 255))},
 b as (select *, {BEST.format(k='z, x, y, tc, tr')} as k from bl)
-select z, x, y, tc as col, tr as row, round(value, 6) as value from b where k = 1""")
+{WHOLE_SQL} from b where k = 1 group by z, x, y""")
 def j06(i):
-    t = rasters.tile_raster(area_tiles(i, 6), i.rasters, i.cells, 16)
-    return t.withColumn("value", r(F.col("value")))
+    return whole_tiles(rasters.tile_raster(area_tiles(i, 6), i.rasters, i.cells, 256))
 
 
 @query("j07_sample_tile_bilinear", """
@@ -165,32 +189,32 @@ def r05(i):
 CLEAN = "cl as (select file_id, col, row, nullif(value, 0) as value from cells)"
 
 
-@query("r06_warp_near", f"""with {tiles_sql(6)}, {CLEAN}, {lattice_sql(6, 16, (0.5, 0.5), '16')}, {SAMPLED}, {COVER.format(points='pt')}, {AT},
+@query("r06_warp_near", f"""with {tiles_sql(6)}, {CLEAN}, {tile_cover_sql(6, 256, (0.5, 0.5), 256)}, {AT},
 s as (select a.*, value from aa a join cl c on c.file_id = a.file_id and c.col = c0 and c.row = r0 where value is not null)
-select z, x, y, tc as col, tr as row, value from (select *, row_number() over (partition by z, x, y, tc, tr order by file_id desc) as k from s) q where k = 1""")
+{WHOLE_SQL} from (select *, row_number() over (partition by z, x, y, tc, tr order by file_id desc) as k from s) q where k = 1 group by z, x, y""")
 def r06(i):
-    return rasters.warp_tile(area_tiles(i, 6), i.rasters, i.cells, 16)
+    return whole_tiles(rasters.warp_tile(area_tiles(i, 6), i.rasters, i.cells, 256))
 
 
-@query("r06_warp_bilinear", f"""with {tiles_sql(6)}, {CLEAN}, {lattice_sql(6, 16, (0.5, 0.5), '16')}, {SAMPLED}, {bilinear_sql('pt', 'cl')}
-select z, x, y, tc as col, tr as row, round(value, 6) as value from (select *, row_number() over (partition by z, x, y, tc, tr order by file_id desc) as k from bl where value is not null) q where k = 1""")
+@query("r06_warp_bilinear", f"""with {tiles_sql(6)}, {CLEAN}, {bilinear_sql('', 'cl', tile_cover_sql(6, 256, (0.5, 0.5), 256))}
+{WHOLE_SQL} from (select *, row_number() over (partition by z, x, y, tc, tr order by file_id desc) as k from bl where value is not null) q where k = 1 group by z, x, y""")
 def r06_bilinear(i):
-    return rasters.warp_tile(area_tiles(i, 6), i.rasters, i.cells, 16, "bilinear").withColumn("value", r(F.col("value")))
+    return whole_tiles(rasters.warp_tile(area_tiles(i, 6), i.rasters, i.cells, 256, "bilinear"))
 
 
 def warp_sql(value: str) -> str:
     """Source cells reduced per target cell and source; the highest source on top."""
-    return f"""with {tiles_sql(5)}, {CLEAN},
+    return f"""with {tiles_sql(2)}, {CLEAN},
 p as (select c.file_id, value, w + (col + 0.5e0) * px as lon, n - (row + 0.5e0) * px as lat from cl c join rasters using (file_id)),
-t as (select file_id, value, cast(5 as bigint) as z, cast(floor((lon + 180) / 5.625) as bigint) as x, cast(floor((lat + 90) / 5.625) as bigint) as y, lon, lat from p),
-u as (select z, x, y, cast(floor(((lon + 180) / 5.625 - x) * 16) as bigint) as col, cast(floor(((lat + 90) / 5.625 - y) * 16) as bigint) as row, file_id, value from t),
+t as (select file_id, value, cast(2 as bigint) as z, cast(floor((lon + 180) / 45) as bigint) as x, cast(floor((lat + 90) / 45) as bigint) as y, lon, lat from p),
+u as (select z, x, y, cast(floor(((lon + 180) / 45 - x) * 256) as bigint) as col, cast(floor(((lat + 90) / 45 - y) * 256) as bigint) as row, file_id, value from t),
 g as (select z, x, y, col, row, file_id, {value} as value from u group by 1, 2, 3, 4, 5, 6)
 select z, x, y, col, row, round(value, 6) as value from (select *, row_number() over (partition by z, x, y, col, row order by file_id desc) as k from g join tl using (z, x, y) where value is not null) q where k = 1"""
 
 
 def warped(name: str):
     def build(i):
-        return rasters.warp_tile(area_tiles(i, 5), i.rasters, i.cells, 16, name).withColumn("value", r(F.col("value")))
+        return rasters.warp_tile(area_tiles(i, 2), i.rasters, i.cells, 256, name).withColumn("value", r(F.col("value")))
 
     return build
 
