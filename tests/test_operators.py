@@ -174,7 +174,7 @@ def test_streams_read_folder_tables_and_count_late_repeats_once(spark, tmp_path)
     for k, r in enumerate(rows):  # one file and so one batch per hour, each far beyond the watermark of the one before
         spark.createDataFrame([r], "task_id int, tiles int, ts string").selectExpr("task_id", "tiles", "CAST(ts AS timestamp) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "e.parquet"))
     events = progress.read_events(spark, str(tmp_path), "e.parquet", "task_id int, tiles int, ts timestamp", per_trigger=6)
-    done = spark.read.parquet(progress.run_to_end(progress.dedup(events, ["task_id", "tiles"])))
+    done = progress.dedup(events, ["task_id", "tiles"]).read()
     assert done.count() == done.select("task_id", "tiles").distinct().count() == len({r[:2] for r in rows})
     speed = progress.run_to_end(progress.speed(progress.read_events(spark, str(tmp_path), "e.parquet", "task_id int, tiles int, ts timestamp", per_trigger=6), "1 hour"), "update")
     assert progress.latest(spark, speed, ["start", "end"]).agg(F.sum("events")).first()[0] <= len(rows)

@@ -134,6 +134,10 @@ DEFINITIONS: dict[str, str] = {
         union all
         select concat('w', cast(s_suppkey as string)), concat('g', cast(s_nationkey as string)),
                s_name, 2, cast(s_suppkey % 2 as int) from {t:supplier}""",
+    # times at which a space is switched on or off
+    "layer_changes": """
+        select concat('w', cast(user_id % 100 as string)) as layer_id, ts as changed_at, max(cast(event_id % 2 as int)) as status
+        from {t:events} where event_type in ('signup', 'error') group by user_id % 100, ts""",
     "map_record": """
         select cast(c_custkey as string) as id, n_name as workspace_group,
                concat('Supplier#', lpad(cast(c_custkey % 100 as string), 9, '0')) as workspace,

@@ -1,22 +1,22 @@
 """Structured Streaming over task events and arriving footprints.
 
-Functions take a streaming (or batch) DataFrame of events with ``task_id, ts`` (timestamp) and more,
-and return the transformed one; ``upsert_to`` and ``run_to_end`` connect it to a sink. Rows older
-than the watermark are dropped.
+Functions on windows take a streaming (or batch) DataFrame of events with ``task_id, ts`` (timestamp) and more, and return the
+transformed one, for :func:`run_to_end`; rows older than the watermark are dropped. The others run a stream to the end of
+its input and keep what they know in tables (:mod:`.state`): any row counts, however late, and a repeated batch changes nothing.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tilewright.operators import index, tilesets
-from tilewright.session import checkpoint_dir
+from tilewright.session import checkpoint_dir, cut_lineage
+
+from .state import SeenKeys, StateTable
 
 LATENESS = "10 minutes"
 STATUS_LIFE_SECONDS = 30 * 60  # fixed value: how long a layer's status is trusted
@@ -34,12 +34,6 @@ def read_events(spark: SparkSession, folder: str, name: str, schema: str, per_tr
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
-def status(events: DataFrame) -> DataFrame:
-    """Latest event per task; the state is one row per task."""
-    order = F.struct("ts", "event_id")
-    return events.groupBy("task_id").agg(F.max_by(F.struct("kind", "ts", "tiles"), order).alias("e")).select("task_id", "e.kind", "e.ts", "e.tiles")
-
-
 def speed(events: DataFrame, size: str = "1 minute", slide: str | None = None, lateness: str = LATENESS) -> DataFrame:
     """Tiles per window, tumbling or sliding, and the rate per second."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
@@ -55,42 +49,6 @@ def runs(events: DataFrame, gap: str = "30 minutes", lateness: str = LATENESS) -
     return g.select("task_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events", "tiles")
 
 
-def dedup(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Repeated completions of one tile counted once, however late the repeat.
-
-    The state holds one key per completed tile and doesn't expire: it is bounded by the tile set.
-    """
-    return events.dropDuplicates(keys)
-
-
-def enabled(lookups: DataFrame, layers: DataFrame, life: int = STATUS_LIFE_SECONDS) -> DataFrame:
-    """Status each lookup sees when a layer's status is read once and trusted for ``life`` seconds.
-
-    The stream is joined with the layer table as it is now; the state per layer is the status last
-    read and when. Lookups are served as they arrive, one Arrow batch at a time, so that a layer
-    asked for by everyone needs no more memory than any other.
-    """
-    joined = lookups.join(layers, "layer_id").select("layer_id", "lookup_id", "ts", "status")
-
-    def serve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        read_at, known = state.get if state.exists else (None, None)
-        for frame in frames:
-            batch = frame.sort_values(["ts", "lookup_id"])
-            micros = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-            seen, fresh = [], []
-            for at, now in zip(micros, batch["status"]):
-                expired = read_at is None or at - read_at >= life * 1_000_000
-                if expired:
-                    read_at, known = int(at), int(now)
-                seen.append(known)
-                fresh.append(expired)
-            yield pd.DataFrame({"layer_id": key[0], "lookup_id": batch["lookup_id"].to_numpy(), "status": seen, "refreshed": fresh})
-        state.update((read_at, known))
-
-    return joined.groupBy("layer_id").applyInPandasWithState(
-        serve, "layer_id string, lookup_id bigint, status int, refreshed boolean", "read_at bigint, known int", "append", GroupStateTimeout.NoTimeout)
-
-
 # sinks ----------------------------------------------------------------------------------------
 
 def _fresh(spark: SparkSession, kind: str) -> str:
@@ -124,26 +82,104 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
-def index_updates(footprints: DataFrame, store: DataFrame, zmin: int, zmax: int, path: str | None = None) -> str:
-    """Tiles touched by newly arrived footprints, with whether the tile is still to be built.
+def for_each_batch(df: DataFrame, work: Callable[[DataFrame, int], None], progress: str | None = None) -> None:
+    """Hand every batch of a stream and its number to ``work``, to the end of the input. ``progress`` (a folder) lets a later run go on."""
+    spark = df.sparkSession
+    q = df.writeStream.option("checkpointLocation", progress or _fresh(spark, "progress")).trigger(availableNow=True).foreachBatch(work).start()
+    q.awaitTermination()
+
+
+def status(events: DataFrame, path: str | None = None, progress: str | None = None) -> StateTable:
+    """Latest event of each task (of equal times that with the largest id), merged into a table batch by batch.
 
-    Each batch is indexed by itself; only the tiles it touches are written.
+    Columns: task_id, ts, event_id, kind, tiles. Events may come in any order.
+    """
+    spark = events.sparkSession
+    fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    names = ["task_id", "ts", "event_id", "kind", "tiles"]
+    table = StateTable(spark, path or _fresh(spark, "status"), ", ".join(f"{k} {fields[k]}" for k in names), ["task_id"])
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("task_id").agg(F.max(F.struct(*names[1:])).alias("e")).select("task_id", "e.*")
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.upsert(cut_lineage(newest(batch)), number, newest)
+
+    for_each_batch(events, merge, progress)
+    return table
+
+
+def dedup(events: DataFrame, keys: list[str], path: str | None = None, progress: str | None = None) -> StateTable:
+    """Distinct ``keys`` of a stream, however far apart repeats lie.
+
+    Stored keys are looked at only for rows that a Bloom filter of their bucket can't tell to be new.
+    """
+    spark = events.sparkSession
+    fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    seen = SeenKeys(spark, path or _fresh(spark, "seen"), ", ".join(f"{k} {fields[k]}" for k in keys))
+    for_each_batch(events, lambda batch, number: seen.unseen(batch, number, cut_lineage), progress)
+    return seen.table
+
+
+def statuses_at(asked: DataFrame, changes: DataFrame) -> DataFrame:
+    """Status of a layer at a time (layer_id, at): that of its last change (layer_id, at, status) by then; null before the first.
+
+    Both are put in one order per layer, so that a layer costs the sum of its rows, not their product.
+    """
+    both = asked.select("layer_id", "at", F.lit(1).alias("_asked"), F.lit(None).cast("int").alias("status")).unionByName(
+        changes.select("layer_id", "at", F.lit(0).alias("_asked"), "status"))
+    last = F.last("status", ignorenulls=True).over(Window.partitionBy("layer_id").orderBy("at", "_asked", "status").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("status", last).filter("_asked = 1").select("layer_id", "at", "status")
+
+
+def enabled(lookups: DataFrame, changes: DataFrame, life: int = STATUS_LIFE_SECONDS, path: str | None = None, progress: str | None = None) -> str:
+    """Status each lookup (layer_id, lookup_id, ts) sees when a layer's status is read once and trusted for ``life`` seconds.
+
+    Time is cut into periods of ``life`` seconds; in each of them the status valid at its beginning is served. A batch
+    asks once per layer and period, and lookups meet the answers on both, so that a layer asked for by everyone is
+    spread over its periods and no state is kept. Layers without any change are unknown and left out; before a
+    layer's first change its status is null. Returns the folder of layer_id, lookup_id, status.
+    """
+    spark = lookups.sparkSession
+    path = path or _fresh(spark, "enabled")
+    changes = changes.select("layer_id", F.unix_micros("changed_at").alias("at"), "status")
+    period = life * 1_000_000
+
+    def serve(batch: DataFrame, number: int) -> None:
+        rows = batch.join(changes.select("layer_id").distinct(), "layer_id", "left_semi")
+        rows = rows.withColumn("at", F.floor(F.unix_micros("ts") / F.lit(period)) * period)
+        answers = statuses_at(rows.select("layer_id", "at").distinct(), changes)
+        rows.join(answers, ["layer_id", "at"]).select("layer_id", "lookup_id", "status").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    for_each_batch(lookups, serve, progress)
+    return path
+
+
+def index_updates(footprints: DataFrame, zmin: int, zmax: int, path: str | None = None, progress: str | None = None) -> StateTable:
+    """Tile index (z, x, y, source_count) of arriving footprints; one that comes again, in this batch or later, counts once.
+
+    A batch indexes its new footprints and touches only the tiles below them. Of rows of one file_id any one counts.
     """
     spark = footprints.sparkSession
     path = path or _fresh(spark, "index")
+    seen = SeenKeys(spark, f"{path}/files", f"file_id {footprints.schema['file_id'].dataType.simpleString()}")
+    table = StateTable(spark, f"{path}/tiles", "z long, x long, y long, source_count long", ["z", "x", "y"])
+
+    def total(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("z", "x", "y").agg(F.sum("source_count").alias("source_count"))
 
     def extend(batch: DataFrame, number: int) -> None:
-        touched = index.tile_index(index.tile_sources(batch, zmin, zmax)).select("z", "x", "y", "source_count")
-        todo = tilesets.missing_tiles(touched, store).withColumn("missing", F.lit(True))
-        out = touched.join(todo, ["z", "x", "y"], "left").withColumn("missing", F.coalesce("missing", F.lit(False)))
-        out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new = seen.unseen(batch, number, cut_lineage)
+        rows = batch.dropDuplicates(["file_id"]).join(new, "file_id", "left_semi")
+        tiles = index.tile_index(index.tile_sources(rows, zmin, zmax)).select("z", "x", "y", F.col("source_count").cast("long").alias("source_count"))
+        table.upsert(cut_lineage(tiles), number, total)
 
-    q = footprints.writeStream.option("checkpointLocation", _fresh(spark, "progress")).trigger(availableNow=True).foreachBatch(extend).start()
-    q.awaitTermination()
-    return path
+    for_each_batch(footprints, extend, progress)
+    return table
 
 
-def merged_index(spark: SparkSession, path: str) -> DataFrame:
-    """Tile index over all batches written so far."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    return rows.groupBy("z", "x", "y").agg(F.sum("source_count").alias("source_count"), F.min_by("missing", "batch").alias("missing"))
+def merged_index(table: StateTable, store: DataFrame) -> DataFrame:
+    """The tile index as it is now, with whether each tile is still to be built."""
+    rows = table.read()
+    todo = tilesets.missing_tiles(rows, store).withColumn("missing", F.lit(True))
+    return rows.join(todo, ["z", "x", "y"], "left").withColumn("missing", F.coalesce("missing", F.lit(False)))
