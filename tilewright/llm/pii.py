@@ -27,9 +27,10 @@ _CARD = r"(?<![0-9])[0-9]{4}(?:[\x20-]?[0-9]{4}){2}[\x20-]?[0-9]{1,7}(?![0-9])"
 _GAP = rf"(?:(?!\x20(?:{_IP}|{_SSN}|{_CARD}(?![\x20-][0-9])))(?:[\x20\u00A0\u202F][-–/][\x20\u00A0\u202F]|[\x20\u00A0\u202F./‐‑–-]))?"
 #: 7 to 15 digits in groups of any width.
 _GROUPS = rf"\+[0-9](?:{_GAP}\(?[0-9]\)?){{6,14}}"
-#: Kinds in the order in which they are tried at a place.
+#: Kinds in the order in which they are tried at a place. A domain name has at most 127 labels; without that bound the
+#: matcher's stack would grow with the text.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}\p{M}._%+-])[\p{L}\p{N}][\p{L}\p{N}\p{M}._%+-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}-]*[\p{L}\p{N}\p{M}])?\.)+\p{L}[\p{L}\p{M}]+",
+    "email": r"(?<![\p{L}\p{N}\p{M}._%+-])[\p{L}\p{N}][\p{L}\p{N}\p{M}._%+-]*@(?:[\p{L}\p{N}](?:[\p{L}\p{N}\p{M}-]*[\p{L}\p{N}\p{M}])?\.){1,126}\p{L}[\p{L}\p{M}]+",
     "ip": _IP,
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "ssn": _SSN,
