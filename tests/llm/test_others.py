@@ -42,6 +42,22 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs).count() == len(PAGES) and line_dedup.line_dedup(docs.limit(0)).count() == 0
 
 
+def test_pages_with_open_ends(spark):
+    opened = ["<!--", "<script>", "<style>", "<head>", "<p <", "<"]
+    rows = [(k, "http://h", "<p>seen</p>" + (x + " a") * (300_000 // (len(x) + 2)) + "</p>") for k, x in enumerate(opened)]
+    rows += [(10, "http://h", "<head><title>t<body><p>one</p>"), (11, "http://h", "a<!-- b"), (12, "http://h", "<header>two</header><script>x</script>three")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.id: r.text for r in line_dedup.line_dedup(docs, ratio=0.9).collect()}
+    assert len(got) == 9 and all(got[k] == "seen" for k in range(6))
+    assert (got[10], got[11], got[12]) == ("one", "a", "two\nthree")
+
+
+def test_a_line_at_the_ratio_stays(spark):
+    docs = spark.createDataFrame([(k, "http://h", f"<p>page {k}</p>" + "<p>three</p>" * (k < 3) + "<p>four</p>" * (k < 4)) for k in range(10)], "page_id long, url string, html string")
+    got = {r.id: r.text for r in line_dedup.line_dedup(docs).collect()}
+    assert got[0] == "page 0\nthree" and got[3] == "page 3" and got[9] == "page 9"
+
+
 def test_line_dedup_of_a_hot_host_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr("tilewright.llm._common.SMALL_ROWS", 0)
     docs = spark.range(600).selectExpr("id AS page_id", "concat('http://h', IF(id % 3 = 0, 0, id), '/') AS url", "concat('<p>same</p><p>', id, '</p>') AS html")

@@ -11,12 +11,15 @@ RATIO = 0.3  # lines on more than this share of a host's pages are boilerplate
 MIN_PAGES = 3  # and on at least so many pages
 
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
-_UNSEEN = [r"(?s)<!--.*?-->", r"(?is)<head\b.*?</head\s*>", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>"]
+#: Left out. What isn't closed goes on to the end of the page, as in a browser, a head at most to the body.
+_UNSEEN = [
+    r"(?s)<!--(?:.*?-->|.*)", r"(?is)<head\b.*?(?:</head\s*>|(?=<body\b)|\z)", r"(?is)<script\b(?:.*?</script\s*>|.*)", r"(?is)<style\b(?:.*?</style\s*>|.*)",
+]
 _BLOCK = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre"
-    r"|section|table|td|th|tr|ul)\b[^>]*>"
+    r"|section|table|td|th|tr|ul)\b[^>]*(?:>|\z)"
 )
-_TAG = r"<[^>]*>"
+_TAG = r"<[^>]*(?:>|\z)"
 _ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": " ", "&amp;": "&"}  # in this order
 
 
@@ -60,11 +63,13 @@ def line_dedup(
 
     A line counts once per page, however often it stands there; all its places go when it is boilerplate.
     Hosts of fewer than ``min_pages`` pages lose nothing. Null url: the host is empty, and these pages are one
-    site. Null or blank text: no lines, empty text. Repeated rows are pages of their own.
+    site. Null or blank text: no lines, empty text. Repeated rows are pages of their own. A line on exactly ``ratio`` of the
+    pages stays. Time follows the length of a page, also where comments, scripts or styles have no end. An empty table gives no rows.
     """
     host = host_of(F.col("url")) if host is None else host
     text = html_text(F.col("html")) if text is None else text
-    rows = docs.select(F.col(id_col).alias("id"), host.alias("host"), lines_of(text).alias("lines"))
+    # Pages are parsed once; their lines are read twice.
+    rows = c.save(docs.select(F.col(id_col).alias("id"), host.alias("host"), lines_of(text).alias("lines")), "lines")
     bad = c.save(boilerplate(rows, ratio, min_pages), "boilerplate")
     width = F.aggregate("bad", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 16)
     out = c.lookup(rows, bad, ["host"], ["id"], width)
