@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions import grid, predicates
+from tilewright.operators import covers
 
 from .registry import query
 
@@ -150,6 +151,16 @@ def g08(i):
     return grid.enumerate_tiles(footprint_ranges(i)).select("file_id", "z", "x", "y")
 
 
+@query("g08_cover_ranges", f"""
+with {RANGES_SQL}
+select file_id, z, x, unnest(range(min_y, max_y + 1)) as y
+from (select *, unnest(range(min_x, max_x + 1)) as x from rg) q""")
+def g08_covers(i):
+    """The same tiles by way of whole subtrees."""
+    cover = covers.covers(footprint_ranges(i).select("file_id", "z", "min_x", "max_x", "min_y", "max_y"), 9)
+    return covers.listed(cover, 9).select("file_id", "z", "x", "y")
+
+
 @query("g09_range_size", f"""
 with {RANGES_SQL}
 select file_id, cast(sum((max_x - min_x + 1) * (max_y - min_y + 1)) as bigint) as tiles from rg group by file_id""")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions import text
-from tilewright.operators import index, tilesets
+from tilewright.operators import covers, index, tilesets
 from tilewright.sources import listing
 
 from .grid_queries import r, xyz_range_sql, zooms
@@ -71,6 +71,18 @@ def a02(i):
     return index.tile_index_stats(tile_index(i)).withColumn("area", r(F.col("area"), 4))
 
 
+@query("j01_index_by_ranges", f"""with {INDEX_SQL} select z, x, y, source_count from ti""")
+def j01_ranges(i):
+    """The tile index from runs of tiles with equal sources, listed at the end."""
+    return covers.listed(covers.index_runs(i.footprints, 0, ZMAX), ZMAX).select("z", "x", "y", "source_count")
+
+
+@query("a02_stats_by_ranges", f"""with {INDEX_SQL}
+select z, count(*) as tiles, cast(sum(source_count) as bigint) as sources, count(case when source_count > 1 then 1 end) as overlapped, max(source_count) as most_sources from ti group by z""")
+def a02_ranges(i):
+    return covers.run_stats(covers.index_runs(i.footprints, 0, ZMAX))
+
+
 @query("a20_index_hash", f"""with {INDEX_SQL},
 d as (select md5(z || '/' || x || '/' || y) as d from ti)
 select count(*) as tiles, md5(count(*) || '|' || sum(('0x' || substr(d, 1, 15))::bigint) || '|' || sum(('0x' || substr(d, 16, 15))::bigint)) as hash from d""")
