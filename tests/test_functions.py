@@ -96,3 +96,28 @@ def test_rtin_levels_reach_their_parents():
 def test_plane_has_no_split_errors():
     j, i = np.mgrid[0:17, 0:17]
     assert np.allclose(lattice.split_errors((2.0 * i + 3.0 * j)[None].astype(float)), 0)
+
+
+def test_cells_in_triangles(spark):
+    """Spans of cells against the test of every cell, for either turn, slivers and points."""
+    import random
+
+    from tilewright.operators import mesh
+
+    rnd, n, z, x, y = random.Random(9), 17, 3, 5, 2
+    w, s, a = x * 22.5 - 180, y * 22.5 - 90, 22.5 / 16
+    corners = [[(rnd.uniform(-1, 17), rnd.uniform(-1, 17)) for _ in "abc"] for _ in range(60)]
+    corners += [[(rnd.randrange(17), rnd.randrange(17)) for _ in "abc"] for _ in range(60)] + [[(3, 4)] * 3, [(0, 0), (16, 16), (16, 0)], [(2, 2), (9, 2), (5, 2)]]
+    rows = [(z, x, y, k, *[v for i, j in t for v in (w + a * i, s + a * j)]) for k, t in enumerate(corners)]
+    df = spark.createDataFrame(rows, "z long, x long, y long, tid long, lon0 double, lat0 double, lon1 double, lat1 double, lon2 double, lat2 double")
+    got = {(r.tid, r.col, r.row) for r in mesh.cells_in_triangles(df, n).collect()}
+    want = set()
+    for k, t in enumerate(corners):
+        for i in range(n):
+            for j in range(n):
+                sides = [(q[0] - p[0]) * (j - p[1]) - (q[1] - p[1]) * (i - p[0]) for p, q in zip(t, t[1:] + t[:1])]
+                box = all(min(c[d] for c in t) - 1e-9 <= v <= max(c[d] for c in t) + 1e-9 for d, v in ((0, i), (1, j)))
+                turn = (t[1][0] - t[0][0]) * (t[2][1] - t[0][1]) - (t[2][0] - t[0][0]) * (t[1][1] - t[0][1])
+                if turn and box and (min(sides) >= -1e-9 or max(sides) <= 1e-9):
+                    want.add((k, i, j))
+    assert got == want

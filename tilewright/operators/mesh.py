@@ -197,28 +197,36 @@ def plane_height(lon, lat, suffixes=("0", "1", "2")) -> Column:
 
 
 def cells_in_triangles(sized: DataFrame, n: int) -> DataFrame:
-    """Lattice cells (``n`` per side, edge to edge) lying inside each triangle or on its border."""
+    """Lattice cells (``n`` per side, edge to edge) lying inside each triangle or on its border.
+
+    Scan conversion: a triangle yields its rows of cells, a row the span of columns between the edges, so that no cell
+    outside is made. Edges may run either way round; a triangle without area holds no cells.
+    """
     b = grid.geodetic_bounds("z", "x", "y")
     a = grid.tile_angle("z") / (n - 1)
     zero, top = F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")
-    t = sized.withColumns({"_w": b["west"], "_s": b["south"], "_a": a})
-
-    def span(axis, base):
-        lo, hi = F.least(*[axis + k for k in "012"]), F.greatest(*[axis + k for k in "012"])
-        first = F.greatest(zero, F.ceil((lo - F.col(base)) / F.col("_a") - 1e-9))
-        last = F.least(top, F.floor((hi - F.col(base)) / F.col("_a") + 1e-9))
-        return F.when(first <= last, F.sequence(first, last))
-
-    t = t.withColumn("col", F.explode(span("lon", "_w"))).withColumn("row", F.explode(span("lat", "_s")))
-    t = t.withColumns({"clon": F.col("_w") + F.col("_a") * F.col("col"), "clat": F.col("_s") + F.col("_a") * F.col("row")})
+    cross = (F.col("lon1") - F.col("lon0")) * (F.col("lat2") - F.col("lat0")) - (F.col("lon2") - F.col("lon0")) * (F.col("lat1") - F.col("lat0"))
+    t = sized.withColumns({"_w": b["west"], "_s": b["south"], "_a": a, "_turn": F.signum(cross)}).filter("_turn <> 0")
 
-    def side(p, q):
-        return (F.col(f"lon{q}") - F.col(f"lon{p}")) * (F.col("clat") - F.col(f"lat{p}")) - (F.col(f"lat{q}") - F.col(f"lat{p}")) * (F.col("clon") - F.col(f"lon{p}"))
+    def listed(low, high, base):
+        first = F.greatest(zero, F.ceil((low - F.col(base)) / F.col("_a") - 1e-9))
+        last = F.least(top, F.floor((high - F.col(base)) / F.col("_a") + 1e-9))
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
 
+    t = t.withColumn("row", listed(F.least("lat0", "lat1", "lat2"), F.greatest("lat0", "lat1", "lat2"), "_s"))
+    t = t.withColumn("clat", F.col("_s") + F.col("_a") * F.col("row"))
     tolerance = F.col("_a") * F.col("_a") * 1e-9
-    s0, s1, s2 = side(0, 1), side(1, 2), side(2, 0)
-    inside = (F.least(s0, s1, s2) >= -tolerance) | (F.greatest(s0, s1, s2) <= tolerance)
-    return t.filter(inside).drop("_w", "_s", "_a")
+    lows, highs, level = [F.least("lon0", "lon1", "lon2")], [F.greatest("lon0", "lon1", "lon2")], F.lit(True)
+    for p, q in ((0, 1), (1, 2), (2, 0)):
+        dx, dy = (F.col(f"lon{q}") - F.col(f"lon{p}")) * F.col("_turn"), (F.col(f"lat{q}") - F.col(f"lat{p}")) * F.col("_turn")
+        # inside: dx * (clat - lat) - dy * (clon - lon) >= -tolerance
+        reach = dx * (F.col("clat") - F.col(f"lat{p}")) + tolerance
+        border = F.col(f"lon{p}") + F.try_divide(reach, dy)
+        lows.append(F.when(dy < 0, border))
+        highs.append(F.when(dy > 0, border))
+        level = level & ((dy != 0) | (reach >= 0))
+    t = t.filter(level).withColumn("col", listed(F.greatest(*lows), F.least(*highs), "_w"))
+    return t.withColumn("clon", F.col("_w") + F.col("_a") * F.col("col")).drop("_w", "_s", "_a", "_turn")
 
 
 def normal_cosine() -> Column:
