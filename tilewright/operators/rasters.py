@@ -246,27 +246,6 @@ def crop(cells: DataFrame, windows: DataFrame) -> DataFrame:
     return c.join(w, ["file_id", "_bx", "_by"]).filter(hit).select("file_id", "wx", "wy", x.alias("col"), y.alias("row"), "value")
 
 
-def reproject_nearest(rasters: DataFrame, cells: DataFrame, cols: int, rows: int) -> DataFrame:
-    """Each geographic raster on a web-mercator lattice of ``cols`` x ``rows`` cells over the same extent.
-
-    Every target cell looks up the one source cell under its centre by the inverse transform.
-    """
-    r = extent(rasters)
-    x0, y0 = grid.lonlat_to_metres("w", "s")
-    x1, y1 = grid.lonlat_to_metres("e", "n")
-    zero = F.lit(0).cast("bigint")
-    r = r.withColumns({"_x0": x0, "_y0": y0, "_x1": x1, "_y1": y1})
-    t = r.withColumn("tcol", F.explode(F.sequence(zero, F.lit(cols - 1).cast("bigint")))).withColumn(
-        "trow", F.explode(F.sequence(zero, F.lit(rows - 1).cast("bigint"))))
-    mx = F.col("_x0") + (F.col("_x1") - F.col("_x0")) / cols * (F.col("tcol") + 0.5)
-    my = F.col("_y1") - (F.col("_y1") - F.col("_y0")) / rows * (F.col("trow") + 0.5)
-    lon, lat = grid.metres_to_lonlat(mx, my)
-    t = t.withColumns({"lon": lon, "lat": lat})
-    cx, cy = _unit(t)
-    at = t.withColumns({"col": _inside(cx, "cols"), "row": _inside(cy, "rows")}).select("file_id", "tcol", "trow", "col", "row")
-    return at.join(cells, ["file_id", "col", "row"], "left").select("file_id", F.col("tcol").alias("col"), F.col("trow").alias("row"), "value")
-
-
 LEAST_PIXELS = 24  # fixed value: a resized raster keeps at least this many cells per side
 
 

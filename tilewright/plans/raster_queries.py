@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions import grid
-from tilewright.operators import metadata, rasters
+from tilewright.operators import metadata, projections, rasters
 
 from .grid_queries import r
 from .registry import query
@@ -174,7 +174,21 @@ t as (select e.*, tc, tr, (degrees((x0 + (x1 - x0) / 40 * (tc + 0.5e0)) / 637813
 select t.file_id, tc as col, tr as row, value from t left join cells c on c.file_id = t.file_id
   and c.col = greatest(0, least(cast(floor(ux) as bigint), cols - 1)) and c.row = greatest(0, least(cast(floor(uy) as bigint), rows - 1))""")
 def r04(i):
-    return rasters.reproject_nearest(i.rasters, i.cells, 40, 40)
+    return projections.reproject_nearest(i.rasters, i.cells, 40, 40)
+
+
+@query("r04_reproject_back", """
+with m as (select file_id, cols, rows, radians(w) * 6378137.0 as x0, asinh(tan(radians(n))) * 6378137.0 as y1, radians(px) * 6378137.0 as px from rasters),
+e as (select *, degrees(x0 / 6378137.0) as w, degrees((x0 + cols * px) / 6378137.0) as e, degrees(atan(sinh((y1 - rows * px) / 6378137.0))) as s, degrees(atan(sinh(y1 / 6378137.0))) as n from m),
+t as (select e.*, tc, tr, (radians(w + (e - w) / 50 * (tc + 0.5e0)) * 6378137.0 - x0) / px as ux, (y1 - asinh(tan(radians(n - (n - s) / 50 * (tr + 0.5e0)))) * 6378137.0) / px as uy
+      from e cross join (select range as tc from range(50)) a cross join (select range as tr from range(50)) b)
+select t.file_id, tc as col, tr as row, value from t left join cells c on c.file_id = t.file_id
+  and c.col = greatest(0, least(cast(floor(ux) as bigint), cols - 1)) and c.row = greatest(0, least(cast(floor(uy) as bigint), rows - 1))""")
+def r04_back(i):
+    """The same cells as web mercator rasters, put on a geographic lattice."""
+    x, y = grid.lonlat_to_metres("w", "n")
+    r = i.rasters.select("file_id", x.alias("w"), y.alias("n"), (F.radians("px") * grid.EARTH_RADIUS).alias("px"), "cols", "rows")
+    return projections.reproject_nearest(r, i.cells, 50, 50, "EPSG:3857", "EPSG:4326")
 
 
 @query("r05_resize_to_depth", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.functions import text
-from tilewright.operators import covers, index, tilesets
+from tilewright.operators import covers, index, projections, tilesets
 from tilewright.sources import listing
 
 from .grid_queries import r, xyz_range_sql, zooms
@@ -52,6 +52,20 @@ PAGE_SQL = """pg as (select ts.z, ts.x, ts.y, file_name, source_count, ('0x' ||
   from ts join ti using (z, x, y))"""
 
 
+@query("j01_index_of_mixed_systems", f"with {INDEX_SQL} select z, x, y, source_count from ti")
+def j01_mixed(i):
+    """Every fifth raster in web mercator metres, every seventh of the others in ellipsoidal ones: the index is that of their degrees."""
+    srs = F.when(F.col("srs") == "EPSG:4326", F.when(F.col("file_id") % 7 == 0, "EPSG:3395").otherwise("EPSG:4326")).otherwise(F.col("srs"))
+    f = i.footprints.select("file_id", srs.alias("srs"), "w", "s", "e", "n")
+    corners = {}
+    for a, b in (("w", "s"), ("e", "n")):
+        at = {name: projections.projected(a, b, "EPSG:4326", name) for name in projections.SYSTEMS}
+        for axis, k in enumerate((a, b)):
+            corners[k] = F.coalesce(*[F.when(F.col("srs") == name, v[axis]) for name, v in at.items()])
+    f = f.select("file_id", "srs", *[corners[k].alias(k) for k in ("w", "s", "e", "n")])
+    return index.tile_index(index.tile_sources(projections.in_degrees(f).drop("srs"), 0, ZMAX)).select("z", "x", "y", "source_count")
+
+
 @query("j01_source_pages", f"""with {INDEX_SQL}, {PAGE_SQL}
 select z, x, y, page, max(source_count) as source_count, string_agg(file_name, ',' order by file_name) as files from pg group by z, x, y, page""")
 def j01_pages(i):
