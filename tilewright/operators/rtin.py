@@ -114,9 +114,3 @@ def border_activation(activation: DataFrame, n: int, zmin: int = SMOOTH_ZOOM + 1
 
     j = activation.join(got, TILE, "left")
     return rtin_propagate(j.withColumn("levels", raised("levels", *["_" + s for s in sides])).drop(*["_" + s for s in sides]), n)
-
-
-def active_vertices(activation: DataFrame, n: int, level: int = 0) -> DataFrame:
-    """Vertices of the mesh at a level: those at least that active."""
-    e = activation.select(*TILE, F.posexplode("levels").alias("k", "level"))
-    return e.filter(F.col("level") >= level).select(*TILE, (F.col("k") % n).cast("bigint").alias("col"), F.floor(F.col("k") / n).alias("row"), "level")

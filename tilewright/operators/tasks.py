@@ -89,9 +89,9 @@ def resolve_layer(workspace: DataFrame) -> DataFrame:
     return spaces.join(groups, "group_id")
 
 
-def enabled_layers(workspace: DataFrame, group: str) -> DataFrame:
-    """Spaces below the named group that are switched on."""
-    return resolve_layer(workspace).filter((F.col("status") == 1) & (F.col("group_name") == group))
+def enabled_layers(workspace: DataFrame, groups: DataFrame) -> DataFrame:
+    """Spaces below the named groups (group_name) that are switched on."""
+    return resolve_layer(workspace).filter("status = 1").join(groups.select("group_name"), "group_name", "left_semi")
 
 
 def catalogue_records(records: DataFrame, workspace: DataFrame) -> DataFrame:
@@ -100,9 +100,3 @@ def catalogue_records(records: DataFrame, workspace: DataFrame) -> DataFrame:
         F.col("group_name").alias("workspace_group"), F.col("space_name").alias("workspace"), "status"
     )
     return records.join(layers, ["workspace_group", "workspace"], "left")
-
-
-def newest_per_task(events: DataFrame) -> DataFrame:
-    """Latest event of each task, reduced before the shuffle."""
-    order = F.struct("ts", "event_id")
-    return events.groupBy("task_id").agg(F.max_by(F.struct("kind", "ts", "tiles"), order).alias("e")).select("task_id", "e.*")

@@ -260,11 +260,11 @@ def fill_gaps(store: DataFrame, zmax: int | None = None, fill_columns: bool = Fa
     ).select(*KEY, F.col("b.path").alias("from_path"), F.col("b.set_id"), F.col("b.size"), F.col("b.n_ord").alias("direction"))
 
 
-def same_sources(old: DataFrame, new: DataFrame, key: str = "file_name") -> DataFrame:
-    """Whether two file lists hold the same names, and how many are on one side only."""
-    sides = old.select(key, F.lit(1).alias("side")).unionByName(new.select(key, F.lit(2).alias("side")))
-    per = sides.groupBy(key).agg(F.bit_or("side").alias("sides"))
-    return per.agg(
+def same_sources(old: DataFrame, new: DataFrame, key: str = "file_name", by: tuple[str, ...] = ()) -> DataFrame:
+    """Whether two file lists (of each set of ``by``) hold the same names, and how many are on one side only."""
+    sides = old.select(*by, key, F.lit(1).alias("side")).unionByName(new.select(*by, key, F.lit(2).alias("side")))
+    per = sides.groupBy(*by, key).agg(F.bit_or("side").alias("sides"))
+    return per.groupBy(*by).agg(
         F.coalesce(F.sum((F.col("sides") == 1).cast("bigint")), F.lit(0)).alias("only_old"),
         F.coalesce(F.sum((F.col("sides") == 2).cast("bigint")), F.lit(0)).alias("only_new"),
     ).withColumn("same", (F.col("only_old") == 0) & (F.col("only_new") == 0))
@@ -317,15 +317,22 @@ def manifest(index: DataFrame, results: DataFrame, zmin: int, zmax: int, tile_si
     ).withColumn("success_rate", F.format_string("%.1f%%", rate))
 
 
-def incremental_check(old_files: DataFrame, new_files: DataFrame, index: DataFrame, store: DataFrame,
-                      same_options: bool, success_rate: float, least_success: float = 50.0, most_missing: float = 0.3) -> DataFrame:
-    """Whether an earlier run can be reused: same sources and options, good enough, tiles still there."""
-    same = same_sources(old_files, new_files)
-    marked = index.select(*KEY).join(store.select(*KEY).distinct().withColumn("_h", F.lit(1)), KEY, "left")
-    gone = marked.agg(F.struct(F.count("*").alias("tiles"), F.sum(F.col("_h").isNull().cast("bigint")).alias("missing"))).scalar()
-    out = same.withColumn("_g", gone).select(
-        "only_old", "only_new", "same", F.col("_g.tiles").alias("tiles"), F.coalesce(F.col("_g.missing"), F.lit(0)).alias("missing")
-    )
+def incremental_check(old_files: DataFrame, new_files: DataFrame, index: DataFrame, store: DataFrame, same_options: bool, success_rate: float,
+                      least_success: float = 50.0, most_missing: float = 0.3, by: tuple[str, ...] = ()) -> DataFrame:
+    """Whether an earlier run (or that of each set of ``by``) can be reused: same sources and options, good enough, tiles still there.
+
+    A set needs file lists to be judged; one without tiles in the index can't be reused.
+    """
+    same = same_sources(old_files, new_files, by=by)
+    key = [*by, *KEY]
+    marked = index.select(*key).join(store.select(*key).distinct().withColumn("_h", F.lit(1)), key, "left")
+    totals = F.struct(F.count("*").alias("tiles"), F.sum(F.col("_h").isNull().cast("bigint")).alias("missing"))
+    if by:
+        out = same.join(marked.groupBy(*by).agg(totals.alias("_g")), list(by), "left")
+    else:
+        out = same.withColumn("_g", marked.agg(totals).scalar())
+    tiles, missing = (F.coalesce(F.col(f"_g.{k}"), F.lit(0)) for k in ("tiles", "missing"))
+    out = out.select(*by, "only_old", "only_new", "same", tiles.alias("tiles"), missing.alias("missing"))
     share = F.col("missing") / F.greatest(F.col("tiles"), F.lit(1))
     ok = F.col("same") & F.lit(same_options) & F.lit(success_rate >= least_success) & (F.col("tiles") > 0) & (share <= most_missing)
     return out.withColumn("reuse", ok)

@@ -50,12 +50,16 @@ def a16(i):
     return s.select("z", "x", "y", *[r(F.col("center_" + c), 2).alias("center_" + c) for c in AXES], r(F.col("radius"), 3).alias("radius"))
 
 
-@query("a17_horizon_occlusion", f"""with {SPHERE_SQL},
-p as (select z, x, y, ex / 6378137.0 as a, ey / 6378137.0 as b, ez / 6356752.3142451793 as c, center_ex / 6378137.0 as ca, center_ey / 6378137.0 as cb, center_ez / 6356752.3142451793 as cc from ve join bs using (z, x, y)),
-m as (select *, sqrt(a*a + b*b + c*c) as mag from p),
-n as (select *, a / mag as da, b / mag as db, c / mag as dc, greatest(1, mag) as g from m),
-o as (select *, 1 / ((da*ca + db*cb + dc*cc) / g - sqrt(pow(db*cc - dc*cb, 2) + pow(dc*ca - da*cc, 2) + pow(da*cb - db*ca, 2)) * sqrt(greatest(1, mag * mag) - 1) / g) as v from n)
-select z, x, y, round(max(v), 8) as magnitude, round(ca * max(v), 7) as occlusion_x, round(cb * max(v), 7) as occlusion_y, round(cc * max(v), 7) as occlusion_z from o group by z, x, y, ca, cb, cc""")
+OCCLUSION_SQL = f"""{SPHERE_SQL},
+op as (select z, x, y, ex / 6378137.0 as a, ey / 6378137.0 as b, ez / 6356752.3142451793 as c, center_ex / 6378137.0 as ca, center_ey / 6378137.0 as cb, center_ez / 6356752.3142451793 as cc from ve join bs using (z, x, y)),
+om as (select *, sqrt(a*a + b*b + c*c) as mag from op),
+od as (select *, a / mag as da, b / mag as db, c / mag as dc, greatest(1, mag) as g from om),
+ov as (select *, 1 / ((da*ca + db*cb + dc*cc) / g - sqrt(pow(db*cc - dc*cb, 2) + pow(dc*ca - da*cc, 2) + pow(da*cb - db*ca, 2)) * sqrt(greatest(1, mag * mag) - 1) / g) as v from od),
+oc as (select z, x, y, max(v) as magnitude, ca * max(v) as vx, cb * max(v) as vy, cc * max(v) as vz from ov group by z, x, y, ca, cb, cc)"""
+
+
+@query("a17_horizon_occlusion", f"""with {OCCLUSION_SQL}
+select z, x, y, round(magnitude, 8) as magnitude, round(vx, 7) as occlusion_x, round(vy, 7) as occlusion_y, round(vz, 7) as occlusion_z from oc""")
 def a17(i):
     o = mesh.horizon_occlusion(i.vertices, mesh.bounding_sphere(i.vertices))
     named = [F.col(c) for c in o.columns if c.startswith("occlusion_")]

@@ -80,7 +80,7 @@ def j13(i):
 @query("f08_enabled_layers", """
 select s.id, s.name as space_name from workspace s join workspace g on s.parent_id = g.id where s.type = 2 and g.type = 1 and s.status = 1 and g.name = (select max(name) from workspace where id = 'g5')""")
 def f08(i):
-    name = i.table("nation").filter("n_nationkey = 5").first()["n_name"]
+    name = i.table("nation").filter("n_nationkey = 5").select(F.col("n_name").alias("group_name"))
     return tasks.enabled_layers(i.workspace, name).select("id", "space_name")
 
 

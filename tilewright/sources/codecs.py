@@ -48,32 +48,30 @@ def deflate(store: DataFrame, column: str = "content") -> DataFrame:
     return store.withColumn(column, zipped(column))
 
 
-def incomplete_tiles(heights: DataFrame, n: int = 65) -> DataFrame:
-    """Tiles that :func:`write_heightmap_tiles` can't write, with the number of heights they have."""
-    return heights.groupBy(*TILE).agg(F.count("stored").alias("heights"), F.count(F.lit(1)).alias("_rows")).filter(
-        (F.col("heights") != n * n) | (F.col("_rows") != n * n)).drop("_rows")
-
-
 # heightmap tiles ------------------------------------------------------------------------------
 
 def write_heightmap_tiles(heights: DataFrame, flags: DataFrame | None = None, n: int = 65) -> DataFrame:
-    """Tile bytes from stored heights (z, x, y, col, row, stored) and child flags.
+    """Tile bytes from stored heights (z, x, y, col, row, stored) and child flags: z, x, y, content, heights.
 
     Heights run row by row from the north as 16-bit numbers, then the child byte and a one-byte
-    land mask. A tile must have all its ``n`` * ``n`` heights; :func:`incomplete_tiles` has the others.
+    land mask. A tile must have each of its ``n`` * ``n`` heights once; for others ``content`` is null, and ``heights`` tells
+    how many of its places have one. No tile is left out.
     """
     place = (F.lit(n - 1) - F.col("row")) * n + F.col("col")
-    g = heights.groupBy(*TILE).agg(F.sort_array(F.collect_list(F.struct(place.alias("k"), F.col("stored").alias("s")))).alias("_l"))
-    g = g.filter(F.size("_l") == n * n).select(*TILE, F.transform("_l", lambda p: p["s"]).alias("_h"))
+    known = F.when(F.col("stored").isNotNull() & F.col("row").between(0, n - 1) & F.col("col").between(0, n - 1), place)
+    g = heights.groupBy(*TILE).agg(
+        F.sort_array(F.collect_list(F.struct(place.alias("k"), F.col("stored").alias("s")))).alias("_l"), F.count_distinct(known).alias("heights"), F.count(F.lit(1)).alias("_rows"))
+    whole = (F.col("heights") == n * n) & (F.col("_rows") == n * n)
+    g = g.select(*TILE, "heights", F.when(whole, F.transform("_l", lambda p: p["s"])).alias("_h"))
     g = g.join(flags.select(*TILE, "child_flags"), TILE, "left") if flags is not None else g.withColumn("child_flags", F.lit(0))
 
     @F.pandas_udf("binary")
     def pack(values: pd.Series, child: pd.Series) -> pd.Series:
         return pd.Series([
-            np.clip(np.asarray(v), 0, 65535).astype("<u2").tobytes() + bytes([int(c), 0]) for v, c in zip(values, child)
+            None if v is None else np.clip(np.asarray(v), 0, 65535).astype("<u2").tobytes() + bytes([int(c), 0]) for v, c in zip(values, child)
         ], dtype=object)
 
-    return g.select(*TILE, pack("_h", F.coalesce("child_flags", F.lit(0)).cast("int")).alias("content"))
+    return g.select(*TILE, pack("_h", F.coalesce("child_flags", F.lit(0)).cast("int")).alias("content"), "heights")
 
 
 def read_heightmap_tiles(store: DataFrame, n: int = 65) -> DataFrame:
@@ -192,18 +190,32 @@ def _decode(content: bytes) -> dict:
         (n,) = struct.unpack_from("<I", content, at)
         sides[side] = np.frombuffer(content, index, n, at + 4).astype("int32")
         at += 4 + n * size
-    return {"min_h": head[3], "max_h": head[4], "u": u.astype("int32"), "v": v.astype("int32"), "q": q.astype("int32"), "indices": indices.astype("int32"), **sides}
+    normals = None
+    while at + 5 <= len(content):
+        kind, n = struct.unpack_from("<BI", content, at)
+        if kind == NORMALS_EXTENSION:
+            normals = np.frombuffer(content, "u1", n, at + 5).reshape(-1, 2).astype("int32")
+        at += 5 + n  # other extensions are passed over
+    return {
+        "box": list(head[0:3]), "sphere": list(head[5:8]), "radius": head[8], "occlusion": list(head[9:12]),
+        "ox": None if normals is None else normals[:, 0], "oy": None if normals is None else normals[:, 1], "min_h": head[3], "max_h": head[4], "u": u.astype("int32"), "v": v.astype("int32"), "q": q.astype("int32"), "indices": indices.astype("int32"), **sides,
+    }
 
 
-MESH_ARRAYS = "min_h double, max_h double, u array<int>, v array<int>, q array<int>, indices array<int>, west array<int>, south array<int>, east array<int>, north array<int>"
+MESH_ARRAYS = "min_h double, max_h double, u array<int>, v array<int>, q array<int>, indices array<int>, west array<int>, south array<int>, east array<int>, north array<int>, " \
+    "box array<double>, sphere array<double>, radius double, occlusion array<double>, ox array<int>, oy array<int>"
 
 
 def read_mesh_tiles(store: DataFrame) -> DataFrame:
-    """Quantized meshes as decoded arrays, one row per tile."""
+    """Quantized meshes as decoded arrays, one row per tile; ``ox`` and ``oy`` are null without normals.
+
+    ``box`` and ``sphere`` are the centres of the tile's box and bounding sphere, ``occlusion`` the horizon occlusion point.
+    """
+    names = [f.split()[0] for f in MESH_ARRAYS.split(", ")]
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.concat([b[TILE].reset_index(drop=True), pd.DataFrame([_decode(c) for c in b["content"]])], axis=1)
+            yield pd.concat([b[TILE].reset_index(drop=True), pd.DataFrame([_decode(c) for c in b["content"]], columns=names)], axis=1)
 
     return store.select(*TILE, "content").mapInPandas(unpack, "z bigint, x bigint, y bigint, " + MESH_ARRAYS)
 

@@ -101,11 +101,3 @@ def catalogue_listing(listing: DataFrame, folder: str = "") -> DataFrame:
         "type", "name", F.concat(F.lit(prefix), "name").alias("path"), F.lit(parent).cast("string").alias("parent_path"),
         "files", "size_bytes", text.format_size("size_bytes").alias("size_text"),
     ).orderBy("type", "name")
-
-
-def catalogue_totals(listing: DataFrame) -> DataFrame:
-    """Number of directories and files of a catalogue page."""
-    return listing.agg(
-        F.sum((F.col("type") == "directory").cast("bigint")).alias("directories"),
-        F.sum((F.col("type") == "file").cast("bigint")).alias("files"),
-    )

@@ -42,7 +42,3 @@ def write_features(features: DataFrame, path: str, by: str | None = "z") -> None
 def write_layer(layer: DataFrame, path: str) -> None:
     """The one row of a layer description as a text file."""
     layer.select(F.col("layer").alias("value")).coalesce(1).write.mode("overwrite").text(path)
-
-
-def with_paths(tiles: DataFrame, layout: str = "nested", ext: str = "terrain") -> DataFrame:
-    return tiles.withColumn("path", text.tile_path("z", "x", "y", layout, ext))
