@@ -166,6 +166,36 @@ def filed(df: DataFrame, p: str, levels: Column) -> DataFrame:
     )
 
 
+SPLIT_LEAST = 1000  # rows of a cell that are never split
+SPLITS = 4  # a cell is split that holds more than one part in so many times the shuffle partitions
+
+
+def split_crowded(a: DataFrame, b: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``key`` with two more columns to join on, ``_ia`` and ``_ib``, so that no key is a large part of either.
+
+    A key that holds more than its share of a side is cut into parts of that share by a hash of its rows; every part of one side
+    meets every part of the other. Such keys are few by definition (a fixed number per shuffle partition) and are broadcast;
+    rows of other keys stay as they are. Rows are counted before the shuffle.
+    """
+    parts = SPLITS * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    na, nb = a.groupBy(*key).agg(F.count(F.lit(1)).alias("_na")), b.groupBy(*key).agg(F.count(F.lit(1)).alias("_nb"))
+
+    def cuts(counts: DataFrame, n: str, name: str) -> Column:
+        share = F.greatest(F.lit(SPLIT_LEAST), F.ceil(counts.agg(F.sum(n)).scalar() / parts))
+        return F.ceil(F.col(n) / share).cast("int").alias(name)
+
+    crowded = na.join(nb, key).select(*key, cuts(na, "_na", "_sa"), cuts(nb, "_nb", "_sb")).filter("_sa > 1 or _sb > 1")
+
+    def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
+        own, all_of = f"_i{mine}", f"_i{other}"
+        cut = df.join(F.broadcast(crowded), key, "left")
+        at = F.pmod(F.xxhash64(*df.columns), F.coalesce(f"_s{mine}", F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(f"_s{other}", F.lit(1)) - 1))
+        return cut.withColumn(own, at).withColumn(all_of, every).drop("_sa", "_sb")
+
+    return dealt(a, "a", "b"), dealt(b, "b", "a")
+
+
 def box_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...] = (), apart: str | None = None) -> DataFrame:
     """Pairs of boxes that meet (touching counts), as an equi-join on lattice cells.
 
@@ -175,7 +205,7 @@ def box_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...] = (), apart
     is kept only in the cell holding the south-west corner of the common part, which makes it
     unique without a ``distinct``. Columns: ``a_`` / ``b_`` before the columns of each side.
 
-    ``on`` names columns that must be equal. With ``apart`` only pairs that differ in that column
+    Crowded cells are split (:func:`split_crowded`). ``on`` names columns that must be equal. With ``apart`` only pairs that differ in that column
     are wanted: cells where it has a single value never enter the join.
     """
     a = left.select(*[F.col(c).alias("a_" + c) for c in left.columns])
@@ -206,8 +236,10 @@ def box_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...] = (), apart
     if apart:
         meet = meet & (F.col("a_" + apart) != F.col("b_" + apart))
         joins = [(_mixed_cells(x, y, key, apart), y) for x, y in joins]
-    both = joins[0][0].join(joins[0][1], key).unionByName(joins[1][0].join(joins[1][1], key))
-    return both.filter(meet & home).drop(*key)
+    parts = [*key, "_ia", "_ib"]
+    (x0, y0), (x1, y1) = (split_crowded(x, y, key) for x, y in joins)
+    both = x0.join(y0, parts).unionByName(x1.join(y1, parts))
+    return both.filter(meet & home).drop(*parts)
 
 
 def _mixed_cells(a: DataFrame, b: DataFrame, key: list[str], apart: str) -> DataFrame:
