@@ -35,9 +35,10 @@ def test_parts_are_even(spark, monkeypatch):
     key = ["k"]
     a = spark.range(9000).selectExpr("IF(id % 10 > 0, 7L, id) AS k", "id AS a")
     b = spark.range(3000).selectExpr("IF(id % 10 > 0, 7L, id) AS k", "id AS b")
-    x, y = index.split_crowded(a, b, key)
+    ((x, y), _), on = index.split_crowded([(a, b), (b.limit(5), a)], key)
+    assert on == ["k", "_ia", "_ib"]
     share = index.SPLITS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     for df, n in ((x, 9000), (y, 3000)):
         assert df.groupBy("k", "_ia", "_ib").count().agg(F.max("count")).first()[0] <= 1.5 * n / share
     assert x.join(y, ["k", "_ia", "_ib"]).count() == a.join(b, key).count()
-    assert index.split_crowded(a.limit(0), b, key)[0].count() == 0
+    assert index.split_crowded([(a.limit(0), b)], key)[1] == key

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.functions import grid, predicates
 from tilewright.functions._cols import pow2
 from tilewright.functions.text import split_antimeridian
+from tilewright.session import cut_lineage
 
 _EDGE = 1e-9  # in tiles; edges this close to a tile border are tested against both sides
 SINGLE_PAGE_LEVEL = 6
@@ -170,30 +171,38 @@ SPLIT_LEAST = 1000  # rows of a cell that are never split
 SPLITS = 4  # a cell is split that holds more than one part in so many times the shuffle partitions
 
 
-def split_crowded(a: DataFrame, b: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join on ``key`` with two more columns to join on, ``_ia`` and ``_ib``, so that no key is a large part of either.
+def split_crowded(joins: list[tuple[DataFrame, DataFrame]], key: list[str]) -> tuple[list[tuple[DataFrame, DataFrame]], list[str]]:
+    """The sides of joins on ``key``, and what to join them on so that no key is a large part of any side: two more columns where need be.
 
     A key that holds more than its share of a side is cut into parts of that share by a hash of its rows; every part of one side
     meets every part of the other. Such keys are few by definition (a fixed number per shuffle partition) and are broadcast;
-    rows of other keys stay as they are. Rows are counted before the shuffle.
+    rows of other keys stay as they are. All sides are counted in one aggregate before anything is joined.
     """
-    parts = SPLITS * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    na, nb = a.groupBy(*key).agg(F.count(F.lit(1)).alias("_na")), b.groupBy(*key).agg(F.count(F.lit(1)).alias("_nb"))
-
-    def cuts(counts: DataFrame, n: str, name: str) -> Column:
-        share = F.greatest(F.lit(SPLIT_LEAST), F.ceil(counts.agg(F.sum(n)).scalar() / parts))
-        return F.ceil(F.col(n) / share).cast("int").alias(name)
-
-    crowded = na.join(nb, key).select(*key, cuts(na, "_na", "_sa"), cuts(nb, "_nb", "_sb")).filter("_sa > 1 or _sb > 1")
-
-    def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
-        own, all_of = f"_i{mine}", f"_i{other}"
-        cut = df.join(F.broadcast(crowded), key, "left")
+    parts = SPLITS * int(joins[0][0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = None
+    for j, sides in enumerate(joins):
+        for side, df in enumerate(sides):
+            one = df.select(*key, F.lit(j).alias("_j"), F.lit(1 - side).alias("_a"), F.lit(side).alias("_b"))
+            rows = one if rows is None else rows.unionByName(one)
+    counts = rows.groupBy(*key, "_j").agg(F.sum("_a").alias("_na"), F.sum("_b").alias("_nb"))
+    totals = counts.groupBy("_j").agg(F.sum("_na").alias("_ta"), F.sum("_nb").alias("_tb"))  # a row per join
+
+    def cuts(side: str) -> Column:
+        share = F.greatest(F.lit(SPLIT_LEAST), F.ceil(F.col(f"_t{side}") / parts))
+        return F.ceil(F.col(f"_n{side}") / share).cast("int").alias(f"_s{side}")
+
+    crowded = counts.filter("_na > 0 and _nb > 0").join(F.broadcast(totals), "_j").select("_j", *key, cuts("a"), cuts("b"))
+    crowded = cut_lineage(crowded.filter("_sa > 1 or _sb > 1"))
+    if crowded.isEmpty():
+        return joins, key
+
+    def dealt(df: DataFrame, j: int, mine: str, other: str) -> DataFrame:
+        cut = df.join(F.broadcast(crowded.filter(F.col("_j") == j).drop("_j")), key, "left")
         at = F.pmod(F.xxhash64(*df.columns), F.coalesce(f"_s{mine}", F.lit(1))).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.coalesce(f"_s{other}", F.lit(1)) - 1))
-        return cut.withColumn(own, at).withColumn(all_of, every).drop("_sa", "_sb")
+        return cut.withColumn(f"_i{mine}", at).withColumn(f"_i{other}", every).drop("_sa", "_sb")
 
-    return dealt(a, "a", "b"), dealt(b, "b", "a")
+    return [(dealt(a, j, "a", "b"), dealt(b, j, "b", "a")) for j, (a, b) in enumerate(joins)], [*key, "_ia", "_ib"]
 
 
 def box_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...] = (), apart: str | None = None) -> DataFrame:
@@ -236,8 +245,7 @@ def box_pairs(left: DataFrame, right: DataFrame, on: tuple[str, ...] = (), apart
     if apart:
         meet = meet & (F.col("a_" + apart) != F.col("b_" + apart))
         joins = [(_mixed_cells(x, y, key, apart), y) for x, y in joins]
-    parts = [*key, "_ia", "_ib"]
-    (x0, y0), (x1, y1) = (split_crowded(x, y, key) for x, y in joins)
+    ((x0, y0), (x1, y1)), parts = split_crowded(joins, key)
     both = x0.join(y0, parts).unionByName(x1.join(y1, parts))
     return both.filter(meet & home).drop(*parts)
 
