@@ -65,17 +65,20 @@ def corpus(n, seed):
     return list(enumerate(out[:n]))
 
 
-@pytest.mark.parametrize("frequent", [1 << 17, 50])
-def test_equals_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent, close", [(1 << 17, 256), (50, 4)])
+def test_equals_brute_force(spark, monkeypatch, frequent, close):
     rows = corpus(700, frequent)
     monkeypatch.setattr(jj, "FREQUENT", frequent)
+    monkeypatch.setattr(jj, "CLOSE", close)  # larger regions go on by pivots and distances
     monkeypatch.setattr(jj, "CHUNK", 5000)
     monkeypatch.setattr(jj, "TEAM", 8)
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()) == brute(rows)
 
 
-def test_a_chain_whose_ends_are_pivots(spark):
+@pytest.mark.parametrize("close", [256, 2])
+def test_a_chain_whose_ends_are_pivots(spark, monkeypatch, close):
     """Only the middle pair joins two balls: neither of its ends is within reach of the other ball's pivot."""
+    monkeypatch.setattr(jj, "CLOSE", close)
     rnd = random.Random(1)
     rows = []
     for _ in range(25):
@@ -92,6 +95,18 @@ def test_a_chain_whose_ends_are_pivots(spark):
     assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()) == want
 
 
+def test_unlike_sets_around_one_passage_are_not_compared(spark, monkeypatch):
+    """A passage takes up to 85 of 100 words of 2000 texts: all are candidates by their size alone, few are near."""
+    rnd = random.Random(7)
+    word = lambda: f"w{rnd.randrange(10**7)}"
+    passage = [word() for _ in range(120)]
+    rows = list(enumerate(" ".join([word() for _ in range(a)] + passage + [word() for _ in range(b)]) for a, b in ((rnd.randrange(12, 18), rnd.randrange(8, 18)) for _ in range(2000))))
+    seen = []
+    monkeypatch.setattr(jj, "_distances", lambda pairs, total, sets, need, real=jj._distances: seen.append(pairs.count()) or real(pairs, total, sets, need))
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()) == brute(rows)
+    assert sum(seen) < 2 * len(rows)
+
+
 def test_links_hold_and_join_the_components(spark):
     rows = corpus(200, 5)
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).cache()

@@ -7,10 +7,16 @@ Two sets are linked when their Jaccard distance is at most EPS = 1 - 3/4.
    the tie. Sets within EPS of A lack at most |A|/4 of its shingles; so that such a pair meets in the
    region of the first shingle they share, A is replicated to its first |A|/4 + 1 pivots. Shingles of a single set
    make no region, and a set of which more than a quarter are such has no partner at all; few sets are left.
-2. Inside a region pivots are sets. All members are compared with each pivot, which then leaves the region.
-   Members within EPS of it are linked to it. Of the others, pairs in one component are settled, and a
-   member stays only if the triangle inequality lets it be near some member of another component:
-   |d(x, p) - d(y, p)| <= EPS for every pivot p; sets whose sizes alone keep them apart are not compared. Rounds go on, with more pivots each, until no region holds two components.
+2. A pair whose first shared shingle is s shares no more than what either has from s on, so in the region of s a set has a
+   window: the largest size a partner within EPS can have. Two members face each other if each one's size
+   lies in the other's window. Unlike sets around a common passage don't face each other, however many they are,
+   as the shingles that few others have come first in the order.
+3. Of every region, one set is a pivot and compared with the members that it faces; those within EPS are linked to it.
+   Pairs in one component are settled. In regions of up to CLOSE sets that face another component, the pairs that
+   face each other across components are compared, each once for all regions.
+4. Larger regions join recursively: more sets are pivots, compared with all members that face them, and then leave the
+   region; a member stays only if the triangle inequality lets it be near some member of another
+   component: |d(x, p) - d(y, p)| <= EPS for every pivot p. Components are joined, and what is left goes to 3.
 
 Sets that are equal are one point. Document frequencies come from all sets: shingles are dealt out by hash and
 counted there, packed by the thousand; shingles of very many sets (bounded in number) are counted by sums of local
@@ -22,6 +28,7 @@ links found; hence components are exact, and the links returned join all of each
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +47,8 @@ NEED = 75  # linked when 100 * intersection >= NEED * union
 CHUNK = 600_000  # shingles that a task packs together
 CHUNK_TEXTS = 60_000
 FREQUENT = 1 << 17  # a shingle is frequent when it makes up more than 1 / FREQUENT of all (twice that for certain)
-PIVOTS = (1, 16, 64)  # pivots of a region in the first rounds; the last number holds for the rest
+PIVOTS = 64  # pivots of a large region in one round
+CLOSE = 256  # regions of up to so many sets that face another component are compared in one go
 TEAM = 256  # members that are compared with a pivot together
 
 _U = np.uint64
@@ -286,19 +294,53 @@ def _candidates(need: int):
         reach = size[at] - -(-need * size[at].astype(np.int64) // 100) + 1 - (size[at] - shared[at])
         rows = [(sorted_[e - s : e].tobytes(), ranked[e - s : e - s + r].tobytes()) for e, s, r in zip(ends, shared[at], reach, strict=True)]
         return pa.table({
-            "node": pa.array((chunk << 16) + at.astype(np.int64), pa.int64()), "n": pa.array(size[at].astype(np.int64)), "f1": pa.array(f1[at]), "f2": pa.array(f2[at]),
+            "alone": pa.array((size - shared)[at].astype(np.int64)), "node": pa.array((chunk << 16) + at.astype(np.int64), pa.int64()), "n": pa.array(size[at].astype(np.int64)), "f1": pa.array(f1[at]), "f2": pa.array(f2[at]),
             "keys": pa.array([x[0] for x in rows], pa.binary()), "pivots": pa.array([x[1] for x in rows], pa.binary()),
         })
 
     return run
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        parts = [np.frombuffer(p, "<i8") for p in b.column("pivots").to_pylist()]
-        if parts:
-            node, n = (np.repeat(np.array(b.column(k).to_pylist(), dtype=np.int64), [len(p) for p in parts]) for k in ("node", "n"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(node), pa.array(n)], names=["region", "node", "n"])
+def _regions(need: int):
+    """Rows of the outer regions; ``room`` is the largest size of a partner whose first shared shingle is the region's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [np.frombuffer(p, "<i8") for p in b.column("pivots").to_pylist()]
+            if parts:
+                lengths = np.array([len(p) for p in parts])
+                node, n, alone = (np.repeat(b.column(k).to_numpy(zero_copy_only=False), lengths) for k in ("node", "n", "alone"))
+                at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                room = (100 + need) * (n - alone - at) // need - n
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(node), pa.array(n), pa.array(room)], names=["region", "node", "n", "room"])
+
+    return run
+
+
+def _facing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by region, at most CLOSE each: the pairs that face each other and are of different components."""
+    rest: list[np.ndarray] | None = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            new = [b.column(k).to_numpy(zero_copy_only=False) for k in ("region", "node", "n", "room", "comp")]
+            rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+        if rest is None or not len(rest[0]):
+            continue
+        # The last region of a batch may go on in the next one.
+        end = int(np.flatnonzero(rest[0] != rest[0][-1])[-1] + 1) if b is not None and rest[0][0] != rest[0][-1] else 0 if b is not None else len(rest[0])
+        region, node, n, room, comp = (x[:end] for x in rest)
+        rest = [x[end:] for x in rest]
+        cuts = np.flatnonzero(np.diff(region)) + 1
+        low, high, size = [], [], 0
+        for a, z in zip([0, *cuts], [*cuts, end], strict=True):
+            meets = (n[a:z, None] <= room[a:z]) & (n[a:z] <= room[a:z, None]) & (comp[a:z, None] != comp[a:z])
+            x, y = np.nonzero(np.triu(meets))
+            low.append(np.minimum(node[a:z][x], node[a:z][y]))
+            high.append(np.maximum(node[a:z][x], node[a:z][y]))
+            size += len(x)
+            if size > 100_000 or z == end:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(high)), pa.array(np.concatenate(low))], names=["node", "pivot"])
+                low, high, size = [], [], 0
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,30 +377,31 @@ def _distances(pairs: DataFrame, total: int, sets: DataFrame, need: int) -> Data
 
 
 def _round(rows: DataFrame, sets: DataFrame, pivots: int, need: int, narrow: bool) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """One level of the join inside regions: rows (region, node, n, comp) of the next level, the links found, and the
-    sets that later levels may need (with ``narrow``, those of members only)."""
+    """One level of the join inside regions: rows (region, node, n, room, comp) of the next level, the links found, and
+    the sets that later levels may need (with ``narrow``, those of members only)."""
     eps = 1 - need / 100 + 1e-9
     total = rows.count()
     if not total:
         return None
-    draw = F.struct(F.xxhash64("node").alias("h"), "node", F.col("n").alias("own"))
+    draw = F.struct(F.xxhash64("node").alias("h"), "node", F.col("n").alias("own"), F.col("room").alias("own_room"))
     first = rows.groupBy("region", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(pivots)).alias("_j")).agg(
         F.count(F.lit(1)).alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(draw).alias("_p"),
     )
     found = first.groupBy("region").agg(F.sum("_c").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.collect_list("_p").alias("pivots"))
     found = found.where("_lo < _hi").select("region", "_n", "pivots")
     met = c.routed(rows, found, ["region"], total, nulls=False)
-    met = met.select("region", "node", "n", "comp", F.explode("pivots").alias("_p"))
-    met = c.save(met.select("region", "node", "n", "comp", F.col("_p.node").alias("pivot"), F.col("_p.own").alias("own")), "meetings")
+    met = met.select("region", "node", "n", "room", "comp", F.explode("pivots").alias("_p"))
+    met = met.select("region", "node", "n", "room", "comp", F.col("_p.node").alias("pivot"), "_p.own", "_p.own_room")
+    met = c.save(met, "meetings")
     # Sets of too different size are too far apart: 1 - smaller / larger is the least their distance can be.
     apart = 1 - F.least("n", "own") / F.greatest("n", "own")
-    close = 100 * F.least("n", "own") >= need * F.greatest("n", "own")
+    close = (F.col("n") <= F.col("own_room")) & (F.col("own") <= F.col("room"))
     pairs = c.save(met.where((F.col("node") != F.col("pivot")) & close).select("node", "pivot").distinct(), "pairs")
     if narrow:
         sets = c.save(sets.join(met.select("node").distinct(), "node", "left_semi"), "members")
     far = _distances(pairs, total * pivots, sets, need)
     # A pivot has now been compared with all others of its region and leaves it.
-    seen = met.join(far.select("node", "pivot", "distance"), ["node", "pivot"], "left").groupBy("region", "node", "n", "comp").agg(
+    seen = met.join(far.select("node", "pivot", "distance"), ["node", "pivot"], "left").groupBy("region", "node", "n", "room", "comp").agg(
         F.bool_or(F.col("node") == F.col("pivot")).alias("_done"),
         F.array_sort(F.collect_list(F.struct("pivot", F.coalesce("distance", apart).alias("d"), F.coalesce("distance", F.lit(1.0)).alias("e")))).alias("at"),
     )
@@ -385,10 +428,40 @@ def _round(rows: DataFrame, sets: DataFrame, pivots: int, need: int, narrow: boo
         most = F.when(s["far"]["comp"] == F.col("comp"), s["hi"]).otherwise(s["far"]["hi"])
         return (e >= least - eps) & (d <= most + eps)
 
-    rest = c.save(rest.where(F.forall(F.arrays_zip("at", "span"), reached)).select("region", "node", "n", "comp"), "regions")
+    rest = c.save(rest.where(F.forall(F.arrays_zip("at", "span"), reached)).select("region", "node", "n", "room", "comp"), "regions")
     return rest, far.where("linked").select("node", "pivot", "both", "either"), sets
 
 
+def _first_links(rows: DataFrame, sets: DataFrame, need: int) -> DataFrame:
+    """Links of the members of each region to its pivot, as far as they face it."""
+    draw = F.struct(F.xxhash64("node").alias("h"), "node", F.col("n").alias("own"), F.col("room").alias("own_room"))
+    found = rows.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.min(draw).alias("_p"))
+    met = c.routed(rows, found.where("_n > 1"), ["region"], rows.count(), nulls=False)
+    met = met.where((F.col("node") != F.col("_p.node")) & (F.col("n") <= F.col("_p.own_room")) & (F.col("_p.own") <= F.col("room")))
+    return _links(met.select("node", F.col("_p.node").alias("pivot")).distinct(), sets, need)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, need: int) -> DataFrame:
+    """node, pivot, both, either of the distinct pairs (node, pivot) that are linked."""
+    pairs = c.save(pairs, "pairs")
+    return _distances(pairs, pairs.count(), sets, need).where("linked").select("node", "pivot", "both", "either")
+
+
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows that may face another component, with the components of ``roots`` and ``_n``, their number in the region."""
+    rows = rows.drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    rows = c.save(rows, "regions")
+    ends = rows.groupBy("region").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min("n").alias("_least"), F.max("room").alias("_most"),
+    )
+    rows = c.routed(rows, ends.where("_lo < _hi"), ["region"], rows.count(), nulls=False)
+    rows = rows.where("_least <= room and n <= _most").select("region", "node", "n", "room", "comp")
+    rows = c.save(rows, "regions")
+    total = rows.count()
+    ends = rows.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi")
+    return c.save(c.routed(rows, ends.select("region", "_n", F.col("_n").alias("size")), ["region"], total, nulls=False), "regions")
+
+
 def _roots(links: DataFrame) -> DataFrame:
     """node, root of every node on a link."""
     found = components(links.select(F.col("node").alias("a"), F.col("pivot").alias("b")))
@@ -425,41 +498,31 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, need: int = NEED, id_col:
 
     parts = _packed(rows, words, c.buckets(spark, 2), frequent, times)
     parts = parts.groupBy("bucket").applyInArrow(_counted, "chunk long, kind int, payload binary")
-    found = parts.groupBy("chunk").applyInArrow(_candidates(need), "node long, n long, f1 long, f2 long, keys binary, pivots binary")
+    found = parts.groupBy("chunk").applyInArrow(_candidates(need), "alone long, node long, n long, f1 long, f2 long, keys binary, pivots binary")
     found = c.save(found, "sets")
     points = c.save(found.groupBy("f1", "f2").agg(F.min("node").alias("node")), "points")
-    inside = found.select("node", "n", "pivots").join(points.select("node"), "node", "left_semi")
-    state = inside.mapInArrow(_regions, "region long, node long, n long").withColumn("comp", F.col("node"))
-    state = c.save(state, "regions")
+    inside = found.select("node", "n", "alone", "pivots").join(points.select("node"), "node", "left_semi")
+    state = c.save(inside.mapInArrow(_regions(need), "region long, node long, n long, room long"), "regions")
     sets = found.select("node", "n", "keys")
-    links, level = [], 0
+    linked = _first_links(state, sets, need)
     while True:
-        done = _round(state, sets, PIVOTS[min(level, len(PIVOTS) - 1)], need, level > 0)
+        state = _open(state, _roots(linked))
+        small = state.where(F.col("size") <= CLOSE).repartition("region").sortWithinPartitions("region")
+        linked = linked.unionByName(_links(small.mapInArrow(_facing, "node long, pivot long").distinct(), sets, need))
+        done = _round(state.where(F.col("size") > CLOSE).drop("size"), sets, PIVOTS, need, True)
         if done is None:
             break
-        state, new, sets = done
-        links.append(new)
-        if level == 0:
-            # Most regions lie in one component by now; pairs inside a component need no comparison.
-            state = state.join(_roots(new), "node", "left").select("region", "node", "n", F.coalesce("root", "node").alias("comp"))
-            state = c.save(state, "regions")
-        level += 1
-    linked = None
-    for x in links:
-        linked = x if linked is None else linked.unionByName(x)
+        state, new, _ = done
+        linked = linked.unionByName(new)
     by_set = sig.where("n_shingles > 0").groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("component_id"))
-    if linked is None:
-        empty = sig.select("f1", "f2", F.col("f1").alias("other_f1"), F.col("f2").alias("other_f2"), F.col("f1").alias("both"), F.col("f1").alias("either")).limit(0)
-        named, out = by_set, empty
-    else:
-        roots = _roots(linked)
-        placed = points.join(roots, "node").select("f1", "f2", "root")
-        lowest = by_set.join(placed, ["f1", "f2"]).groupBy("root").agg(F.min("component_id").alias("_low"))
-        placed = c.save(placed.join(lowest, "root").select("f1", "f2", "_low"), "roots")
-        named = by_set.join(placed, ["f1", "f2"], "left").select("f1", "f2", "_n", F.coalesce("_low", "component_id").alias("component_id"))
-        ends = points.select("node", "f1", "f2")
-        out = linked.join(ends, "node").drop("node")
-        out = out.join(ends.select(F.col("node").alias("pivot"), F.col("f1").alias("other_f1"), F.col("f2").alias("other_f2")), "pivot").drop("pivot")
+    roots = _roots(linked)
+    placed = points.join(roots, "node").select("f1", "f2", "root")
+    lowest = by_set.join(placed, ["f1", "f2"]).groupBy("root").agg(F.min("component_id").alias("_low"))
+    placed = c.save(placed.join(lowest, "root").select("f1", "f2", "_low"), "roots")
+    named = by_set.join(placed, ["f1", "f2"], "left").select("f1", "f2", "_n", F.coalesce("_low", "component_id").alias("component_id"))
+    ends = points.select("node", "f1", "f2")
+    out = linked.join(ends, "node").drop("node")
+    out = out.join(ends.select(F.col("node").alias("pivot"), F.col("f1").alias("other_f1"), F.col("f2").alias("other_f2")), "pivot").drop("pivot")
     members = c.routed(sig.where("n_shingles > 0"), named, ["f1", "f2"], total, nulls=False)
     alone = sig.where("n_shingles = 0").withColumn("component_id", F.col("id"))
     return Join(members.unionByName(alone), out)
