@@ -432,13 +432,20 @@ def _round(rows: DataFrame, sets: DataFrame, pivots: int, need: int, narrow: boo
     return rest, far.where("linked").select("node", "pivot", "both", "either"), sets
 
 
-def _first_links(rows: DataFrame, sets: DataFrame, need: int) -> DataFrame:
-    """Links of the members of each region to its pivot, as far as they face it."""
+def _first_links(rows: DataFrame, sets: DataFrame, need: int) -> tuple[DataFrame, DataFrame]:
+    """The rows that may face another one of their region, and the links of the members of each region to its pivot."""
     draw = F.struct(F.xxhash64("node").alias("h"), "node", F.col("n").alias("own"), F.col("room").alias("own_room"))
-    found = rows.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.min(draw).alias("_p"))
-    met = c.routed(rows, found.where("_n > 1"), ["region"], rows.count(), nulls=False)
-    met = met.where((F.col("node") != F.col("_p.node")) & (F.col("n") <= F.col("_p.own_room")) & (F.col("_p.own") <= F.col("room")))
-    return _links(met.select("node", F.col("_p.node").alias("pivot")).distinct(), sets, need)
+    ends = [F.min("n").alias("_least"), F.max("room").alias("_most"), F.sum("n").alias("_ns"), F.sum("room").alias("_rooms")]
+    found = rows.groupBy("region").agg(F.count(F.lit(1)).alias("_n"), F.min(draw).alias("_p"), *ends).where("_n > 1")
+    found = found.withColumn("_two", F.col("_n") == 2)
+    # Of two members each sees the other one exactly, of more their bounds.
+    other_n = F.when(F.col("_two"), F.col("_ns") - F.col("n")).otherwise(F.col("_least"))
+    other_room = F.when(F.col("_two"), F.col("_rooms") - F.col("room")).otherwise(F.col("_most"))
+    rows = c.routed(rows, found, ["region"], rows.count(), nulls=False)
+    rows = rows.where((other_n <= F.col("room")) & (F.col("n") <= other_room))
+    rows = c.save(rows.select("region", "node", "n", "room", F.col("_p.node").alias("pivot"), "_p.own", "_p.own_room"), "regions")
+    met = rows.where("node <> pivot and n <= own_room and own <= room").select("node", "pivot").distinct()
+    return rows.select("region", "node", "n", "room"), _links(met, sets, need)
 
 
 def _links(pairs: DataFrame, sets: DataFrame, need: int) -> DataFrame:
@@ -504,7 +511,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, need: int = NEED, id_col:
     inside = found.select("node", "n", "alone", "pivots").join(points.select("node"), "node", "left_semi")
     state = c.save(inside.mapInArrow(_regions(need), "region long, node long, n long, room long"), "regions")
     sets = found.select("node", "n", "keys")
-    linked = _first_links(state, sets, need)
+    state, linked = _first_links(state, sets, need)
     while True:
         state = _open(state, _roots(linked))
         small = state.where(F.col("size") <= CLOSE).repartition("region").sortWithinPartitions("region")
