@@ -26,11 +26,12 @@ def with_ecef(vertices: DataFrame) -> DataFrame:
 def corners(triangles: DataFrame, vertices: DataFrame, columns: list[str]) -> DataFrame:
     """Triangles with ``columns`` of their three vertices as ``<column>0..2``.
 
-    The corners become rows, so one join on the vertex key serves all three.
+    The corners become rows, so one join on the vertex key serves all three. It is a merge join: both sides may come from rows
+    that were multiplied, whose size Spark underrates, and neither may pass through the driver.
     """
     k = F.explode(F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"v{n}").alias("vid")) for n in range(3)]))
     t = triangles.select(*TILE, "tid", "v0", "v1", "v2", k.alias("_k")).select(*TILE, "tid", "v0", "v1", "v2", F.col("_k.k").alias("_k"), F.col("_k.vid").alias("vid"))
-    j = t.join(vertices.select(*TILE, "vid", *columns), [*TILE, "vid"])
+    j = t.join(vertices.select(*TILE, "vid", *columns).hint("merge"), [*TILE, "vid"])
     picks = [F.max(F.when(F.col("_k") == n, F.col(c))).alias(f"{c}{n}") for n in range(3) for c in columns]
     return j.groupBy(*TILE, "tid").agg(*[F.max(f"v{n}").alias(f"v{n}") for n in range(3)], *picks)
 
@@ -98,7 +99,7 @@ SCALE_POLAR = 6356752.3142451793
 def horizon_occlusion(vertices: DataFrame, spheres: DataFrame) -> DataFrame:
     """Point below which a tile is hidden, in ellipsoid-scaled coordinates."""
     radii = {"ex": geodesy.EQUATORIAL_RADIUS, "ey": geodesy.EQUATORIAL_RADIUS, "ez": SCALE_POLAR}
-    j = with_ecef(vertices).join(spheres, TILE)
+    j = with_ecef(vertices).join(spheres.hint("merge"), TILE)
     j = j.withColumns({**{"_p" + c: F.col(c) / s for c, s in radii.items()}, **{"_c" + c: F.col("center_" + c) / s for c, s in radii.items()}})
     px, py, pz, cx, cy, cz = (F.col(k) for k in ("_pex", "_pey", "_pez", "_cex", "_cey", "_cez"))
     j = j.withColumn("_m2", px * px + py * py + pz * pz).withColumn("_m", F.sqrt("_m2"))
@@ -247,12 +248,12 @@ def triangle_deviation(triangles: DataFrame, vertices: DataFrame, tile_cells: Da
     """
     sized = triangle_sizes(triangles, vertices)
     normals = face_normals(triangles, vertices).select(*TILE, "tid", F.abs(normal_cosine()).alias("cosine"))
-    return deviations(sized.join(normals, [*TILE, "tid"]), tile_cells, n, [*TILE, "tid"], intensity)
+    return deviations(sized.join(normals.hint("merge"), [*TILE, "tid"]), tile_cells, n, [*TILE, "tid"], intensity)
 
 
 def deviations(sized: DataFrame, tile_cells: DataFrame, n: int, keys: list[str], intensity: float = 4.0) -> DataFrame:
     """:func:`triangle_deviation` for triangles that carry their corners, ``metres`` and ``cosine``."""
-    got = cells_in_triangles(sized, n).join(tile_cells.select(*TILE, "col", "row", "value"), [*TILE, "col", "row"])
+    got = cells_in_triangles(sized, n).join(tile_cells.select(*TILE, "col", "row", "value").hint("merge"), [*TILE, "col", "row"])
     cosine = F.when(F.col("z") > 10, F.col("cosine")).otherwise(1.0)
     gap = F.abs(F.col("value") - plane_height("clon", "clat")) * cosine
     worst = got.groupBy(*dict.fromkeys([*TILE, *keys])).agg(F.max(gap).alias("deviation"), F.max("metres").alias("metres"))
@@ -315,7 +316,7 @@ def to_children(triangles: DataFrame, vertices: DataFrame) -> DataFrame:
 
 def split_to_sets(triangles: DataFrame, owners: DataFrame) -> DataFrame:
     """Triangles under the key of the tile that owns them; faces are renumbered per owner."""
-    t = triangles.join(owners, [*TILE, "tid"])
+    t = triangles.join(owners.hint("merge"), [*TILE, "tid"])
     number = F.row_number().over(Window.partitionBy("child_z", "child_x", "child_y").orderBy("x", "y", "tid")) - 1
     return t.select(
         F.col("child_z").alias("z"), F.col("child_x").alias("x"), F.col("child_y").alias("y"), number.cast("bigint").alias("tid"), "v0", "v1", "v2")

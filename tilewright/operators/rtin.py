@@ -112,5 +112,5 @@ def border_activation(activation: DataFrame, n: int, zmin: int = SMOOTH_ZOOM + 1
         strips = [np.stack([none if s is None else np.asarray(s, dtype=np.int32) for s in side]) for side in (west, east, south, north)]
         return _flat(lattice.raise_borders(_stack(levels, n, np.int32), *strips))
 
-    j = activation.join(got, TILE, "left")
+    j = activation.join(got.hint("merge"), TILE, "left")
     return rtin_propagate(j.withColumn("levels", raised("levels", *["_" + s for s in sides])).drop(*["_" + s for s in sides]), n)

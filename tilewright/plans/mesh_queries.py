@@ -163,7 +163,7 @@ join (select cast(unnest([0, 0, 0, 1, 1, 1]) as bigint) as tid, unnest([0, 1, 2,
 def m01(i):
     v, t = mesh.initial_mesh(i.mesh_tiles, i.tile_cells, 17)
     c = t.select("z", "x", "y", "tid", F.explode(F.array("v0", "v1", "v2")).alias("vid"))
-    return v.join(c, ["z", "x", "y", "vid"])
+    return v.join(c.hint("merge"), ["z", "x", "y", "vid"])
 
 
 @query("m04_refresh_elevation", """

@@ -106,10 +106,10 @@ def _field(array: str, name: str):
 def mesh_parts(vertices: DataFrame, triangles: DataFrame, normals: bool = True) -> DataFrame:
     """One row per tile with everything its bytes hold, as encoded arrays.
 
-    All parts are grouped by the tile, so the joins between them meet rows already in place.
+    All parts are grouped by the tile, so the (merge) joins between them meet rows already in place.
     """
     stream = mesh.index_stream(triangles)
-    number = stream.select(*TILE, "vid", "idx").distinct()
+    number = stream.select(*TILE, "vid", "idx").distinct().hint("merge")
     q = mesh.quantize(vertices).join(number, [*TILE, "vid"])
 
     def listed(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
@@ -126,11 +126,13 @@ def mesh_parts(vertices: DataFrame, triangles: DataFrame, normals: bool = True)
     header = mesh.mesh_header(vertices).select(*TILE, "min_h", "max_h", *[F.col("center_" + c).alias("box_" + c) for c in ("ex", "ey", "ez")])
     occlusion = mesh.horizon_occlusion(vertices, sphere)
     occlusion = occlusion.select(*TILE, *[F.col(c) for c in occlusion.columns if c.startswith("occlusion_")])
-    out = header.join(sphere, TILE).join(occlusion, TILE).join(points, TILE).join(codes, TILE).join(edges, TILE)
+    out = header
+    for part in (sphere, occlusion, points, codes, edges):
+        out = out.join(part.hint("merge"), TILE)
     if normals:
         vn = mesh.vertex_normals(triangles, vertices)
         ox, oy = encoding.oct_encode("nx", "ny", "nz")
-        out = out.join(listed(vn.select(*TILE, "vid", ox.alias("ox"), oy.alias("oy")).join(number, [*TILE, "vid"]), "idx", ["ox", "oy"]), TILE)
+        out = out.join(listed(vn.select(*TILE, "vid", ox.alias("ox"), oy.alias("oy")).join(number, [*TILE, "vid"]), "idx", ["ox", "oy"]).hint("merge"), TILE)
     return out
 
 
