@@ -112,4 +112,4 @@ def reproject_nearest(rasters: DataFrame, cells: DataFrame, cols: int, rows: int
         return F.greatest(zero, F.least(F.floor(v), F.col(size) - 1))
 
     at = t.select("file_id", "tcol", "trow", inside((sx - F.col("w")) / F.col("px"), "cols").alias("col"), inside((F.col("n") - sy) / F.col("px"), "rows").alias("row"))
-    return at.join(cells, ["file_id", "col", "row"], "left").select("file_id", F.col("tcol").alias("col"), F.col("trow").alias("row"), "value")
+    return at.join(cells.hint("merge"), ["file_id", "col", "row"], "left").select("file_id", F.col("tcol").alias("col"), F.col("trow").alias("row"), "value")

@@ -4,7 +4,8 @@
 ``cells``: file_id, col, row, value; null is nodata. ``tile_cells``: z, x, y, col, row, value.
 
 A position finds its rasters through lattice cells, and its values through an equi-join with blocks of
-cells: a block is unique on its key, so the join never multiplies rows.
+cells: a block is unique on its key, so the join never multiplies rows. Joins with cells, blocks and windows are merge joins:
+these come from rows that were multiplied, whose size Spark underrates, and must not pass through the driver.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ def covering(points: DataFrame, rasters: DataFrame) -> DataFrame:
     cells = F.pow(F.lit(2.0), F.col("_lv"))
     p = p.withColumns({k: F.floor((F.col(c) + 180.0) / 360.0 * cells) for k, c in (("_cx", "lon"), ("_cy", "lat"))})
     hit = F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))
-    return p.join(filed_rasters, ["_lv", "_cx", "_cy"]).filter(hit).drop("_lv", "_cx", "_cy")
+    return p.join(filed_rasters.hint("merge"), ["_lv", "_cx", "_cy"]).filter(hit).drop("_lv", "_cx", "_cy")
 
 
 def _unit(pairs: DataFrame) -> tuple[Column, Column]:
@@ -107,7 +108,7 @@ def sample_nearest(points: DataFrame, rasters: DataFrame, cells: DataFrame) -> D
     cx, cy = _unit(pairs)
     at = pairs.withColumns({"_col": _inside(cx, "cols"), "_row": _inside(cy, "rows")})
     at = at.withColumns({"_bx": F.floor(F.col("_col") / BLOCK), "_by": F.floor(F.col("_row") / BLOCK)})
-    got = at.join(cell_blocks(cells), ["file_id", "_bx", "_by"], "left")
+    got = at.join(cell_blocks(cells).hint("merge"), ["file_id", "_bx", "_by"], "left")
     value = _in_block(F.col("_col"), F.col("_row"))
     return got.select(*points.columns, "file_id", "px", F.col("_col").alias("cell_col"), F.col("_row").alias("cell_row"), value.alias("value"))
 
@@ -124,16 +125,17 @@ def sample_bilinear(points: DataFrame, rasters: DataFrame, cells: DataFrame) ->
     c0, r0 = _inside(cx, "cols"), _inside(cy, "rows")
     at = pairs.withColumns({"_c0": c0, "_r0": r0, "_fx": cx - c0, "_fy": cy - r0})
     at = at.withColumns({"_bx": F.floor(F.col("_c0") / BLOCK), "_by": F.floor(F.col("_r0") / BLOCK)})
-    got = at.join(cell_blocks(cells), ["file_id", "_bx", "_by"], "left")
+    got = at.join(cell_blocks(cells).hint("merge"), ["file_id", "_bx", "_by"], "left")
     value = _between(F.col("cols") - 1, F.col("rows") - 1)
     return got.select(*points.columns, "file_id", "px", value.alias("value"))
 
 
-def _between(last_col: Column, last_row: Column) -> Column:
+def _between(last_col: Column, last_row: Column, block: int = BLOCK) -> Column:
     """Bilinear value at (_c0 + _fx, _r0 + _fy) of the block beside it."""
     c0, r0 = F.col("_c0"), F.col("_r0")
     c1, r1 = F.least(c0 + 1, last_col), F.least(r0 + 1, last_row)
-    return bilinear(_in_block(c0, r0), _in_block(c1, r0), _in_block(c0, r1), _in_block(c1, r1), F.col("_fx"), F.col("_fy"))
+    corners = [_in_block(c, r, block) for c, r in ((c0, r0), (c1, r0), (c0, r1), (c1, r1))]
+    return bilinear(*corners, F.col("_fx"), F.col("_fy"))
 
 
 def bilinear(a: Column, b: Column, c: Column, d: Column, u: Column, v: Column) -> Column:
@@ -173,7 +175,7 @@ def mosaic(points: DataFrame, rasters: DataFrame, cells: DataFrame, priority: st
 def tile_fragments(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int, spacing: str, bilinear: bool) -> DataFrame:
     """Samples of every tile from every block of cells it touches (see :mod:`.kernels`)."""
     pairs = kernels.tile_blocks(tiles.select("z", "x", "y").distinct(), rasters, n, spacing, BLOCK)
-    return kernels.fragments(pairs.join(cell_blocks(cells), ["file_id", "_bx", "_by"], "left"), n, spacing, BLOCK, bilinear)
+    return kernels.fragments(pairs.join(cell_blocks(cells).hint("merge"), ["file_id", "_bx", "_by"], "left"), n, spacing, BLOCK, bilinear)
 
 
 def tile_raster(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int = 256, priority: str = "resolution",
@@ -202,10 +204,11 @@ def sample_tile_bilinear(points: DataFrame, tile_cells: DataFrame, n: int) -> Da
         "_c0": F.greatest(F.lit(0).cast("bigint"), F.least(F.floor("_u"), top)),
         "_r0": F.greatest(F.lit(0).cast("bigint"), F.least(F.floor("_v"), top)),
     }).withColumns({"_fx": F.col("_u") - F.col("_c0"), "_fy": F.col("_v") - F.col("_r0")})
-    p = p.withColumns({"_bx": F.floor(F.col("_c0") / BLOCK), "_by": F.floor(F.col("_r0") / BLOCK)})
+    block = min(BLOCK, n)  # a block is no larger than the tile
+    p = p.withColumns({"_bx": F.floor(F.col("_c0") / block), "_by": F.floor(F.col("_r0") / block)})
     tile = ("z", "x", "y")
-    got = p.join(cell_blocks(tile_cells, tile), [*tile, "_bx", "_by"], "left")
-    return got.select(*points.columns, F.when(F.col("_in"), _between(top, top)).alias("value"))
+    got = p.join(cell_blocks(tile_cells, tile, block).hint("merge"), [*tile, "_bx", "_by"], "left")
+    return got.select(*points.columns, F.when(F.col("_in"), _between(top, top, block)).alias("value"))
 
 
 def overview(cells: DataFrame, factors: list[int], keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
@@ -243,7 +246,7 @@ def crop(cells: DataFrame, windows: DataFrame) -> DataFrame:
     c = cells.withColumns({"_bx": at(F.col("col")), "_by": at(F.col("row"))})
     x, y = F.col("col") - F.col("x_off"), F.col("row") - F.col("y_off")
     hit = (x >= 0) & (x < F.col("x_size")) & (y >= 0) & (y < F.col("y_size"))
-    return c.join(w, ["file_id", "_bx", "_by"]).filter(hit).select("file_id", "wx", "wy", x.alias("col"), y.alias("row"), "value")
+    return c.join(w.hint("merge"), ["file_id", "_bx", "_by"]).filter(hit).select("file_id", "wx", "wy", x.alias("col"), y.alias("row"), "value")
 
 
 LEAST_PIXELS = 24  # fixed value: a resized raster keeps at least this many cells per side
@@ -273,7 +276,7 @@ def resize_to_depth(rasters: DataFrame, cells: DataFrame, z) -> DataFrame:
         F.floor((F.col("tcol") + 0.5) * F.col("cols") / F.col("new_cols")).alias("col"),
         F.floor((F.col("trow") + 0.5) * F.col("rows") / F.col("new_rows")).alias("row"),
     )
-    return at.join(cells, ["file_id", "col", "row"], "left").select("file_id", F.col("tcol").alias("col"), F.col("trow").alias("row"), "value")
+    return at.join(cells.hint("merge"), ["file_id", "col", "row"], "left").select("file_id", F.col("tcol").alias("col"), F.col("trow").alias("row"), "value")
 
 
 AGGREGATES = {
@@ -294,7 +297,7 @@ def warp_tile(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int, re
     keys = ["z", "x", "y", "col", "row"]
     if resampling in AGGREGATES:
         r = extent(rasters).select("file_id", "w", "n", "px")
-        c = clean.join(r, "file_id").select(
+        c = clean.join(r.hint("shuffle_hash"), "file_id").select(
             "file_id", "value", (F.col("w") + (F.col("col") + 0.5) * F.col("px")).alias("lon"), (F.col("n") - (F.col("row") + 0.5) * F.col("px")).alias("lat"))
         z = tiles.select("z", "x", "y")
         zs = tiles.agg(F.array_sort(F.collect_set("z"))).scalar()
