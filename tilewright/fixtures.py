@@ -4,7 +4,7 @@ Every definition grows with the table it reads. Four tokens differ between the e
 
 * ``{t:name}``   a given table,
 * ``{s:name:c,d}`` columns of a given table whose rows are about to be multiplied: on Spark they
-  are spread over all cores when the table has fewer splits than that,
+  are spread over all cores, and over more parts the more rows there are, when the table has fewer splits than that,
 * ``{f:name}``   another derived input,
 * ``{each:c:n}`` one row per value ``c`` = 0..n-1 for each row before it.
 """
@@ -161,7 +161,7 @@ DEFINITIONS: dict[str, str] = {
                     then concat('Lower Right (  ', cast(p_partkey % 170 + 1 as string), '.5, -39.25)')
                     else concat('Lower Right (  ', cast(p_partkey % 170 * 1000 as string), '.000, 3000.000) (', cast(p_partkey % 170 + 2 as string), 'd30''15.00"E, 39d15'' 0.00"S)') end
                end as line
-        from {t:part} {each:k:5}""",
+        from {s:part:p_partkey} t {each:k:5}""",
     "meta_json": """
         select p_partkey as file_id,
                concat('{"size":[', cast(p_partkey % 512 + 256 as string), ',', cast(p_partkey % 256 + 128 as string),
@@ -190,6 +190,8 @@ DEFINITIONS: dict[str, str] = {
         from {t:part}""",
 }
 
+SPREAD_ROWS = 50_000  # rows that one task multiplies
+
 _TABLE = re.compile(r"\{t:(\w+)\}")
 _SPREAD = re.compile(r"\{s:(\w+):([\w,]+)\}")
 _INPUT = re.compile(r"\{f:(\w+)\}")
@@ -206,10 +208,10 @@ def spark_sql(spark: SparkSession, name: str, sf_dir: str) -> str:
 
 
 def _hint(spark: SparkSession, sf_dir: str, table: str) -> str:
-    """Spread a table that comes in fewer splits than there are cores; leave others where they are."""
-    cores = spark.sparkContext.defaultParallelism
-    splits = spark.read.parquet(f"{sf_dir}/{table}.parquet").rdd.getNumPartitions()
-    return f"/*+ repartition({cores}) */" if splits < cores else ""
+    """Spread a table over all cores, or parts of at most SPREAD_ROWS rows if these are more; leave it where it comes in as many splits."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows.count() // SPREAD_ROWS))  # counted from the footers of the files
+    return f"/*+ repartition({parts}) */" if rows.rdd.getNumPartitions() < parts else ""
 
 
 def check_sql(name: str) -> str:
