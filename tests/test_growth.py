@@ -1,6 +1,10 @@
 """Steps whose work or memory must not grow faster than the input."""
 
+import numpy as np
+import pandas as pd
+
 from tilewright import fixtures
+from tilewright.operators import rtin
 
 
 def test_multiplied_tables_are_spread(spark, inputs, monkeypatch):
@@ -8,3 +12,17 @@ def test_multiplied_tables_are_spread(spark, inputs, monkeypatch):
     monkeypatch.setattr(fixtures, "SPREAD_ROWS", 100)
     rows = inputs.table("orders").count()
     assert inputs.footprints.rdd.getNumPartitions() == -(-rows // 100) > spark.sparkContext.defaultParallelism
+
+
+def test_lattices_are_computed_in_slices():
+    seen = []
+
+    def step(part):
+        seen.append(len(part))
+        return np.stack(list(part)).reshape(len(part), 1, 2)
+
+    values = pd.Series([np.array([k, -k]) for k in range(2 * rtin.SLICE + 1)])
+    got = rtin._sliced(step, values)
+    assert seen == [rtin.SLICE, rtin.SLICE, 1]
+    assert [tuple(v) for v in got] == [(k, -k) for k in range(len(values))]
+    assert len(rtin._sliced(step, values.iloc[:0])) == 0

@@ -17,6 +17,7 @@ from tilewright.functions import grid, lattice
 TILE = ["z", "x", "y"]
 SMOOTH_ZOOM = 6  # fixed value: up to this level a lattice of 16 steps is always kept
 SMOOTH_STEPS = 16
+SLICE = 256  # tiles computed at once
 
 
 def tile_arrays(tile_cells: DataFrame, n: int, value: str = "value") -> DataFrame:
@@ -36,8 +37,13 @@ def _stack(series: pd.Series, n: int, dtype) -> np.ndarray:
     return np.stack([np.asarray(a, dtype=dtype) for a in series]).reshape(len(series), n, n) if len(series) else np.empty((0, n, n), dtype)
 
 
-def _flat(cube: np.ndarray) -> pd.Series:
-    return pd.Series(list(cube.reshape(len(cube), -1)), dtype=object)
+def _sliced(step, *columns: pd.Series) -> pd.Series:
+    """``step`` over SLICE tiles of a batch at a time, so that its cubes stay small."""
+    out: list[np.ndarray] = []
+    for at in range(0, len(columns[0]), SLICE):
+        cube = step(*[c.iloc[at : at + SLICE] for c in columns])
+        out.extend(cube.reshape(len(cube), -1))
+    return pd.Series(out, dtype=object)
 
 
 def rtin_error(arrays: DataFrame, n: int) -> DataFrame:
@@ -45,7 +51,7 @@ def rtin_error(arrays: DataFrame, n: int) -> DataFrame:
 
     @F.pandas_udf("array<double>")
     def errors(heights: pd.Series) -> pd.Series:
-        return _flat(lattice.split_errors(_stack(heights, n, float)))
+        return _sliced(lambda h: lattice.split_errors(_stack(h, n, float)), heights)
 
     return arrays.withColumn("errors", errors("heights"))
 
@@ -74,7 +80,7 @@ def rtin_propagate(activation: DataFrame, n: int) -> DataFrame:
 
     @F.pandas_udf("array<int>")
     def propagated(levels: pd.Series) -> pd.Series:
-        return _flat(lattice.propagate_levels(_stack(levels, n, np.int32)))
+        return _sliced(lambda v: lattice.propagate_levels(_stack(v, n, np.int32)), levels)
 
     return activation.withColumn("levels", propagated("levels"))
 
@@ -109,8 +115,12 @@ def border_activation(activation: DataFrame, n: int, zmin: int = SMOOTH_ZOOM + 1
     @F.pandas_udf("array<int>")
     def raised(levels: pd.Series, west: pd.Series, east: pd.Series, south: pd.Series, north: pd.Series) -> pd.Series:
         none = np.full(n, -1, dtype=np.int32)
-        strips = [np.stack([none if s is None else np.asarray(s, dtype=np.int32) for s in side]) for side in (west, east, south, north)]
-        return _flat(lattice.raise_borders(_stack(levels, n, np.int32), *strips))
+
+        def step(own: pd.Series, *sides: pd.Series) -> np.ndarray:
+            strips = [np.stack([none if s is None else np.asarray(s, dtype=np.int32) for s in side]) for side in sides]
+            return lattice.raise_borders(_stack(own, n, np.int32), *strips)
+
+        return _sliced(step, levels, west, east, south, north)
 
     j = activation.join(got.hint("merge"), TILE, "left")
     return rtin_propagate(j.withColumn("levels", raised("levels", *["_" + s for s in sides])).drop(*["_" + s for s in sides]), n)
