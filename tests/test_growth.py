@@ -4,7 +4,26 @@ import numpy as np
 import pandas as pd
 
 from tilewright import fixtures
-from tilewright.operators import rtin
+from tilewright.operators import index, rtin
+
+
+BOXES = [(1, 10.0, 10.0, 14.0, 13.0), (2, 10.0, 10.0, 14.0, 13.0), (3, 178.0, -5.0, -178.0, 0.0), (4, -20.0, 30.0, -20.0, 30.0)]
+FILES = [
+    (1, 11.0, 11.0, 11.5, 11.5), (2, 14.0, 13.0, 15.0, 14.0), (3, 9.0, 9.0, 10.0, 10.0), (4, 14.01, 10.0, 15.0, 11.0), (5, -179.5, -2.0, -179.0, -1.0),
+    (6, 179.0, -1.0, 179.5, 1.0), (7, 176.0, -1.0, 177.9, 1.0), (8, -21.0, 29.0, -19.0, 31.0), (9, 11.0, 11.0, 11.5, 11.5), (10, 10.0, 10.0, 10.0, 10.0),
+]
+
+
+def test_catalogue_finds_covered_files_without_pairs(spark):
+    box = spark.createDataFrame(BOXES, "box_id long, w double, s double, e double, n double")
+    files = spark.createDataFrame([(*f, ".tif") for f in FILES], "file_id long, w double, s double, e double, n double, ext string")
+    got = index.catalogue_filter(files, box, [".TIF"])
+    assert got.columns == files.columns
+    assert sorted(r.file_id for r in got.collect()) == [1, 2, 3, 5, 6, 8, 9, 10]
+    plain = box.filter("w <= e").select("w", "s", "e", "n")
+    sure = [tuple(r) for r in index._touching_covered(files.select("w", "s", "e", "n").distinct(), plain).collect()]
+    assert (11.0, 11.0, 11.5, 11.5) in sure and (14.01, 10.0, 15.0, 11.0) not in sure
+    assert len(sure) == len(set(sure))
 
 
 def test_multiplied_tables_are_spread(spark, inputs, monkeypatch):
