@@ -45,3 +45,21 @@ def test_lattices_are_computed_in_slices():
     assert seen == [rtin.SLICE, rtin.SLICE, 1]
     assert [tuple(v) for v in got] == [(k, -k) for k in range(len(values))]
     assert len(rtin._sliced(step, values.iloc[:0])) == 0
+
+
+def test_equal_boxes_are_compared_once(spark, monkeypatch):
+    monkeypatch.setattr(index, "LIST", 3)
+    compared = []
+    plain = index.box_pairs
+    monkeypatch.setattr(index, "box_pairs", lambda a, b: compared.append((a.count(), b.count())) or plain(a, b))
+    cut = [(20 + k, 178.0, -5.0, -178.0, 0.0) for k in range(4)]
+    around = [(40 + k, -180.0, -3.0, 180.0, -2.0) for k in range(7)]  # meets both halves
+    box = spark.createDataFrame([*BOXES, *cut, BOXES[0]], "box_id long, w double, s double, e double, n double")
+    files = spark.createDataFrame([*FILES, *around, FILES[0], around[0]], "file_id long, w double, s double, e double, n double")
+    got = [tuple(r) for r in index.footprints_for_boxes(files, box).select("box_id", "file_id").collect()]
+    want = set()
+    for b, bw, bs, be, bn in [*BOXES, *cut]:
+        for w, e in [(bw, be)] if bw <= be else [(bw, 180.0), (-180.0, be)]:
+            want |= {(b, f[0]) for f in [*FILES, *around] if f[1] <= e and f[3] >= w and f[2] <= bn and f[4] >= bs}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert compared == [(12, 6)]
