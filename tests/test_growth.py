@@ -1,10 +1,12 @@
 """Steps whose work or memory must not grow faster than the input."""
 
+import random
+
 import numpy as np
 import pandas as pd
 
 from tilewright import fixtures
-from tilewright.operators import index, rtin
+from tilewright.operators import groups, index, rtin
 
 
 BOXES = [(1, 10.0, 10.0, 14.0, 13.0), (2, 10.0, 10.0, 14.0, 13.0), (3, 178.0, -5.0, -178.0, 0.0), (4, -20.0, 30.0, -20.0, 30.0)]
@@ -63,3 +65,48 @@ def test_equal_boxes_are_compared_once(spark, monkeypatch):
             want |= {(b, f[0]) for f in [*FILES, *around] if f[1] <= e and f[3] >= w and f[2] <= bn and f[4] >= bs}
     assert len(got) == len(set(got)) and set(got) == want
     assert compared == [(12, 6)]
+
+
+FILE = "file_id long, srs string, px double, w double, s double, e double, n double"
+
+
+def _plain_groups(files):
+    """Smallest id of each group, by comparing all pairs."""
+    group = {f[0]: f[0] for f in files}
+
+    def top(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in files:
+        for b in files:
+            limit = 2 * max(a[2], b[2])
+            gap = max(0, a[3] - b[5], b[3] - a[5]), max(0, a[4] - b[6], b[4] - a[6])
+            if a[0] < b[0] and a[1] == b[1] and abs(a[2] - b[2]) <= 0.001 and max(gap) <= limit:
+                p, q = sorted((top(a[0]), top(b[0])))
+                group[q] = p
+    return {(k, top(k)) for k in group}
+
+
+def test_groups_compare_only_what_is_outside_the_largest(spark, monkeypatch):
+    compared = []
+    plain = groups.box_pairs
+    monkeypatch.setattr(groups, "box_pairs", lambda a, b, **on: compared.append((a.count(), b.count())) or plain(a, b, **on))
+    crowd = [(10 + k, "A", 0.0105, 5 + k % 10 * 0.3, 5 + k // 10 * 0.3, 6.5 + k % 10 * 0.3, 6.5 + k // 10 * 0.3) for k in range(100)]
+    files = [*crowd, (3, "A", 0.0105, 60.0, 60.0, 61.0, 61.0), (2, "A", 0.0105, 9.71, 9.0, 9.72, 9.01)]
+    got = groups.connected_groups(spark.createDataFrame(files, FILE))
+    assert {tuple(r) for r in got.collect()} == _plain_groups(files)
+    assert len(compared) == 1 and compared[0][0] < len(files) // 4 and compared[0][1] == len(files)
+
+
+def test_groups_equal_all_pairs(spark):
+    rnd = random.Random(5)
+    files = []
+    for k in range(240):
+        w, s, size = rnd.uniform(0, 9), rnd.uniform(0, 9), rnd.choice([0.02, 0.3, 1.0, 2.0])
+        files.append((k, rnd.choice("AB"), rnd.choice([0.0104, 0.0109, 0.0112, 0.0205]), w, s, w + size * rnd.random(), s + size))
+    # the largest groups of two adjacent bands touch
+    files += [(900 + k, "C", 0.0109, 20.0, 20.0, 24.0, 24.0 + k) for k in range(3)] + [(800 + k, "C", 0.0111, 24.01, 20.0, 28.0, 24.0 + k) for k in range(3)]
+    got = groups.connected_groups(spark.createDataFrame(files, FILE))
+    assert {tuple(r) for r in got.collect()} == _plain_groups(files)

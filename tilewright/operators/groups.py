@@ -64,8 +64,9 @@ def connected_groups(footprints: DataFrame, tolerance: float = PIXEL_TOLERANCE,
 
     1. identical extents become one node;
     2. a raster that wholly covers a small lattice cell meets every raster touching that cell, so
-       all of them are linked to one coverer of the cell;
-    3. only lattice cells that still hold different groups compare rasters, across groups.
+       they are linked to one coverer of the cell: other coverers by all cells they touch, the rest by two corners;
+    3. rasters outside the largest group of their pixel size are compared with all others, in lattice
+       cells that still hold different groups.
     """
     same = ["srs", "px", "w", "s", "e", "n"]
     nodes = footprints.groupBy(*same).agg(F.min("file_id").alias("comp"))
@@ -82,11 +83,22 @@ def connected_groups(footprints: DataFrame, tolerance: float = PIXEL_TOLERANCE,
         nodes.withColumn("_lv", lv).withColumn("_cx", F.explode(span("w", "e"))).withColumn("_cy", F.explode(span("s", "n")))
     )
     key = ["srs", "px", "_lv", "_cx", "_cy"]
-    hubs = covered.groupBy(*key).agg(F.min("node").alias("hub"))
+    hubs = cut_lineage(covered.groupBy(*key).agg(F.min("node").alias("hub")))
     lowest = nodes.agg(F.min(lv)).scalar()
-    touching = filed(nodes.select("node", *same), "", F.sequence(lowest, lv))
-    linked = touching.join(hubs, key).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    nodes = cut_lineage(_relabel(nodes, components(linked)))
+    # hubs look at all cells they touch, the others, of which there may be any number in a cell, at those of two corners
+    among = nodes.join(hubs.select(F.col("hub").alias("node")).distinct(), "node", "left_semi")
+    corners = nodes.withColumn("_lv", F.explode(F.sequence(lowest, lv))).select("node", "srs", "px", "_lv", F.inline(F.array_distinct(F.array(*[
+        F.struct(*[F.floor((F.col(v) + 180.0) / 360.0 * cells).alias(k) for v, k in ((x, "_cx"), (y, "_cy"))]) for x, y in ("ws", "en")]))))
+    touching = filed(among.select("node", *same), "", F.sequence(lowest, lv)).select("node", *key).unionByName(corners)
+    # the hubs a node touches, a bounded number, are linked with one of them; the node follows that one
+    lists = cut_lineage(touching.join(hubs, key).groupBy("node").agg(F.collect_set("hub").alias("hubs")).withColumn("m", F.array_min("hubs")))
+    lists_of = lists.select("node", "m")
+    linked = lists.filter(F.size("hubs") > 1).select(F.explode("hubs").alias("a"), F.col("m").alias("b")).distinct()
+    classes = _relabel(lists_of.groupBy(F.col("m").alias("comp")).agg(F.min("node").alias("low")).withColumn("m", F.col("comp")), components(linked))
+    lowest_of = classes.groupBy("comp").agg(F.min("low").alias("root"))
+    labels = classes.join(lowest_of, "comp").select("m", "root")
+    nodes = nodes.join(lists_of, "node", "left").join(labels, "m", "left")
+    nodes = cut_lineage(nodes.withColumn("comp", F.coalesce("root", "comp")).drop("m", "root"))
 
     reach = F.lit(float(gap_pixels)) * (F.col("px") + tolerance)
     band = F.floor(F.col("px") / tolerance)
@@ -94,8 +106,14 @@ def connected_groups(footprints: DataFrame, tolerance: float = PIXEL_TOLERANCE,
         "comp", "srs", "px", band.alias("band"), "w", "s", (F.col("e") + reach).alias("e"), (F.col("n") + reach).alias("n"),
         F.col("e").alias("e0"), F.col("n").alias("n0"),
     )
-    other = wide.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    pairs = box_pairs(wide, other, on=("srs", "band"), apart="comp")
+    wide = cut_lineage(wide)
+    # two rasters of different groups: one of them is outside the largest group of its band, or the groups of two adjacent bands differ
+    sizes = wide.groupBy("srs", "band", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    largest = cut_lineage(sizes.groupBy("srs", "band").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_own")))
+    above = largest.select("srs", (F.col("band") - 1).alias("band"), F.col("_own").alias("_above"))
+    few = wide.join(largest.join(above, ["srs", "band"], "left"), ["srs", "band"]).filter("comp <> _own or _above <> _own").select(*wide.columns)
+    few = cut_lineage(few.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))))
+    pairs = box_pairs(few, wide, on=("srs", "band"), apart="comp")
     limit = F.greatest("a_px", "b_px") * gap_pixels
     gap_x = F.greatest(F.lit(0.0), F.col("a_w") - F.col("b_e0"), F.col("b_w") - F.col("a_e0"))
     gap_y = F.greatest(F.lit(0.0), F.col("a_s") - F.col("b_n0"), F.col("b_s") - F.col("a_n0"))
