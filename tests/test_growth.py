@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 
 from tilewright import fixtures
-from tilewright.operators import groups, index, rtin
+from tilewright.operators import covers, groups, index, rtin
 
 
 BOXES = [(1, 10.0, 10.0, 14.0, 13.0), (2, 10.0, 10.0, 14.0, 13.0), (3, 178.0, -5.0, -178.0, 0.0), (4, -20.0, 30.0, -20.0, 30.0)]
@@ -110,3 +110,15 @@ def test_groups_equal_all_pairs(spark):
     files += [(900 + k, "C", 0.0109, 20.0, 20.0, 24.0, 24.0 + k) for k in range(3)] + [(800 + k, "C", 0.0111, 24.01, 20.0, 28.0, 24.0 + k) for k in range(3)]
     got = groups.connected_groups(spark.createDataFrame(files, FILE))
     assert {tuple(r) for r in got.collect()} == _plain_groups(files)
+
+
+def test_equal_rectangles_are_covered_once(spark, monkeypatch):
+    seen = []
+    plain = covers.covers
+    monkeypatch.setattr(covers, "covers", lambda r, deepest: seen.append(r.count()) or plain(r, deepest))
+    files = [(10.0 + k * 1e-4, 10.0, 12.0, 12.0) for k in range(50)] + [(-40.0, -40.0, 40.0, 40.0)]
+    boxes = spark.createDataFrame(files, "w double, s double, e double, n double")
+    got = covers.listed(covers.index_runs(boxes, 0, 5), 5).select("z", "x", "y", "source_count")
+    want = index.tile_index(index.tile_sources(boxes, 0, 5)).select("z", "x", "y", "source_count")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert len(seen) == 1 and seen[0] <= 12

@@ -132,8 +132,11 @@ def index_runs(footprints: DataFrame, zmin: int, zmax: int) -> DataFrame:
     Rows follow the outlines of the rasters. Where runs of one raster begin and end becomes one ordered list per level,
     whose running sum is the number of sources; it runs over range partitions, however large a level is.
     """
-    cover = covers(source_ranges(footprints.select("w", "s", "e", "n"), zmin, zmax), zmax).select("z", "first", "last")
-    ends = cover.select("z", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(1).cast("long").alias("d")), F.struct((F.col("last") + 1).alias("at"), F.lit(-1).cast("long").alias("d")))).alias("e"))
+    # equal rectangles, of which the coarser levels have few, are covered once
+    ranges = source_ranges(footprints.select("w", "s", "e", "n"), zmin, zmax)
+    ranges = cut_lineage(ranges.groupBy("z", "min_x", "max_x", "min_y", "max_y").agg(F.count(F.lit(1)).alias("_n")))
+    cover = covers(ranges, zmax).select("z", "first", "last", "_n")
+    ends = cover.select("z", F.explode(F.array(F.struct(F.col("first").alias("at"), F.col("_n").alias("d")), F.struct((F.col("last") + 1).alias("at"), (-F.col("_n")).alias("d")))).alias("e"))
     steps = ends.select("z", "e.*").groupBy("z", "at").agg(F.sum("d").alias("d")).filter("d <> 0")
     run = ordering.running(steps, ["z"], ["at"], {"source_count": F.col("d")}).select("z", "at", "source_count")
     run = ordering.global_lead(cut_lineage(run), ["z", "at"], ["at", "z"])
