@@ -122,3 +122,12 @@ def test_equal_rectangles_are_covered_once(spark, monkeypatch):
     want = index.tile_index(index.tile_sources(boxes, 0, 5)).select("z", "x", "y", "source_count")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert len(seen) == 1 and seen[0] <= 12
+
+
+def test_features_need_names_only(spark):
+    boxes = spark.createDataFrame([(k, f"f{k % 7}.tif", *FILES[k][1:]) for k in range(len(FILES))], "file_id long, file_name string, w double, s double, e double, n double")
+    sources = index.tile_sources(boxes, 0, 7)
+    slim = index.source_pages(sources, item=("file_name",))
+    assert slim.schema["source_files"].dataType.elementType.names == ["file_name"]
+    got = index.index_features(slim).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, index.index_features(index.source_pages(sources)).collect())) and got

@@ -66,16 +66,15 @@ def name_bucket(name, buckets) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("bigint") % buckets
 
 
-def source_pages(sources: DataFrame, single: int = SINGLE_PAGE_LEVEL) -> DataFrame:
+def source_pages(sources: DataFrame, single: int = SINGLE_PAGE_LEVEL, item: tuple[str, ...] = ("file_name", "file_id", "w", "s", "e", "n")) -> DataFrame:
     """Nested source lists in pages: one page from level ``single`` on, four times as many on each level above it.
 
     Low zooms see every raster, so there a tile's sources are spread by a hash of the file name. The number of
     pages of a level is fixed, whatever the data; pages without sources don't appear. ``source_count`` is
-    that of the whole tile.
+    that of the whole tile. ``item`` names what is listed of a source, its file name first; only that is shuffled.
     """
     page = name_bucket(F.col("file_name"), F.pow(F.lit(4), F.greatest(F.lit(0), F.lit(single) - F.col("z"))).cast("bigint"))
-    item = F.struct("file_name", "file_id", "w", "s", "e", "n")
-    pages = sources.groupBy("z", "x", "y", page.alias("page")).agg(F.sort_array(F.collect_list(item)).alias("source_files"))
+    pages = sources.groupBy("z", "x", "y", page.alias("page")).agg(F.sort_array(F.collect_list(F.struct(*item))).alias("source_files"))
     counts = sources.groupBy("z", "x", "y").agg(F.count("*").alias("source_count"))
     return pages.join(counts, ["z", "x", "y"])
 

@@ -110,7 +110,7 @@ select z, x, y, page, source_count, z || '/' || x || '/' || y || '.png' as tile_
        round(west, 6) as west, round(south, 6) as south, round(east, 6) as east, round(north, 6) as north
 from pp join (select z, x, y, west, south, east, north from ti) b using (z, x, y)""")
 def snk04(i):
-    f = index.index_features(index.source_pages(sources(i)))
+    f = index.index_features(index.source_pages(sources(i), item=("file_name",)))
 
     def got(path, kind="string"):
         return F.get_json_object("feature", path).cast(kind)
