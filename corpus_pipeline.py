@@ -35,8 +35,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     import public_tokenizers
 
     order = mixing.file_order(docs)
-    parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True, keep=order)
-    return packing.pack(parts, order=list(order)).withColumnRenamed("id", "doc_id")
+    parts = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), coded=True, keep=order)
+    return packing.decoded(packing.pack(parts, order=list(order))).withColumnRenamed("id", "doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -274,6 +274,37 @@ def test_whole_sequences_hold_the_tokens(spark, messy, empty, tmp_path, order):
     assert read.columns == thin and Counter(map(tuple, read.collect())) == Counter(map(tuple, packed.select(*thin).collect()))
 
 
+def test_coded_ids_are_small_and_make_the_same_sequences(spark):
+    text = " ".join(f"word{i % 97} and the other" for i in range(3000))
+    docs = spark.createDataFrame([(i, text[: 7 * i * i]) for i in range(60)] + [(None, None)], "doc_id long, text string")
+    plain, coded = (packing.pieces(docs, WORDS, **k).cache() for k in ({"keep_ids": True}, {"coded": True}))
+    assert "ids" not in coded.columns
+    n, size = coded.agg(F.sum("length"), F.sum(F.length("coded"))).first()
+    assert size < 2 * n  # four bytes an id before
+    thin = ["id", "piece", "start", "length", "ids_crc32", "ids"]
+    assert Counter(map(tuple, packing.decoded(coded).select(*thin).collect())) == Counter(map(tuple, plain.select(*thin).collect()))
+    packed = packing.pack(coded).cache()
+    assert Counter((r.id, r.piece, r.ids_crc32) for r in packed.collect()) == Counter((r.id, r.piece, r.ids_crc32) for r in plain.collect())
+    whole = packing.sequences(packed).cache()
+    assert all(s.length == sum(p.length for p in s.pieces) == len(s.ids) // 4 for s in whole.collect())
+    assert any(len(s.pieces) == 1 and s.length == 4096 for s in whole.collect())
+    thin = [*thin[:5], "sequence_id", "offset"]
+    assert Counter(map(tuple, packing.digests(whole).collect())) == Counter(map(tuple, packed.select(*thin).collect()))
+    for ids in ([], [1, 65535], [1, 65536, 2**32 - 1]):
+        raw = np.array(ids, dtype="<u4").tobytes()
+        assert packing._decode(packing._code(raw), len(ids)) == raw
+
+
+def test_words_encoded_together_are_cut_at_their_ends():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    for words in (["the", "straße", "ποταμός", "中文", "enlichunglich"], ["plain", "İstanbul", "\u0958a", "12", "...", "it's"]):
+        packing._words(WORDS, [])  # loads the file
+        got = packing._encoded([w.encode() for w in words])
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(w, add_special_tokens=False).ids for w in words]
+
+
 # Mixing
 
 

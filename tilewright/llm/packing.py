@@ -12,9 +12,11 @@ by a hash, or, where an order is given, are windows of consecutive pieces of tha
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +34,7 @@ END = 1  # the id that ends a document
 GROUP = 2500  # pieces packed together
 ROUNDS = 3
 CACHE = 250_000  # words whose ids a worker remembers, twice over
+JOINED = 4096  # words that are encoded as one text
 MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"  # ASCII punctuation; not the apostrophe, nor < and > of special tokens
 
 _state: dict = {}
@@ -54,7 +57,28 @@ def _split(text: str) -> list[bytes]:
     return (raw if b"<|" in raw else raw.lower()).split()
 
 
-def _words(path: str, words: list[bytes]) -> dict[bytes, bytes]:
+def _encoded(words: list[bytes]) -> list[bytes]:
+    """Ids of each word. Words of letters only are one run each, whose last id ends a word: they are encoded as one text
+    and cut there. If one of them turns out to be more than one run, each is encoded for itself."""
+    tokenizer, ends = _state["tokenizer"], _state["ends"]
+    texts = [w.decode("utf-8", "surrogatepass") for w in words]
+    plain = [k for k, t in enumerate(texts) if t.isalpha()]
+    out: list[bytes] = [b""] * len(words)
+    for a in range(0, len(plain), JOINED):
+        part = plain[a : a + JOINED]
+        ids = np.array(tokenizer.encode_batch_fast([" ".join([texts[k] for k in part])], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+        if len(cuts) == len(part) and cuts[-1] == 4 * len(ids):
+            raw = ids.tobytes()
+            for k, x, z in zip(part, [0, *cuts], cuts, strict=False):
+                out[k] = raw[x:z]
+    left = [k for k, v in enumerate(out) if not v]
+    for k, e in zip(left, tokenizer.encode_batch_fast([texts[k] for k in left], add_special_tokens=False) if left else [], strict=True):
+        out[k] = np.array(e.ids, dtype="<u4").tobytes()
+    return out
+
+
+def _words(path: str, words: Iterable[bytes]) -> dict[bytes, bytes]:
     """Ids of (at least) these words as little-endian 32-bit numbers.
 
     Two generations of up to CACHE words are remembered; words in use move on to the younger one. Punctuation
@@ -64,15 +88,16 @@ def _words(path: str, words: list[bytes]) -> dict[bytes, bytes]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), young={}, old={})
+        tokenizer = Tokenizer.from_file(path)
+        ends = np.zeros(tokenizer.get_vocab_size(), dtype=bool)
+        ends[[k for token, k in tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith("</w>")]] = True
+        _state.update(path=path, tokenizer=tokenizer, ends=ends, young={}, old={})
     if len(_state["young"]) > CACHE:
         _state["old"], _state["young"] = _state["young"], {}
     young, old = _state["young"], _state["old"]
     new: set[bytes] = set()
     later: list[tuple[bytes, bytes, bytes]] = []
-    for w in words:
-        if w in young or w in new:
-            continue
+    for w in set(words).difference(young):
         if w in old:
             young[w] = old[w]
             continue
@@ -88,19 +113,32 @@ def _words(path: str, words: list[bytes]) -> dict[bytes, bytes]:
             new.add(w)
     if new:
         ask = list(new)
-        for w, e in zip(ask, _state["tokenizer"].encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in ask], add_special_tokens=False), strict=True):
-            young[w] = np.array(e.ids, dtype="<u4").tobytes()
+        young.update(zip(ask, _encoded(ask), strict=True))
     for w, core, marks in later:
         young[w] = young[core] + young[marks]
     return young
 
 
+def _code(ids: bytes) -> bytes:
+    """Ids for storage: their width, then the compressed numbers, of 16 bits where all fit."""
+    wide = np.frombuffer(ids, dtype="<u4")
+    narrow = not len(wide) or wide.max() < 1 << 16
+    return (b"\x02" if narrow else b"\x04") + pa.compress(wide.astype("<u2").tobytes() if narrow else ids, codec="zstd", asbytes=True)
+
+
+def _decode(coded: bytes, length: int) -> bytes:
+    """The ``length`` ids of :func:`_code`, as little-endian 32-bit numbers."""
+    raw = pa.decompress(coded[1:], decompressed_size=coded[0] * length, codec="zstd", asbytes=True)
+    return raw if coded[0] == 4 else np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes()
+
+
 def pieces(
     docs: DataFrame, tokenizer: str, tokens: int = TOKENS, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False,
-    keep: dict[str, Column] | None = None,
+    keep: dict[str, Column] | None = None, coded: bool = False,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, if asked for the ids (little-endian 32-bit numbers), and
-    the columns ``keep`` (name: column) of its document.
+    the columns ``keep`` (name: column) of its document. With ``coded``, ids are kept as the smaller column ``coded``,
+    which :func:`sequences` and :func:`decoded` understand.
 
     The tokenizer file must treat white space as a border that leaves no trace (its ids of a text are those of
     the words one after the other); words are then encoded once per worker (case of ASCII letters must not matter to it either). A null text is empty: its only id
@@ -110,6 +148,7 @@ def pieces(
     rows = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), *[v.alias(k) for k, v in keep.items()])
     kind = rows.schema["id"].dataType.simpleString()
     carried = list(keep)
+    kept_ids = "coded" if coded else "ids" if keep_ids else ""
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,21 +156,21 @@ def pieces(
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
                 texts = [_split(x) for x in b.column("text").to_pylist()]
+                known = _words(tokenizer, itertools.chain.from_iterable(texts))
                 take: list[int] = []
                 rest: tuple[list, list, list, list, list] = ([], [], [], [], [])
                 for i, words in enumerate(texts):
-                    known = _words(tokenizer, words)
-                    ids = b"".join([known[w] for w in words]) + end
+                    ids = b"".join(map(known.__getitem__, words)) + end
                     for n, start in enumerate(range(0, len(ids), 4 * tokens)):
                         part = ids[start : start + 4 * tokens]
                         take.append(i)
-                        for column, v in zip(rest, (n, start // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):
+                        for column, v in zip(rest, (n, start // 4, len(part) // 4, zlib.crc32(part), _code(part) if coded else part if keep_ids else None), strict=True):
                             column.append(v)
                 arrays = [b.column("id").take(pa.array(take, pa.int64())), pa.array(rest[0], pa.int32()), *[pa.array(x, pa.int64()) for x in rest[1:4]]]
                 names = ["id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
+                if kept_ids:
                     arrays.append(pa.array(rest[4], pa.binary()))
-                    names.append("ids")
+                    names.append(kept_ids)
                 for k in carried:
                     arrays.append(b.column(k).take(pa.array(take, pa.int64())))
                     names.append(k)
@@ -139,7 +178,7 @@ def pieces(
 
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long"
     kept = "".join(f", `{k}` {rows.schema[k].dataType.simpleString()}" for k in keep)
-    return rows.mapInArrow(run, schema + (", ids binary" if keep_ids else "") + kept)
+    return rows.mapInArrow(run, schema + (f", {kept_ids} binary" if kept_ids else "") + kept)
 
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> np.ndarray:
@@ -228,29 +267,49 @@ def pack(parts: DataFrame, capacity: Capacity = Capacity(), full: float = 0.995,
         rows = c.save(rows, "ordered")
         columns = [*columns, "_at"]
     # Whole sequences need no packing.
-    whole = F.col("_at") if order else F.monotonically_increasing_id() * 8
-    done = rows.where(F.col("length") == capacity.tokens).select(*columns, whole.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    done = c.save(done, "whole")
     rest = rows.where(F.col("length") < capacity.tokens)
+    bins = []
     for k in range(1, rounds + 1):
         packed = c.save(_grouped(rest.select(*columns), capacity, k), "packed")
         final = packed if k == rounds else packed.where(F.col("fill") >= least)
         name = F.col("bin") if order else F.col("bin") * 8 + k
-        done = done.unionByName(final.select(*columns, name.alias("sequence_id"), "offset"))
+        bins.append(final.select("_key", *columns[:5], name.alias("sequence_id"), "offset"))
         rest = packed.where(F.col("fill") < least)
-    done = done.drop("_at")
+    done = functools.reduce(DataFrame.unionByName, bins)
+    whole = [(F.col("_at") if order else F.col("_key") * 8).alias("sequence_id"), F.lit(0).cast("long").alias("offset")]
+    if order or not extra:
+        done = done.unionByName(rows.where(F.col("length") == capacity.tokens).select("_key", *columns[:5], *whole))
     if extra:
-        # Placed pieces are narrow: they are hashed, so that the wide side isn't sorted.
-        done = everything.select("_key", *extra).join(done.hint("shuffle_hash"), "_key").select(*done.columns, *extra)
+        # Placed pieces are narrow: they are hashed, so that the wide side isn't sorted. Without an order, whole sequences stay where they are.
+        wide = everything if order else everything.where(F.col("length") < capacity.tokens)
+        done = wide.select("_key", *extra).join(done.hint("shuffle_hash"), "_key").select(*done.columns, *extra)
+        if not order:
+            done = done.unionByName(everything.where(F.col("length") == capacity.tokens).select(*done.columns[:6], *whole, *extra))
     return done.drop("_key")
 
 
+def decoded(packed: DataFrame) -> DataFrame:
+    """``packed`` with the column ids (little-endian 32-bit numbers) in the place of ``coded``."""
+    names = ["ids" if k == "coded" else k for k in packed.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                ids = [_decode(v, n) for v, n in zip(b.column("coded").to_pylist(), b.column("length").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()) if k == "ids" else b.column(k) for k in names], names=names)
+
+    return packed.mapInArrow(run, ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, packed.schema.fields, strict=True)))
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """One row per sequence of ``packed`` (:func:`pack` of pieces with ids): sequence_id, length, ids, pieces.
 
     ``ids`` are all ids of the sequence, as little-endian 32-bit numbers (``numpy.frombuffer(ids, "<u4")``); ``pieces``
     are its pieces in order (offset, length, id, piece, start), whose borders bound attention and give positions.
     """
+    if "coded" in packed.columns:
+        return _joined(packed)
     rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "id", "piece", "start", "ids"))).alias("_p"))
     # Hexadecimal text, as joining binaries one by one would copy the front of a sequence for every piece.
     return rows.select(
@@ -260,6 +319,30 @@ def sequences(packed: DataFrame) -> DataFrame:
     )
 
 
+def _joined(packed: DataFrame) -> DataFrame:
+    """:func:`sequences` of pieces whose ids are ``coded``: they travel so, and are decoded where the sequence is put together."""
+    rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "id", "piece", "start", "coded"))).alias("_p"))
+    kept = ["offset", "length", "id", "piece", "start"]
+    listed = ", ".join(f"{k}: {packed.schema[k].dataType.simpleString()}" for k in kept)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                lists = b.column("_p")
+                parts, counts = lists.flatten(), lists.value_lengths().to_numpy()
+                lengths = parts.field("length").to_numpy()
+                ids = list(map(_decode, parts.field("coded").to_pylist(), lengths.tolist()))
+                ends = np.cumsum(counts).tolist()
+                borders = [0, *ends]
+                data = [b"".join(ids[a:z]) for a, z in itertools.pairwise(borders)]
+                pieces = pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.StructArray.from_arrays([parts.field(k) for k in kept], names=kept))
+                sizes = pa.array([len(x) // 4 for x in data], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("sequence_id"), sizes, pa.array(data, pa.binary()), pieces], names=["sequence_id", "length", "ids", "pieces"])
+
+    return rows.mapInArrow(run, f"sequence_id long, length long, ids binary, pieces array<struct<{listed}>>")
+
+
 def write_sequences(packed: DataFrame, path: str) -> None:
     """Write :func:`sequences` of ``packed`` as Parquet, in the order of sequence_id across and inside the files."""
     sequences(packed).repartitionByRange("sequence_id").sortWithinPartitions("sequence_id").write.parquet(path)
