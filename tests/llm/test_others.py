@@ -295,14 +295,23 @@ def test_coded_ids_are_small_and_make_the_same_sequences(spark):
         assert packing._decode(packing._code(raw), len(ids)) == raw
 
 
-def test_words_encoded_together_are_cut_at_their_ends():
+def test_texts_encoded_by_runs_have_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    for words in (["the", "straße", "ποταμός", "中文", "enlichunglich"], ["plain", "İstanbul", "\u0958a", "12", "...", "it's"]):
-        packing._words(WORDS, [])  # loads the file
-        got = packing._encoded([w.encode() for w in words])
-        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [t.encode(w, add_special_tokens=False).ids for w in words]
+    rng = np.random.default_rng(5)
+    vocab = [k.removesuffix("</w>") for k in t.get_vocab(with_added_tokens=False)]
+    vocab = [w for w in vocab if w.isascii()]
+    odd = ["", " ", "a", "It is 1234,5%... (Stra\xdfe)!", "\xc8tre \xdcber\xdf \xff\xd6", "a\t\n b\r", "don't 'tis ''s", "x' y 'q rock'n", "\xd7 \xb5m", "<|endoftext|> a", "a\x00b\x7f", "\u0130x \u4e2d", "$$$a&&&", "a" * 5000]
+    mixed = [" ".join(vocab[i : i + 500]) for i in range(0, len(vocab), 500)]
+    words, marks = rng.integers(0, len(vocab), (30_000, 3)).tolist(), rng.integers(0, 5, 30_000).tolist()
+    glued = ["".join(vocab[k] for k in w) + ["", " ", ".", "1", ", "][m] for w, m in zip(words, marks, strict=True)]
+    glued = ["".join(glued[i : i + 300]) for i in range(0, len(glued), 300)]
+    texts = [*odd, *mixed, *glued]
+    got = packing._encoded(WORDS, texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    known = [packing._state["runs"].plain(x) is not None for x in odd]
+    assert known == [True] * 6 + [False, True] + [False] * 4 + [True, True]
 
 
 # Mixing
