@@ -107,6 +107,27 @@ def test_unlike_sets_around_one_passage_are_not_compared(spark, monkeypatch):
     assert sum(seen) < 2 * len(rows)
 
 
+def test_a_large_group_of_near_copies_travels_by_blocks(spark, monkeypatch):
+    """Copies around the threshold in many components: their sets go to a few cells of blocks, not to every pair."""
+    monkeypatch.setattr(jj, "CLOSE", 32)
+    rnd = random.Random(3)
+    base = [f"b{k}" for k in range(100)]
+    rows = []
+    for i in range(300):
+        copy = list(base)
+        for at in rnd.sample(range(100), rnd.choice([0, 1, 2, 3, 4, 5])):
+            copy[at] = f"e{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    pairs, cells = [], []
+    monkeypatch.setattr(jj, "_distances", lambda p, total, sets, need, real=jj._distances: pairs.append(p.count()) or real(p, total, sets, need))
+    real = jj.c.save
+    monkeypatch.setattr(jj.c, "save", lambda df, name: cells.append(df.count()) or real(df, name) if name == "cells" else real(df, name))
+    want = brute(rows)
+    assert len({k[2] for k in want}) > 5
+    assert result(spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()) == want
+    assert sum(pairs) < 4 * len(rows) and 0 < sum(cells) < len(rows)  # more than 60 pairs a set before
+
+
 def test_links_hold_and_join_the_components(spark):
     rows = corpus(200, 5)
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).cache()

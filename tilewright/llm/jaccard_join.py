@@ -14,9 +14,9 @@ Two sets are linked when their Jaccard distance is at most EPS = 1 - 3/4.
 3. Of every region, one set is a pivot and compared with the members that it faces; those within EPS are linked to it.
    Pairs in one component are settled. In regions of up to CLOSE sets that face another component, the pairs that
    face each other across components are compared, each once for all regions.
-4. Larger regions join recursively: more sets are pivots, compared with all members that face them, and then leave the
-   region; a member stays only if the triangle inequality lets it be near some member of another
-   component: |d(x, p) - d(y, p)| <= EPS for every pivot p. Components are joined, and what is left goes to 3.
+4. Members of larger regions are dealt into blocks by their first region. A block is compared with itself, components
+   are joined, and what still faces another component is compared with the blocks that share a region with its own, but for
+   blocks of one and the same component. A set travels once per pair of blocks, however many regions and sets they share.
 
 Sets that are equal are one point. Document frequencies come from all sets: shingles are dealt out by hash and
 counted there, packed by the thousand; shingles of very many sets (bounded in number) are counted by sums of local
@@ -47,8 +47,8 @@ NEED = 75  # linked when 100 * intersection >= NEED * union
 CHUNK = 600_000  # shingles that a task packs together
 CHUNK_TEXTS = 60_000
 FREQUENT = 1 << 17  # a shingle is frequent when it makes up more than 1 / FREQUENT of all (twice that for certain)
-PIVOTS = 64  # pivots of a large region in one round
-CLOSE = 256  # regions of up to so many sets that face another component are compared in one go
+CLOSE = 256  # regions of up to so many sets that face another component are compared in one go, larger ones in blocks of so many
+COLUMNS = 8192  # shingles of a cell of blocks that are looked at together
 TEAM = 256  # members that are compared with a pivot together
 
 _U = np.uint64
@@ -376,60 +376,70 @@ def _distances(pairs: DataFrame, total: int, sets: DataFrame, need: int) -> Data
     return c.save(out.withColumn("distance", 1 - F.col("both") / F.col("either")).withColumn("linked", linked), "distances")
 
 
-def _round(rows: DataFrame, sets: DataFrame, pivots: int, need: int, narrow: bool) -> tuple[DataFrame, DataFrame, DataFrame] | None:
-    """One level of the join inside regions: rows (region, node, n, room, comp) of the next level, the links found, and
-    the sets that later levels may need (with ``narrow``, those of members only)."""
-    eps = 1 - need / 100 + 1e-9
-    total = rows.count()
-    if not total:
-        return None
-    draw = F.struct(F.xxhash64("node").alias("h"), "node", F.col("n").alias("own"), F.col("room").alias("own_room"))
-    first = rows.groupBy("region", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(pivots)).alias("_j")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.min(draw).alias("_p"),
-    )
-    found = first.groupBy("region").agg(F.sum("_c").alias("_n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.collect_list("_p").alias("pivots"))
-    found = found.where("_lo < _hi").select("region", "_n", "pivots")
-    met = c.routed(rows, found, ["region"], total, nulls=False)
-    met = met.select("region", "node", "n", "room", "comp", F.explode("pivots").alias("_p"))
-    met = met.select("region", "node", "n", "room", "comp", F.col("_p.node").alias("pivot"), "_p.own", "_p.own_room")
-    met = c.save(met, "meetings")
-    # Sets of too different size are too far apart: 1 - smaller / larger is the least their distance can be.
-    apart = 1 - F.least("n", "own") / F.greatest("n", "own")
-    close = (F.col("n") <= F.col("own_room")) & (F.col("own") <= F.col("room"))
-    pairs = c.save(met.where((F.col("node") != F.col("pivot")) & close).select("node", "pivot").distinct(), "pairs")
-    if narrow:
-        sets = c.save(sets.join(met.select("node").distinct(), "node", "left_semi"), "members")
-    far = _distances(pairs, total * pivots, sets, need)
-    # A pivot has now been compared with all others of its region and leaves it.
-    seen = met.join(far.select("node", "pivot", "distance"), ["node", "pivot"], "left").groupBy("region", "node", "n", "room", "comp").agg(
-        F.bool_or(F.col("node") == F.col("pivot")).alias("_done"),
-        F.array_sort(F.collect_list(F.struct("pivot", F.coalesce("distance", apart).alias("d"), F.coalesce("distance", F.lit(1.0)).alias("e")))).alias("at"),
-    )
-    seen = c.save(seen.where("not _done").drop("_done"), "seen")
-    # Nearest and furthest member of each component from each pivot, then the two extremes of different components.
-    span = seen.withColumn("_e", F.explode("at")).groupBy("region", "comp", F.col("_e.pivot").alias("pivot")).agg(
-        F.count(F.lit(1)).alias("_c"), F.min("_e.d").alias("lo"), F.max("_e.e").alias("hi"),
-    )
-    # (value, component) of the extreme, and the extreme value of all other components, by one more pass.
-    ends = span.groupBy("region", "pivot").agg(
-        F.sum("_c").alias("_n"), F.min(F.struct("lo", "comp")).alias("near"), F.max(F.struct("hi", "comp")).alias("far"),
-        F.countDistinct("comp").alias("_comps"),
-    ).where("_comps > 1")
-    others = span.join(ends, ["region", "pivot"]).groupBy("region", "pivot").agg(
-        F.max("_n").alias("_n"), F.first("near").alias("near"), F.first("far").alias("far"),
-        F.min(F.when(F.col("comp") != F.col("near.comp"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("comp") != F.col("far.comp"), F.col("hi"))).alias("hi"),
-    )
-    span = others.groupBy("region").agg(F.max("_n").alias("_n"), F.array_sort(F.collect_list(F.struct("pivot", "near", "far", "lo", "hi"))).alias("span"))
-    rest = c.routed(seen, span, ["region"], total, nulls=False)
+def _crossed(need: int):
+    """Of the members of a cell, one block (side 0) or two: the linked pairs of different components, each block against itself
+    or the other one. Intersections are products of the sets' incidence, COLUMNS shingles at a time."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        side, node, n, comp = (cell.column(k).to_numpy() for k in ("side", "node", "n", "comp"))
+        keys = [np.frombuffer(k.as_py(), "<u8") for c in cell.column("keys").chunks for k in c]
+        value, column = np.unique(np.concatenate(keys), return_inverse=True)
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        one = bool((side == 0).all())
+        x = np.flatnonzero(side == 0)
+        y = x if one else np.flatnonzero(side == 1)
+        both = np.zeros((len(x), len(y)), dtype=np.int64)
+        for at in range(0, len(value), COLUMNS):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+            has = np.zeros((len(keys), min(COLUMNS, len(value) - at)), dtype=np.float32)
+            has[owner[lo:hi], column[lo:hi] - at] = 1
+            both += np.rint(has[x] @ has[y].T).astype(np.int64)
+        either = n[x][:, None] + n[y] - both
+        linked = (100 * both >= need * either) & (comp[x][:, None] != comp[y])
+        i, j = np.nonzero(np.triu(linked) if one else linked)
+        out = [np.maximum(node[x][i], node[y][j]), np.minimum(node[x][i], node[y][j]), both[i, j], either[i, j]]
+        return pa.table([pa.array(v.astype(np.int64)) for v in out], names=["node", "pivot", "both", "either"])
 
-    def reached(x: Column) -> Column:
-        d, e, s = x["at"]["d"], x["at"]["e"], x["span"]
-        least = F.when(s["near"]["comp"] == F.col("comp"), s["lo"]).otherwise(s["near"]["lo"])
-        most = F.when(s["far"]["comp"] == F.col("comp"), s["hi"]).otherwise(s["far"]["hi"])
-        return (e >= least - eps) & (d <= most + eps)
+    return run
+
+
+def _crossing(rows: DataFrame, sets: DataFrame, need: int, across: bool) -> DataFrame:
+    """Links between the members of regions (region, node, n, room, comp), found block by block.
 
-    rest = c.save(rest.where(F.forall(F.arrays_zip("at", "span"), reached)).select("region", "node", "n", "room", "comp"), "regions")
-    return rest, far.where("linked").select("node", "pivot", "both", "either"), sets
+    Members are dealt into blocks of about CLOSE by their first region and, where many have the same, their component. A block is
+    compared with itself or, if ``across``, with all blocks that share a region with it, but for blocks of one and the same
+    component. A set travels once per pair of blocks, not per pair of sets or region.
+    """
+    total = rows.count()
+    homes = rows.groupBy("node").agg(F.min("region").alias("home"), F.min("comp").alias("comp"), F.min("n").alias("n"))
+    homes = c.save(homes, "homes")
+    if across:
+        found = homes.groupBy("home", "comp").agg(F.count(F.lit(1)).alias("_n"))
+        found = found.withColumn("part", F.when(F.col("_n") >= CLOSE, F.col("comp")).otherwise(F.lit(-1)))
+        homes = c.routed(homes, found, ["home", "comp"], total, nulls=False)
+    else:
+        homes = homes.withColumn("part", F.lit(-1).cast("long"))
+    found = homes.groupBy("home", "part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / F.lit(CLOSE)))
+    homes = c.routed(homes, found, ["home", "part"], total, nulls=False).withColumn("block", F.pmod(F.xxhash64("node", F.lit(2)), F.col("_blocks")))
+    homes = c.save(homes.select("node", "n", "comp", "home", "part", "block"), "homes")
+    blocks = homes.select("home", "part", "block").distinct().withColumn("a", F.monotonically_increasing_id())
+    blocks = c.save(blocks, "blocks")
+    homes = c.save(homes.join(blocks, ["home", "part", "block"]).select("node", "n", "comp", "part", "a"), "homes")
+    cells = blocks.where("part < 0").select("a", F.col("a").alias("b"))
+    if across:
+        there = rows.select("region", "node", "room").join(homes, "node").groupBy("region", "a", "part")
+        there = c.save(there.agg(F.min("n").alias("least"), F.max("room").alias("most")), "there")
+        other = there.select("region", F.col("a").alias("b"), F.col("part").alias("other"), F.col("least").alias("other_least"), F.col("most").alias("other_most"))
+        faces = "a <= b and (part < 0 or part <> other) and least <= other_most and other_least <= most"
+        cells = there.join(other, "region").where(faces).select("a", "b").distinct()
+    cells = c.save(cells, "cells")
+    sides = cells.select("a", "b", F.lit(0).alias("side"), F.col("a").alias("at"))
+    sides = sides.unionByName(cells.where("a <> b").select("a", "b", F.lit(1).alias("side"), F.col("b").alias("at")))
+    members = c.save(sets.select("node", "keys").join(homes.select("node", "n", "comp", F.col("a").alias("at")), "node"), "members")
+    both = sides.join(members, "at").select("a", "b", "side", "node", "n", "comp", "keys")
+    return c.save(both.groupBy("a", "b").applyInArrow(_crossed(need), "node long, pivot long, both long, either long"), "links")
 
 
 def _first_links(rows: DataFrame, sets: DataFrame, need: int) -> tuple[DataFrame, DataFrame]:
@@ -512,15 +522,15 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, need: int = NEED, id_col:
     state = c.save(inside.mapInArrow(_regions(need), "region long, node long, n long, room long"), "regions")
     sets = found.select("node", "n", "keys")
     state, linked = _first_links(state, sets, need)
-    while True:
+    # Blocks of large regions are first compared with themselves, which joins most near copies, then with each other.
+    for across in (False, True):
         state = _open(state, _roots(linked))
         small = state.where(F.col("size") <= CLOSE).repartition("region").sortWithinPartitions("region")
         linked = linked.unionByName(_links(small.mapInArrow(_facing, "node long, pivot long").distinct(), sets, need))
-        done = _round(state.where(F.col("size") > CLOSE).drop("size"), sets, PIVOTS, need, True)
-        if done is None:
+        state = state.where(F.col("size") > CLOSE).drop("size")
+        if state.isEmpty():
             break
-        state, new, _ = done
-        linked = linked.unionByName(new)
+        linked = linked.unionByName(_crossing(state, sets, need, across))
     by_set = sig.where("n_shingles > 0").groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("component_id"))
     roots = _roots(linked)
     placed = points.join(roots, "node").select("f1", "f2", "root")
