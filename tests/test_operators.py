@@ -60,6 +60,29 @@ def test_components_of_a_star(spark):
     assert set(c.values()) == {1, 7000} and c[7001] == 7000 and c[5000] == c[9002] == c[3999] == 1 and len(c) == 3999 - 1 + 4 + 1
 
 
+def test_components_of_graphs_up_to_a_block_and_beyond(spark, monkeypatch):
+    """A graph that one task can take is written once; a larger one goes on in rounds. Both give the same."""
+    rnd = random.Random(11)
+    edges = [(rnd.randrange(2000) * 3, rnd.randrange(2000) * 3) for _ in range(1500)] + [(k, k + 1) for k in range(10_000, 10_300)] + [(7, 7)] * 2
+    root = {v: v for e in edges for v in e}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {v: find(v) for v in root if find(v) != v}
+    df = spark.createDataFrame(edges + edges[:50], "a long, b long").repartition(3)
+    cuts = []
+    monkeypatch.setattr(groups, "cut_lineage", lambda d, real=groups.cut_lineage: cuts.append(1) or real(d))
+    assert sorted(groups.components(df).collect()) == sorted(want.items()) and len(cuts) == 1
+    monkeypatch.setattr(groups, "BLOCK", 100)
+    assert sorted(groups.components(df).collect()) == sorted(want.items()) and len(cuts) > 2
+    assert groups.components(df.limit(0)).count() == 0
+
+
 def test_box_pairs_match_brute_force(spark):
     rnd = random.Random(3)
     rows = [(k, w := rnd.uniform(-170, 150), s := rnd.uniform(-80, 60), w + rnd.choice([0, 0.001, 1, 20]), s + rnd.choice([0, 0.001, 1, 20])) for k in range(400)]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +18,7 @@ GAP_PIXELS = 2  # fixed value: largest gap between merged rasters
 SUBLEVELS = 2
 
 
+BLOCK = 1 << 18  # edges that one task can take: a graph of no more is settled in one step, a larger one in rounds
 HUBS = 1000  # a hub has more than 1 / HUBS of all edges, so there are fewer than HUBS of them
 
 
@@ -28,14 +33,38 @@ def _with_low(edges: DataFrame, total: int) -> DataFrame:
     return edges.join(hubs, "a").unionByName(edges.join(hubs.select("a"), "a", "left_anti").join(rest, "a"))
 
 
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all edges of a graph: node and root of every node but the roots, by hooking roots to smaller ones."""
+    parts = [[b.column(k).to_numpy(zero_copy_only=False) for k in ("a", "b")] for b in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low < high
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] < root).any():
+            root = root[root]
+    below = np.flatnonzero(root < np.arange(len(names)))
+    for k in range(0, len(below), 10_000):
+        some = below[k : k + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[root[some]])], names=["node", "root"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Smallest reachable id (``root``) of every node on an edge but the roots, by alternating star contraction.
+    """Smallest reachable id (``root``) of every node on an edge but the roots.
 
-    ``edges`` has columns a and b. Every step reduces neighbours to their minimum before it joins,
+    ``edges`` has columns a and b. Up to BLOCK edges are settled by one task, whatever they look like; more by
+    alternating star contraction, in which every step reduces neighbours to their minimum before it joins
     and the number of rounds grows with the logarithm of the number of nodes.
     """
-    e = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")))
     last, total = None, e.count()
+    if total <= BLOCK:
+        return e.coalesce(1).mapInArrow(_settled, "node long, root long")
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _with_low(both, 2 * total).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
