@@ -123,3 +123,12 @@ def test_a_round_moves_neither_cells_nor_triangles(spark, area):
         state = store.save(refine._tested(state, grids, N, box, 4.0))
         plan = refine._joined(state, refine._crossing(state))._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1  # the marks that cross borders
+
+
+def test_rounds_before_the_last_deal_cells_out_once(spark, area, monkeypatch):
+    rough, cells, tiles, extent = area
+    begun = []
+    monkeypatch.setattr(refine, "_begin", lambda *a, real=refine._begin: begun.append(1) or real(*a))
+    t, _ = refine.refine_once(refine.start(tiles), cells, N, extent, 1.2, before=6)
+    got = {((r.ax, r.ay), frozenset([(r.bx, r.by), (r.cx, r.cy)])) for r in t.collect()}
+    assert got == brute(TILES, rough, 7, 1.2) and len(begun) == 1

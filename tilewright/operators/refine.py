@@ -371,11 +371,17 @@ def _finished(state: DataFrame) -> DataFrame:
     return cut_lineage(state.select(*TILE, "shapes", "checked", "marks").mapInArrow(run, ", ".join(f"{k} long" for k in SHAPE) + ", checked boolean"))
 
 
-def refine_once(triangles: DataFrame, tile_cells: DataFrame, n: int, data_extent: DataFrame, intensity: float = 4.0) -> tuple[DataFrame, int]:
-    """One round: split what must be split together with its twins. Returns the mesh and the splits asked for."""
+def refine_once(triangles: DataFrame, tile_cells: DataFrame, n: int, data_extent: DataFrame, intensity: float = 4.0, before: int = 0) -> tuple[DataFrame, int]:
+    """One round: split what must be split together with its twins. Returns the mesh and the splits asked for.
+
+    With ``before``, up to so many rounds come first, on the same tables: neither cells nor triangles are dealt out again.
+    """
     with Store(triangles.sparkSession) as store:
         state, grids, extent = _begin(store, triangles, tile_cells, n, data_extent)
-        state, asked = _round(store, state, grids, n, extent, intensity)
+        for _ in range(before + 1):
+            state, asked = _round(store, state, grids, n, extent, intensity)
+            if asked == 0:
+                break
         return _finished(state), asked
 
 

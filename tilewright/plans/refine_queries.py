@@ -64,8 +64,7 @@ two as (select t.z, case when m.u is null then t.ax else (qx + cx) // 2 end as a
 select z, (ax + qx + cx) // 196608 as x, (ay + qy + cy) // 196608 as y, count(*) as triangles, sum(abs((qx - ax) * (cy - ay) - (qy - ay) * (cx - ax))) / 8589934592.0e0 as covered,
   cast(sum((ax * 31 + ay * 17 + (qx + cx) * 7 + (qy + cy) * 5 + qx * cx + qy * cy) % 1000003) as bigint) as places from two group by all""")
 def m02(i):
-    even, _ = refine.refine(refine.start(i.mesh_tiles), i.tile_cells, N, extent(i), 4, ROUND_INTENSITY)
-    t, _ = refine.refine_once(even, i.tile_cells, N, extent(i), ROUND_INTENSITY)
+    t, _ = refine.refine_once(refine.start(i.mesh_tiles), i.tile_cells, N, extent(i), ROUND_INTENSITY, before=4)
     c = F.col
     place = (c("ax") * 31 + c("ay") * 17 + (c("bx") + c("cx")) * 7 + (c("by") + c("cy")) * 5 + c("bx") * c("cx") + c("by") * c("cy")) % 1000003
     return per_tile(t, places=F.sum(place))
