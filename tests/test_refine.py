@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.operators import refine
+from tilewright.plans import refine_queries
 
 N = 9
 Z = 9  # below level 11 the deviation counts straight up and down
@@ -132,3 +133,19 @@ def test_rounds_before_the_last_deal_cells_out_once(spark, area, monkeypatch):
     t, _ = refine.refine_once(refine.start(tiles), cells, N, extent, 1.2, before=6)
     got = {((r.ax, r.ay), frozenset([(r.bx, r.by), (r.cx, r.cy)])) for r in t.collect()}
     assert got == brute(TILES, rough, 7, 1.2) and len(begun) == 1
+
+
+def test_as_many_rounds_as_it_takes(spark, monkeypatch):
+    n = 513
+    spike = "IF(col = 77 AND row = 77, 9000.0D, 0.0D)"  # a corner lies there after 17 rounds only
+    cells = spark.range(n * n).selectExpr("9L AS z", "20L AS x", "30L AS y", f"id % {n} AS col", f"id div {n} AS row").selectExpr("*", f"{spike} AS value")
+    tiles, extent = spark.createDataFrame([(Z, 20, 30)], "z long, x long, y long"), spark.sql("select -180.0D w, -90.0D s, 180.0D e, 90.0D n")
+    rounds = []
+    monkeypatch.setattr(refine, "_round", lambda *a, real=refine._round: rounds.append(1) or real(*a))
+    t, settled = refine.refine(refine.start(tiles), cells, n, extent, rounds=None, intensity=20.0)
+    assert settled and len(rounds) > refine.MAX_ROUNDS
+
+    asked = []
+    monkeypatch.setattr(refine, "refine", lambda *a, rounds=refine.MAX_ROUNDS: asked.append(rounds) or (t, rounds is None))
+    inputs = type("Inputs", (), {"spark": spark, "mesh_tiles": tiles, "tile_cells": cells})
+    assert refine_queries.refined(inputs) is t and asked == [None]

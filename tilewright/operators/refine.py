@@ -11,6 +11,7 @@ tile border travel, to the one tile on the other side.
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 
@@ -385,14 +386,15 @@ def refine_once(triangles: DataFrame, tile_cells: DataFrame, n: int, data_extent
         return _finished(state), asked
 
 
-def refine(triangles: DataFrame, tile_cells: DataFrame, n: int, data_extent: DataFrame, rounds: int = MAX_ROUNDS, intensity: float = 4.0) -> tuple[DataFrame, bool]:
-    """Refine until no triangle fails the test, or for ``rounds`` rounds. Returns the mesh and whether it has settled.
+def refine(triangles: DataFrame, tile_cells: DataFrame, n: int, data_extent: DataFrame, rounds: int | None = MAX_ROUNDS, intensity: float = 4.0) -> tuple[DataFrame, bool]:
+    """Refine until no triangle fails the test, or for ``rounds`` rounds (None: as many as it takes). Returns the mesh and whether it has settled.
 
-    Only triangles made in the round before are tested. Cells and triangles are shuffled once, before the first round.
+    Only triangles made in the round before are tested. Cells and triangles are shuffled once, before the first round. A chain of splits
+    can run from tile to tile, so the rounds it takes have no fixed bound; they end, since no triangle below the smallest size asks to be split.
     """
     with Store(triangles.sparkSession) as store:
         state, grids, extent = _begin(store, triangles, tile_cells, n, data_extent)
-        for _ in range(rounds):
+        for _ in itertools.count() if rounds is None else range(rounds):
             state, asked = _round(store, state, grids, n, extent, intensity)
             if asked == 0:
                 return _finished(state), True
