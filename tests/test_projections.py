@@ -39,3 +39,16 @@ def test_mixed_extents(spark):
         projections.in_degrees(f.withColumn("srs", F.lit("EPSG:1"))).collect()
     with pytest.raises(ValueError):
         projections.projected("w", "s", "EPSG:1", "EPSG:4326")
+
+
+def test_corners_tell_between_cylindrical_systems(spark, monkeypatch):
+    """The same boxes as from the whole outline, without looking at every part of every edge."""
+    rows = [(-179.5, -84.0, 179.25, 84.75), (12.1, 48.3, 12.7, 48.9), (5.0, -3.0, 5.0, -3.0), (8.0, 9.0, 7.0, 4.0), (None, 1.0, 2.0, 3.0)]
+    f = spark.createDataFrame(rows, "w double, s double, e double, n double")
+    for source, target in (("EPSG:4326", "EPSG:3857"), ("EPSG:4326", "EPSG:3395"), ("EPSG:3857", "EPSG:4326"), ("EPSG:3395", "EPSG:4326")):
+        got = f.select(*[v.alias(f"_{k}") for k, v in projections.outline_box("w", "s", "e", "n", source, target).items()])
+        assert "transform" not in got._jdf.queryExecution().analyzed().toString()
+        with monkeypatch.context() as m:
+            m.setattr(projections, "CYLINDRICAL", set())
+            want = f.select(*[v.alias(f"_{k}") for k, v in projections.outline_box("w", "s", "e", "n", source, target).items()])
+        assert got.collect() == want.collect()

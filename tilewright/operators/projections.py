@@ -1,7 +1,7 @@
 """Rasters in their own reference system: geographic, spherical and ellipsoidal mercator.
 
 A system is a pair of functions between its coordinates and longitude and latitude. What a raster covers in another
-system follows from its whole outline, not its corners alone, since edges may bend.
+system follows from its whole outline, not its corners alone, since edges may bend; between cylindrical systems they don't.
 """
 
 from __future__ import annotations
@@ -40,6 +40,9 @@ SYSTEMS = {
     "EPSG:3395": (_ellipsoid_metres, _ellipsoid_lonlat),
 }
 
+#: Systems whose axes depend on longitude or latitude alone and grow with it: boxes of one are boxes of the others.
+CYLINDRICAL = {"EPSG:4326", "EPSG:3857", "EPSG:3395"}
+
 
 def projected(x, y, source: str, target: str) -> tuple[Column, Column]:
     """A position of one system in another."""
@@ -54,11 +57,15 @@ def projected(x, y, source: str, target: str) -> tuple[Column, Column]:
 def outline_box(w, s, e, n, source: str, target: str, steps: int = STEPS) -> dict[str, Column]:
     """Box in ``target`` around the outline of a box in ``source``, from ``steps`` parts of each edge.
 
-    Inside one select, name the results differently from the columns they are made of.
+    Between cylindrical systems that is the box of two opposite corners. Inside one select, name the results differently from the columns they are made of.
     """
     w, s, e, n = col(w), col(s), col(e), col(n)
     if source == target:
         return {"w": w, "s": s, "e": e, "n": n}
+    if {source, target} <= CYLINDRICAL:
+        # the far corner as it is, and as steps along an outline end there
+        xs, ys = zip(*[projected(x, y, source, target) for x, y in ((w, s), (e, n), (w + (e - w), s + (n - s)))])
+        return {"w": F.least(*xs), "s": F.least(*ys), "e": F.greatest(*xs), "n": F.greatest(*ys)}
     parts = F.sequence(F.lit(0), F.lit(steps))
 
     def along(axis: int, x, y) -> Column:
