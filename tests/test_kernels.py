@@ -121,3 +121,32 @@ def test_mosaic_keeps_every_position(spark, tables):
         assert sorted(map(str, (x[:3] for x in rows))) == sorted(map(str, at))
         values = {x[0]: x[3] for x in rows}
         assert values[3] is None and values[1] == values[2] is not None
+
+
+def test_equal_positions_are_looked_up_once(spark, tables, monkeypatch):
+    meta, cells, r, c, _, _ = tables
+    looked_up, plain = [], rasters.covering
+    monkeypatch.setattr(rasters, "covering", lambda p, q: looked_up.append(p.count()) or plain(p, q))
+    at = [(k, 12.34 + k % 3, 18.77) for k in range(60)] + [(60, None, 18.77), (61, 0.0, 0.0), (62, -0.0, 0.0), (63, float("nan"), 1.0)]
+    points = spark.createDataFrame(at, "pid int, lon double, lat double")
+    near = [tuple(x) for x in rasters.sample_nearest(points, r, c).select("pid", "file_id", "value").collect()]
+    between = [tuple(x) for x in rasters.sample_bilinear(points, r, c).select("pid", "file_id", "value").collect()]
+    tops = [x for p in ("resolution", "max") for x in rasters.mosaic(points, r, c, p).collect()]
+    assert len(looked_up) == 4 and max(looked_up) <= 5
+    under = [(p, f) for p, lon, lat in at for f, w, n, px, cols, rows in meta if lon is not None and w <= lon <= w + cols * px and n - rows * px <= lat <= n]
+    assert sorted(x[:2] for x in near) == sorted(x[:2] for x in between) == sorted(under) and len(under) >= 60
+    for p, f, value in near:
+        _, w, n, px, cols, rows = next(m for m in meta if m[0] == f)
+        assert value == cells.get((f, min(math.floor((at[p][1] - w) / px), cols - 1), min(math.floor((n - at[p][2]) / px), rows - 1)))
+    assert len(tops) == 2 * len(at) and all(x.value is None for x in tops if x.pid >= 60)
+
+
+def test_pieces_of_blocks_travel_instead_of_cells(spark, tables, monkeypatch):
+    _, cells, _, c, _, _ = tables
+    monkeypatch.setattr(rasters, "GATHER", 1000)
+    plan = rasters.block_lists(c)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("MapInArrow")  # the gathering lies below the shuffle
+    got = {(r.file_id, r._bx * 64 + i % 65, r._by * 64 + i // 65): v for r in rasters.block_lists(c).collect() for i, v in zip(r._at, r._v, strict=True)}
+    assert got == cells
+    count = sum((1 + (k[1] % 64 == 0 < k[1])) * (1 + (k[2] % 64 == 0 < k[2])) for k in cells)
+    assert rasters.block_lists(c).selectExpr("sum(size(_at))").first()[0] == count

@@ -10,8 +10,11 @@ these come from rows that were multiplied, whose size Spark underrates, and must
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,24 +79,54 @@ def cell_blocks(cells: DataFrame, keys: tuple[str, ...] = ("file_id",), block: i
     """
     side = block + 1
 
+    @F.pandas_udf("array<double>")
+    def dense(places: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.full((len(places), side * side), np.nan)
+        for k, (i, v) in enumerate(zip(places, values)):
+            out[k, i] = v
+        return pd.Series(list(out))
+
+    return block_lists(cells, keys, block).select(*keys, "_bx", "_by", dense("_at", "_v").alias("_values"))
+
+
+GATHER = 1 << 17  # cells put together into pieces of blocks at once, before they are shuffled
+
+
+def block_lists(cells: DataFrame, keys: tuple[str, ...] = ("file_id",), block: int = BLOCK) -> DataFrame:
+    """Cells with a value as lists: ``keys``, _bx, _by, places in the array of a block (_at) and values (_v).
+
+    What a task reads of a block becomes one piece before the shuffle, so that pieces travel and are sorted, not cells.
+    """
+    side = block + 1
+
     def blocks(v: str) -> Column:
         k = F.floor(F.col(v) / block)
         return F.explode(F.when((F.col(v) % block == 0) & (F.col(v) > 0), F.array(k, k - 1)).otherwise(F.array(k)))
 
-    c = cells.select(*keys, "col", "row", F.col("value").cast("double").alias("value"))
+    c = cells.filter(F.col("value").isNotNull()).select(*keys, "col", "row", F.col("value").cast("double").alias("_v"))
     c = c.withColumn("_bx", blocks("col")).withColumn("_by", blocks("row"))
     at = ((F.col("row") - F.col("_by") * block) * side + F.col("col") - F.col("_bx") * block).cast("int")
-    full = F.col("value").isNotNull()
-    g = c.filter(full).groupBy(*keys, "_bx", "_by").agg(F.collect_list(at).alias("_at"), F.collect_list("value").alias("_v"))
+    c = c.select(*keys, "_bx", "_by", at.alias("_at"), "_v")
+    spot = [*keys, "_bx", "_by"]
 
-    @F.pandas_udf("array<double>")
-    def dense(places: pd.Series, values: pd.Series) -> pd.Series:
-        out = np.full((len(places), side * side), np.nan)
-        for k, (i, v) in enumerate(zip(places, values)):
-            out[k, i] = v
-        return pd.Series(list(out))
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def gathered(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).group_by(spot).aggregate([("_at", "list"), ("_v", "list")])
+            yield from t.select([*spot, "_at_list", "_v_list"]).rename_columns([*spot, "_at", "_v"]).to_batches()
 
-    return g.select(*keys, "_bx", "_by", dense("_at", "_v").alias("_values"))
+        held, rows = [], 0
+        for b in batches:
+            held.append(b)
+            rows += b.num_rows
+            if rows >= GATHER:
+                yield from gathered(held)
+                held, rows = [], 0
+        if rows:
+            yield from gathered(held)
+
+    types = ", ".join(f"`{k}` {c.schema[k].dataType.simpleString()}" for k in spot)
+    p = c.mapInArrow(pieces, f"{types}, _at array<int>, _v array<double>")
+    return p.groupBy(*spot).agg(F.flatten(F.collect_list("_at")).alias("_at"), F.flatten(F.collect_list("_v")).alias("_v"))
 
 
 def _in_block(col: Column, row: Column, block: int = BLOCK) -> Column:
@@ -102,15 +135,30 @@ def _in_block(col: Column, row: Column, block: int = BLOCK) -> Column:
     return F.when(~F.isnan(v), v)
 
 
+def _places(points: DataFrame) -> DataFrame:
+    """The different positions of ``points``."""
+    return points.filter("lon is not null and lat is not null").select("lon", "lat").distinct()
+
+
+def _dealt_back(points: DataFrame, found: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of ``points`` with what was found at their positions. It meets them by position, so that no pair is shuffled."""
+    return points.join(found.hint("merge"), ["lon", "lat"], how)
+
+
 def sample_nearest(points: DataFrame, rasters: DataFrame, cells: DataFrame) -> DataFrame:
-    """Value of the cell under each position, per covering raster (null: nodata)."""
-    pairs = covering(points, rasters)
+    """Value of the cell under each position, per covering raster (null: nodata). Equal positions are looked up once."""
+    found = _nearest(_places(points), rasters, cells)
+    return _dealt_back(points, found).select(*points.columns, "file_id", "px", "cell_col", "cell_row", "value")
+
+
+def _nearest(places: DataFrame, rasters: DataFrame, cells: DataFrame) -> DataFrame:
+    pairs = covering(places, rasters)
     cx, cy = _unit(pairs)
     at = pairs.withColumns({"_col": _inside(cx, "cols"), "_row": _inside(cy, "rows")})
     at = at.withColumns({"_bx": F.floor(F.col("_col") / BLOCK), "_by": F.floor(F.col("_row") / BLOCK)})
     got = at.join(cell_blocks(cells).hint("merge"), ["file_id", "_bx", "_by"], "left")
     value = _in_block(F.col("_col"), F.col("_row"))
-    return got.select(*points.columns, "file_id", "px", F.col("_col").alias("cell_col"), F.col("_row").alias("cell_row"), value.alias("value"))
+    return got.select("lon", "lat", "file_id", "px", F.col("_col").alias("cell_col"), F.col("_row").alias("cell_row"), value.alias("value"))
 
 
 def sample_bilinear(points: DataFrame, rasters: DataFrame, cells: DataFrame) -> DataFrame:
@@ -118,16 +166,21 @@ def sample_bilinear(points: DataFrame, rasters: DataFrame, cells: DataFrame) ->
 
     Cells are addressed by their north-west corner; indexes beyond an edge use the edge cell. With
     nodata in any corner the first corner's value is taken as it is. Positions meet whole blocks of
-    cells in one join, so equal positions stay rows of their own.
+    cells in one join. Equal positions are looked up once and stay rows of their own.
     """
-    pairs = covering(points, rasters)
+    found = _bilinear(_places(points), rasters, cells)
+    return _dealt_back(points, found).select(*points.columns, "file_id", "px", "value")
+
+
+def _bilinear(places: DataFrame, rasters: DataFrame, cells: DataFrame) -> DataFrame:
+    pairs = covering(places, rasters)
     cx, cy = _unit(pairs)
     c0, r0 = _inside(cx, "cols"), _inside(cy, "rows")
     at = pairs.withColumns({"_c0": c0, "_r0": r0, "_fx": cx - c0, "_fy": cy - r0})
     at = at.withColumns({"_bx": F.floor(F.col("_c0") / BLOCK), "_by": F.floor(F.col("_r0") / BLOCK)})
     got = at.join(cell_blocks(cells).hint("merge"), ["file_id", "_bx", "_by"], "left")
     value = _between(F.col("cols") - 1, F.col("rows") - 1)
-    return got.select(*points.columns, "file_id", "px", value.alias("value"))
+    return got.select("lon", "lat", "file_id", "px", value.alias("value"))
 
 
 def _between(last_col: Column, last_row: Column, block: int = BLOCK) -> Column:
@@ -163,13 +216,12 @@ def best_value(samples: DataFrame, keys: list[str], priority: str = "resolution"
 def mosaic(points: DataFrame, rasters: DataFrame, cells: DataFrame, priority: str = "resolution", method: str = "bilinear") -> DataFrame:
     """One row per row of ``points`` with the value on top there, null where no raster has one.
 
-    Positions are numbered first, so equal ones stay rows of their own; each takes part once without a raster, so none is lost.
+    The value on top is found once for every different position and dealt back to the rows there; none is lost.
     """
-    sample = sample_bilinear if method == "bilinear" else sample_nearest
-    numbered = cut_lineage(points.withColumn("_position", F.monotonically_increasing_id()))
-    bare = {k: F.lit(None).cast(t) for k, t in (("file_id", "bigint"), ("px", "double"), ("value", "double"))}
-    found = sample(numbered, rasters, cells).select(*numbered.columns, "file_id", "px", "value").unionByName(numbered.withColumns(bare))
-    return best_value(found, ["_position"], priority).drop("_position").select(*points.columns, "value", *(["file_id"] if priority != "max" else []))
+    sample = _bilinear if method == "bilinear" else _nearest
+    found = sample(_places(points), rasters, cells).select("lon", "lat", "file_id", "px", "value")
+    top = best_value(found, ["lon", "lat"], priority)
+    return _dealt_back(points, top, "left").select(*points.columns, "value", *(["file_id"] if priority != "max" else []))
 
 
 def tile_fragments(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int, spacing: str, bilinear: bool) -> DataFrame:
