@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tilewright.operators import kernels, rasters
 
@@ -150,3 +151,41 @@ def test_pieces_of_blocks_travel_instead_of_cells(spark, tables, monkeypatch):
     assert got == cells
     count = sum((1 + (k[1] % 64 == 0 < k[1])) * (1 + (k[2] % 64 == 0 < k[2])) for k in cells)
     assert rasters.block_lists(c).selectExpr("sum(size(_at))").first()[0] == count
+
+
+def test_of_a_rectangle_travels_what_is_less(spark, tables):
+    """Cells where a tile has more positions than the raster cells below them, samples where it has fewer, nothing without a value."""
+    _, _, r, c, _, table = tables
+    found = rasters.tile_fragments(table, r, c, 256, "half", True).collect()
+    kinds = set()
+    for f in found:
+        samples, cells = (None if v is None else len(v) // 8 for v in (f._samples, f._cells))
+        assert samples is None or cells is None
+        assert samples in (None, f._width * f._height) and (cells is None or cells < f._width * f._height and cells % f._across == 0)
+        kinds.add((samples is not None, cells is not None))
+    assert kinds == {(True, False), (False, True), (False, False)}
+
+
+def test_taken_places_are_not_sampled(spark, tables, monkeypatch):
+    """Ten copies of a raster without holes: only the one on top is sampled."""
+    one = spark.sql("select 0L file_id, 10.0D w, 20.0D n, 0.25D px, 40L cols, 40L rows")
+    cells = spark.range(1600).selectExpr("0L AS file_id", "id % 40 AS col", "id div 40 AS row", "id * 1.0D AS value")
+    copies = spark.range(10).withColumnRenamed("id", "k")
+    r = one.crossJoin(copies).selectExpr("k AS file_id", "w", "n", "px", "cols", "rows")
+    c = cells.crossJoin(copies).selectExpr("k AS file_id", "col", "row", "value + k AS value")
+    tile = spark.createDataFrame([(6, 68, 38)], "z long, x long, y long")
+    count, plain = spark.sparkContext.accumulator(0), kernels._sampled
+    found = rasters.tile_fragments(tile, r, c, 128, "half", True).cache()
+    assert found.count() == 10 and found.where("_cells is null").isEmpty()
+
+    def counted(*a):
+        count.add(1)
+        return plain(*a)
+
+    monkeypatch.setattr(kernels, "_sampled", counted)
+    for largest, times in ((False, 1), (True, 10)):
+        before = count.value
+        assert kernels.layered(found, 128, "half", True, [F.col("file_id")], "covered", largest).count() > 0
+        assert count.value - before == times
+    alone = rasters.tile_raster(tile, r.where("file_id = 9"), c.where("file_id = 9"), 128)
+    assert got_of(rasters.tile_raster(tile, r, c, 128, priority="max")) == got_of(alone)

@@ -2,7 +2,8 @@
 
 A tile asks for a lattice of positions; a raster is held as blocks of cells. What is joined are pairs of a tile and a block
 it touches, never positions: a pair's kernel gathers all its samples from the block with array arithmetic, for the
-positions form a rectangle of the lattice. The rectangles of a part of a tile then lie one over the other by priority.
+positions form a rectangle of the lattice. The rectangles of a part of a tile then lie one over the other by priority. Of a
+rectangle travels what is less, its samples or the cells they come from; cells are sampled only where a place is still empty.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ from .index import box_pairs
 # fixed values: offset of the first sample of a tile, in steps to the east and north, and steps per tile short of n
 SPACING = {"half": (0.5, 0.5, 1), "edge": (0.0, 0.0, 1), "grown": (-0.5, 0.5, 1), "cells": (0.5, 0.5, 0)}
 
-PART = 64  # a tile is put together in parts of about this many samples a side
+PART = 128  # a tile is put together in parts of about this many samples a side
 ROWS = 1 << 17  # rows returned at once
 
-FRAGMENT = "z long, x long, y long, _tx int, _ty int, _col int, _row int, _width int, file_id long, px double, _samples binary"
+# of the tile its first position and step, of the raster its corner and size
+GEOMETRY = {"_west": "double", "_south": "double", "_sx": "double", "_sy": "double", "_w": "double", "_n": "double", "cols": "long", "rows": "long"}
+# where the rectangle lies in the tile, and its samples or the cells (from _c0, _r0 on, _across in a row) they come from; neither: no cell has a value
+RECTANGLE = {"_tx": "int", "_ty": "int", "_col": "int", "_row": "int", "_width": "int", "_height": "int", "_c0": "int", "_r0": "int", "_across": "int", "_samples": "binary", "_cells": "binary"}
+FRAGMENT = {"z": "long", "x": "long", "y": "long", **RECTANGLE, "file_id": "long", "px": "double", **GEOMETRY}
 
 
 def lattice_box(tiles: DataFrame, n: int, spacing: str) -> DataFrame:
@@ -66,14 +71,31 @@ def tile_blocks(tiles: DataFrame, rasters: DataFrame, n: int, spacing: str, bloc
     )
 
 
-def _span(at: np.ndarray, low: float, high: float, unit: np.ndarray, size: int, block: int, number: int):
-    """Positions of an axis inside [low, high] whose cell lies in the numbered block: their first index, cells and offsets in cells."""
+def _axis(first: float, step: float, index: np.ndarray, shift: float, low: float, px: float, size: int, down: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of an axis, the cells of a raster they lie in and their offsets in cells."""
+    at = first + step * (index + shift)
+    unit = (low - at) / px if down else (at - low) / px
     cell = np.clip(np.floor(unit), 0, size - 1)
+    return at, cell.astype(np.int64), unit - cell
+
+
+def _span(at: np.ndarray, low: float, high: float, cell: np.ndarray, block: int, number: int) -> slice | None:
+    """Positions of an axis inside [low, high] whose cell lies in the numbered block."""
     hit = np.flatnonzero((at >= low) & (at <= high) & (cell // block == number))
-    if not len(hit):
-        return None
-    inside = slice(hit[0], hit[-1] + 1)
-    return hit[0], cell[inside].astype(np.int64), (unit - cell)[inside]
+    return slice(hit[0], hit[-1] + 1) if len(hit) else None
+
+
+def _sampled(cells: np.ndarray, c0: np.ndarray, u: np.ndarray, r0: np.ndarray, v: np.ndarray, last_col: int, last_row: int, bilinear: bool) -> np.ndarray:
+    """Samples from ``cells``; columns, rows and the raster's last ones are counted from their corner."""
+    a = cells[np.ix_(r0, c0)]
+    if not bilinear:
+        return a
+    c1, r1 = np.minimum(c0 + 1, last_col), np.minimum(r0 + 1, last_row)
+    u, v = u[None, :], v[:, None]
+    upper = a * (1.0 - u) + cells[np.ix_(r0, c1)] * u
+    lower = cells[np.ix_(r1, c0)] * (1.0 - u) + cells[np.ix_(r1, c1)] * u
+    blend = upper * (1.0 - v) + lower * v
+    return np.where(np.isnan(blend), a, blend)
 
 
 def parts_of(n: int) -> tuple[int, int]:
@@ -83,81 +105,82 @@ def parts_of(n: int) -> tuple[int, int]:
 
 
 def fragments(pairs: DataFrame, n: int, spacing: str, block: int, bilinear: bool) -> DataFrame:
-    """Samples of every pair that carries its block's cells (``_values``, null: a block without any cell), cut into parts of the tile."""
+    """Rectangles of every pair that carries its block's cells (places ``_at`` and values ``_v``, null: a block without any), cut into parts of the tile."""
     shift_x, shift_y, _ = SPACING[spacing]
     _, part = parts_of(n)
     side = block + 1
     steps = np.arange(n)
-    names = ["_west", "_south", "_sx", "_sy", "_w", "_s", "_e", "_n", "px", "cols", "rows", "_bx", "_by"]
+    names = [*GEOMETRY, "_s", "_e", "px", "_bx", "_by"]
 
-    def sampled(r: dict, values: np.ndarray | None):
-        lon, lat = r["_west"] + r["_sx"] * (steps + shift_x), r["_south"] + r["_sy"] * (steps + shift_y)
-        across = _span(lon, r["_w"], r["_e"], (lon - r["_w"]) / r["px"], r["cols"], block, r["_bx"])
-        along = _span(lat, r["_s"], r["_n"], (r["_n"] - lat) / r["px"], r["rows"], block, r["_by"])
+    def rectangles(r: dict, places: pa.Scalar, values: pa.Scalar) -> Iterator[tuple]:
+        lon, c0, u = _axis(r["_west"], r["_sx"], steps, shift_x, r["_w"], r["px"], r["cols"])
+        lat, r0, v = _axis(r["_south"], r["_sy"], steps, shift_y, r["_n"], r["px"], r["rows"], down=True)
+        across, along = _span(lon, r["_w"], r["_e"], c0, block, r["_bx"]), _span(lat, r["_s"], r["_n"], r0, block, r["_by"])
         if across is None or along is None:
-            return None
-        (col, c0, u), (row, r0, v) = across, along
-        if values is None:
-            return col, row, np.full((len(r0), len(c0)), np.nan)
-        x0, y0 = c0 - r["_bx"] * block, r0 - r["_by"] * block
-        a = values[np.ix_(y0, x0)]
-        if not bilinear:
-            return col, row, a
-        x1, y1 = np.minimum(c0 + 1, r["cols"] - 1) - r["_bx"] * block, np.minimum(r0 + 1, r["rows"] - 1) - r["_by"] * block
-        u, v = u[None, :], v[:, None]
-        upper = a * (1.0 - u) + values[np.ix_(y0, x1)] * u
-        lower = values[np.ix_(y1, x0)] * (1.0 - u) + values[np.ix_(y1, x1)] * u
-        blend = upper * (1.0 - v) + lower * v
-        return col, row, np.where(np.isnan(blend), a, blend)
+            return
+        cells = None
+        if values.is_valid:
+            cells = np.full(side * side, np.nan)
+            cells[places.values.to_numpy()] = values.values.to_numpy()
+            cells = cells.reshape(side, side)
+        west, north = r["_bx"] * block, r["_by"] * block
+        last_col, last_row = r["cols"] - 1 - west, r["rows"] - 1 - north
+        for ty in range(along.start // part, (along.stop - 1) // part + 1):
+            y = slice(max(along.start, ty * part), min(along.stop, ty * part + part))
+            for tx in range(across.start // part, (across.stop - 1) // part + 1):
+                x = slice(max(across.start, tx * part), min(across.stop, tx * part + part))
+                place = (tx, ty, x.start, y.start, x.stop - x.start, y.stop - y.start)
+                if cells is None:
+                    yield *place, None, None, None, None, None
+                    continue
+                col, row = c0[x] - west, r0[y] - north
+                # columns run east, rows of positions north and rows of cells south
+                left, top = col[0], row[-1]
+                own = cells[top : min(row[0] + bilinear, last_row) + 1, left : min(col[-1] + bilinear, last_col) + 1]
+                if own.size < (x.stop - x.start) * (y.stop - y.start):
+                    yield *place, int(left + west), int(top + north), own.shape[1], None, own.tobytes()
+                else:
+                    yield *place, None, None, None, _sampled(cells, col, u[x], row, v[y], last_col, last_row, bilinear).tobytes(), None
+
+    types = [pa.int32()] * 9 + [pa.binary()] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = {k: b.column(k).to_pylist() for k in names}
-            cells = b.column("_values")
+            places, values = b.column("_at"), b.column("_v")
             take, out, size = [], [], 0
 
             def ready() -> pa.RecordBatch:
                 at = pa.array(take, pa.int64())
-                numbers = [pa.array(c, pa.int32()) for c in list(zip(*out))[:5]]
-                kept = [b.column(k).take(at) for k in ("z", "x", "y", "file_id", "px")]
-                return pa.RecordBatch.from_arrays(
-                    [*kept[:3], *numbers, *kept[3:], pa.array([o[5] for o in out], pa.binary())],
-                    names=["z", "x", "y", "_tx", "_ty", "_col", "_row", "_width", "file_id", "px", "_samples"])
+                kept = {k: b.column(k).take(at) for k in ("z", "x", "y", "file_id", "px", *GEOMETRY)}
+                kept |= {k: pa.array(c, t) for k, c, t in zip(RECTANGLE, zip(*out), types, strict=True)}
+                return pa.RecordBatch.from_arrays([kept[k] for k in FRAGMENT], names=list(FRAGMENT))
 
             for k in range(b.num_rows):
-                r = {name: columns[name][k] for name in names}
-                values = cells[k].values.to_numpy(zero_copy_only=False).reshape(side, side) if cells[k].is_valid else None
-                got = sampled(r, values)
-                if got is None:
-                    continue
-                col, row, samples = got
-                rows, cols = samples.shape
-                for ty in range(row // part, (row + rows - 1) // part + 1):
-                    y = slice(max(row, ty * part), min(row + rows, ty * part + part))
-                    for tx in range(col // part, (col + cols - 1) // part + 1):
-                        x = slice(max(col, tx * part), min(col + cols, tx * part + part))
-                        sub = samples[y.start - row : y.stop - row, x.start - col : x.stop - col]
-                        take.append(k)
-                        out.append((tx, ty, x.start, y.start, x.stop - x.start, sub.tobytes()))
-                        size += sub.size
+                for found in rectangles({name: columns[name][k] for name in names}, places[k], values[k]):
+                    take.append(k)
+                    out.append(found)
+                    size += sum(len(f) for f in found[-2:] if f is not None) // 8
                 if size >= ROWS:
                     yield ready()
                     take, out, size = [], [], 0
             if out:
                 yield ready()
 
-    return pairs.mapInArrow(run, FRAGMENT)
+    return pairs.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in FRAGMENT.items()))
 
 
-def layered(found: DataFrame, n: int, rank: list[Column], keep: str, largest: bool = False) -> DataFrame:
+def layered(found: DataFrame, n: int, spacing: str, bilinear: bool, rank: list[Column], keep: str, largest: bool = False) -> DataFrame:
     """Rows z, x, y, col, row, value of fragments laid one over the other.
 
     A part's fragments arrive in the order of ``rank`` and each fills the places that are still empty (with ``largest``,
-    the greatest value stays), so that a part in work is all that a task holds, however many rasters lie there. ``keep``
-    tells which places are rows: those with a ``value``, those that any raster ``covered``, or ``all``.
+    the greatest value stays), so that a part in work is all that a task holds, however many rasters lie there; a fragment whose
+    places are all taken isn't sampled. ``keep`` tells which places are rows: those with a ``value``, those that any raster ``covered``, or ``all``.
     """
+    shift_x, shift_y, _ = SPACING[spacing]
     _, part = parts_of(n)
     key = ["z", "x", "y", "_tx", "_ty"]
+    names = [k for k in (*RECTANGLE, "px", *GEOMETRY) if k not in (*key, "_samples", "_cells")]
     dealt = found.repartition(*key).sortWithinPartitions(*key, *rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +199,15 @@ def layered(found: DataFrame, n: int, rank: list[Column], keep: str, largest: bo
             return pa.RecordBatch.from_arrays(
                 [*[pa.array(c, pa.int64()) for c in (z, x, y, col, row)], pa.array(value, pa.float64(), mask=np.isnan(value))], names=["z", "x", "y", "col", "row", "value"])
 
+        def sampled(r: dict, cells: np.ndarray) -> np.ndarray:
+            _, c0, u = _axis(r["_west"], r["_sx"], np.arange(r["_col"], r["_col"] + r["_width"]), shift_x, r["_w"], r["px"], r["cols"])
+            _, r0, v = _axis(r["_south"], r["_sy"], np.arange(r["_row"], r["_row"] + r["_height"]), shift_y, r["_n"], r["px"], r["rows"], down=True)
+            return _sampled(cells.reshape(-1, r["_across"]), c0 - r["_c0"], u, r0 - r["_r0"], v, r["cols"] - 1 - r["_c0"], r["rows"] - 1 - r["_r0"], bilinear)
+
         for b in batches:
             keys = list(zip(*[b.column(k).to_pylist() for k in key], strict=True))
-            place = list(zip(*[b.column(k).to_pylist() for k in ("_col", "_row", "_width")], strict=True))
-            samples = b.column("_samples")
+            columns = {k: b.column(k).to_pylist() for k in names}
+            samples, cells = b.column("_samples"), b.column("_cells")
             for k in range(b.num_rows):
                 if keys[k] != at:
                     if at is not None:
@@ -190,20 +218,25 @@ def layered(found: DataFrame, n: int, rank: list[Column], keep: str, largest: bo
                     at = keys[k]
                     height, width = (min(part, n - i * part) for i in (at[4], at[3]))
                     best, seen = np.full((height, width), np.nan), np.zeros((height, width), dtype=bool)
-                if not samples[k].is_valid:
+                if columns["_width"][k] is None:
                     continue
-                values = np.frombuffer(samples[k].as_buffer(), dtype=np.float64)
-                col, row, wide = place[k]
-                values = values.reshape(-1, wide)
-                spot = np.s_[row - at[4] * part : row - at[4] * part + len(values), col - at[3] * part : col - at[3] * part + wide]
+                r = {name: columns[name][k] for name in names}
+                row, col = r["_row"] - at[4] * part, r["_col"] - at[3] * part
+                spot = np.s_[row : row + r["_height"], col : col + r["_width"]]
                 seen[spot] = True
+                if not (samples[k].is_valid or cells[k].is_valid) or not (largest or np.isnan(best[spot]).any()):
+                    continue
+                if samples[k].is_valid:
+                    values = np.frombuffer(samples[k].as_buffer(), dtype=np.float64).reshape(-1, r["_width"])
+                else:
+                    values = sampled(r, np.frombuffer(cells[k].as_buffer(), dtype=np.float64))
                 best[spot] = np.fmax(best[spot], values) if largest else np.where(np.isnan(best[spot]), values, best[spot])
         if at is not None:
             finish()
         if done:
             yield ready()
 
-    return dealt.select(*key, "_col", "_row", "_width", "_samples").mapInArrow(run, "z long, x long, y long, col long, row long, value double")
+    return dealt.select(*key, *names, "_samples", "_cells").mapInArrow(run, "z long, x long, y long, col long, row long, value double")
 
 
 def blank_parts(tiles: DataFrame, n: int) -> DataFrame:
@@ -211,5 +244,5 @@ def blank_parts(tiles: DataFrame, n: int) -> DataFrame:
     count, _ = parts_of(n)
     numbers = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     t = tiles.select("z", "x", "y").withColumn("_tx", numbers).withColumn("_ty", numbers)
-    none = {"_col": "int", "_row": "int", "_width": "int", "file_id": "long", "px": "double", "_samples": "binary"}
+    none = {k: v for k, v in FRAGMENT.items() if k not in t.columns}
     return t.select("*", *[F.lit(None).cast(v).alias(k) for k, v in none.items()])

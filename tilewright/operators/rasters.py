@@ -225,9 +225,9 @@ def mosaic(points: DataFrame, rasters: DataFrame, cells: DataFrame, priority: st
 
 
 def tile_fragments(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int, spacing: str, bilinear: bool) -> DataFrame:
-    """Samples of every tile from every block of cells it touches (see :mod:`.kernels`)."""
+    """What every tile takes from every block of cells it touches (see :mod:`.kernels`)."""
     pairs = kernels.tile_blocks(tiles.select("z", "x", "y").distinct(), rasters, n, spacing, BLOCK)
-    return kernels.fragments(pairs.join(cell_blocks(cells).hint("merge"), ["file_id", "_bx", "_by"], "left"), n, spacing, BLOCK, bilinear)
+    return kernels.fragments(pairs.join(block_lists(cells).hint("merge"), ["file_id", "_bx", "_by"], "left"), n, spacing, BLOCK, bilinear)
 
 
 def tile_raster(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int = 256, priority: str = "resolution",
@@ -237,7 +237,7 @@ def tile_raster(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int =
     Places that no raster covers are left out; null stands where the rasters hold no data. A tile asked for twice comes once.
     """
     found = tile_fragments(tiles, rasters, cells, n, spacing, method == "bilinear")
-    return kernels.layered(found, n, [F.col("px") * F.col("px"), F.col("file_id")], "covered", priority == "max")
+    return kernels.layered(found, n, spacing, method == "bilinear", [F.col("px") * F.col("px"), F.col("file_id")], "covered", priority == "max")
 
 
 def sample_tile_bilinear(points: DataFrame, tile_cells: DataFrame, n: int) -> DataFrame:
@@ -361,7 +361,7 @@ def warp_tile(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int, re
         reduced = c.groupBy(*keys, "file_id").agg(AGGREGATES[resampling](F.col("value")).alias("value")).join(z, ["z", "x", "y"], "left_semi")
         return _on_top(reduced, keys)
     found = tile_fragments(tiles, rasters, clean, n, "cells", resampling == "bilinear")
-    return kernels.layered(found, n, [F.desc("file_id")], "value")
+    return kernels.layered(found, n, "cells", resampling == "bilinear", [F.desc("file_id")], "value")
 
 
 def _on_top(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -428,7 +428,7 @@ def heightmap(tiles: DataFrame, rasters: DataFrame, cells: DataFrame, n: int = 6
     Cells without data are 0 metres. Adds the stored 16-bit height.
     """
     found = tile_fragments(tiles, rasters, cells, n, "grown", True).unionByName(kernels.blank_parts(tiles.select("z", "x", "y").distinct(), n))
-    full = kernels.layered(found, n, [F.col("px").isNull(), F.col("px") * F.col("px"), F.col("file_id")], "all")
+    full = kernels.layered(found, n, "grown", True, [F.col("px").isNull(), F.col("px") * F.col("px"), F.col("file_id")], "all")
     v = F.coalesce(F.col("value"), F.lit(0.0))
     return full.select("z", "x", "y", "col", "row", v.alias("height"), encode_height(v).alias("stored"))
 
