@@ -42,3 +42,17 @@ def test_parts_are_even(spark, monkeypatch):
         assert df.groupBy("k", "_ia", "_ib").count().agg(F.max("count")).first()[0] <= 1.5 * n / share
     assert x.join(y, ["k", "_ia", "_ib"]).count() == a.join(b, key).count()
     assert index.split_crowded([(a.limit(0), b)], key)[1] == key
+
+
+def test_boxes_finer_than_all_others_are_not_filed_at_their_own_level(spark, monkeypatch):
+    rnd = random.Random(3)
+    small = [(k, w, s, w + 0.01, s + 0.01) for k in range(300) for w, s in [(rnd.uniform(10, 20), rnd.uniform(10, 20))]]
+    large = [(k, w, s, w + 3.0, s + 2.0) for k in range(20) for w, s in [(rnd.uniform(8, 20), rnd.uniform(8, 20))]]
+    filed, plain = [], index.split_crowded
+    monkeypatch.setattr(index, "split_crowded", lambda joins, key: filed.append([(a.count(), b.count()) for a, b in joins]) or plain(joins, key))
+    want = {(p[0], q[0]) for p in small for q in large if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]}
+    for a, b, turned in ((small, large, False), (large, small, True)):
+        pairs = index.box_pairs(spark.createDataFrame(a, BOX), spark.createDataFrame(b, BOX)).select("a_file_id", "b_file_id").collect()
+        assert sorted((r[1], r[0]) if turned else (r[0], r[1]) for r in pairs) == sorted(want)
+    assert filed[0][0][0] == 0 and filed[1][1][1] == 0 and all(sum(map(sum, f)) > 0 for f in filed)
+    assert index.box_pairs(spark.createDataFrame(small, BOX), spark.createDataFrame([], BOX)).count() == 0
