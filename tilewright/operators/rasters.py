@@ -161,14 +161,17 @@ def _nearest(places: DataFrame, rasters: DataFrame, cells: DataFrame) -> DataFra
     return got.select("lon", "lat", "file_id", "px", F.col("_col").alias("cell_col"), F.col("_row").alias("cell_row"), value.alias("value"))
 
 
-def sample_bilinear(points: DataFrame, rasters: DataFrame, cells: DataFrame) -> DataFrame:
+def sample_bilinear(points: DataFrame, rasters: DataFrame, cells: DataFrame, digits: int | None = None) -> DataFrame:
     """Value between the four cells around each position, per covering raster.
 
     Cells are addressed by their north-west corner; indexes beyond an edge use the edge cell. With
     nodata in any corner the first corner's value is taken as it is. Positions meet whole blocks of
-    cells in one join. Equal positions are looked up once and stay rows of their own.
+    cells in one join. Equal positions are looked up once and stay rows of their own. With ``digits``, values
+    are rounded to so many, once per position and raster.
     """
     found = _bilinear(_places(points), rasters, cells)
+    if digits is not None:
+        found = found.withColumn("value", F.round("value", digits))
     return _dealt_back(points, found).select(*points.columns, "file_id", "px", "value")
 
 

@@ -60,7 +60,7 @@ def j03(i):
 
 @query("j04_sample_bilinear", f"with {bilinear_sql()} select pid, file_id, round(value, 6) as value from bl")
 def j04(i):
-    return rasters.sample_bilinear(i.probes, i.rasters, i.cells).select("pid", "file_id", r(F.col("value")).alias("value"))
+    return rasters.sample_bilinear(i.probes, i.rasters, i.cells, digits=6).select("pid", "file_id", "value")
 
 
 BEST = "row_number() over (partition by {k} order by case when value is null then 1 else 0 end, px, file_id)"
